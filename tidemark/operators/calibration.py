@@ -42,7 +42,7 @@ def bin_number(confidence: Column) -> Column:
 def reliability_bins(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, mean confidence and accuracy of each occupied bin."""
     return pairs.groupBy(*by, bin_number(F.col("confidence")).cast("bigint").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"),
+        F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"),
         F.avg("correct").alias("accuracy"))
 
 
@@ -111,7 +111,7 @@ def apply_platt(model: PipelineModel, df: DataFrame) -> DataFrame:
 def fit_isotonic(pairs: DataFrame):
     """Isotonic calibration; equal confidences are merged into one weighted point first."""
     points = pairs.groupBy("confidence").agg(F.avg("correct").alias("correct"),
-                                             F.count(F.lit(1)).cast("double").alias("_w"))
+                                             F.count("*").cast("double").alias("_w"))
     return IsotonicRegression(featuresCol="confidence", labelCol="correct", weightCol="_w",
                               predictionCol="calibrated").fit(points)
 
@@ -120,7 +120,7 @@ def calibrator_report(pairs: DataFrame, method: str, by: Sequence[str] = ("task"
                       tasks: Sequence[str] = ("height", "direction", "breaking")) -> DataFrame:
     """Calibration errors before and after fitting ``method`` (``platt`` or ``isotonic``) for each task."""
     sizes = {r["task"]: r["n"] for r in pairs.filter(F.col("task").isin(list(tasks))).groupBy("task")
-             .agg(F.count(F.lit(1)).alias("n")).collect()}        # one row per listed task
+             .agg(F.count("*").alias("n")).collect()}        # one row per listed task
     out = None
     for task in tasks:
         if sizes.get(task, 0) < MIN_ROWS_FIT:

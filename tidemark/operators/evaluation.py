@@ -39,13 +39,13 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = (), *, truth: str = "h
     is_extreme = extreme(F.col("_t"))
     found = is_extreme & extreme(F.col("_p"))
     main = scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("*").alias("n"),
         F.avg(err).alias("mae"),
         F.avg(err * err).alias("mse"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - ratio(F.sum(err * err), F.count(F.lit(1)) * F.var_pop("_t"))).alias("r2"),
-        (100 * ratio(F.count_if(err <= TIGHT_M), F.count(F.lit(1)))).alias("within_02_pct"),
-        (100 * ratio(F.count_if(err <= LOOSE_M), F.count(F.lit(1)))).alias("within_05_pct"),
+        (1 - ratio(F.sum(err * err), F.count("*") * F.var_pop("_t"))).alias("r2"),
+        (100 * ratio(F.count_if(err <= TIGHT_M), F.count("*"))).alias("within_02_pct"),
+        (100 * ratio(F.count_if(err <= LOOSE_M), F.count("*"))).alias("within_05_pct"),
         F.when(F.count_if(is_extreme) == 0, F.lit(100.0))
          .otherwise(100 * ratio(F.count_if(found), F.count_if(is_extreme))).alias("extreme_detection_pct"))
     spread = exact_percentiles(scored, by, "abs_error", {"median_abs_error": 0.5, "p95_abs_error": 0.95},
@@ -63,7 +63,7 @@ def classification_metrics(df: DataFrame, classes: Sequence[int], *, truth: str,
     shuffle carries one row per task and group whatever the number of rows.
     """
     scored = df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull())
-    counts = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == F.col(pred)).alias("hits")]
+    counts = [F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(pred)).alias("hits")]
     for c in classes:
         counts += [F.count_if((F.col(truth) == c) & (F.col(pred) == c)).alias(f"_tp{c}"),
                    F.count_if(F.col(pred) == c).alias(f"_pp{c}"),
@@ -107,7 +107,7 @@ def overall_score(df: DataFrame) -> DataFrame:
 
 def accuracy_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """One-pass summary the overall score needs: height tolerance share and both class accuracies."""
-    n = F.count(F.lit(1))
+    n = F.count("*")
     return df.groupBy(*by).agg(
         n.alias("n"), F.avg(F.abs(F.col("h_pred") - F.col("h_true"))).alias("mae"),
         (100 * ratio(F.count_if(F.abs(F.col("h_pred") - F.col("h_true")) <= TIGHT_M), n)).alias("within_02_pct"),
@@ -130,7 +130,7 @@ def compare_models(reports: DataFrame) -> DataFrame:
 def failure_cases(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Shares of low- and high-confidence predictions and the mean confidences."""
     worst = F.least("conf_d", "conf_b")
-    n = F.count(F.lit(1))
+    n = F.count("*")
     return df.groupBy(*by).agg(
         n.alias("n"), F.count_if(worst < LOW_CONFIDENCE).alias("failures"),
         ratio(F.count_if((F.col("conf_d") > HIGH_CONFIDENCE) & (F.col("conf_b") > HIGH_CONFIDENCE)), n)
@@ -154,13 +154,13 @@ def ensemble(df: DataFrame, item: str, votes: Sequence[str], means: dict[str, st
     """
     task = F.array(*[F.struct(F.lit(v).alias("task"), F.col(v).cast("string").alias("label")) for v in votes])
     counted = df.select(item, F.explode(task).alias("_t")) \
-        .groupBy(item, "_t.task", "_t.label").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(item, "_t.task", "_t.label").agg(F.count("*").alias("n"))
     won = counted.groupBy(item).agg(*[
         F.max_by(F.when(F.col("task") == v, F.col("label")),
                  F.when(F.col("task") == v, F.struct(F.col("n"), -F.col("label").cast("bigint")))).alias(v)
         for v in votes])
     averaged = df.groupBy(item).agg(*[F.avg(c).alias(o) for o, c in means.items()],
-                                    F.count(F.lit(1)).alias("num_models"))
+                                    F.count("*").alias("num_models"))
     return averaged.join(won, item)
 
 
@@ -176,7 +176,7 @@ def readiness(df: DataFrame) -> DataFrame:
 
 def batch_stats(df: DataFrame, by: Sequence[str], *, ok: Column, millis: str, confidence: str) -> DataFrame:
     """Counts, success rate, time statistics and throughput of processed batches."""
-    n, good = F.count(F.lit(1)), F.count_if(ok)
+    n, good = F.count("*"), F.count_if(ok)
     t = F.when(ok, F.col(millis))
     return df.groupBy(*by).agg(
         n.alias("n"), good.alias("ok"), (n - good).alias("failed"), ratio(good, n).alias("success_rate"),

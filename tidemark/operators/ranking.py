@@ -86,7 +86,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()],
         *[F.min(c).alias(f"_m_{o}") for o, c in mins.items()],
         *[F.min(c).alias(f"_n_{o}") for o, c in next_of.items()],
-        F.count(F.lit(1)).alias("_rows"))
+        F.count("*").alias("_rows"))
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK)
     before = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
@@ -117,7 +117,7 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], preceding:
     keys = list(keys)
     tagged = with_chunks(df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys)
     part = keys + [CHUNK]
-    sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = tagged.groupBy(*part).agg(F.count("*").alias("_rows"))
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
     # the chunks behind this one, with the number of rows lying in between
     ahead = by_chunk.rowsBetween(1, preceding)
@@ -140,7 +140,7 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], preceding:
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``(keys, value, n)``: rows collapse map-side, so a repeated value costs one row per task."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
 def positions(df: DataFrame, keys: Sequence[str], value: str, *, bounded_keys: bool = False) -> DataFrame:

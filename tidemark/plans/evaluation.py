@@ -107,7 +107,7 @@ ERRORS = """v_err AS (SELECT model, task, sum(n)::BIGINT AS n,
 def stack_tasks(spark: SparkSession, d: str) -> DataFrame:
     pairs = cal.calibration_pairs(views.predictions(spark, d), ["model"])
     return rounded(pairs.groupBy("model", "task").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("correct")))
+        F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("correct")))
 
 
 @query("reliability_bins", with_views(PRED, PAIRS, BINS) + """SELECT model, task, bin, n,
@@ -225,7 +225,7 @@ def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
 def readiness(spark: SparkSession, d: str) -> DataFrame:
     df = views.predictions(spark, d)
     gap = F.col("h_pred") - F.col("h_true")
-    n = F.count(F.lit(1))
+    n = F.count("*")
     report = df.groupBy("model").agg(
         (1 - F.sum(gap * gap) / (n * F.var_pop("h_true"))).alias("r2"),
         ev.ratio(F.count_if(F.col("d_pred") == F.col("d_true")), n).alias("direction_acc"),
@@ -255,7 +255,7 @@ def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
     long = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("label")) for t in ("quality", "toxic")])
     return df.select("n_chars", F.explode(long).alias("_l")).filter(F.col("_l.label").isNotNull()) \
-        .groupBy("_l.task").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_size"))
+        .groupBy("_l.task").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_size"))
 
 
 # --- training history ------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def literal_table(spark: SparkSession, columns: str, rows: Sequence[tuple]) -> DataFrame:
+    """A small table written out in the plan itself (no Python worker, no job); ``columns`` is a DDL string."""
+    names = [part.split()[0] for part in columns.split(",")]
+    values = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(values.cast(f"array<struct<{_typed(columns)}>>")))
+
+
+def _typed(columns: str) -> str:
+    return ",".join(f"{n}:{t}" for n, t in (part.split() for part in columns.split(",")))
+
+
 def broadcast_within(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only if it really has at most ``max_rows`` rows; else let Spark choose the join."""
     if df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
