@@ -1,4 +1,4 @@
 """Importing this module fills the query catalogue."""
 
-from tidemark.plans import evaluation, labels, profiling  # noqa: F401
+from tidemark.plans import drift, evaluation, labels, profiling  # noqa: F401
 from tidemark.plans.registry import CATALOGUE  # noqa: F401
