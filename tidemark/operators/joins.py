@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import asof_join
 from tidemark.sources.tables import literal_table
 
 SALTS = 32
@@ -50,17 +51,15 @@ def domain_counts(df: DataFrame, column: str, domain: Sequence[str]) -> DataFram
     return categories.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def recent_duplicate(requests: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int) -> DataFrame:
-    """Reuse of a recent result: ``reuse_of`` is the latest earlier request of the same content within the time limit.
+def recent_duplicate(requests: DataFrame, results: DataFrame, key: str, at: str, ident: str,
+                     ttl_seconds: float) -> DataFrame:
+    """Reuse of a stored result: ``reuse_of`` is the latest result of the same content not older than the limit.
 
-    Every earlier request counts as a stored result.  Only the request right before can be the
-    latest one, so this is a one-row look-back per key, done with the chunked rolling window.
+    ``at`` is a time in seconds.  Requests without such a result have to be computed (null).
     """
-    from tidemark.operators.ranking import rolling
-    seen = rolling(requests, [key], [ts, ident], 1, {
-        "_prev": lambda w: F.lag(ident).over(w), "_prev_ts": lambda w: F.lag(ts).over(w)})
-    fresh = F.col(ts) - F.col("_prev_ts") < ttl_seconds
-    return seen.withColumn("reuse_of", F.when(fresh, F.col("_prev"))).drop("_prev", "_prev_ts")
+    matched = asof_join(requests, results, key, at, [ident], tie=ident)
+    fresh = F.col(at) - F.col(f"matched_{at}") < ttl_seconds
+    return matched.select(*requests.columns, F.when(fresh, F.col(f"matched_{ident}")).alias("reuse_of"))
 
 
 def recommend(metrics: DataFrame, rules: Sequence[tuple[str, str, float, str]]) -> DataFrame:

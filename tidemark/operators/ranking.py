@@ -20,6 +20,8 @@ from tidemark.sources.tables import pin
 
 CHUNK = "_chunk"
 HALO = "_halo"
+GROUP = "_group"
+MAX_SPLIT_BYTES = 64 * 1024 * 1024
 
 
 def _chunk_count(df: DataFrame, chunks: int | None) -> int:
@@ -36,66 +38,81 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], by: str, *, chunks: int | None = None,
-                bounded_keys: bool = False) -> DataFrame:
+                bounded_keys: bool = False, shared: Sequence[str] = ()) -> DataFrame:
     """Add ``_chunk``: rows with a larger ``by`` never sit in a smaller chunk of their key.
 
     ``bounded_keys=True`` states that the keys come from a fixed list (features,
     tasks, models named by the caller), so the split table is at most
     ``len(list) * chunks`` numbers and is broadcast.  Otherwise the split table
-    is written out once (so a lost executor cannot change it) and Spark picks
-    the join by its measured size.
+    is written out once (so a lost executor cannot change it), measured, and
+    broadcast only below ``MAX_SPLIT_BYTES``.
+
+    ``shared`` names non-negative count columns that later steps also read; the split pass
+    touches them so that Spark reuses one shuffle of ``df`` for both.
     """
     n = _chunk_count(df, chunks)
     side = math.isqrt(n - 1) + 1
     cuts = [i / (side * side) for i in range(1, side * side)]
     keys = list(keys)
-    source = df if keys else df.withColumn("_all", F.lit(0))
-    on = keys or ["_all"]
-    splits = source.groupBy(*on).agg(
-        F.percentile_approx(F.col(by).cast("double"), cuts, max(10_000, 20 * n)).alias("_splits"))
+    source = df.withColumn(GROUP, _group(keys))
+    value = F.col(by).cast("double")
+    touched = value
+    if shared:
+        touched = F.when(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in shared]), value)
+    splits = source.groupBy(GROUP).agg(F.percentile_approx(touched, cuts, 20 * n).alias("_splits"))
     if bounded_keys or not keys:
-        tagged = null_safe_join(source, F.broadcast(splits), on)
+        splits = F.broadcast(splits)
     else:
-        tagged = null_safe_join(source, pin(splits), on)
+        splits = pin(splits)
+        if splits.count() * len(cuts) * 8 <= MAX_SPLIT_BYTES:
+            splits = F.broadcast(splits)
+    tagged = source.join(splits, GROUP)
     # two short scans instead of one long one: first every side-th cut, then the cuts in between
-    value = F.col(by).cast("double")
     coarse_cuts = F.filter("_splits", lambda s, i: (i % side) == side - 1)
     tagged = tagged.withColumn("_coarse", F.size(F.filter(coarse_cuts, lambda s: s <= value)))
     fine = F.size(F.filter(F.slice("_splits", F.col("_coarse") * side + 1, F.lit(side)), lambda s: s <= value))
     return tagged.withColumn(CHUNK, F.coalesce(F.col("_coarse") * side + fine, F.lit(0))) \
-                 .drop("_splits", "_coarse", "_all")
+                 .select(*df.columns, CHUNK)
+
+
+def _group(keys: Sequence[str]) -> Column:
+    """The key as one struct: never null itself, so rows with NULL keys join and rank like any other."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
             sums: dict[str, str] | None = None, mins: dict[str, str] | None = None,
-            next_of: dict[str, str] | None = None, totals: bool = True, exclusive: bool = False,
+            maxs: dict[str, str] | None = None, next_of: dict[str, str] | None = None, totals: bool = True, exclusive: bool = False,
             chunks: int | None = None, bounded_keys: bool = False) -> DataFrame:
-    """Running ``sum``/``min`` per key in ``order`` (unique within a key), in parallel chunks.
+    """Running ``sum``/``min``/``max`` per key in ``order`` (unique within a key), in parallel chunks.
 
-    ``sums={"cum_n": "n"}`` adds ``cum_n`` (inclusive unless ``exclusive``) and,
-    with ``totals``, ``cum_n_total``.  ``next_of={"nxt": "v"}`` adds the value of
-    ``v`` (the leading order column) in the following row.  Rows already carrying
-    a chunk number (from ``with_chunks``) keep it, so several runs share one layout.
+    ``sums={"cum_n": "n"}`` adds ``cum_n`` (inclusive unless ``exclusive``; summed
+    columns are counts, 0 or more) and, with ``totals``, ``cum_n_total``.
+    ``next_of={"nxt": "v"}`` adds the value of ``v`` (the leading order column) in
+    the following row.  Rows already carrying a chunk number (from
+    ``with_chunks``) keep it, so several runs share one layout.
     """
-    sums, mins, next_of = sums or {}, mins or {}, next_of or {}
-    chunked = CHUNK in df.columns
-    tagged = df if chunked else with_chunks(df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys)
-    keys = list(keys)
-    part = keys + [CHUNK]
+    sums, mins, maxs, next_of = sums or {}, mins or {}, maxs or {}, next_of or {}
+    tagged = df if CHUNK in df.columns else with_chunks(
+        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, shared=sorted(set(sums.values())))
+    tagged = tagged.withColumn(GROUP, _group(keys))
+    part = [GROUP, CHUNK]
     per_chunk = tagged.groupBy(*part).agg(
+        F.count("*").alias("_rows"),
         *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()],
         *[F.min(c).alias(f"_m_{o}") for o, c in mins.items()],
-        *[F.min(c).alias(f"_n_{o}") for o, c in next_of.items()],
-        F.count("*").alias("_rows"))
-    over_chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+        *[F.max(c).alias(f"_m_{o}") for o, c in maxs.items()],
+        *[F.min(c).alias(f"_n_{o}") for o, c in next_of.items()])
+    over_chunks = Window.partitionBy(GROUP).orderBy(CHUNK)
     before = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
         *part,
         *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums],
-        *[F.sum(f"_s_{o}").over(Window.partitionBy(*keys)).alias(f"{o}_total") for o in sums if totals],
+        *[F.sum(f"_s_{o}").over(Window.partitionBy(GROUP)).alias(f"{o}_total") for o in sums if totals],
         *[F.min(f"_m_{o}").over(before).alias(f"_b_{o}") for o in mins],
+        *[F.max(f"_m_{o}").over(before).alias(f"_b_{o}") for o in maxs],
         *[F.lead(f"_n_{o}").over(over_chunks).alias(f"_f_{o}") for o in next_of])
-    joined = null_safe_join(tagged, carried, part)
+    joined = tagged.join(carried, part)
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     return joined.select(
@@ -103,6 +120,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         *[(F.col(f"_b_{o}") + F.coalesce(F.sum(c).over(upto), F.lit(0))).alias(o) for o, c in sums.items()],
         *[F.col(f"{o}_total") for o in sums if totals],
         *[F.least(F.col(f"_b_{o}"), F.min(c).over(upto)).alias(o) for o, c in mins.items()],
+        *[F.greatest(F.col(f"_b_{o}"), F.max(c).over(upto)).alias(o) for o, c in maxs.items()],
         *[F.coalesce(F.lead(c).over(inside), F.col(f"_f_{o}")).alias(o) for o, c in next_of.items()])
 
 
@@ -114,30 +132,47 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], preceding:
     ``columns`` maps an output name to ``window -> Column``.  Each chunk receives
     copies of the last ``preceding`` rows in front of it, so every window is whole.
     """
-    keys = list(keys)
-    tagged = with_chunks(df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys)
-    part = keys + [CHUNK]
-    sizes = tagged.groupBy(*part).agg(F.count("*").alias("_rows"))
-    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    # the chunks behind this one, with the number of rows lying in between
-    ahead = by_chunk.rowsBetween(1, preceding)
-    sizes = sizes.withColumn("_upto", F.sum("_rows").over(by_chunk))
-    sizes = sizes.select(
-        *part,
-        F.collect_list(F.struct(F.col(CHUNK).alias("to"), (F.col("_upto") - F.col("_rows")).alias("start")))
-         .over(ahead).alias("_ahead"), "_upto")
+    tagged = with_chunks(df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys) \
+        .withColumn(GROUP, _group(keys))
+    part = [GROUP, CHUNK]
+    by_chunk = Window.partitionBy(GROUP).orderBy(CHUNK)
+    sizes = tagged.groupBy(*part).agg(F.count("*").alias("_rows")) \
+        .withColumn("_upto", F.sum("_rows").over(by_chunk))
+    # the chunks behind this one with the row number at which each starts; every chunk has a row,
+    # so no more than `preceding` of them can need rows from here
+    following = F.collect_list(F.struct(F.col(CHUNK).alias("to"), (F.col("_upto") - F.col("_rows")).alias("start")))
+    sizes = sizes.select(*part, "_upto", following.over(by_chunk.rowsBetween(1, preceding)).alias("_ahead"))
     backwards = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order])
     tails = tagged.withColumn("_r", F.row_number().over(backwards)).filter(F.col("_r") <= preceding)
-    copies = null_safe_join(tails, sizes, part)
-    copies = copies.withColumn("_to", F.explode("_ahead")) \
+    copies = tails.join(sizes, part).withColumn("_to", F.explode("_ahead")) \
         .filter(F.col("_r") - 1 + F.col("_to.start") - F.col("_upto") < preceding) \
-        .select(*df.columns, F.col("_to.to").alias(CHUNK), F.lit(True).alias(HALO))
-    whole = tagged.select(*df.columns, CHUNK, F.lit(False).alias(HALO)).unionByName(copies)
+        .select(*df.columns, GROUP, F.col("_to.to").alias(CHUNK), F.lit(True).alias(HALO))
+    whole = tagged.select(*df.columns, GROUP, CHUNK, F.lit(False).alias(HALO)).unionByName(copies)
     window = Window.partitionBy(*part).orderBy(*order)
     out = whole.select(*df.columns, HALO, *[f(window).alias(n) for n, f in columns.items()])
     return out.filter(~F.col(HALO)).drop(HALO)
 
 
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, payload: Sequence[str],
+              tie: str) -> DataFrame:
+    """For each left row the latest right row of the same key with ``right.at <= left.at``.
+
+    Both sides are stacked and the latest right row is carried forward with a
+    running maximum, so no pairs are formed.  ``tie`` (unique per side) orders
+    equal times.  Adds ``matched_<at>`` and ``matched_<payload>``, null without a match.
+    """
+    carried = F.struct(F.col(at), F.col(tie).alias("_tie"), *[F.col(c) for c in payload])
+    side_l = left.withColumns({"_right": F.lit(None).cast(
+        right.select(carried.alias("_s")).schema["_s"].dataType), "_side": F.lit(1), "_tie": F.col(tie)})
+    side_r = right.select(*[F.col(c) if c in right.columns else F.lit(None).cast(t).alias(c) for c, t in left.dtypes],
+                          carried.alias("_right"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"))
+    both = side_l.unionByName(side_r)
+    seen = running(both, [key], [at, "_side", "_tie"], maxs={"_hit": "_right"})
+    return seen.filter(F.col("_side") == 1).select(
+        *left.columns, F.col(f"_hit.{at}").alias(f"matched_{at}"),
+        *[F.col(f"_hit.{c}").alias(f"matched_{c}") for c in payload])
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``(keys, value, n)``: rows collapse map-side, so a repeated value costs one row per task."""
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))

@@ -1,4 +1,4 @@
 """Importing this module fills the query catalogue."""
 
-from tidemark.plans import drift, evaluation, labels, predictions, profiling, scalars  # noqa: F401
+from tidemark.plans import drift, evaluation, labels, predictions, profiling, raster, scalars, telemetry  # noqa: F401
 from tidemark.plans.registry import CATALOGUE  # noqa: F401

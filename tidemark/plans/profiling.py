@@ -33,7 +33,7 @@ def _raster_measures(spark: SparkSession, d: str) -> DataFrame:
     return ra.image_measures(grey)
 
 
-RASTER_MEASURES = """m AS (SELECT vec_id, stddev_pop(v) / avg(v) AS contrast, max(v) - min(v) AS dynamic_range
+RASTER_MEASURES = """m AS (SELECT vec_id, stddev_pop(v) / avg(v) AS contrast, (max(v) - min(v)) / 255 AS dynamic_range
   FROM v_grey GROUP BY vec_id),
 h AS (SELECT vec_id, -sum(p * log2(p + 0.0000000001::DOUBLE)) AS entropy FROM (SELECT vec_id, v, count(*) / 64::DOUBLE AS p
   FROM v_grey GROUP BY vec_id, v) GROUP BY vec_id)"""

@@ -64,7 +64,7 @@ def telemetry(spark: SparkSession, directory: str) -> DataFrame:
     """Operation telemetry, one row per event."""
     df = table(spark, directory, "events")
     return df.select(
-        "event_id", "ts",
+        "event_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
         F.concat(F.lit("c"), (F.col("user_id") % 10).cast("string")).alias("component"),
         F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"),
         (F.col("event_type") == "error").alias("error_occurred"),

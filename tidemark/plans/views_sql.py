@@ -19,7 +19,7 @@ LAB = """v_lab AS (SELECT l_orderkey AS sample_id, l_partkey AS seed, l_quantity
   l_quantity > 40 AS extreme_conditions, l_discount * 10 AS wind_strength, l_tax * 2.5::DOUBLE AS wave_steepness,
   l_partkey % 10 AS weather_id FROM lineitem)"""
 
-TEL = """v_tel AS (SELECT event_id, ts, 'c' || (user_id % 10)::VARCHAR AS component, event_type AS operation,
+TEL = """v_tel AS (SELECT event_id, ts, epoch_us(ts) / 1000000::DOUBLE AS secs, 'c' || (user_id % 10)::VARCHAR AS component, event_type AS operation,
   value AS duration_ms, event_type = 'error' AS error_occurred,
   json_extract_string(props, '$.k')::DOUBLE AS memory_mb FROM events)"""
 
