@@ -20,7 +20,7 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02, k: int = 64) -> list:
     misses a key above the share, and a key listed without need costs only copies.
     """
     row = df.filter(F.col(key).isNotNull()).agg(
-        F.approx_top_k(key, k, 10_000).alias("top"), F.count("*").alias("n")).first()
+        F.expr(f"approx_top_k(`{key}`, {k}, 10000)").alias("top"), F.count("*").alias("n")).first()
     if not row["n"]:
         return []
     return [t["item"] for t in row["top"] if t["count"] > share * row["n"]]

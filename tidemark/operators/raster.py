@@ -29,13 +29,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def moments(values: Column) -> Column:
-    """``struct(mean, std)`` of an array (population deviation), in one fold."""
+    """``struct(mean, var, std)`` of an array (population variance), in one fold."""
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     return F.aggregate(
         values, zero,
         lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")),
-        lambda a: F.struct((a["s"] / a["n"]).alias("mean"), F.sqrt(F.greatest(
-            F.lit(0.0), a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"]))).alias("std")))
+        lambda a: F.struct((a["s"] / a["n"]).alias("mean"), _variance(a).alias("var"),
+                           F.sqrt(_variance(a)).alias("std")))
+
+
+def _variance(a: Column) -> Column:
+    m = a["s"] / a["n"]
+    return F.greatest(F.lit(0.0), a["q"] / a["n"] - m * m)
 
 
 def mean(values: Column) -> Column:
@@ -46,6 +51,10 @@ def std(values: Column) -> Column:
     return moments(values)["std"]
 
 
+def variance(values: Column) -> Column:
+    return moments(values)["var"]
+
+
 def value_range(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
@@ -196,7 +205,7 @@ def water_stats(r: Column, g: Column, b: Column) -> dict[str, Column]:
     water = share(hsv, lambda p: p["h"].between(low, high) & (p["s"] >= WATER_MIN_SATURATION)
                   & (p["v"] >= WATER_MIN_VALUE))
     m = moments(hue)
-    return {"saturation": mean(sat) / 255.0, "hue_variance": m["std"] * m["std"] / 32400.0, "water_coverage": water}
+    return {"saturation": mean(sat) / 255.0, "hue_variance": m["var"] / 32400.0, "water_coverage": water}
 
 
 def lower_part(values: Column, h: Column, w: Column) -> Column:

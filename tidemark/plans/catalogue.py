@@ -1,4 +1,5 @@
 """Importing this module fills the query catalogue."""
 
-from tidemark.plans import drift, evaluation, labels, predictions, profiling, raster, scalars, telemetry  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    drift, evaluation, labels, lineage, predictions, profiling, raster, scalars, telemetry)
 from tidemark.plans.registry import CATALOGUE  # noqa: F401

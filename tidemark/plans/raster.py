@@ -11,8 +11,6 @@ from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import PIX, RGB, with_views
 
-H, W, PX = "h", "w", "px"
-
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     """Depth maps as whole grey levels."""
@@ -43,13 +41,11 @@ SOBEL = """v_sob AS (SELECT vec_id, y, x, sqrt(pow(sum(v * dx * (2 - abs(dy))),
 
 
 @query("rast_color", with_views(RGB) + """, c AS (SELECT vec_id, """ + ", ".join(
-    f"avg({c}) AS {c}m, stddev_pop({c}) AS {c}s, max({c}) - min({c}) AS {c}r" for c in "rgb") + """, avg(floor(0.299::DOUBLE * r
-    + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)) AS gm FROM v_rgb GROUP BY vec_id),
-  k AS (SELECT *, (rm + gm_ + bm) / 3 AS mm FROM (SELECT vec_id, rm, rs, rr, c.gm AS grey, gs, gr, bm, bs, br, gm2 AS gm_ FROM
-    (SELECT *, 0 AS z FROM c) c JOIN (SELECT vec_id, avg(g) AS gm2 FROM v_rgb GROUP BY vec_id) USING (vec_id)))
-  SELECT vec_id, round(rm, 6) AS r_mean, round(rs, 6) AS r_std, rr AS r_range, round(gm_, 6) AS g_mean, round(gs, 6) AS g_std, gr AS g_range,
-    round(bm, 6) AS b_mean, round(bs, 6) AS b_std, br AS b_range, round(grey, 6) AS grey_mean,
-    round(1 - sqrt((pow(rm - mm, 2) + pow(gm_ - mm, 2) + pow(bm - mm, 2)) / 3) / mm, 6) AS colour_balance FROM k""")
+    f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std, max({c}) - min({c}) AS {c}_range" for c in "rgb") + """,
+    avg(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)) AS grey_mean FROM v_rgb GROUP BY vec_id),
+  m AS (SELECT vec_id, avg(t.v) AS mm, stddev_pop(t.v) AS ms FROM c, LATERAL (VALUES (r_mean), (g_mean), (b_mean)) AS t(v) GROUP BY vec_id)
+  SELECT vec_id, """ + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in "rgb" for k in ("mean", "std", "range")) + """,
+    round(grey_mean, 6) AS grey_mean, round(1 - ms / mm, 6) AS colour_balance FROM c JOIN m USING (vec_id)""")
 def rast_color(spark: SparkSession, d: str) -> DataFrame:
     cols = ra.colour_stats(F.col("r"), F.col("g"), F.col("b"))
     return rounded(_grey(spark, d).select("vec_id", *[c.alias(n) for n, c in cols.items()],
@@ -77,13 +73,13 @@ def rast_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ra.image_measures(df).select("vec_id", "entropy", "dominant_level").join(bins, "vec_id"))
 
 
-@query("rast_laplacian", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), LAPLACE) + """SELECT vec_id, round(var_pop(l), 5) AS variance,
-  round(least(1, var_pop(l) / 1000), 6) AS sharpness_1k, round(var_pop(l) / 10000, 6) AS sharpness_10k FROM v_lap GROUP BY vec_id""")
+@query("rast_laplacian", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), LAPLACE) + """, s AS (SELECT vec_id,
+    sum(l * l) / 64 - (sum(l) / 64) * (sum(l) / 64) AS variance FROM v_lap GROUP BY vec_id)
+  SELECT vec_id, variance, least(1, variance / 1000) AS sharpness_1k, variance / 10000 AS sharpness_10k FROM s""")
 def rast_laplacian(spark: SparkSession, d: str) -> DataFrame:
-    lap = ra.std(ra.laplacian(F.col("px"), F.col("h"), F.col("w")))
-    df = _levels(spark, d).withColumn("_v", lap * lap)
-    return df.select("vec_id", F.round("_v", 5).alias("variance"), F.round(F.least(F.lit(1.0), F.col("_v") / 1000.0), 6)
-                     .alias("sharpness_1k"), F.round(F.col("_v") / 10000.0, 6).alias("sharpness_10k"))
+    v = F.col("variance")
+    out = _levels(spark, d).select("vec_id", ra.variance(ra.laplacian(F.col("px"), F.col("h"), F.col("w"))).alias("variance"))
+    return out.withColumns({"sharpness_1k": F.least(F.lit(1.0), v / 1000.0), "sharpness_10k": v / 10000.0})
 
 
 @query("rast_sobel", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), SOBEL) +
@@ -125,9 +121,9 @@ NOISE = """v_hp AS (SELECT vec_id, y, x, greatest(0, least(255, sum(CASE WHEN dy
   SELECT vec_id, round(least(1, n), 6) AS noise_level, round(m, 6) AS laplacian_noise FROM a JOIN b USING (vec_id)""")
 def rast_noise(spark: SparkSession, d: str) -> DataFrame:
     h, w = F.col("h"), F.col("w")
-    lap = ra.std(ra.laplacian(F.col("px"), h, w))
+    lap = ra.variance(ra.laplacian(F.col("px"), h, w))
     return rounded(_levels(spark, d).select("vec_id", ra.noise_level(F.col("px"), h, w).alias("noise_level"),
-                                            (lap * lap / 65025.0).alias("laplacian_noise")))
+                                            (lap / 65025.0).alias("laplacian_noise")))
 
 
 @query("image_score", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), NOISE, LAPLACE) + """,
@@ -141,10 +137,10 @@ def rast_noise(spark: SparkSession, d: str) -> DataFrame:
       + CASE WHEN s > 100 THEN 1 ELSE 0.5::DOUBLE END) / 3, 6) AS flag_score FROM a JOIN b USING (vec_id) JOIN n USING (vec_id)""")
 def image_score(spark: SparkSession, d: str) -> DataFrame:
     px, h, w = F.col("px"), F.col("h"), F.col("w")
-    lap = ra.std(ra.laplacian(px, h, w))
+    lap = ra.variance(ra.laplacian(px, h, w))
     c = ra.contrast_stats(px)
     df = _levels(spark, d).select(
-        "vec_id", c["rms_contrast"].alias("c"), (lap * lap).alias("s"), ra.dark_coverage(px, h, w).alias("o"),
+        "vec_id", c["rms_contrast"].alias("c"), lap.alias("s"), ra.dark_coverage(px, h, w).alias("o"),
         ra.noise_level(px, h, w).alias("n"), c["dynamic_range"].alias("dr"), c["brightness"].alias("br"))
     cols = ra.image_scores(*[F.col(x) for x in ("c", "s", "o", "n", "dr", "br")])
     return rounded(df.select("vec_id", *[e.alias(n) for n, e in cols.items()]))
