@@ -62,7 +62,11 @@ def labels(spark: SparkSession, directory: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, directory: str) -> DataFrame:
     """Operation telemetry, one row per event."""
-    df = table(spark, directory, "events")
+    return telemetry_columns(table(spark, directory, "events"))
+
+
+def telemetry_columns(df: DataFrame) -> DataFrame:
+    """The telemetry columns of an event table or stream."""
     return df.select(
         "event_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
         F.concat(F.lit("c"), (F.col("user_id") % 10).cast("string")).alias("component"),
