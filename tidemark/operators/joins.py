@@ -7,36 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import asof_join
+from tidemark.operators.ranking import asof_join, hot_groups
 from tidemark.sources.tables import literal_table
 
 SALTS = 32
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.02, k: int = 64) -> list:
-    """Keys holding more than ``share`` of the rows: at most ``1 / share``, so they fit on the driver.
-
-    One aggregate whose state is a fixed-size frequency sketch; the sketch never
-    misses a key above the share, and a key listed without need costs only copies.
-    """
-    row = df.filter(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {k}, 10000)").alias("top"), F.count("*").alias("n")).first()
-    if not row["n"]:
-        return []
-    return [t["item"] for t in row["top"] if t["count"] > share * row["n"]]
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, share: float = 0.02) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, hot: list[int] | None = None) -> DataFrame:
     """Equi-join (``inner``, ``left``, ``left_semi``, ``left_anti``) that spreads the hot keys of ``left``.
 
     Rows of a hot key get a salt from the row itself and the matching rows of
     ``right`` (few per key) are copied once per salt; all other keys are joined
     as usual in the same shuffle.  No row is dropped and none is doubled.
+    ``hot`` passes in hot keys that are known already.
     """
-    hot = hot_keys(left, key, share)
+    hot = hot_groups(left.filter(F.col(key).isNotNull()), [key]) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.xxhash64(key).isin(hot)
     salted_left = left.withColumn("_salt", F.when(
         is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

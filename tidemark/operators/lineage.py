@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import skew_join
-from tidemark.operators.ranking import running, with_chunks
+from tidemark.operators.ranking import hot_groups, running, with_chunks
 
 LINEAGE_SCHEMA = ("dataset_id string, source_path string, created timestamp, parent_datasets array<string>, "
                   "metadata map<string,string>, checksum string, version string")
@@ -24,13 +24,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
         .select(*keys, "_row.*").select(*df.columns)
 
 
-def step_positions(steps: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def step_positions(steps: DataFrame, key: str, order: Sequence[str], hot: list[int] | None = None) -> DataFrame:
     """Steps with their 1-based position within the dataset, one row per step.
 
     Rows instead of one list per dataset: a dataset with very many steps is
     never gathered.  ``order`` starts with a numeric or time column.
     """
-    numbered = with_chunks(steps.withColumn("_one", F.lit(1)), [key], order[0])
+    numbered = with_chunks(steps.withColumn("_one", F.lit(1)), [key], order[0], hot=hot)
     return running(numbered, [key], order, sums={"position": "_one"}, totals=False).drop("_one", "_chunk")
 
 
@@ -39,8 +39,9 @@ def lineage_steps(headers: DataFrame, steps: DataFrame, key: str, order: Sequenc
 
     The step side may hold one very busy dataset, so it is the protected side of the join.
     """
-    placed = step_positions(steps, key, order)
-    with_steps = skew_join(placed, headers, key, "inner")
+    hot = hot_groups(steps, [key])
+    placed = step_positions(steps, key, order, hot)
+    with_steps = skew_join(placed, headers, key, "inner", hot=hot)
     alone = headers.join(steps.select(key).distinct(), key, "left_anti")
     return with_steps.unionByName(alone, allowMissingColumns=True)
 

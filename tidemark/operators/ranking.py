@@ -21,7 +21,7 @@ from tidemark.sources.tables import pin
 CHUNK = "_chunk"
 HALO = "_halo"
 GROUP = "_group"
-MAX_SPLIT_BYTES = 64 * 1024 * 1024
+MIN_HOT_GROUPS = 64
 
 
 def _chunk_count(df: DataFrame, chunks: int | None) -> int:
@@ -37,42 +37,64 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys that hold more than a fair task's share of the rows.
+
+    One aggregate over a fixed-size frequency sketch.  At most ``1 / share``
+    keys can be that frequent, so the list that comes to the driver is bounded
+    by twice the partition count whatever the data.
+    """
+    fair = max(MIN_HOT_GROUPS, _chunk_count(df, None))
+    hashed = df.select(_hash(keys).alias("_keyhash"))
+    row = hashed.agg(F.expr(f"approx_top_k(_keyhash, {2 * fair}, {max(20 * fair, 10_000)})").alias("top"),
+                     F.count("*").alias("n")).first()
+    return [t["item"] for t in row["top"] or [] if t["count"] * fair > row["n"]]
+
+
 def with_chunks(df: DataFrame, keys: Sequence[str], by: str, *, chunks: int | None = None,
-                bounded_keys: bool = False, shared: Sequence[str] = ()) -> DataFrame:
+                bounded_keys: bool = False, shared: Sequence[str] = (), hot: list[int] | None = None) -> DataFrame:
     """Add ``_chunk``: rows with a larger ``by`` never sit in a smaller chunk of their key.
 
-    ``bounded_keys=True`` states that the keys come from a fixed list (features,
-    tasks, models named by the caller), so the split table is at most
-    ``len(list) * chunks`` numbers and is broadcast.  Otherwise the split table
-    is written out once (so a lost executor cannot change it), measured, and
-    broadcast only below ``MAX_SPLIT_BYTES``.
+    Which keys are cut: all of them if ``bounded_keys`` states that they come
+    from a fixed list (features, tasks, models named by the caller), otherwise
+    only the hot ones, found first; every other key is one chunk.  Either way
+    the split table has a bounded number of keys and is broadcast; in the second
+    case it is written out once, so a lost executor cannot change it.
 
     ``shared`` names non-negative count columns that later steps also read; the split pass
-    touches them so that Spark reuses one shuffle of ``df`` for both.
+    touches them so that Spark reuses one shuffle of ``df`` for both.  ``hot`` passes in the
+    hot keys where they are known already.
     """
     n = _chunk_count(df, chunks)
     side = math.isqrt(n - 1) + 1
     cuts = [i / (side * side) for i in range(1, side * side)]
-    keys = list(keys)
-    source = df.withColumn(GROUP, _group(keys))
     value = F.col(by).cast("double")
-    touched = value
-    if shared:
-        touched = F.when(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in shared]), value)
-    splits = source.groupBy(GROUP).agg(F.percentile_approx(touched, cuts, 20 * n).alias("_splits"))
+    hashed = df.withColumn("_keyhash", _hash(keys))
     if bounded_keys or not keys:
-        splits = F.broadcast(splits)
+        touched = F.when(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in shared]), value) if shared else value
+        splits = hashed.groupBy("_keyhash").agg(F.percentile_approx(touched, cuts, 20 * n).alias("_splits"))
     else:
-        splits = pin(splits)
-        if splits.count() * len(cuts) * 8 <= MAX_SPLIT_BYTES:
-            splits = F.broadcast(splits)
-    tagged = source.join(splits, GROUP)
+        hot = hot_groups(df, keys) if hot is None else hot
+        if not hot:     # noted in the column's metadata: plain windows are enough
+            return df.select("*", F.lit(0).alias(CHUNK, metadata={"single": True}))
+        splits = pin(hashed.filter(F.col("_keyhash").isin(hot)).groupBy("_keyhash")
+                     .agg(F.percentile_approx(value, cuts, 20 * n).alias("_splits")))
+    tagged = hashed.join(F.broadcast(splits), "_keyhash", "left")
     # two short scans instead of one long one: first every side-th cut, then the cuts in between
     coarse_cuts = F.filter("_splits", lambda s, i: (i % side) == side - 1)
     tagged = tagged.withColumn("_coarse", F.size(F.filter(coarse_cuts, lambda s: s <= value)))
     fine = F.size(F.filter(F.slice("_splits", F.col("_coarse") * side + 1, F.lit(side)), lambda s: s <= value))
-    return tagged.withColumn(CHUNK, F.coalesce(F.col("_coarse") * side + fine, F.lit(0))) \
-                 .select(*df.columns, CHUNK)
+    number = F.when(F.col("_splits").isNotNull(), F.greatest(F.lit(0), F.col("_coarse") * side + fine))
+    return tagged.withColumn(CHUNK, F.coalesce(number, F.lit(0))).select(*df.columns, CHUNK)
+
+
+def _single(df: DataFrame) -> bool:
+    return bool(df.schema[CHUNK].metadata.get("single"))
+
+
+def _hash(keys: Sequence[str]) -> Column:
+    """Hash of the key; two keys sharing a hash merely share their cuts."""
+    return F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -95,6 +117,16 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     sums, mins, maxs, next_of = sums or {}, mins or {}, maxs or {}, next_of or {}
     tagged = df if CHUNK in df.columns else with_chunks(
         df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, shared=sorted(set(sums.values())))
+    if _single(tagged):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        upto = whole.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        return tagged.select(
+            *df.columns,
+            *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(o) for o, c in sums.items()],
+            *[F.sum(c).over(Window.partitionBy(*keys)).alias(f"{o}_total") for o, c in sums.items() if totals],
+            *[F.min(c).over(upto).alias(o) for o, c in mins.items()],
+            *[F.max(c).over(upto).alias(o) for o, c in maxs.items()],
+            *[F.lead(c).over(whole).alias(o) for o, c in next_of.items()])
     tagged = tagged.withColumn(GROUP, _group(keys))
     part = [GROUP, CHUNK]
     per_chunk = tagged.groupBy(*part).agg(
@@ -131,10 +163,15 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], preceding:
 
     ``columns`` maps an output name to ``window -> Column``.  Each chunk receives
     copies of the last ``preceding`` rows in front of it, so every window is whole.
+    Rows already carrying a chunk number keep it.
     """
-    tagged = with_chunks(df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys) \
-        .withColumn(GROUP, _group(keys))
-    part = [GROUP, CHUNK]
+    tagged = df if CHUNK in df.columns else with_chunks(
+        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys)
+    if _single(tagged):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return tagged.select(*df.columns, *[f(window).alias(n) for n, f in columns.items()])
+    tagged = tagged.withColumn(GROUP, _group(keys))
+    part, plain = [GROUP, CHUNK], [c for c in df.columns if c != CHUNK]
     by_chunk = Window.partitionBy(GROUP).orderBy(CHUNK)
     sizes = tagged.groupBy(*part).agg(F.count("*").alias("_rows")) \
         .withColumn("_upto", F.sum("_rows").over(by_chunk))
@@ -146,8 +183,8 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], preceding:
     tails = tagged.withColumn("_r", F.row_number().over(backwards)).filter(F.col("_r") <= preceding)
     copies = tails.join(sizes, part).withColumn("_to", F.explode("_ahead")) \
         .filter(F.col("_r") - 1 + F.col("_to.start") - F.col("_upto") < preceding) \
-        .select(*df.columns, GROUP, F.col("_to.to").alias(CHUNK), F.lit(True).alias(HALO))
-    whole = tagged.select(*df.columns, GROUP, CHUNK, F.lit(False).alias(HALO)).unionByName(copies)
+        .select(*plain, GROUP, F.col("_to.to").alias(CHUNK), F.lit(True).alias(HALO))
+    whole = tagged.select(*plain, GROUP, CHUNK, F.lit(False).alias(HALO)).unionByName(copies)
     window = Window.partitionBy(*part).orderBy(*order)
     out = whole.select(*df.columns, HALO, *[f(window).alias(n) for n, f in columns.items()])
     return out.filter(~F.col(HALO)).drop(HALO)

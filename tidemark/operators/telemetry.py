@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluation import ratio
-from tidemark.operators.ranking import first_per_key, null_safe_join, order_statistic, rolling, running
+from tidemark.operators.ranking import (
+    CHUNK, first_per_key, null_safe_join, order_statistic, rolling, running, with_chunks)
 
 # Fixed values of the monitoring rules.
 WARN_MS, ALERT_MS, TARGET_MS = 5_000.0, 10_000.0, 200.0
@@ -231,7 +232,7 @@ def sessions(df: DataFrame, key: str, gap_seconds: float) -> DataFrame:
     Session numbers come from chunked windows, so one busy key is not one task.
     """
     order = ["at", "event_id"]
-    marked = rolling(df, [key], order, 1, {
+    marked = rolling(with_chunks(df, [key], "at"), [key], order, 1, {
         "_new": lambda w: F.when(F.col("at") - F.lag("at").over(w) < gap_seconds, 0).otherwise(1)})
     numbered = running(marked, [key], order, sums={"session": "_new"}, totals=False)
     return numbered.groupBy(key, "session").agg(
@@ -260,9 +261,9 @@ def cooled_down(fired: DataFrame, keys: Sequence[str], *, at: str = "at", minute
     ticks = fired.groupBy(*keys, (F.floor(F.col(at) / tick_seconds) * tick_seconds).alias("at")) \
         .agg(F.count("*").alias("alerts"))
     gap = minutes * 60.0
-    marked = rolling(ticks, keys, ["at"], 1, {
+    marked = rolling(with_chunks(ticks, keys, "at"), keys, ["at"], 1, {
         "_new": lambda w: F.when(F.col("at") - F.lag("at").over(w) < gap, 0).otherwise(1)})
-    stretches = running(marked, keys, ["at"], sums={"_stretch": "_new"}, totals=False).drop("_new")
+    stretches = running(marked, keys, ["at"], sums={"_stretch": "_new"}, totals=False).drop("_new", CHUNK)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
