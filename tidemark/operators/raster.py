@@ -1,26 +1,24 @@
-"""Raster features on dense array columns ``px`` (row-major) with ``h`` and ``w``.
+"""Raster features of dense array columns ``px`` (row-major) with ``h`` and ``w``.
 
-Every feature is a Spark expression over the row's own array, so features never
-shuffle.  Border rules follow the image libraries: ``mirror`` repeats no edge
-pixel (d c b | a b c d), ``reflect`` repeats it (c b a | a b c d).  Only the
-histogram features group, on ``(id, level)``, at most 256 rows per image.
+Two forms, both without a shuffle: features of single pixels are Spark
+expressions over the row's array; features that look at neighbours or sort the
+pixels are NumPy kernels on Arrow batches (``kernels``), because expressions over
+arrays are interpreted element by element.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import kernels as kn
+
 # Fixed values of the image scores.
 LEVELS = 256
 WATER_HUE, WATER_MIN_SATURATION, WATER_MIN_VALUE = (90, 130), 50, 50
-SOBEL_X = [(-1, -1, -1.0), (-1, 1, 1.0), (0, -1, -2.0), (0, 1, 2.0), (1, -1, -1.0), (1, 1, 1.0)]
-SOBEL_Y = [(dx, dy, wt) for dy, dx, wt in SOBEL_X]
-LAPLACIAN = [(-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (0, 0, -4.0)]
-HIGH_PASS = [(dy, dx, 8.0 if dy == dx == 0 else -1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,90 +57,6 @@ def value_range(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
 
-def percentile(values: Column, p: float) -> Column:
-    """Linear-interpolation percentile of an array."""
-    def at(s: Column) -> Column:
-        place = (F.size(s) - 1) * F.lit(p)
-        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
-        return low + (high - low) * (place - F.floor(place))
-    return let(F.array_sort(values), at)
-
-
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation of two arrays, null when one is constant."""
-    def of(ma: Column, mb: Column) -> Column:
-        cross = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) / F.size(a)
-        return F.try_divide(cross - ma["mean"] * mb["mean"], ma["std"] * mb["std"])
-    return let(F.struct(moments(a).alias("a"), moments(b).alias("b")), lambda m: of(m["a"], m["b"]))
-
-
-def _fold_index(k: Column, n: Column, border: str) -> Column:
-    if border == "mirror":
-        return F.when(k < 0, -k).when(k >= n, 2 * n - 2 - k).otherwise(k)
-    if border == "reflect":     # also for kernels wider than the image
-        m = F.pmod(k, 2 * n)
-        return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
-    return F.greatest(F.lit(0), F.least(n - 1, k))
-
-
-def stencil(px: Column, h: Column, w: Column, kernel: Sequence[tuple[int, int, float]], border: str = "mirror") -> Column:
-    """Weighted sum of neighbours ``(dy, dx, weight)`` for every pixel."""
-    def pixel(p: Column, i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), i % w
-        terms = [wt * F.get(p, (_fold_index(y + dy, h, border) * w + _fold_index(x + dx, w, border)).cast("int"))
-                 for dy, dx, wt in kernel]
-        return sum(terms[1:], terms[0])
-    return let(px, lambda p: F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: pixel(p, i)))
-
-
-def separable(px: Column, h: Column, w: Column, weights: Sequence[float], border: str) -> Column:
-    """The same one-dimensional kernel along rows, then along columns."""
-    r = len(weights) // 2
-    across = stencil(px, h, w, [(0, i - r, wt) for i, wt in enumerate(weights)], border)
-    return stencil(across, h, w, [(i - r, 0, wt) for i, wt in enumerate(weights)], border)
-
-
-def box(px: Column, h: Column, w: Column, size: int, border: str = "mirror") -> Column:
-    """Mean of the ``size x size`` neighbourhood."""
-    return separable(px, h, w, [1.0 / size] * size, border)
-
-
-def gaussian(px: Column, h: Column, w: Column, sigma: float = 1.0) -> Column:
-    """Gaussian smoothing, cut at four deviations, reflecting border."""
-    r = int(4 * sigma + 0.5)
-    weights = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    total = sum(weights)
-    return separable(px, h, w, [v / total for v in weights], "reflect")
-
-
-def laplacian(px: Column, h: Column, w: Column) -> Column:
-    return stencil(px, h, w, LAPLACIAN)
-
-
-def hypot(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.sqrt(x * x + y * y))
-
-
-def sobel(px: Column, h: Column, w: Column) -> Column:
-    """Sobel gradient magnitude of every pixel."""
-    return hypot(stencil(px, h, w, SOBEL_X), stencil(px, h, w, SOBEL_Y))
-
-
-def gradient(px: Column, h: Column, w: Column, axis: str) -> Column:
-    """Central differences inside, one-sided at the border (sides of at least two pixels)."""
-    def pixel(p: Column, i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), i % w
-        k, n, step = (x, w, F.lit(1)) if axis == "x" else (y, h, w)
-        low, high = F.when(k > 0, i - step).otherwise(i), F.when(k < n - 1, i + step).otherwise(i)
-        reach = F.when((k > 0) & (k < n - 1), 2.0).otherwise(1.0)
-        return (F.get(p, high.cast("int")) - F.get(p, low.cast("int"))) / reach
-    return let(px, lambda p: F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: pixel(p, i)))
-
-
-def gradient_magnitude(px: Column, h: Column, w: Column) -> Column:
-    return hypot(gradient(px, h, w, "x"), gradient(px, h, w, "y"))
-
-
 def normalise(px: Column) -> Column:
     """Min-max scaling to [0, 1]; a constant raster becomes zeros."""
     return let(F.struct(F.array_min(px).alias("lo"), F.array_max(px).alias("hi")), lambda e: F.transform(
@@ -225,10 +139,17 @@ def dark_coverage(px: Column, h: Column, w: Column) -> Column:
     return share(lower_part(px, h, w), lambda v: v < 128)
 
 
-def noise_level(px: Column, h: Column, w: Column) -> Column:
-    """Deviation of the saturating 8-bit high-pass response, over 255, at most 1."""
-    response = F.transform(stencil(px, h, w, HIGH_PASS), lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)))
-    return F.least(F.lit(1.0), std(response) / 255.0)
+def neighbour_measures(df: DataFrame) -> DataFrame:
+    """Laplacian variance, Sobel statistics and both noise estimates of grey levels 0-255."""
+    def kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+        lap, edges = kn.laplacian(a), kn.sobel(a)
+        high_pass = np.clip(9 * a - 9 * kn.box(a, 3), 0, 255)
+        q = kn.flat(lap)
+        variance = (q * q).mean(axis=1) - q.mean(axis=1) ** 2
+        return {"laplacian_variance": variance, "edge_mean": kn.mean(edges), "edge_max": kn.flat(edges).max(axis=1),
+                "noise_level": np.minimum(1.0, kn.std(high_pass) / 255.0), "laplacian_noise": variance / 65025.0}
+    return kn.apply_kernel(df, kernel, "laplacian_variance double, edge_mean double, edge_max double, "
+                                       "noise_level double, laplacian_noise double", keep_arrays=True)
 
 
 def image_scores(contrast: Column, sharpness: Column, ocean: Column, noise: Column, dynamic_range: Column,
@@ -256,142 +177,111 @@ def is_corrupt(px: Column, kind: str = "float") -> Column:
 
 def depth_quality(df: DataFrame) -> DataFrame:
     """Quality columns of a depth map in [0, 1]."""
-    px, h, w = F.col("px"), F.col("h"), F.col("w")
-
-    def deviation(size: int) -> Column:
-        return mean(F.zip_with(px, box(px, h, w, size), lambda v, m: F.abs(v - m)))
-    local_var = F.zip_with(box(F.transform(px, lambda v: v * v), h, w, 5), box(px, h, w, 5), lambda q, m: q - m * m)
-    local_std = mean(F.transform(local_var, lambda v: F.sqrt(F.greatest(F.lit(0.0), v))))
-    third, two_thirds = F.floor(h / 3).cast("int"), F.floor(2 * h / 3).cast("int")
-    far, near = std(F.slice(px, F.lit(1), third * w)), std(F.slice(px, two_thirds * w + 1, (h - two_thirds) * w))
-    one = F.lit(1.0)
-    staged = df.withColumns({
-        "depth_std": std(px), "depth_mean": mean(px), "depth_range": value_range(px),
-        "texture_capture": F.least(one, 10 * (deviation(3) + deviation(5) + deviation(7)) / 3.0),
-        "local_texture": F.least(one, local_std), "_far": far, "_near": near,
-        "edge_strength": mean(sobel(px, h, w)), "_mag": gradient_magnitude(px, h, w)})
-    limit = percentile(F.col("_mag"), 0.95)
-    return staged.withColumns({
-        "quality_score": F.least(one, (F.col("depth_std") * 2 + F.col("depth_range")) / 2.0),
-        "far_field": F.least(one, 2 * F.when(F.col("_near") > 0, F.col("_far") / F.col("_near")).otherwise(F.col("_far"))),
-        "far_std": F.least(one, 2 * F.col("_far")),
-        "consistency": 1 - let(limit, lambda t: share(F.col("_mag"), lambda v: v > t)),
-        "validity": F.when((F.col("depth_mean") < 0) | (F.col("depth_mean") > 1), 0.0)
-                     .when((F.col("depth_std") < 0.01) | (F.col("depth_std") > 0.5), 0.5).otherwise(1.0)}) \
-        .withColumn("overall", F.greatest(F.lit(0.0), F.least(one, (
-            0.25 * F.least(one, F.col("edge_strength")) + 0.20 * F.col("local_texture") + 0.15 * F.col("far_std")
-            + 0.15 * F.col("depth_std") + 0.15 * F.col("consistency") + 0.10 * F.col("validity"))))) \
-        .drop("_far", "_near", "_mag")
-
-
-def wave_contrast(df: DataFrame, key: str, bins: int = 50) -> DataFrame:
-    """Deviation from the most common depth (fullest of 50 bins, the lower one on ties), times 4, at most 1."""
-    number = F.least(F.floor(F.col("v") * bins), F.lit(bins - 1))
-    counts = df.select(key, F.explode("px").alias("v")).groupBy(key, number.alias("bin")).agg(F.count("*").alias("n"))
-    common = counts.groupBy(key).agg(F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("_bin"))
-    centre = (F.col("_bin") / bins + (F.col("_bin") + 1) / bins) / 2.0
-    joined = df.join(common, key).withColumn("_c", centre)
-    away = let(F.col("_c"), lambda c: F.transform("px", lambda v: F.abs(v - c)))
-    return joined.withColumn("wave_contrast", F.least(F.lit(1.0), 4 * std(away))).drop("_bin", "_c")
-
-
-def edge_correlation(image: Column, depth: Column, h: Column, w: Column) -> dict[str, Column]:
-    """Correlation of the Sobel maps (at least 0) and of the values themselves (absolute)."""
-    zero = F.lit(0.0)
-    return {"edge_preservation": F.greatest(zero, F.coalesce(pearson(sobel(image, h, w), sobel(depth, h, w)), zero)),
-            "brightness_depth": F.abs(F.coalesce(pearson(image, depth), zero))}
-
-
-def iqr_range(px: Column) -> Column:
-    """Range of the values within 1.5 interquartile ranges of the quartiles."""
-    def of(q: Column) -> Column:
-        reach = 1.5 * (q["q3"] - q["q1"])
-        kept = F.filter(px, lambda v: (v >= q["q1"] - reach) & (v <= q["q3"] + reach))
-        return value_range(kept)
-    return let(F.struct(percentile(px, 0.25).alias("q1"), percentile(px, 0.75).alias("q3")), of)
-
-
-def centre_row(px: Column, h: Column, w: Column) -> Column:
-    return F.slice(px, F.floor(h / 2).cast("int") * w + 1, w)
-
-
-def wavelength(row: Column) -> Column:
-    """Dominant wavelength of a profile: ``n / k`` of the strongest frequency ``1 <= k < n // 2`` (first on ties)."""
-    n = F.size(row)
-
-    def power(k: Column) -> Column:
-        def part(fn) -> Column:
-            return F.aggregate(F.transform(row, lambda v, x: v * fn(2 * math.pi * k * x / n)), F.lit(0.0),
-                               lambda a, t: a + t)
-        return F.sqrt(F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2))
-    top = F.floor(n / 2).cast("int") - 1
-    powers = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), top)), power)
-    return F.when(top >= 1, n / let(powers, lambda p: F.array_position(p, F.array_max(p)))).otherwise(n / 2.0)
-
-
-def peaks(row: Column) -> Column:
-    """Number of inner points higher than both neighbours."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.size(row) - 2), lambda i: (
-        F.get(row, i) > F.get(row, i - 1)) & (F.get(row, i) > F.get(row, i + 1))))
+    def kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+        h = a.shape[1]
+        texture = sum(kn.mean(np.abs(a - kn.box(a, k))) for k in (3, 5, 7)) / 3
+        local = np.sqrt(np.maximum(0.0, kn.box(a * a, 5) - kn.box(a, 5) ** 2))
+        # most common depth: the fullest of 50 bins, the lower one on ties
+        common = kn.counts(np.minimum(np.floor(a * 50), 49), 50).argmax(axis=1)
+        centre = (common / 50 + (common + 1) / 50) / 2
+        away = np.abs(a - centre[:, None, None])
+        return {"depth_std": kn.std(a), "depth_mean": kn.mean(a), "depth_range": kn.spread(a),
+                "texture_capture": np.minimum(1.0, texture * 10), "local_texture": np.minimum(1.0, kn.mean(local)),
+                "wave_contrast": np.minimum(1.0, 4 * kn.std(away)), "edge_strength": kn.mean(kn.sobel(a)),
+                "consistency": 1 - kn.share_above(kn.gradient_magnitude(a), 95),
+                "_far": kn.std(a[:, :h // 3]), "_near": kn.std(a[:, 2 * h // 3:])}
+    names = ["depth_std", "depth_mean", "depth_range", "texture_capture", "local_texture", "wave_contrast",
+             "edge_strength", "consistency", "_far", "_near"]
+    measured = kn.apply_kernel(df, kernel, ", ".join(f"{n} double" for n in names))
+    one, far, near, sd = F.lit(1.0), F.col("_far"), F.col("_near"), F.col("depth_std")
+    scored = measured.withColumns({
+        "quality_score": F.least(one, (sd * 2 + F.col("depth_range")) / 2.0),
+        "far_field": F.least(one, 2 * F.when(near > 0, far / near).otherwise(far)),
+        "far_std": F.least(one, 2 * far),
+        "validity": F.when(~F.col("depth_mean").between(0.0, 1.0), 0.0)
+                     .when((sd < 0.01) | (sd > 0.5), 0.5).otherwise(1.0)})
+    total = (0.25 * F.least(one, F.col("edge_strength")) + 0.20 * F.col("local_texture") + 0.15 * F.col("far_std")
+             + 0.15 * sd + 0.15 * F.col("consistency") + 0.10 * F.col("validity"))
+    return scored.withColumn("overall", F.greatest(F.lit(0.0), F.least(one, total))).drop("_far", "_near")
+
+
+def edge_correlation(df: DataFrame, image: str, depth: str) -> DataFrame:
+    """Correlation of the two Sobel maps (at least 0) and of the values themselves (absolute)."""
+    def kernel(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        edges = np.nan_to_num(kn.correlation(kn.sobel(a), kn.sobel(b)))
+        return {"edge_preservation": np.maximum(0.0, edges),
+                "brightness_depth": np.abs(np.nan_to_num(kn.correlation(a, b)))}
+    return kn.apply_kernel(df, kernel, "edge_preservation double, brightness_depth double", arrays=(image, depth))
 
 
 def wave_characteristics(df: DataFrame) -> DataFrame:
-    """Wave measures of a depth map: count, wavelength, steepness, gradient strength, foam share, roughness."""
-    h, w = F.col("h"), F.col("w")
-    staged = df.withColumn("_smooth", gaussian(F.col("px"), h, w)) \
-        .withColumns({"_mag": gradient_magnitude(F.col("_smooth"), h, w), "_row": centre_row(F.col("_smooth"), h, w)}) \
-        .withColumns({"wavelength": wavelength(F.col("_row")), "wave_count": peaks(F.col("_row")).cast("bigint"),
-                      "_m": moments(F.col("_mag")), "_p85": percentile(F.col("_mag"), 0.85)})
-    return staged.withColumns({
-        "steepness": F.coalesce(F.try_divide(value_range(F.col("_smooth")), F.col("wavelength")), F.lit(0.0)),
-        "gradient_mean": F.col("_m.mean"), "roughness": F.col("_m.std"),
-        "foam": let(F.col("_p85"), lambda t: share(F.col("_mag"), lambda v: v > t))}) \
-        .drop("_smooth", "_mag", "_row", "_m", "_p85")
-
-
-def direction_gradient(px: Column, h: Column, w: Column, margin_share: float = 0.1) -> Column:
-    """Mean horizontal gradient of the 5x5-smoothed raster without the outer columns."""
-    margin = F.floor(w * F.lit(margin_share)).cast("int")
-    inner = w - 2 * margin
-    cropped = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.slice(px, y * w + margin + 1, inner)))
-    return mean(gradient(box(cropped, h, inner, 5, "reflect"), h, inner, "x"))
+    """Wave measures of a depth map.
+
+    Wave count and wavelength come from the smoothed centre row (local maxima; strongest frequency),
+    steepness, gradient strength, foam share and roughness from the smoothed map, ``direction_gradient``
+    is the mean horizontal gradient of the 5x5-smoothed map without the outer tenth of the columns,
+    ``iqr_range`` the range within 1.5 interquartile ranges of the quartiles.
+    """
+    def kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+        n, h, w = a.shape
+        smooth = kn.gaussian(a)
+        magnitude, row = kn.gradient_magnitude(smooth), smooth[:, h // 2]
+        power = np.abs(np.fft.fft(row, axis=1)[:, 1:w // 2])
+        wavelength = w / (power.argmax(axis=1) + 1.0) if power.shape[1] else np.full(n, w / 2.0)
+        inner = row[:, 1:-1]
+        waves = ((inner > row[:, :-2]) & (inner > row[:, 2:])).sum(axis=1)
+        margin = int(w * 0.1)
+        inside = kn.box(a[:, :, margin:w - margin], 5, "reflect")
+        x = kn.flat(a)
+        q1, q3 = np.percentile(x, [25, 75], axis=1)
+        reach = 1.5 * (q3 - q1)
+        ordinary = (x >= (q1 - reach)[:, None]) & (x <= (q3 + reach)[:, None])
+        return {"wave_count": waves, "wavelength": wavelength, "steepness": kn.spread(smooth) / wavelength,
+                "gradient_mean": kn.mean(magnitude), "roughness": kn.std(magnitude),
+                "foam": kn.share_above(magnitude, 85),
+                "direction_gradient": kn.mean(np.gradient(inside, axis=2)),
+                "plain_gradient": kn.mean(np.gradient(a, axis=2)), "full_range": kn.spread(a),
+                "iqr_range": np.where(ordinary, x, -np.inf).max(axis=1) - np.where(ordinary, x, np.inf).min(axis=1)}
+    doubles = ["wavelength", "steepness", "gradient_mean", "roughness", "foam", "direction_gradient", "plain_gradient",
+               "full_range", "iqr_range"]
+    return kn.apply_kernel(df, kernel, "wave_count bigint, " + ", ".join(f"{n} double" for n in doubles))
 
 
 # Fixed values of the rule labeller.
 HEIGHT_SCALE, HEIGHT_BASE, MIN_HEIGHT, MAX_HEIGHT = 8.5, 0.1, 0.5, 8.0
 DIRECTION_LIMIT, WIND_LIMIT, STEEP_LIMIT, FLAT_LIMIT = 0.008, 0.6, 0.12, 0.05
+FALLBACK_SCALE, FALLBACK_DIRECTION_LIMIT = 8.0, 0.01
 
 
 def rule_labels(df: DataFrame, wind: Column) -> DataFrame:
-    """Height, direction and breaking labels with confidences, from the depth map and wind strength."""
-    df = wave_characteristics(df).withColumns({
-        "_grad": direction_gradient(F.col("px"), F.col("h"), F.col("w")), "_range": iqr_range(F.col("px"))})
-    n, steep, g = F.col("wave_count"), F.col("steepness"), F.col("_grad")
-    straight = F.abs(g) <= DIRECTION_LIMIT
-    height_conf = 0.95 * F.when(n < 2, 0.9).when(n > 10, 0.85).otherwise(1.0) * F.when(steep > 0.2, 0.9).otherwise(1.0)
-    direction_conf = F.when(straight, 0.85).otherwise(F.least(F.lit(0.95), 0.7 + F.abs(g) * 20)) \
-        * F.when(n > 5, 0.9).otherwise(1.0)
-    windy, steepy, flat = wind > WIND_LIMIT, steep > STEEP_LIMIT, F.col("gradient_mean") < FLAT_LIMIT
-    kind = F.when(windy, "SPILLING").when(steepy, "PLUNGING").when(flat, "SURGING").otherwise("PLUNGING")
-    base = F.when(windy, 0.9).when(steepy, 0.88).when(flat, 0.85).otherwise(0.82)
-    foamy = F.when(windy, F.least(F.lit(0.95), base + 0.05)).otherwise(base * 0.95)
-    return df.withColumns({
-        "height_meters": F.greatest(F.lit(MIN_HEIGHT), F.least(F.lit(MAX_HEIGHT), F.col("_range") * HEIGHT_SCALE + HEIGHT_BASE)),
-        "height_confidence": height_conf,
-        "direction": F.when(straight, "STRAIGHT").when(g > 0, "RIGHT").otherwise("LEFT"),
-        "direction_confidence": direction_conf, "breaking_type": kind,
-        "breaking_confidence": F.when(F.col("foam") > 0.3, foamy).otherwise(base)}).drop("_grad", "_range")
+    """Height, direction and breaking labels with confidences, and the simple fallback labels.
 
+    ``df`` is the result of ``wave_characteristics``; ``wind`` the wind strength.
+    """
+    n, steep, g = F.col("wave_count"), F.col("steepness"), F.col("direction_gradient")
 
-def fallback_labels(df: DataFrame, wind: Column) -> DataFrame:
-    """The simple labeller used when the detailed one cannot be applied."""
-    px, h, w = F.col("px"), F.col("h"), F.col("w")
-    df = df.withColumns({"_range": value_range(px), "_grad": mean(gradient(px, h, w, "x"))})
+    def height(metres: Column) -> Column:
+        return F.greatest(F.lit(MIN_HEIGHT), F.least(F.lit(MAX_HEIGHT), metres))
+
+    def side(gradient: Column, limit: float) -> Column:
+        return F.when(gradient > limit, "RIGHT").when(gradient < -limit, "LEFT").otherwise("STRAIGHT")
+    straight = F.abs(g) <= DIRECTION_LIMIT
+    windy, steepy, level = wind > WIND_LIMIT, steep > STEEP_LIMIT, F.col("gradient_mean") < FLAT_LIMIT
+    base = F.when(windy, 0.9).when(steepy, 0.88).when(level, 0.85).otherwise(0.82)
+    foamy = F.when(windy, F.least(F.lit(0.95), base + 0.05)).otherwise(base * 0.95)
     return df.withColumns({
-        "fallback_height": F.greatest(F.lit(MIN_HEIGHT), F.least(F.lit(MAX_HEIGHT), F.col("_range") * 8.0)),
-        "fallback_direction": F.when(F.col("_grad") > 0.01, "RIGHT").when(F.col("_grad") < -0.01, "LEFT").otherwise("STRAIGHT"),
-        "fallback_breaking": F.when(wind > 0.6, "SPILLING").when(F.col("_range") > 0.12, "PLUNGING").otherwise("SURGING")}) \
-        .drop("_range", "_grad")
+        "height_meters": height(F.col("iqr_range") * HEIGHT_SCALE + HEIGHT_BASE),
+        "height_confidence": 0.95 * F.when(n < 2, 0.9).when(n > 10, 0.85).otherwise(1.0)
+        * F.when(steep > 0.2, 0.9).otherwise(1.0),
+        "direction": side(g, DIRECTION_LIMIT),
+        "direction_confidence": F.when(straight, 0.85).otherwise(F.least(F.lit(0.95), 0.7 + F.abs(g) * 20))
+        * F.when(n > 5, 0.9).otherwise(1.0),
+        "breaking_type": F.when(windy, "SPILLING").when(steepy, "PLUNGING").when(level, "SURGING").otherwise("PLUNGING"),
+        "breaking_confidence": F.when(F.col("foam") > 0.3, foamy).otherwise(base),
+        "fallback_height": height(F.col("full_range") * FALLBACK_SCALE),
+        "fallback_direction": side(F.col("plain_gradient"), FALLBACK_DIRECTION_LIMIT),
+        "fallback_breaking": F.when(windy, "SPILLING").when(F.col("full_range") > STEEP_LIMIT, "PLUNGING")
+        .otherwise("SURGING")})
 
 
 def clip01(px: Column) -> Column:
@@ -435,56 +325,47 @@ def augment_variants(df: DataFrame, *, edge_threshold: float = 0.5) -> DataFrame
         F.struct(F.lit("lighting").alias("variant"), lighting(px, 1.1, 0.9).alias("new")))
     rows = df.withColumn("_v", F.explode(made)).select(*df.columns, "_v.*")
 
-    def edges(values: Column) -> Column:
-        return F.size(F.filter(sobel(values, h, w), lambda e: e > edge_threshold))
-    rows = rows.withColumns({"_e0": edges(px), "_e1": edges(F.col("new")), "correlation": pearson(px, F.col("new"))})
-    kept = (F.col("_e0") == 0) | ((F.col("_e1") >= 0.8 * F.col("_e0")) & (F.col("correlation") >= 0.95))
-    return rows.withColumn("preserved", F.coalesce(kept, F.lit(False))) \
-        .withColumn("result", F.when(F.col("preserved"), F.col("new")).otherwise(px)).drop("_e0", "_e1", "new")
-
-
-def histogram(df: DataFrame, key: str, px: str = "px") -> DataFrame:
-    """``(key, level, n)`` of whole grey levels: counted map-side, at most 256 rows per image."""
-    return df.select(key, F.explode(px).alias("level")).groupBy(key, "level").agg(F.count("*").alias("n"))
-
-
-def image_measures(df: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Contrast, dynamic range, histogram entropy and dominant level per image, all from its histogram."""
-    counts = histogram(df, key)
-    total = Window.partitionBy(key)
-    p = F.col("n") / F.sum("n").over(total)
-    share_of = counts.withColumn("_p", p)
-    m, q = F.sum(F.col("_p") * F.col("level")), F.sum(F.col("_p") * F.col("level") * F.col("level"))
-    return share_of.groupBy(key).agg(
-        m.alias("brightness"), F.try_divide(F.sqrt(F.greatest(F.lit(0.0), q - m * m)), m).alias("contrast"),
-        ((F.max("level") - F.min("level")) / 255.0).alias("dynamic_range"),
-        (-F.sum(F.col("_p") * F.log2(F.col("_p") + 1e-10))).alias("entropy"),
-        F.max_by("level", F.struct(F.col("n"), -F.col("level"))).alias("dominant_level"))
-
-
-def channel_histogram_stats(values: Column, bins: int = 32) -> dict[str, Column]:
-    """Mean and deviation of the 32-bin histogram counts of one channel."""
-    numbers = F.transform(values, lambda v: F.floor(v * bins / 256.0))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
-                         lambda b: F.size(F.filter(numbers, lambda k: k == b)).cast("double"))
-    m = moments(counts)
-    return {"hist_mean": m["mean"], "hist_std": m["std"]}
-
-
-def equalise(df: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Histogram equalisation of whole grey levels; the level map (at most 256 entries) goes back to its image."""
-    w = Window.partitionBy(key).orderBy("level")
-    counts = histogram(df, key).withColumns({
-        "_cum": F.sum("n").over(w), "_first": F.first("n").over(w), "_total": F.sum("n").over(Window.partitionBy(key))})
-    spread = F.col("_total") - F.col("_first")
-    new = F.when(spread == 0, F.col("level")).otherwise(F.rint(
-        F.try_divide((F.col("_cum") - F.col("_first")) * 255.0, spread)))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("level"), new))).alias("_map"))
-    joined = df.join(maps, key)
-    return joined.withColumn("px", let(F.col("_map"), lambda m: F.transform("px", lambda v: F.try_element_at(m, v)))) \
-        .drop("_map")
-
-
-def enhance(px: Column, factor: float) -> Column:
-    """Stretch values in [0, 1] about their median and clip."""
-    return clip01(let(percentile(px, 0.5), lambda m: F.transform(px, lambda v: m + (v - m) * factor)))
+    def kernel(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        def edges(x: np.ndarray) -> np.ndarray:
+            return (kn.flat(kn.sobel(x)) > edge_threshold).sum(axis=1)
+        return {"_e0": edges(a), "_e1": edges(b), "correlation": kn.correlation(a, b)}
+    rows = kn.apply_kernel(rows, kernel, "_e0 bigint, _e1 bigint, correlation double", arrays=("px", "new"),
+                           keep_arrays=True)
+    alike = ~F.isnan("correlation") & (F.col("correlation") >= 0.95)
+    kept = (F.col("_e0") == 0) | ((F.col("_e1") >= 0.8 * F.col("_e0")) & alike)
+    return rows.withColumn("preserved", kept) \
+        .withColumn("result", F.when(kept, F.col("new")).otherwise(F.col("px"))).drop("_e0", "_e1", "new")
+
+
+def image_measures(df: DataFrame) -> DataFrame:
+    """Contrast, dynamic range, entropy, dominant level and 32-bin histogram statistics of grey levels."""
+    def kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+        n = a.shape[1] * a.shape[2]
+        levels = kn.counts(a, LEVELS)
+        p, wide = levels / n, levels.reshape(len(a), 32, -1).sum(axis=2)
+        brightness = kn.mean(a)
+        contrast = np.divide(kn.std(a), brightness, out=np.zeros(len(a)), where=brightness > 0)
+        return {"brightness": brightness, "contrast": contrast, "dynamic_range": kn.spread(a) / 255.0,
+                "entropy": -(p * np.log2(p + 1e-10)).sum(axis=1), "dominant_level": levels.argmax(axis=1),
+                "hist_mean": wide.mean(axis=1), "hist_std": wide.std(axis=1)}
+    return kn.apply_kernel(df, kernel, ", ".join(f"{c} double" for c in (
+        "brightness", "contrast", "dynamic_range", "entropy", "dominant_level", "hist_mean", "hist_std")))
+
+
+def equalise(df: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Histogram-equalised raster in [0, 1] (``px``), its median, and the contrast-enhanced raster ``enhanced``.
+
+    Enhancement stretches values about the median and clips.
+    """
+    def kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+        levels = kn.counts(a, LEVELS)
+        total = levels.cumsum(axis=1)
+        lowest = levels[np.arange(len(a)), (levels > 0).argmax(axis=1)][:, None]
+        room = total[:, -1:] - lowest
+        mapped = np.rint((total - lowest) * 255.0 / np.maximum(room, 1))
+        mapped = np.where(room == 0, np.arange(LEVELS), mapped)
+        new = np.take_along_axis(mapped, kn.flat(a).astype(np.int64), axis=1) / 255.0
+        median = np.percentile(new, 50, axis=1)[:, None]
+        enhanced = np.clip(median + (new - median) * factor, 0, 1)
+        return {"px": new.reshape(a.shape), "median": median[:, 0], "enhanced": enhanced.reshape(a.shape)}
+    return kn.apply_kernel(df, kernel, "px array<double>, median double, enhanced array<double>")

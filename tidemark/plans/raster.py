@@ -68,25 +68,25 @@ def rast_contrast(spark: SparkSession, d: str) -> DataFrame:
     arg_max(v, n * 1000 - v) AS dominant_level, any_value(hist_mean) AS hist_mean, round(any_value(hist_std), 6) AS hist_std
   FROM h JOIN m USING (vec_id) GROUP BY vec_id""")
 def rast_entropy(spark: SparkSession, d: str) -> DataFrame:
-    df = _levels(spark, d)
-    bins = df.select("vec_id", *[c.alias(n) for n, c in ra.channel_histogram_stats(F.col("px")).items()])
-    return rounded(ra.image_measures(df).select("vec_id", "entropy", "dominant_level").join(bins, "vec_id"))
+    return rounded(ra.image_measures(_levels(spark, d)).select(
+        "vec_id", "entropy", "dominant_level", "hist_mean", "hist_std"))
 
 
 @query("rast_laplacian", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), LAPLACE) + """, s AS (SELECT vec_id,
     sum(l * l) / 64 - (sum(l) / 64) * (sum(l) / 64) AS variance FROM v_lap GROUP BY vec_id)
   SELECT vec_id, variance, least(1, variance / 1000) AS sharpness_1k, variance / 10000 AS sharpness_10k FROM s""")
 def rast_laplacian(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("variance")
-    out = _levels(spark, d).select("vec_id", ra.variance(ra.laplacian(F.col("px"), F.col("h"), F.col("w"))).alias("variance"))
-    return out.withColumns({"sharpness_1k": F.least(F.lit(1.0), v / 1000.0), "sharpness_10k": v / 10000.0})
+    v = F.col("laplacian_variance")
+    return ra.neighbour_measures(_levels(spark, d)).select(
+        "vec_id", v.alias("variance"), F.least(F.lit(1.0), v / 1000.0).alias("sharpness_1k"),
+        (v / 10000.0).alias("sharpness_10k"))
 
 
 @query("rast_sobel", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), SOBEL) +
        "SELECT vec_id, round(avg(m), 6) AS mean_edge, round(max(m), 6) AS max_edge FROM v_sob GROUP BY vec_id")
 def rast_sobel(spark: SparkSession, d: str) -> DataFrame:
-    df = _levels(spark, d).withColumn("_s", ra.sobel(F.col("px"), F.col("h"), F.col("w")))
-    return rounded(df.select("vec_id", ra.mean(F.col("_s")).alias("mean_edge"), F.array_max("_s").alias("max_edge")))
+    return rounded(ra.neighbour_measures(_levels(spark, d)).select(
+        "vec_id", F.col("edge_mean").alias("mean_edge"), F.col("edge_max").alias("max_edge")))
 
 
 HSV = """v_hsv0 AS (SELECT *, greatest(r, g, b) AS vv, greatest(r, g, b) - least(r, g, b) AS df FROM v_rgb),
@@ -120,10 +120,7 @@ NOISE = """v_hp AS (SELECT vec_id, y, x, greatest(0, least(255, sum(CASE WHEN dy
   b AS (SELECT vec_id, var_pop(l) / 65025 AS m FROM v_lap GROUP BY 1)
   SELECT vec_id, round(least(1, n), 6) AS noise_level, round(m, 6) AS laplacian_noise FROM a JOIN b USING (vec_id)""")
 def rast_noise(spark: SparkSession, d: str) -> DataFrame:
-    h, w = F.col("h"), F.col("w")
-    lap = ra.variance(ra.laplacian(F.col("px"), h, w))
-    return rounded(_levels(spark, d).select("vec_id", ra.noise_level(F.col("px"), h, w).alias("noise_level"),
-                                            (lap / 65025.0).alias("laplacian_noise")))
+    return rounded(ra.neighbour_measures(_levels(spark, d)).select("vec_id", "noise_level", "laplacian_noise"))
 
 
 @query("image_score", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), NOISE, LAPLACE) + """,
@@ -136,14 +133,12 @@ def rast_noise(spark: SparkSession, d: str) -> DataFrame:
     round((CASE WHEN br / 255 BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE THEN 1 ELSE 0.5::DOUBLE END + CASE WHEN c > 0.1::DOUBLE THEN 1 ELSE 0.5::DOUBLE END
       + CASE WHEN s > 100 THEN 1 ELSE 0.5::DOUBLE END) / 3, 6) AS flag_score FROM a JOIN b USING (vec_id) JOIN n USING (vec_id)""")
 def image_score(spark: SparkSession, d: str) -> DataFrame:
-    px, h, w = F.col("px"), F.col("h"), F.col("w")
-    lap = ra.variance(ra.laplacian(px, h, w))
-    c = ra.contrast_stats(px)
-    df = _levels(spark, d).select(
-        "vec_id", c["rms_contrast"].alias("c"), lap.alias("s"), ra.dark_coverage(px, h, w).alias("o"),
-        ra.noise_level(px, h, w).alias("n"), c["dynamic_range"].alias("dr"), c["brightness"].alias("br"))
-    cols = ra.image_scores(*[F.col(x) for x in ("c", "s", "o", "n", "dr", "br")])
-    return rounded(df.select("vec_id", *[e.alias(n) for n, e in cols.items()]))
+    measured = ra.neighbour_measures(_levels(spark, d))
+    c = ra.contrast_stats(F.col("px"))
+    scores = ra.image_scores(
+        c["rms_contrast"], F.col("laplacian_variance"), ra.dark_coverage(F.col("px"), F.col("h"), F.col("w")),
+        F.col("noise_level"), c["dynamic_range"], c["brightness"])
+    return rounded(measured.select("vec_id", *[e.alias(n) for n, e in scores.items()]))
 
 
 @query("rast_corrupt", """SELECT vec_id, max(CASE WHEN embedding[i] < -0.1::DOUBLE OR embedding[i] > 1.1::DOUBLE THEN 1 ELSE 0 END) = 1 AS is_corrupt
@@ -192,9 +187,9 @@ v_box AS (SELECT vec_id, y, x, avg(CASE WHEN abs(dy) <= 1 AND abs(dx) <= 1 THEN
       + 0.15::DOUBLE * cons + 0.1::DOUBLE * CASE WHEN mn < 0 OR mn > 1 THEN 0 WHEN sd < 0.01::DOUBLE OR sd > 0.5::DOUBLE THEN 0.5::DOUBLE ELSE 1 END)), 6) AS overall
   FROM a JOIN t USING (vec_id) JOIN s USING (vec_id) JOIN c USING (vec_id) JOIN w USING (vec_id)""")
 def depth_quality(spark: SparkSession, d: str) -> DataFrame:
-    df = ra.wave_contrast(ra.depth_quality(views.rasters(spark, d)), "vec_id")
-    return rounded(df.select("vec_id", "quality_score", "texture_capture", "local_texture", "far_field", "consistency",
-                             "wave_contrast", "validity", "overall"))
+    return rounded(ra.depth_quality(views.rasters(spark, d)).select(
+        "vec_id", "quality_score", "texture_capture", "local_texture", "far_field", "consistency", "wave_contrast",
+        "validity", "overall"))
 
 
 @query("edge_corr", with_views(PIX, LEV, """v_img8 AS (SELECT vec_id, y, x, 255 - v * (1 + y) / 8 AS v FROM v_l)""",
@@ -203,8 +198,8 @@ def depth_quality(spark: SparkSession, d: str) -> DataFrame:
   FROM v_sob a JOIN v_sobi b USING (vec_id, y, x) JOIN v_l p USING (vec_id, y, x) JOIN v_img8 q USING (vec_id, y, x) GROUP BY 1""")
 def edge_corr(spark: SparkSession, d: str) -> DataFrame:
     image = F.transform("px", lambda v, i: 255 - v * (1 + F.floor(i / 8)) / 8)
-    cols = ra.edge_correlation(F.col("image"), F.col("px"), F.col("h"), F.col("w"))
-    return rounded(_levels(spark, d).withColumn("image", image).select("vec_id", *[c.alias(n) for n, c in cols.items()]))
+    df = _levels(spark, d).withColumn("image", image)
+    return rounded(ra.edge_correlation(df, "image", "px").select("vec_id", "edge_preservation", "brightness_depth"))
 
 
 def gauss_sql() -> str:
@@ -244,7 +239,7 @@ v_iqr AS (SELECT vec_id, max(v) - min(v) AS rg FROM v_pix JOIN v_q USING (vec_id
 
 @query("rast_iqr_range", with_views(PIX, IQR) + "SELECT vec_id, round(rg, 6) AS iqr_range FROM v_iqr")
 def rast_iqr_range(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.rasters(spark, d).select("vec_id", ra.iqr_range(F.col("px")).alias("iqr_range")))
+    return rounded(ra.wave_characteristics(views.rasters(spark, d)).select("vec_id", "iqr_range"))
 
 
 @query("rast_wavelength", with_views(PIX, WAVES) + "SELECT vec_id, round(wavelength, 6) AS wavelength FROM v_wave")
@@ -282,10 +277,9 @@ def augment_variants(spark: SparkSession, d: str) -> DataFrame:
   SELECT vec_id, round(avg(v), 6) AS equalised_mean, round(any_value(md), 6) AS equalised_median,
     round(avg(greatest(0, least(1, md + (v - md) * 1.5::DOUBLE))), 6) AS enhanced_mean FROM e JOIN md USING (vec_id) GROUP BY vec_id""")
 def rast_equalize(spark: SparkSession, d: str) -> DataFrame:
-    eq = ra.equalise(_levels(spark, d)).withColumn("px", F.transform("px", lambda v: v / 255.0))
-    return rounded(eq.select("vec_id", ra.mean(F.col("px")).alias("equalised_mean"),
-                             ra.percentile(F.col("px"), 0.5).alias("equalised_median"),
-                             ra.mean(ra.enhance(F.col("px"), 1.5)).alias("enhanced_mean")))
+    return rounded(ra.equalise(_levels(spark, d)).select(
+        "vec_id", ra.mean(F.col("px")).alias("equalised_mean"), F.col("median").alias("equalised_median"),
+        ra.mean(F.col("enhanced")).alias("enhanced_mean")))
 
 
 @query("rule_labels", with_views(PIX, WAVES, IQR, neighbours("v_n2", "v_pix", 2, 8, "reflect"), """v_b5 AS (SELECT vec_id, y, x, avg(v) AS v FROM v_n2 GROUP BY ALL)""",
@@ -302,9 +296,8 @@ def rast_equalize(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN wind > 0.6::DOUBLE THEN 'SPILLING' WHEN rp > 0.12::DOUBLE THEN 'PLUNGING' ELSE 'SURGING' END AS fallback_breaking
   FROM v_wave JOIN v_iqr USING (vec_id) JOIN d USING (vec_id) JOIN dp USING (vec_id) JOIN rp USING (vec_id) JOIN w USING (vec_id)""")
 def rule_labels(spark: SparkSession, d: str) -> DataFrame:
-    wind = (F.col("vec_id") % 11) / 10.0
-    df = ra.fallback_labels(ra.rule_labels(views.rasters(spark, d), wind), wind)
-    return rounded(df.select(
+    waves = ra.wave_characteristics(views.rasters(spark, d))
+    return rounded(ra.rule_labels(waves, (F.col("vec_id") % 11) / 10.0).select(
         "vec_id", "height_meters", "height_confidence", "direction", "direction_confidence", "breaking_type",
         "breaking_confidence", "fallback_height", "fallback_direction", "fallback_breaking"))
 
