@@ -81,6 +81,19 @@ def test_running_and_rolling(spark, hot):
         assert np.array_equal(roll.loc[ids, "prev"].to_numpy(float), g["at"].shift().to_numpy(), equal_nan=True)
 
 
+def test_one_value_filling_most_of_a_hot_key_is_cut_along_the_second_column(spark):
+    rng = np.random.default_rng(5)
+    at = np.where(rng.uniform(size=4000) < 0.7, 100.0, rng.integers(0, 200, 4000).astype(float))
+    pdf = pd.DataFrame({"k": "a", "at": at, "id": rng.permutation(4000)})
+    df = spark.createDataFrame(pdf).withColumn("one", F.lit(1))
+    sizes = rk.with_chunks(df, ["k"], "at", then="id").filter("at = 100").groupBy(rk.CHUNK).count().toPandas()["count"]
+    assert sizes.max() < 0.3 * sizes.sum()
+    got = rk.running(df, ["k"], ["at", "id"], sums={"pos": "one"}).toPandas().sort_values(["at", "id"])
+    assert got["pos"].tolist() == list(range(1, 4001))
+    back = rk.rolling(df, ["k"], ["at", "id"], 3, {"prev": lambda w: F.lag("id", 3).over(w)}).toPandas().sort_values(["at", "id"])
+    assert back["prev"].tolist()[3:] == back["id"].tolist()[:-3]
+
+
 def test_asof_join(spark):
     left, ldf = skewed(spark, 600, 2)
     right, rdf = skewed(spark, 200, 3)

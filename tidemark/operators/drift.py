@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,19 +139,19 @@ def match_score(kl: Column, wasserstein: Column, visual: Column, ks: Column) ->
         + w["ks"] * keep(ks)
 
 
-def embedding_cosine(df: DataFrame, vector: str, dims: int, first: Column) -> DataFrame:
+def embedding_cosine(df: DataFrame, vector: str, first: Column) -> DataFrame:
     """Cosine similarity of the mean vectors of two groups of rows (``first`` true / false), and its complement.
 
-    The means are ``2 * dims`` numbers computed in one aggregate.
+    The means are vector aggregates, so wide embeddings travel as one partial sum per task and group.
     """
-    one = df.agg(*[x for i in range(dims) for x in (
-        F.avg(F.when(first, F.get(vector, F.lit(i)))).alias(f"_a{i}"),
-        F.avg(F.when(~first, F.get(vector, F.lit(i)))).alias(f"_b{i}"))])
+    means = df.groupBy(first.alias("_first")).agg(Summarizer.mean(array_to_vector(vector)).alias("_m")) \
+        .select("_first", vector_to_array("_m").alias("_m"))
+    both = means.agg(F.max_by("_m", "_first").alias("a"), F.min_by("_m", "_first").alias("b"))
 
     def dot(x: str, y: str) -> Column:
-        return sum((F.col(f"_{x}{i}") * F.col(f"_{y}{i}") for i in range(1, dims)), F.col(f"_{x}0") * F.col(f"_{y}0"))
+        return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
     cosine = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-    return one.select(cosine.alias("cosine"), (1 - cosine).alias("distance"))
+    return both.select(cosine.alias("cosine"), (1 - cosine).alias("distance"))
 
 
 def compare_moments(df: DataFrame, expected: dict[str, tuple[float, float]], extreme: Column,

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Kernel = Callable[..., dict[str, np.ndarray]]
+STACK_PIXELS = 1 << 22      # pixels worked on at once, so the working arrays stay small for large photos
 
 
 def apply_kernel(df: DataFrame, kernel: Kernel, outputs: str, arrays: Sequence[str] = ("px",),
@@ -35,14 +36,16 @@ def apply_kernel(df: DataFrame, kernel: Kernel, outputs: str, arrays: Sequence[s
             h, w = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("h", "w"))
             results = {f.name: [None] * batch.num_rows for f in added.fields}
             for size in sorted(set(zip(h.tolist(), w.tolist()))):
-                rows = np.flatnonzero((h == size[0]) & (w == size[1]))
-                picked = batch.take(pa.array(rows))
-                stacks = [picked.column(a).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                          .reshape(len(rows), *size) for a in arrays]
-                for name, values in kernel(*stacks).items():
-                    flat = values.reshape(len(rows), -1) if values.ndim == 3 else values.tolist()
-                    for row, value in zip(rows, flat):
-                        results[name][row] = value
+                same = np.flatnonzero((h == size[0]) & (w == size[1]))
+                step = max(1, STACK_PIXELS // max(1, size[0] * size[1]))
+                for rows in (same[i:i + step] for i in range(0, len(same), step)):
+                    picked = batch.take(pa.array(rows))
+                    stacks = [picked.column(a).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                              .reshape(len(rows), *size) for a in arrays]
+                    for name, values in kernel(*stacks).items():
+                        found = values.reshape(len(rows), -1) if values.ndim == 3 else values.tolist()
+                        for row, value in zip(rows, found):
+                            results[name][row] = value
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] +
                 [pa.array(results[f.name], arrow.field(f.name).type) for f in added.fields], schema=arrow)

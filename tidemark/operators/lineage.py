@@ -28,9 +28,10 @@ def step_positions(steps: DataFrame, key: str, order: Sequence[str], hot: list[i
     """Steps with their 1-based position within the dataset, one row per step.
 
     Rows instead of one list per dataset: a dataset with very many steps is
-    never gathered.  ``order`` starts with a numeric or time column.
+    never gathered.  ``order`` starts with two numeric columns (or has one).
     """
-    numbered = with_chunks(steps.withColumn("_one", F.lit(1)), [key], order[0], hot=hot)
+    numbered = with_chunks(steps.withColumn("_one", F.lit(1)), [key], order[0], hot=hot,
+                           then=order[1] if len(order) > 1 else None)
     return running(numbered, [key], order, sums={"position": "_one"}, totals=False).drop("_one", "_chunk")
 
 

@@ -52,7 +52,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[int]:
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], by: str, *, chunks: int | None = None,
-                bounded_keys: bool = False, shared: Sequence[str] = (), hot: list[int] | None = None) -> DataFrame:
+                bounded_keys: bool = False, shared: Sequence[str] = (), hot: list[int] | None = None,
+                then: str | None = None) -> DataFrame:
     """Add ``_chunk``: rows with a larger ``by`` never sit in a smaller chunk of their key.
 
     Which keys are cut: all of them if ``bounded_keys`` states that they come
@@ -63,7 +64,8 @@ def with_chunks(df: DataFrame, keys: Sequence[str], by: str, *, chunks: int | No
 
     ``shared`` names non-negative count columns that later steps also read; the split pass
     touches them so that Spark reuses one shuffle of ``df`` for both.  ``hot`` passes in the
-    hot keys where they are known already.
+    hot keys where they are known already.  ``then`` is the numeric column that orders equal
+    ``by``: a value filling whole chunks by itself is cut further along it.
     """
     n = _chunk_count(df, chunks)
     side = math.isqrt(n - 1) + 1
@@ -85,7 +87,39 @@ def with_chunks(df: DataFrame, keys: Sequence[str], by: str, *, chunks: int | No
     tagged = tagged.withColumn("_coarse", F.size(F.filter(coarse_cuts, lambda s: s <= value)))
     fine = F.size(F.filter(F.slice("_splits", F.col("_coarse") * side + 1, F.lit(side)), lambda s: s <= value))
     number = F.when(F.col("_splits").isNotNull(), F.greatest(F.lit(0), F.col("_coarse") * side + fine))
-    return tagged.withColumn(CHUNK, F.coalesce(number, F.lit(0))).select(*df.columns, CHUNK)
+    tagged = tagged.withColumn(CHUNK, F.coalesce(number, F.lit(0)).cast("bigint"))
+    if then is not None and not (bounded_keys or not keys):
+        tagged = _cut_ties(tagged, splits, value, F.col(then).cast("double"), cuts)
+    return tagged.select(*df.columns, CHUNK)
+
+
+def _cut_ties(tagged: DataFrame, splits: DataFrame, value: Column, then: Column, cuts: list[float]) -> DataFrame:
+    """Cut chunks that start with one value filling at least a whole chunk.
+
+    Such a value shows as a repeated split.  Its rows are cut along ``then``; larger
+    values of the same chunk follow behind them.  At most half as many values
+    per key as there are cuts can repeat, so the second table is bounded too.
+    """
+    repeated = F.exists(F.sequence(F.lit(1), F.size("_splits") - 1),
+                        lambda i: F.get("_splits", i) == F.get("_splits", i - 1))
+    if splits.filter(repeated).isEmpty():
+        return tagged
+    at = F.col(CHUNK).cast("int")
+    low = F.when(F.get("_splits", at - 1) == F.get("_splits", at - 2), F.get("_splits", at - 1))
+    tagged = tagged.withColumn("_low", F.when(at >= 2, low))
+    tie = (F.col("_low") == value).eqNullSafe(F.lit(True))
+    subs = pin(tagged.filter(tie).groupBy("_keyhash", "_low").agg(
+        F.percentile_approx(then, cuts, 20 * len(cuts)).alias("_subs")))
+    out = tagged.join(F.broadcast(subs), ["_keyhash", "_low"], "left")
+    inside = F.greatest(F.lit(0), F.size(F.filter("_subs", lambda s: s <= then)))
+    sub = F.when(F.col("_low").isNull(), 0).when(tie, inside).otherwise(len(cuts) + 1)
+    return out.withColumn(CHUNK, F.col(CHUNK) * (len(cuts) + 2) + F.coalesce(sub, F.lit(0)))
+
+
+def _second(df: DataFrame, order: Sequence[str]) -> str | None:
+    """The second order column if it is a number."""
+    numeric = {"byte", "short", "integer", "long", "float", "double"}
+    return order[1] if len(order) > 1 and df.schema[order[1]].dataType.typeName() in numeric else None
 
 
 def _single(df: DataFrame) -> bool:
@@ -116,7 +150,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     """
     sums, mins, maxs, next_of = sums or {}, mins or {}, maxs or {}, next_of or {}
     tagged = df if CHUNK in df.columns else with_chunks(
-        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, shared=sorted(set(sums.values())))
+        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, shared=sorted(set(sums.values())),
+        then=_second(df, order))
     if _single(tagged):
         whole = Window.partitionBy(*keys).orderBy(*order)
         upto = whole.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
@@ -166,7 +201,7 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], preceding:
     Rows already carrying a chunk number keep it.
     """
     tagged = df if CHUNK in df.columns else with_chunks(
-        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys)
+        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, then=_second(df, order))
     if _single(tagged):
         window = Window.partitionBy(*keys).orderBy(*order)
         return tagged.select(*df.columns, *[f(window).alias(n) for n, f in columns.items()])

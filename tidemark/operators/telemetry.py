@@ -232,7 +232,7 @@ def sessions(df: DataFrame, key: str, gap_seconds: float) -> DataFrame:
     Session numbers come from chunked windows, so one busy key is not one task.
     """
     order = ["at", "event_id"]
-    marked = rolling(with_chunks(df, [key], "at"), [key], order, 1, {
+    marked = rolling(with_chunks(df, [key], "at", then="event_id"), [key], order, 1, {
         "_new": lambda w: F.when(F.col("at") - F.lag("at").over(w) < gap_seconds, 0).otherwise(1)})
     numbered = running(marked, [key], order, sums={"session": "_new"}, totals=False)
     return numbered.groupBy(key, "session").agg(

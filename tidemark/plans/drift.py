@@ -103,7 +103,7 @@ v_cos AS (SELECT sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) AS cosine FR
 
 @query("embedding_cosine", with_views(COSINE) + "SELECT round(cosine, 6) AS cosine, round(1 - cosine, 6) AS distance FROM v_cos")
 def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dr.embedding_cosine(_vectors(spark, d), "embedding", 64, F.col("label") < 5))
+    return rounded(dr.embedding_cosine(_vectors(spark, d), "embedding", F.col("label") < 5))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
   + 0.1::DOUBLE * greatest(0, 1 - least((SELECT avg(ks) FROM v_dist), 1)), 6) AS match_score""")
 def match_score(spark: SparkSession, d: str) -> DataFrame:
     long = _long(spark, d)
-    visual = dr.embedding_cosine(_vectors(spark, d), "embedding", 64, F.col("label") < 5).select("cosine").scalar()
+    visual = dr.embedding_cosine(_vectors(spark, d), "embedding", F.col("label") < 5).select("cosine").scalar()
     ranks = dr.rank_distances(long, "baseline", "current").select("feature", "ks", "wasserstein")
     both = ranks.join(dr.kl_divergence(long, "baseline", "current"), "feature").agg(
         F.avg("ks").alias("ks"), F.avg("wasserstein").alias("wasserstein"), F.avg("kl").alias("kl"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import bands, gates
 from tidemark.operators import profiling as pr
+from tidemark.operators.joins import skew_join
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import FILE, IMG, LAB, PRED, with_views
@@ -312,7 +313,7 @@ def extreme_flag(spark: SparkSession, d: str) -> DataFrame:
   FROM v GROUP BY model""")
 def default_rows(spark: SparkSession, d: str) -> DataFrame:
     quality = views.images(spark, d).select("image_id", "quality_score")
-    df = views.predictions(spark, d).join(quality, "image_id", "left").select(
+    df = skew_join(views.predictions(spark, d), quality, "image_id", "left").select(
         "model", "quality_score", F.col("h_pred").alias("height_meters"), F.lit("LEFT").alias("direction"),
         F.lit("SPILLING").alias("breaking_type"), F.col("conf_h").alias("confidence"))
     out = gates.default_rows(df, F.col("quality_score") >= 0.5)
