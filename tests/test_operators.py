@@ -139,15 +139,22 @@ def test_kl_of_a_constant_sample(spark):
 # --- gates, bands, labels --------------------------------------------------------------------------
 def test_first_failing_file_check_wins(spark):
     df = spark.createDataFrame([(10, "GIF", 100, 100), (5000, "GIF", 100, 100), (5000, "PNG", 100, 300), (5000, "PNG", 300, 300)],
-                               "file_bytes long, format string, width long, height long")
+                               "file_bytes long, ext string, width long, height long")
     assert [r["issue"] for r in gates.file_gate(df).collect()] == ["file too small", "unsupported format", "resolution too low", None]
 
 
+def test_file_kinds(spark):
+    df = spark.createDataFrame([("a/x.jpg",), ("a/x_depth.npy",), ("a/x.npy",), ("a/x_labels.npy",), ("a/x.json",)], "p string")
+    assert [r[0] for r in df.select(gates.file_kind(F.col("p"))).collect()] == ["raw", "depth", "synthetic", None, None]
+    got = {r["kind"]: (r["n"], r["enough"]) for r in gates.availability(df.select(gates.file_kind(F.col("p")).alias("kind")), "kind").collect()}
+    assert got == {"raw": (1, False), "depth": (1, False), "synthetic": (1, False)}
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(0.0,), (0.3,), (0.5,), (1.5,), (2.4,), (8.0,)], "v double")
     rows = bands.surfability(df.select("v", bands.cut(F.col("v"), *bands.QUALITY_CUT).alias("cut"),
                                        bands.height_band(F.col("v")).alias("band")), "v").collect()
-    assert [r["cut"] for r in rows] == [None, "low", "medium", None, None, None]
+    assert [r["cut"] for r in rows] == [None, "Low", "Medium", None, None, None]
     assert [r["band"] for r in rows] == [None, None, "0.5-1.5m", "1.5-3.0m", "1.5-3.0m", None]
     assert [r["surfability"] for r in rows] == [None, "Flat", "Flat", "Medium", "Very Large", "Very Large"]
 

@@ -14,11 +14,11 @@ RATINGS = {
     "dataset": [(0.9, "Excellent"), (0.8, "Good"), (0.7, "Acceptable"), (0.5, "Poor"), (None, "Very Poor")],
     "stage": [(0.8, "excellent"), (0.6, "good"), (0.4, "acceptable"), (None, "poor")],
     "similarity": [(0.9, "excellent"), (0.7, "good"), (0.5, "acceptable"), (None, "poor")],
-    "diversity": [(0.9, "Exceptional"), (0.8, "Excellent"), (0.7, "Very Good"), (0.6, "Good"), (0.5, "Fair"),
+    "diversity": [(0.9, "Exceptional"), (0.8, "Excellent"), (0.7, "Very Good"), (0.6, "Good"), (0.5, "Moderate"),
                   (None, "Poor")],
 }
 # Right-closed quality cut, left-closed height bands, surf guide.
-QUALITY_CUT = ([0.0, 0.3, 0.7, 1.0], ["low", "medium", "high"])
+QUALITY_CUT = ([0.0, 0.3, 0.7, 1.0], ["Low", "Medium", "High"])
 HEIGHT_BANDS = [(0.5, 1.5, "0.5-1.5m"), (1.5, 3.0, "1.5-3.0m"), (3.0, 5.0, "3.0-5.0m"), (5.0, 8.0, "5.0-8.0m")]
 SURF_GUIDE = [(0.3, 0.6, "Flat", "Beginner practice"), (0.6, 1.2, "Small", "Beginner"),
               (1.2, 1.8, "Medium", "Intermediate"), (1.8, 2.4, "Large", "Advanced"),

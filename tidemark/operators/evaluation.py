@@ -26,15 +26,16 @@ def extreme(height: Column, low: float = EXTREME_LOW_M, high: float = EXTREME_HI
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str] = (), *, truth: str = "h_true", pred: str = "h_pred",
-                       bounded_keys: bool = False) -> DataFrame:
+                       extra: dict[str, Column] | None = None, bounded_keys: bool = False) -> DataFrame:
     """Error statistics of a numeric prediction, one row per group.
 
     One map-side-combined aggregate, plus exact median and 95th percentile of
-    the absolute error from value counts.
+    the absolute error from value counts.  ``extra`` adds aggregates of the
+    scored rows to the same pass.
     """
     t, p = F.col(truth), F.col(pred)
     scored = df.filter(t.isNotNull() & p.isNotNull()) \
-        .select(*by, t.alias("_t"), p.alias("_p"), F.abs(p - t).alias("abs_error"))
+        .withColumns({"_t": t, "_p": p, "abs_error": F.abs(p - t)})
     err = F.col("abs_error")
     is_extreme = extreme(F.col("_t"))
     found = is_extreme & extreme(F.col("_p"))
@@ -47,8 +48,9 @@ def regression_metrics(df: DataFrame, by: Sequence[str] = (), *, truth: str = "h
         (100 * ratio(F.count_if(err <= TIGHT_M), F.count("*"))).alias("within_02_pct"),
         (100 * ratio(F.count_if(err <= LOOSE_M), F.count("*"))).alias("within_05_pct"),
         F.when(F.count_if(is_extreme) == 0, F.lit(100.0))
-         .otherwise(100 * ratio(F.count_if(found), F.count_if(is_extreme))).alias("extreme_detection_pct"))
-    spread = exact_percentiles(scored, by, "abs_error", {"median_abs_error": 0.5, "p95_abs_error": 0.95},
+         .otherwise(100 * ratio(F.count_if(found), F.count_if(is_extreme))).alias("extreme_detection_pct"),
+        *[c.alias(name) for name, c in (extra or {}).items()])
+    spread = exact_percentiles(scored.select(*by, "abs_error"), by, "abs_error", {"median_abs_error": 0.5, "p95_abs_error": 0.95},
                                bounded_keys=bounded_keys)
     if not by:
         return main.withColumn("_k", F.lit(1)).join(F.broadcast(spread.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -105,14 +107,20 @@ def overall_score(df: DataFrame) -> DataFrame:
         "ratio": 0.5 * (F.col("within_02_pct") / 100) + 0.25 * F.col("direction_acc") + 0.25 * F.col("breaking_acc")})
 
 
+def accuracies() -> dict[str, Column]:
+    """Shares of right directions and breaking types, as aggregates."""
+    n = F.count("*")
+    return {"direction_acc": ratio(F.count_if(F.col("d_pred") == F.col("d_true")), n),
+            "breaking_acc": ratio(F.count_if(F.col("b_pred") == F.col("b_true")), n)}
+
+
 def accuracy_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """One-pass summary the overall score needs: height tolerance share and both class accuracies."""
     n = F.count("*")
     return df.groupBy(*by).agg(
         n.alias("n"), F.avg(F.abs(F.col("h_pred") - F.col("h_true"))).alias("mae"),
         (100 * ratio(F.count_if(F.abs(F.col("h_pred") - F.col("h_true")) <= TIGHT_M), n)).alias("within_02_pct"),
-        ratio(F.count_if(F.col("d_pred") == F.col("d_true")), n).alias("direction_acc"),
-        ratio(F.count_if(F.col("b_pred") == F.col("b_true")), n).alias("breaking_acc"))
+        *[c.alias(name) for name, c in accuracies().items()])
 
 
 def compare_models(reports: DataFrame) -> DataFrame:
@@ -182,4 +190,4 @@ def batch_stats(df: DataFrame, by: Sequence[str], *, ok: Column, millis: str, co
         n.alias("n"), good.alias("ok"), (n - good).alias("failed"), ratio(good, n).alias("success_rate"),
         F.avg(t).alias("mean_ms"), F.min(t).alias("min_ms"), F.max(t).alias("max_ms"),
         F.stddev_pop(t).alias("std_ms"), F.avg(F.when(ok, F.col(confidence))).alias("mean_confidence"),
-        ratio(good * 1000, F.sum(millis)).alias("per_second"))
+        ratio(n * 1000, F.sum(millis)).alias("per_second"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 # Fixed values of the gates.
 MIN_BYTES, MAX_BYTES = 1024, 50 * 1024 * 1024
 MIN_SIDE, MAX_SIDE = 224, 4096
-FILE_FORMATS = ["JPEG", "PNG", "WEBP"]
+FILE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "tiff", "tif"]
+GATE_MIN, GATE_MAX, GATE_FORMATS = (640, 480), (3840, 2160), ["JPEG", "PNG", "WEBP"]
+REQUIRED_FILES = {"raw": 100, "depth": 100, "synthetic": 500}
 GATE_THRESHOLD = 0.7
 HEIGHT_RANGE = (0.5, 8.0)
 FEET_PER_METRE = 3.28084
@@ -24,17 +26,18 @@ def found(*messages: Column) -> Column:
     return F.array_compact(F.array(*messages))
 
 
-def image_gate(df: DataFrame, min_side: tuple[int, int], max_side: tuple[int, int], formats: Sequence[str]) -> Column:
-    """Size within bounds on both sides, one to four channels, allowed format."""
-    return (F.col("width").between(min_side[0], max_side[0]) & F.col("height").between(min_side[1], max_side[1])
-            & F.col("channels").isin(1, 3, 4) & F.col("format").isin(list(formats)))
+def image_gate(min_size: tuple[int, int] = GATE_MIN, max_size: tuple[int, int] = GATE_MAX,
+               formats: Sequence[str] = GATE_FORMATS) -> Column:
+    """Width and height within bounds, three channels, allowed format."""
+    return (F.col("width").between(min_size[0], max_size[0]) & F.col("height").between(min_size[1], max_size[1])
+            & (F.col("channels") == 3) & F.col("format").isin(list(formats)))
 
 
 def file_gate(df: DataFrame) -> DataFrame:
     """Add ``issue`` (the first failing check) and ``valid``."""
     issue = (F.when(F.col("file_bytes") < MIN_BYTES, "file too small")
              .when(F.col("file_bytes") > MAX_BYTES, "file too large")
-             .when(~F.col("format").isin(FILE_FORMATS), "unsupported format")
+             .when(~F.lower("ext").isin(FILE_EXTENSIONS), "unsupported format")
              .when((F.col("width") < MIN_SIDE) | (F.col("height") < MIN_SIDE), "resolution too low")
              .when((F.col("width") > MAX_SIDE) | (F.col("height") > MAX_SIDE), "resolution too high"))
     return df.withColumn("issue", issue).withColumn("valid", F.col("issue").isNull())
@@ -158,7 +161,15 @@ def drop_all_zero(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in numeric if peak[c] is not None and peak[c] == 0])
 
 
-def availability(df: DataFrame, kind: str, required: dict[str, int]) -> DataFrame:
+def file_kind(path: Column) -> Column:
+    """``depth``, ``synthetic`` or ``raw`` by file name, null for anything else (label sidecars, other formats)."""
+    name = F.regexp_extract(path, "([^/]+)$", 1)
+    return (F.when(name.endswith("_depth.npy"), "depth")
+            .when(name.endswith(".npy") & ~name.contains("_labels"), "synthetic")
+            .when(name.rlike(r"\.(jpg|png)$"), "raw"))
+
+
+def availability(df: DataFrame, kind: str, required: dict[str, int] = REQUIRED_FILES) -> DataFrame:
     """Are there enough files of each kind: ``(kind, n, required, enough)``."""
     one = df.agg(*[F.count_if(F.col(kind) == k).alias(f"_{i}") for i, k in enumerate(required)])
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{i}").alias("n"),

@@ -228,8 +228,7 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
     n = F.count("*")
     report = df.groupBy("model").agg(
         (1 - F.sum(gap * gap) / (n * F.var_pop("h_true"))).alias("r2"),
-        ev.ratio(F.count_if(F.col("d_pred") == F.col("d_true")), n).alias("direction_acc"),
-        ev.ratio(F.count_if(F.col("b_pred") == F.col("b_true")), n).alias("breaking_acc"),
+        *[c.alias(name) for name, c in ev.accuracies().items()],
         F.avg(F.col("image_id") % 2200).alias("latency_ms"))
     return ev.readiness(report).select("model", as_text("issues"), "ready")
 
@@ -240,7 +239,7 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
   max(CASE WHEN value < 200 THEN value END) AS max_ms,
   round(stddev_pop(CASE WHEN value < 200 THEN value END), 6) AS std_ms,
   round(avg(CASE WHEN value < 200 THEN json_extract_string(props, '$.k')::DOUBLE END), 6) AS mean_confidence,
-  round(count_if(value < 200) * 1000 / sum(value), 6) AS per_second FROM events GROUP BY event_type""")
+  round(count(*) * 1000 / sum(value), 6) AS per_second FROM events GROUP BY event_type""")
 def batch_stats(spark: SparkSession, d: str) -> DataFrame:
     df = views.telemetry(spark, d)
     return rounded(ev.batch_stats(df, ["operation"], ok=F.col("duration_ms") < 200, millis="duration_ms",
@@ -296,9 +295,8 @@ def best_so_far_history(epochs: DataFrame) -> DataFrame:
   FROM r JOIN o ON r.model = o.model JOIN v_err e ON e.model = r.model GROUP BY ALL""")
 def evaluation_by_model(spark: SparkSession, d: str) -> DataFrame:
     df = views.predictions(spark, d)
-    heights = ev.regression_metrics(df, ["model"])
-    scores = ev.overall_score(ev.accuracy_summary(df, ["model"])).drop("n", "mae", "within_02_pct")
+    scores = ev.overall_score(ev.regression_metrics(df, ["model"], extra=ev.accuracies()))
     errors = cal.calibration_errors(cal.calibration_pairs(df, ["model"]), ["model", "task"])
     wide = errors.groupBy("model").agg(*[F.max(F.when(F.col("task") == t, F.col("ece"))).alias(f"ece_{t}")
                                          for t in ("height", "direction", "breaking")])
-    return rounded(heights.join(scores, "model").join(wide, "model"))
+    return rounded(scores.join(wide, "model"))

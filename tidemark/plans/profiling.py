@@ -257,19 +257,19 @@ def intersect_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- gates -----------------------------------------------------------------------------------------
-@query("image_gate", with_views(IMG) + """SELECT image_id, width BETWEEN 224 AND 4096 AND height BETWEEN 224 AND 4096
-  AND channels IN (1, 3, 4) AND format IN ('JPEG', 'PNG') AS accepted FROM v_img""")
+@query("image_gate", with_views(IMG) + """SELECT image_id, width BETWEEN 640 AND 3840 AND height BETWEEN 480 AND 2160
+  AND channels = 3 AND format IN ('JPEG', 'PNG', 'WEBP') AS accepted FROM v_img""")
 def image_gate(spark: SparkSession, d: str) -> DataFrame:
-    df = views.images(spark, d)
-    return df.select("image_id", gates.image_gate(df, (224, 224), (4096, 4096), ["JPEG", "PNG"]).alias("accepted"))
+    return views.images(spark, d).select("image_id", gates.image_gate().alias("accepted"))
 
 
 @query("file_gate", with_views(IMG) + """SELECT image_id, CASE WHEN file_bytes < 1024 THEN 'file too small'
-  WHEN file_bytes > 52428800 THEN 'file too large' WHEN format NOT IN ('JPEG', 'PNG', 'WEBP') THEN 'unsupported format'
+  WHEN file_bytes > 52428800 THEN 'file too large' WHEN lower(format) NOT IN ('jpg', 'jpeg', 'png', 'bmp', 'tiff', 'tif') THEN 'unsupported format'
   WHEN width < 224 OR height < 224 THEN 'resolution too low'
   WHEN width > 4096 OR height > 4096 THEN 'resolution too high' END AS issue, issue IS NULL AS valid FROM v_img""")
 def file_gate(spark: SparkSession, d: str) -> DataFrame:
-    return gates.file_gate(views.images(spark, d)).select("image_id", "issue", "valid")
+    df = views.images(spark, d).withColumnRenamed("format", "ext")
+    return gates.file_gate(df).select("image_id", "issue", "valid")
 
 
 @query("image_issues", with_views(IMG) + """, i AS (SELECT image_id, quality_score, list_filter([
@@ -361,9 +361,9 @@ def rate_bands(spark: SparkSession, d: str) -> DataFrame:
         bands.health_rating(score).alias("health"))
 
 
-@query("quality_cut", with_views(IMG) + """SELECT CASE WHEN quality_score > 0 AND quality_score <= 0.3::DOUBLE THEN 'low'
-  WHEN quality_score > 0.3::DOUBLE AND quality_score <= 0.7::DOUBLE THEN 'medium'
-  WHEN quality_score > 0.7::DOUBLE AND quality_score <= 1 THEN 'high' END AS band, count(*) AS n FROM v_img GROUP BY 1""")
+@query("quality_cut", with_views(IMG) + """SELECT CASE WHEN quality_score > 0 AND quality_score <= 0.3::DOUBLE THEN 'Low'
+  WHEN quality_score > 0.3::DOUBLE AND quality_score <= 0.7::DOUBLE THEN 'Medium'
+  WHEN quality_score > 0.7::DOUBLE AND quality_score <= 1 THEN 'High' END AS band, count(*) AS n FROM v_img GROUP BY 1""")
 def quality_cut(spark: SparkSession, d: str) -> DataFrame:
     return views.images(spark, d).groupBy(bands.cut(F.col("quality_score"), *bands.QUALITY_CUT).alias("band")) \
         .agg(F.count("*").alias("n"))
