@@ -30,10 +30,9 @@ def to_long(df: DataFrame, features: Sequence[str], dataset: str = "dataset") ->
 
 
 def paired_counts(long: DataFrame, first: str, second: str) -> DataFrame:
-    """``(feature, value, n1, n2, n)``: how often each value occurs in either sample."""
+    """``(feature, value, n1, n2)``: how often each value occurs in either sample."""
     return long.filter(F.col("dataset").isin(first, second)).groupBy("feature", "value").agg(
-        F.count_if(F.col("dataset") == first).alias("n1"), F.count_if(F.col("dataset") == second).alias("n2"),
-        F.count("*").alias("n"))
+        F.count_if(F.col("dataset") == first).alias("n1"), F.count_if(F.col("dataset") == second).alias("n2"))
 
 
 def _two_sided_normal(z: Column) -> Column:
@@ -54,10 +53,10 @@ def _kolmogorov_tail(lam: Column) -> Column:
 def rank_distances(long: DataFrame, first: str, second: str) -> DataFrame:
     """KS statistic and p-value, Wasserstein-1 and Mann-Whitney U with normal p-value, one row per feature."""
     ranked = running(paired_counts(long, first, second), ["feature"], ["value"],
-                     sums={"c1": "n1", "c2": "n2", "c": "n"}, next_of={"next_value": "value"}, bounded_keys=True)
+                     sums={"c1": "n1", "c2": "n2"}, next_of={"next_value": "value"}, bounded_keys=True)
     gap = F.abs(F.col("c1") / F.col("c1_total") - F.col("c2") / F.col("c2_total"))
-    average_rank = F.col("c") - (F.col("n") - 1) / 2.0
-    ties = F.col("n").cast("double")
+    ties = (F.col("n1") + F.col("n2")).cast("double")
+    average_rank = F.col("c1") + F.col("c2") - (ties - 1) / 2.0
     out = ranked.groupBy("feature").agg(
         F.max("c1_total").alias("n1"), F.max("c2_total").alias("n2"), F.max(gap).alias("ks"),
         F.sum(gap * (F.col("next_value") - F.col("value"))).alias("wasserstein"),
