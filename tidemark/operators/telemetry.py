@@ -95,7 +95,7 @@ def error_summary(df: DataFrame, last_n: int = 10) -> DataFrame:
         F.when(F.col("_g") < 1, F.col("severity")).otherwise("ALL").alias("severity"), "n")
 
 
-def pipeline_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def stage_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stages, duration, items, errors, success and processing rate with guarded divisions."""
     items, errors, seconds = F.sum("items"), F.sum("errors"), F.sum("seconds")
     return df.groupBy(*by).agg(

@@ -82,7 +82,7 @@ def file_profile(spark: SparkSession, d: str) -> DataFrame:
 @query("distribution", with_views(FILE) + """SELECT ext, count(*) AS n,
   round(100 * count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS percentage FROM v_file GROUP BY ext""")
 def distribution(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.distribution(views.files(spark, d), "ext"))
+    return rounded(pr.distribution(views.listing(spark, d), "ext"))
 
 
 DUP = """SELECT (sum(n) - count(*))::BIGINT AS duplicates, count_if(n > 1)::BIGINT AS repeated_keys
@@ -91,18 +91,18 @@ DUP = """SELECT (sum(n) - count(*))::BIGINT AS duplicates, count_if(n > 1)::BIGI
 
 @query("dup_by_length", with_views(FILE) + DUP.format(key="length"))
 def dup_by_length(spark: SparkSession, d: str) -> DataFrame:
-    return pr.duplicate_count(views.files(spark, d), "length")
+    return pr.duplicate_count(views.listing(spark, d), "length")
 
 
 @query("dup_by_hash", with_views(FILE) + DUP.format(key="content_hash"))
 def dup_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    return pr.duplicate_count(views.files(spark, d), "content_hash")
+    return pr.duplicate_count(views.listing(spark, d), "content_hash")
 
 
 @query("dir_structure", with_views(FILE) + """SELECT regexp_extract(path, '^(.*)/', 1) AS directory, count(*) AS files
   FROM v_file GROUP BY 1""")
 def dir_structure(spark: SparkSession, d: str) -> DataFrame:
-    return pr.dir_structure(views.files(spark, d))
+    return pr.dir_structure(views.listing(spark, d))
 
 
 PROFILE = """p AS (SELECT count(*) AS n, count_if(width * height < 307200) AS low_resolution,
@@ -138,7 +138,7 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     || '|' || sum(('0x' || substr(m, 15, 7))::BIGINT)::VARCHAR || '|' || sum(('0x' || substr(m, 22, 7))::BIGINT)::VARCHAR)
     AS checksum FROM h GROUP BY folder""")
 def dataset_checksum(spark: SparkSession, d: str) -> DataFrame:
-    return pr.dataset_checksum(views.files(spark, d), ["folder"])
+    return pr.dataset_checksum(views.listing(spark, d), ["folder"])
 
 
 @query("health_row", with_views(IMG, PROFILE, FILE) + """, f AS (SELECT count(*) AS total_samples,

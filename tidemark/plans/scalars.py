@@ -18,7 +18,7 @@ from tidemark.sources.tables import table
   round(width / height::DOUBLE, 3) AS aspect_ratio FROM v_file""")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p, w, h = F.col("path"), F.col("width"), F.col("height")
-    return views.files(spark, d).select(
+    return views.listing(spark, d).select(
         "path", sc.extension(p).alias("extension"), sc.stem(p).alias("stem"), sc.parent(p).alias("parent"),
         sc.size_key(w, h).alias("size_key"), sc.aspect_ratio(w, h).alias("aspect_ratio"))
 
@@ -30,7 +30,7 @@ def unit_conv(spark: SparkSession, d: str) -> DataFrame:
     ft = sc.feet(F.col("height_meters"))
     heights = views.labels(spark, d).agg(F.lit("height").alias("kind"), F.count("*").alias("n"),
                                          F.avg(ft).alias("a"), F.max(ft).alias("b"))
-    sizes = views.files(spark, d).agg(
+    sizes = views.listing(spark, d).agg(
         F.lit("size").alias("kind"), F.count("*").alias("n"), F.avg(sc.kilobytes(F.col("length"))).alias("a"),
         F.max(sc.megabytes(F.col("length"))).alias("b"))
     return rounded(heights.unionByName(sizes), 9)
@@ -39,7 +39,7 @@ def unit_conv(spark: SparkSession, d: str) -> DataFrame:
 @query("age_hours", with_views(FILE) + """SELECT doc_id, round((epoch_us(TIMESTAMP '2025-01-01') - epoch_us(modified)) / 3600000000::DOUBLE, 6) AS age_hours,
   strftime(modified, '%Y%m%d_%H%M%S') AS run_id FROM v_file""")
 def age_hours(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.files(spark, d).select(
+    return rounded(views.listing(spark, d).select(
         "doc_id", sc.age_hours(F.col("modified"), F.lit("2025-01-01").cast("timestamp_ntz")).alias("age_hours"),
         F.date_format("modified", "yyyyMMdd_HHmmss").alias("run_id")))
 

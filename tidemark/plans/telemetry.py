@@ -74,18 +74,18 @@ def error_summary(spark: SparkSession, d: str) -> DataFrame:
     return tm.error_summary(errors)
 
 
-@query("pipeline_report", with_views(TEL) + """, g AS (SELECT component, operation, CASE WHEN sum(duration_ms) > 4000 THEN 'completed' ELSE 'running' END AS status,
+@query("stage_report", with_views(TEL) + """, g AS (SELECT component, operation, CASE WHEN sum(duration_ms) > 4000 THEN 'completed' ELSE 'running' END AS status,
     count(*) AS items, count_if(error_occurred)::BIGINT AS errors, sum(duration_ms) / 1000 AS seconds FROM v_tel GROUP BY 1, 2)
   SELECT component, count(*) AS stages, round(sum(seconds), 6) AS total_seconds, sum(items)::BIGINT AS total_items,
     sum(errors)::BIGINT AS total_errors, round(sum(items) / greatest(sum(items) + sum(errors), 1)::DOUBLE, 6) AS success_rate,
     round(sum(items) / greatest(sum(seconds), 0.001::DOUBLE), 6) AS items_per_second,
     round(100 * count_if(status = 'completed') / count(*)::DOUBLE, 6) AS completion_pct FROM g GROUP BY component""")
-def pipeline_report(spark: SparkSession, d: str) -> DataFrame:
+def stage_report(spark: SparkSession, d: str) -> DataFrame:
     stages = views.telemetry(spark, d).groupBy("component", "operation").agg(
         F.count("*").alias("items"), F.count_if("error_occurred").alias("errors"),
         (F.sum("duration_ms") / 1000).alias("seconds"),
         F.when(F.sum("duration_ms") > 4000, "completed").otherwise("running").alias("status"))
-    return rounded(tm.pipeline_report(stages, ["component"]))
+    return rounded(tm.stage_report(stages, ["component"]))
 
 
 @query("system_status", with_views(TEL) + """, c AS (SELECT component, count_if(event_id % 997 = 0)::BIGINT AS critical,

@@ -83,17 +83,21 @@ def features_wide(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def files(spark: SparkSession, directory: str) -> DataFrame:
-    """File listing with size, content hash and a readable flag."""
-    docs = table(spark, directory, "documents")
+    """File listing with a readable flag, which lives in another table."""
     quality = table(spark, directory, "labels").select("doc_id", "quality")
-    joined = docs.join(quality, "doc_id", "left")
-    return joined.select(
+    joined = listing(spark, directory).join(quality, "doc_id", "left")
+    return joined.withColumn("valid", F.coalesce(F.col("quality"), F.lit(0)) == 1).drop("quality")
+
+
+def listing(spark: SparkSession, directory: str) -> DataFrame:
+    """File listing with size, content hash and time, straight from the scan."""
+    docs = table(spark, directory, "documents")
+    return docs.select(
         "doc_id",
         F.concat_ws("", F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
          .alias("path"),
         F.col("source").alias("folder"), F.col("lang").alias("ext"), F.col("n_chars").alias("length"),
         F.md5(F.col("text").cast("binary")).alias("content_hash"),
-        (F.coalesce(F.col("quality"), F.lit(0)) == 1).alias("valid"),
         (F.col("n_chars") % 900 + 200).alias("width"), (F.col("n_chars") % 700 + 150).alias("height"),
         F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id % 5000 AS INT), 0, 0)")
          .alias("modified"))
