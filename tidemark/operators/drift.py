@@ -54,7 +54,7 @@ def rank_distances(long: DataFrame, first: str, second: str) -> DataFrame:
     """KS statistic and p-value, Wasserstein-1 and Mann-Whitney U with normal p-value, one row per feature."""
     ranked = running(paired_counts(long, first, second), ["feature"], ["value"],
                      sums={"c1": "n1", "c2": "n2"}, next_of={"next_value": "value"}, bounded_keys=True)
-    gap = F.abs(F.col("c1") / F.col("c1_total") - F.col("c2") / F.col("c2_total"))
+    gap = F.abs(F.try_divide("c1", "c1_total") - F.try_divide("c2", "c2_total"))
     ties = (F.col("n1") + F.col("n2")).cast("double")
     average_rank = F.col("c1") + F.col("c2") - (ties - 1) / 2.0
     out = ranked.groupBy("feature").agg(
@@ -64,23 +64,29 @@ def rank_distances(long: DataFrame, first: str, second: str) -> DataFrame:
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("_rank_sum") - n1 * (n1 + 1) / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12.0 * F.greatest(F.lit(0.0), (n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     effective = F.sqrt(n1 * n2 / n)
+    # identical values throughout leave nothing to rank: no evidence of a difference
+    z = F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.abs(u - n1 * n2 / 2.0) - 0.5), sigma), F.lit(0.0))
     return out.select(
         "feature", "n1", "n2", "ks", _kolmogorov_tail(effective * F.col("ks")).alias("ks_p"), "wasserstein",
         u.alias("mann_whitney_u"),
-        _two_sided_normal(F.greatest(F.lit(0.0), F.abs(u - n1 * n2 / 2.0) - 0.5) / sigma).alias("mann_whitney_p"))
+        _two_sided_normal(z).alias("mann_whitney_p"))
 
 
 def t_statistic(long: DataFrame, first: str, second: str) -> DataFrame:
-    """Absolute pooled-variance t statistic per feature, from conditional moments in one pass."""
+    """Absolute pooled-variance t statistic per feature, from conditional moments in one pass.
+
+    Null where neither sample varies or one has no rows.
+    """
     a, b = F.when(F.col("dataset") == first, F.col("value")), F.when(F.col("dataset") == second, F.col("value"))
     m = long.groupBy("feature").agg(
         F.count(a).alias("n1"), F.avg(a).alias("m1"), F.var_samp(a).alias("v1"),
         F.count(b).alias("n2"), F.avg(b).alias("m2"), F.var_samp(b).alias("v2"))
-    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
-    return m.select("feature", "n1", "n2", F.abs(
-        (F.col("m1") - F.col("m2")) / F.sqrt(pooled * (1.0 / F.col("n1") + 1.0 / F.col("n2")))).alias("t"))
+    squares = (F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")
+    pooled = F.try_divide(squares, F.col("n1") + F.col("n2") - 2)
+    error = F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))
+    return m.select("feature", "n1", "n2", F.abs(F.try_divide(F.col("m1") - F.col("m2"), error)).alias("t"))
 
 
 def kl_divergence(long: DataFrame, first: str, second: str, bins: int = KL_BINS) -> DataFrame:
@@ -129,6 +135,22 @@ def drift_report(long: DataFrame, first: str, second: str, threshold: float = DR
         F.array_sort(F.collect_list(F.when(F.col("ks") > threshold, F.col("feature")))).alias("affected"))
 
 
+def compare_datasets(long: DataFrame, first: str, second: str, visual: Column) -> DataFrame:
+    """One row comparing two datasets: distances and test statistics averaged over the features, and the match score.
+
+    ``visual`` is the similarity of the datasets' mean embeddings.
+    """
+    ranks = rank_distances(long, first, second).select("feature", "ks", "wasserstein", "mann_whitney_u")
+    per = ranks.join(kl_divergence(long, first, second), "feature") \
+               .join(t_statistic(long, first, second).select("feature", "t"), "feature")
+    row = per.agg(F.avg("kl").alias("kl_divergence"), F.avg("wasserstein").alias("wasserstein_distance"),
+                  F.avg("ks").alias("ks_statistic"), F.avg("mann_whitney_u").alias("mann_whitney_u"),
+                  F.avg("t").alias("t_statistic"))
+    return row.withColumns({
+        "visual_similarity": visual, "perceptual_distance": 1 - visual,
+        "match_score": match_score(F.col("kl_divergence"), F.col("wasserstein_distance"), visual, F.col("ks_statistic"))})
+
+
 def match_score(kl: Column, wasserstein: Column, visual: Column, ks: Column) -> Column:
     """Weighted closeness of two datasets in [0, 1]."""
     def keep(x: Column) -> Column:
@@ -184,9 +206,10 @@ def pooled_stats(df: DataFrame, by: Sequence[str], px: str = "px") -> DataFrame:
         *by, F.size(x).alias("_n"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("_s"),
         F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("_q"), F.array_min(x).alias("_lo"),
         F.array_max(x).alias("_hi"))
-    n, s, q = F.sum("_n"), F.sum("_s"), F.sum("_q")
+    n = F.sum("_n")
+    mean, mean_square = F.try_divide(F.sum("_s"), n), F.try_divide(F.sum("_q"), n)
     return per.groupBy(*by).agg(
-        n.alias("pixels"), (s / n).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), q / n - (s / n) * (s / n))).alias("std"),
+        n.alias("pixels"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), mean_square - mean * mean)).alias("std"),
         F.min("_lo").alias("min"), F.max("_hi").alias("max"), (F.max("_hi") - F.min("_lo")).alias("range"))
 
 

@@ -32,13 +32,13 @@ def moments(values: Column) -> Column:
     return F.aggregate(
         values, zero,
         lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")),
-        lambda a: F.struct((a["s"] / a["n"]).alias("mean"), _variance(a).alias("var"),
+        lambda a: F.struct(F.try_divide(a["s"], a["n"]).alias("mean"), _variance(a).alias("var"),
                            F.sqrt(_variance(a)).alias("std")))
 
 
 def _variance(a: Column) -> Column:
-    m = a["s"] / a["n"]
-    return F.greatest(F.lit(0.0), a["q"] / a["n"] - m * m)
+    m = F.try_divide(a["s"], a["n"])
+    return F.greatest(F.lit(0.0), F.try_divide(a["q"], a["n"]) - m * m)
 
 
 def mean(values: Column) -> Column:
@@ -108,7 +108,7 @@ def hsv_pixels(r: Column, g: Column, b: Column) -> Column:
 
 def share(values: Column, test: Callable[[Column], Column]) -> Column:
     """Share of array elements passing the test."""
-    return F.size(F.filter(values, test)) / F.size(values)
+    return F.try_divide(F.size(F.filter(values, test)), F.size(values))
 
 
 def water_stats(r: Column, g: Column, b: Column) -> dict[str, Column]:
@@ -352,6 +352,30 @@ def image_measures(df: DataFrame) -> DataFrame:
         "brightness", "contrast", "dynamic_range", "entropy", "dominant_level", "hist_mean", "hist_std")))
 
 
+FEATURES = ["brightness", "contrast", "saturation", "sharpness", "texture",
+            "hist_b_mean", "hist_b_std", "hist_g_mean", "hist_g_std", "hist_r_mean", "hist_r_std"]
+
+
+def feature_vector(df: DataFrame) -> DataFrame:
+    """The eleven features that datasets are compared on, from colour planes ``r, g, b`` of levels 0-255.
+
+    Brightness and contrast are mean and deviation of the grey levels, sharpness the Laplacian variance,
+    texture the mean Sobel magnitude; each channel adds mean and deviation of its 32-bin histogram.
+    """
+    def kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        level = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+        top = np.maximum(np.maximum(r, g), b)
+        reach = top - np.minimum(np.minimum(r, g), b)
+        saturation = np.floor(np.divide(reach * 255.0, top, out=np.zeros_like(top), where=top > 0) + 0.5)
+        out = {"brightness": kn.mean(level), "contrast": kn.std(level), "saturation": kn.mean(saturation),
+               "sharpness": kn.flat(kn.laplacian(level)).var(axis=1), "texture": kn.mean(kn.sobel(level))}
+        for name, plane in (("b", b), ("g", g), ("r", r)):
+            bins = kn.counts(np.floor(plane / 8), 32)
+            out |= {f"hist_{name}_mean": bins.mean(axis=1), f"hist_{name}_std": bins.std(axis=1)}
+        return out
+    return kn.apply_kernel(df, kernel, ", ".join(f"{c} double" for c in FEATURES), arrays=("r", "g", "b"))
+
+
 def equalise(df: DataFrame, factor: float = 1.5) -> DataFrame:
     """Histogram-equalised raster in [0, 1] (``px``), its median, and the contrast-enhanced raster ``enhanced``.
 

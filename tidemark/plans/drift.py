@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import drift as dr
 from tidemark.operators import labels as lb
-from tidemark.plans import views
+from tidemark.operators import raster as ra
+from tidemark.plans import raster, views
 from tidemark.plans.registry import query
-from tidemark.plans.views_sql import FEAT, LAB, PIX, with_views
+from tidemark.plans.views_sql import FEAT, LAB, PIX, RGB, with_views
 from tidemark.sources.tables import table
 
 CURVE = """v_cnt AS (SELECT feature, value, count_if(dataset = 'baseline')::BIGINT AS n1,
@@ -71,7 +72,8 @@ def t_stat(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dr.t_statistic(_long(spark, d), "baseline", "current"))
 
 
-KL = """v_span AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v_feat WHERE dataset = 'baseline' GROUP BY 1),
+KL = """v_span0 AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v_feat WHERE dataset = 'baseline' GROUP BY 1),
+v_span AS (SELECT feature, CASE WHEN lo = hi THEN lo - 0.5::DOUBLE ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5::DOUBLE ELSE hi END AS hi FROM v_span0),
 v_b AS (SELECT feature, dataset, (hi - lo) / 50 AS step, len(list_filter(range(1, 50), lambda k: value >= k * ((hi - lo) / 50) + lo))::BIGINT AS bin
   FROM v_feat JOIN v_span USING (feature) WHERE value BETWEEN lo AND hi),
 v_n AS (SELECT feature, max(step) AS step, count_if(dataset = 'baseline') AS n1, count_if(dataset = 'current') AS n2
@@ -122,6 +124,30 @@ def match_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(both.select(dr.match_score(F.col("kl"), F.col("wasserstein"), visual, F.col("ks")).alias("match_score")))
 
 
+IMAGES = f"""v_e AS (SELECT vec_id, {raster.FEATURE_COLUMNS} FROM v_fv),
+v_feat AS (SELECT CASE WHEN label < 5 THEN 'baseline' ELSE 'current' END AS dataset, f.feature, f.value FROM v_e JOIN embeddings USING (vec_id),
+  LATERAL (VALUES {', '.join(f"('{c}', {c})" for c in ra.FEATURES)}) AS f(feature, value))"""
+
+
+@query("dataset_comparison", with_views(RGB, raster.FEATURE_SQL, IMAGES, CURVE, KL, COSINE) + """, v_tt AS (SELECT feature,
+    count(CASE WHEN dataset = 'baseline' THEN 1 END) AS n1, count(CASE WHEN dataset = 'current' THEN 1 END) AS n2,
+    avg(CASE WHEN dataset = 'baseline' THEN value END) AS m1, var_samp(CASE WHEN dataset = 'baseline' THEN value END) AS s1,
+    avg(CASE WHEN dataset = 'current' THEN value END) AS m2, var_samp(CASE WHEN dataset = 'current' THEN value END) AS s2 FROM v_feat GROUP BY feature),
+  t AS (SELECT abs((m1 - m2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2) * (1 / n1::DOUBLE + 1 / n2::DOUBLE))) AS t FROM v_tt WHERE s1 + s2 > 0),
+  r AS (SELECT (SELECT avg(kl) FROM v_kl) AS kl, (SELECT avg(wasserstein) FROM v_dist) AS w, (SELECT avg(ks) FROM v_dist) AS ks,
+    (SELECT avg(u) FROM v_dist) AS u, (SELECT avg(t) FROM t) AS t, (SELECT cosine FROM v_cos) AS c)
+  SELECT round(kl, 6) AS kl_divergence, round(w, 6) AS wasserstein_distance, round(ks, 6) AS ks_statistic, round(u, 6) AS mann_whitney_u,
+    round(t, 6) AS t_statistic, round(c, 6) AS visual_similarity, round(1 - c, 6) AS perceptual_distance,
+    round(0.3::DOUBLE * greatest(0, 1 - least(kl / 2, 1)) + 0.3::DOUBLE * greatest(0, 1 - least(w / 100, 1)) + 0.3::DOUBLE * c
+      + 0.1::DOUBLE * greatest(0, 1 - least(ks, 1)), 6) AS match_score FROM r""")
+def dataset_comparison(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") < 5, "baseline").otherwise("current").alias("dataset"))
+    wide = ra.feature_vector(views.rgb_images(spark, d)).join(part, "vec_id")
+    visual = dr.embedding_cosine(_vectors(spark, d), "embedding", F.col("label") < 5).select("cosine").scalar()
+    long = dr.to_long(wide.select("dataset", *[F.round(c, 9).alias(c) for c in ra.FEATURES]), ra.FEATURES)
+    return rounded(dr.compare_datasets(long, "baseline", "current", visual))
+
+
 @query("compare_moments", with_views(LAB) + " UNION ALL ".join(
     f"""SELECT '{c}' AS metric, round(m, 9) AS mean, round(s, 9) AS std, round(abs(m - {mean}::DOUBLE) / {mean}::DOUBLE, 9) AS mean_diff,
   round(abs(s - {std}::DOUBLE) / {std}::DOUBLE, 9) AS std_diff,

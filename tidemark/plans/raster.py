@@ -89,6 +89,27 @@ def rast_sobel(spark: SparkSession, d: str) -> DataFrame:
         "vec_id", F.col("edge_mean").alias("mean_edge"), F.col("edge_max").alias("max_edge")))
 
 
+FEATURE_SQL = """v_gr AS (SELECT vec_id, y, x, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE) AS v FROM v_rgb)""" \
+    + ",\n" + neighbours("v_nb", "v_gr", 1, 4) + ",\n" + LAPLACE + ",\n" + SOBEL + """,
+v_sat AS (SELECT vec_id, avg(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE floor((greatest(r, g, b) - least(r, g, b)) * 255 / greatest(r, g, b) + 0.5::DOUBLE) END) AS s
+  FROM v_rgb GROUP BY 1),
+v_hb AS (SELECT vec_id, t.c, floor(t.v / 8) AS bin, count(*) AS n FROM v_rgb, LATERAL (VALUES ('b', b), ('g', g), ('r', r)) AS t(c, v) GROUP BY 1, 2, 3),
+v_hs AS (SELECT vec_id, c, sqrt(sum(n * n) / 32::DOUBLE - 0.25::DOUBLE) AS sd FROM v_hb GROUP BY 1, 2),
+v_fv AS (SELECT g.vec_id, avg(g.v) AS brightness, stddev_pop(g.v) AS contrast, any_value(s) AS saturation, var_pop(l) AS sharpness, avg(m) AS texture,
+  0.5::DOUBLE AS hist_b_mean, any_value(hb.sd) AS hist_b_std, 0.5::DOUBLE AS hist_g_mean, any_value(hg.sd) AS hist_g_std, 0.5::DOUBLE AS hist_r_mean,
+  any_value(hr.sd) AS hist_r_std FROM v_gr g JOIN v_lap USING (vec_id, y, x) JOIN v_sob USING (vec_id, y, x) JOIN v_sat USING (vec_id)
+  JOIN v_hs hb ON hb.vec_id = g.vec_id AND hb.c = 'b' JOIN v_hs hg ON hg.vec_id = g.vec_id AND hg.c = 'g' JOIN v_hs hr ON hr.vec_id = g.vec_id AND hr.c = 'r'
+  GROUP BY g.vec_id)"""
+FEATURE_COLUMNS = ", ".join(f"round({c}, 9) AS {c}" for c in ra.FEATURES)
+
+
+@query("feature_vector", with_views(RGB, FEATURE_SQL) + "SELECT vec_id, " + FEATURE_COLUMNS.replace(", 9)", ", 6)").replace(
+    "round(sharpness, 6)", "round(sharpness / 3, 6)") + " FROM v_fv")
+def feature_vector(spark: SparkSession, d: str) -> DataFrame:
+    out = ra.feature_vector(views.rgb_images(spark, d))
+    return rounded(out.withColumn("sharpness", F.col("sharpness") / 3).select("vec_id", *ra.FEATURES))
+
+
 HSV = """v_hsv0 AS (SELECT *, greatest(r, g, b) AS vv, greatest(r, g, b) - least(r, g, b) AS df FROM v_rgb),
 v_hsv1 AS (SELECT vec_id, y, x, vv, CASE WHEN vv = 0 THEN 0 ELSE floor(df * 255 / vv + 0.5::DOUBLE) END AS s, CASE WHEN df = 0 THEN 0 ELSE
   floor((CASE WHEN vv = r THEN g - b WHEN vv = g THEN b - r + 2 * df ELSE r - g + 4 * df END) * 30 / df + 0.5::DOUBLE) END AS h FROM v_hsv0),
