@@ -105,6 +105,17 @@ def test_asof_join(spark):
         assert (np.isnan(hit) and same.empty) or hit == same["id"].iloc[-1]
 
 
+def test_small_results_are_pinned_in_the_named_folder(spark):
+    import os
+
+    from tidemark.sources.tables import pin, shared_dir
+    folder = shared_dir(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir")
+    before = sum(len(f) for _, _, f in os.walk(folder))
+    assert pin(spark.range(3)).count() == 3
+    assert sum(len(f) for _, _, f in os.walk(folder)) > before
+
+
 def test_first_per_key_cuts_before_the_shuffle(spark):
     _, df = skewed(spark)
     plan = rk.first_per_key(df, ["k"], [F.col("at"), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()

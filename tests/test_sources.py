@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import lineage
+from tidemark.operators import lineage, raster
 from tidemark.sources import files
 
 
@@ -52,6 +52,22 @@ def test_planes(spark, folder):
         assert row[name] == pixels[:, :, i].ravel().tolist()
 
 
+def test_feature_vector_of_files(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    shots = {f"{i}.png": rng.integers(0, 256, (6 + i, 8, 3), dtype=np.uint8) for i in range(3)}
+    for name, pixels in shots.items():
+        (tmp_path / name).write_bytes(png(pixels))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in raster.feature_vector(files.planes(files.scan_images(spark, str(tmp_path)))).collect()}
+    for name, pixels in shots.items():
+        p = pixels.astype(float)
+        level = np.floor(p @ [0.299, 0.587, 0.114] + 0.5)
+        top, low = p.max(axis=2), p.min(axis=2)
+        assert got[name]["brightness"] == pytest.approx(level.mean()) and got[name]["contrast"] == pytest.approx(level.std())
+        assert got[name]["saturation"] == pytest.approx(np.floor((top - low) * 255 / np.maximum(top, 1) + 0.5).mean())
+        for c, i in (("r", 0), ("g", 1), ("b", 2)):
+            assert got[name][f"hist_{c}_std"] == pytest.approx(np.histogram(p[:, :, i], 32, (0, 256))[0].std())
+
+
 def test_scan_arrays_refuses_pickles(spark, tmp_path):
     (tmp_path / "good").mkdir()
     a = np.random.default_rng(0).uniform(size=(3, 4)).astype(np.float32)

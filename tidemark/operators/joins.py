@@ -25,8 +25,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *
     if not hot:
         return left.join(right, key, how)
     is_hot = F.xxhash64(key).isin(hot)
+    # from the row's own values, so that a task that is run again gives the same salts
+    values = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
     salted_left = left.withColumn("_salt", F.when(
-        is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+        is_hot, F.pmod(F.xxhash64(*values), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.withColumn("_salt", F.explode(copies))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
@@ -50,11 +52,17 @@ def recent_duplicate(requests: DataFrame, results: DataFrame, key: str, at: str,
     return matched.select(*requests.columns, F.when(fresh, F.col(f"matched_{ident}")).alias("reuse_of"))
 
 
-def recommend(metrics: DataFrame, rules: Sequence[tuple[str, str, float, str]]) -> DataFrame:
-    """Texts whose rule fires: ``metrics(metric, value)`` joined to ``(metric, op, threshold, text)`` rules."""
+def metric_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Wide metric columns as ``(by, metric, value)`` rows."""
+    return df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])))
+
+
+def recommend(metrics: DataFrame, rules: Sequence[tuple[str, str, float, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Texts whose rule fires: ``metrics(by, metric, value)`` joined to ``(metric, op, threshold, text)`` rules."""
     table = literal_table(metrics.sparkSession, "metric string, op string, threshold double, text string", rules)
     joined = metrics.join(F.broadcast(table), "metric")
     v, t = F.col("value"), F.col("threshold")
     fires: Column = (F.when(F.col("op") == "<", v < t).when(F.col("op") == ">", v > t)
                      .when(F.col("op") == "<=", v <= t).when(F.col("op") == ">=", v >= t).otherwise(v == t))
-    return joined.filter(fires).select("text").distinct()
+    return joined.filter(fires).select(*by, "text").distinct()

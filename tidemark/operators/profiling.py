@@ -111,6 +111,21 @@ def quality_issues(profile: DataFrame) -> DataFrame:
     return profile.select(F.inline(_issues(F.col("n"))))
 
 
+def issue_counts(profile: DataFrame) -> DataFrame:
+    """The issue counts that the quality recommendations read, one row."""
+    found = _issues(F.col("n"))
+
+    def of(*kinds: str) -> Column:
+        return F.size(F.filter(found, lambda i: i["issue"].isin(*kinds)))
+
+    def severe(level: str) -> Column:
+        return F.size(F.filter(found, lambda i: i["severity"] == level))
+    return profile.select(
+        severe("critical").alias("critical_issues"), severe("high").alias("high_issues"),
+        of("low_resolution", "blur").alias("low_resolution_or_blur"), of("no_ocean_content").alias("no_ocean_content"),
+        of("corruption").alias("corruption"), F.size(found).alias("issues"))
+
+
 def quality_score(profile: DataFrame) -> DataFrame:
     """Overall score: 1 minus severity-weighted shares plus bonuses, clamped to [0, 1]."""
     def weighted(i: Column) -> Column:

@@ -9,7 +9,10 @@ from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import drift as dr
 from tidemark.operators import labels as lb
 from tidemark.operators import raster as ra
+from tidemark.operators import rules
+from tidemark.operators.joins import recommend
 from tidemark.plans import raster, views
+from tidemark.plans.profiling import FIRES, rules_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import FEAT, LAB, PIX, RGB, with_views
 from tidemark.sources.tables import table
@@ -141,11 +144,26 @@ v_feat AS (SELECT CASE WHEN label < 5 THEN 'baseline' ELSE 'current' END AS data
     round(0.3::DOUBLE * greatest(0, 1 - least(kl / 2, 1)) + 0.3::DOUBLE * greatest(0, 1 - least(w / 100, 1)) + 0.3::DOUBLE * c
       + 0.1::DOUBLE * greatest(0, 1 - least(ks, 1)), 6) AS match_score FROM r""")
 def dataset_comparison(spark: SparkSession, d: str) -> DataFrame:
+    visual = dr.embedding_cosine(_vectors(spark, d), "embedding", F.col("label") < 5).select("cosine").scalar()
+    return rounded(dr.compare_datasets(_image_features(spark, d), "baseline", "current", visual))
+
+
+def _image_features(spark: SparkSession, d: str) -> DataFrame:
+    """The eleven image features in long form, labels 0-4 as baseline and 5-9 as current."""
     part = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") < 5, "baseline").otherwise("current").alias("dataset"))
     wide = ra.feature_vector(views.rgb_images(spark, d)).join(part, "vec_id")
-    visual = dr.embedding_cosine(_vectors(spark, d), "embedding", F.col("label") < 5).select("cosine").scalar()
-    long = dr.to_long(wide.select("dataset", *[F.round(c, 9).alias(c) for c in ra.FEATURES]), ra.FEATURES)
-    return rounded(dr.compare_datasets(long, "baseline", "current", visual))
+    return dr.to_long(wide.select("dataset", *[F.round(c, 9).alias(c) for c in ra.FEATURES]), ra.FEATURES)
+
+
+@query("drift_recommendations", with_views(RGB, raster.FEATURE_SQL, IMAGES, CURVE, rules_sql(rules.DRIFT)) + """,
+  m AS (SELECT feature AS metric, ks AS value FROM v_dist UNION ALL SELECT 'drift_detected', CASE WHEN avg(ks) > 0.1::DOUBLE THEN 1 ELSE 0 END FROM v_dist)
+  SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
+def drift_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    ks = dr.rank_distances(_image_features(spark, d), "baseline", "current")
+    overall = ks.agg(F.lit("drift_detected").alias("metric"),
+                     F.when(F.avg("ks") > dr.DRIFT_THRESHOLD, 1.0).otherwise(0.0).alias("value"))
+    measured = ks.select(F.col("feature").alias("metric"), F.col("ks").alias("value")).unionByName(overall)
+    return recommend(measured, rules.DRIFT)
 
 
 @query("compare_moments", with_views(LAB) + " UNION ALL ".join(

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import calibration as cal
 from tidemark.operators import evaluation as ev
+from tidemark.operators import rules
+from tidemark.operators.joins import metric_rows, recommend
 from tidemark.operators.ranking import running, with_chunks
 from tidemark.plans import views
+from tidemark.plans.profiling import FIRES, rules_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import PRED, with_views
 from tidemark.sources.tables import table
@@ -85,6 +88,16 @@ def overall_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ev.overall_score(ev.accuracy_summary(views.predictions(spark, d), ["model"])))
 
 
+@query("evaluation_recommendations", with_views(PRED, SUMMARY, rules_sql(rules.EVALUATION)) + """, m AS (SELECT model, t.metric, t.value FROM o,
+    LATERAL (VALUES ('mae', mae), ('within_02_pct', within_02_pct), ('direction_acc', direction_acc), ('breaking_acc', breaking_acc),
+      ('as_published', as_published)) AS t(metric, value))
+  SELECT DISTINCT model, text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
+def evaluation_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    scores = ev.overall_score(ev.accuracy_summary(views.predictions(spark, d), ["model"]))
+    measured = metric_rows(scores, ["mae", "within_02_pct", "direction_acc", "breaking_acc", "as_published"], ["model"])
+    return recommend(measured, rules.EVALUATION, ["model"])
+
+
 # --- calibration -----------------------------------------------------------------------------------
 PAIRS = """v_pairs AS (SELECT model, task, confidence, correct FROM v_pred, LATERAL (VALUES
   ('height', conf_h, CASE WHEN abs(h_pred - h_true) <= 0.2::DOUBLE THEN 1::DOUBLE ELSE 0 END),

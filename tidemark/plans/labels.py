@@ -9,8 +9,10 @@ from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import gates
 from tidemark.operators import labels as lb
 from tidemark.operators import params as pa
+from tidemark.operators import rules
+from tidemark.operators.joins import metric_rows, recommend
 from tidemark.plans import views
-from tidemark.plans.profiling import HEIGHT_CASE
+from tidemark.plans.profiling import FIRES, HEIGHT_CASE, rules_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import LAB, with_views
 from tidemark.sources.tables import broadcast_within, pin, table
@@ -209,6 +211,19 @@ def quality_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pa.quality_bins(_params(spark, d), "quality_score"))
 
 
+@query("diversity_recommendations", """WITH p AS (SELECT * FROM part), c AS (SELECT DISTINCT p_size, round(p_retailprice, 3), p_partkey % 7 FROM part),
+  m AS (SELECT 'uniqueness_rate' AS metric, (SELECT count(*) FROM c) / count(*)::DOUBLE AS value FROM p
+    UNION ALL SELECT 'high_quality_ratio', count(CASE WHEN round(p_size / 50::DOUBLE, 1) >= 0.8::DOUBLE THEN 1 END) / count(*)::DOUBLE FROM p),
+  """ + rules_sql(rules.DIVERSITY) + """ SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
+def diversity_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    df = _params(spark, d)
+    combos = pa.param_combinations(df, "params")
+    shares = pa.quality_bins(df, "quality_score").agg(
+        F.sum(F.when(F.col("level") == "high", F.col("share")).otherwise(0.0)).alias("high_quality_ratio"))
+    measured = metric_rows(combos, ["uniqueness_rate"]).unionByName(metric_rows(shares, ["high_quality_ratio"]))
+    return recommend(measured, rules.DIVERSITY)
+
+
 LIMITS = [gates.Limit("p_size", (1.0, 45.0), (5.0, 40.0)), gates.Limit("p_retailprice", (905.0, 1e9), (910.0, 1e9)),
           gates.Limit("wind", (0.0, 1.0), (0.2, 0.5))]
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import bands, gates
 from tidemark.operators import profiling as pr
-from tidemark.operators.joins import skew_join
+from tidemark.operators import rules
+from tidemark.operators.joins import metric_rows, recommend, skew_join
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import FILE, IMG, LAB, PRED, with_views
@@ -164,6 +165,38 @@ def health_row(spark: SparkSession, d: str) -> DataFrame:
     return rounded(row.withColumn("alerts", as_text("alerts")))
 
 
+def rules_sql(rules: list) -> str:
+    return "v_rule AS (SELECT * FROM (VALUES " + ", ".join(
+        f"('{m}', '{o}', {t}::DOUBLE, '{x}')" for m, o, t, x in rules) + ") AS r(metric, op, threshold, text))"
+
+
+FIRES = """CASE op WHEN '<' THEN value < threshold WHEN '>' THEN value > threshold WHEN '<=' THEN value <= threshold
+  WHEN '>=' THEN value >= threshold ELSE value = threshold END"""
+
+
+@query("dataset_recommendations", with_views(IMG, PROFILE, FILE, rules_sql(rules.QUALITY + rules.HEALTH)) + """,
+  f AS (SELECT count(*)::DOUBLE AS total_samples, 100 * (count(*) - count(DISTINCT content_hash)) / count(*)::DOUBLE AS dup,
+    (epoch(TIMESTAMP '2025-01-01') - epoch(max(modified))) / 3600 AS age FROM v_file),
+  m AS (SELECT 'critical_issues' AS metric, count(CASE WHEN severity = 'critical' THEN 1 END)::DOUBLE AS value FROM i
+    UNION ALL SELECT 'high_issues', count(CASE WHEN severity = 'high' THEN 1 END) FROM i
+    UNION ALL SELECT 'low_resolution_or_blur', count(CASE WHEN issue IN ('low_resolution', 'blur') THEN 1 END) FROM i
+    UNION ALL SELECT 'no_ocean_content', count(CASE WHEN issue = 'no_ocean_content' THEN 1 END) FROM i
+    UNION ALL SELECT 'corruption', count(CASE WHEN issue = 'corruption' THEN 1 END) FROM i UNION ALL SELECT 'issues', count(*) FROM i
+    UNION ALL SELECT 'quality_score', quality_score FROM q UNION ALL SELECT 'freshness_hours', age FROM f
+    UNION ALL SELECT 'total_samples', total_samples FROM f UNION ALL SELECT 'duplicate_percentage', dup FROM f
+    UNION ALL SELECT 'alerts', CASE WHEN quality_score < 0.7::DOUBLE THEN 1 ELSE 0 END + CASE WHEN age > 24 THEN 1 ELSE 0 END FROM q, f)
+  SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
+def dataset_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    images = views.images(spark, d)
+    health = pr.health_row(views.files(spark, d), images, F.lit(0.0), F.lit("2025-01-01").cast("timestamp_ntz"))
+    health = health.withColumn("alerts", F.size("alerts"))
+    measured = metric_rows(pr.issue_counts(pr.image_profile(images)), [
+        "critical_issues", "high_issues", "low_resolution_or_blur", "no_ocean_content", "corruption", "issues"])
+    measured = measured.unionByName(metric_rows(health, [
+        "alerts", "quality_score", "freshness_hours", "total_samples", "duplicate_percentage"]))
+    return recommend(measured, rules.QUALITY + rules.HEALTH)
+
+
 @query("describe", """WITH v AS (SELECT f.feature, f.value FROM lineitem, LATERAL (VALUES ('l_quantity', l_quantity),
   ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) AS f(feature, value))
   SELECT feature, count(value) AS count, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
