@@ -85,6 +85,11 @@ def test_calibrators_improve_and_stay_in_range(spark):
     assert 0 <= out[0] <= out[1] <= 1
     with pytest.raises(ValueError):
         calibration.calibrator_report(pairs.limit(20), "platt")
+    few = pairs.limit(20).withColumn("task", F.lit("direction"))
+    both = calibration.Calibrators("isotonic").fit(pairs.unionByName(few))
+    out = both.transform(pairs.unionByName(few))
+    assert list(both.models) == ["height"] and out.count() == 2020
+    assert out.filter("task = 'direction' and calibrated != confidence").count() == 0
 
 
 # --- two-sample ------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -116,24 +117,46 @@ def fit_isotonic(pairs: DataFrame):
                               predictionCol="calibrated").fit(points)
 
 
+class Calibrators:
+    """Fitted calibrations, one per task that has enough rows; other tasks keep their confidences.
+
+    ``method`` is ``platt`` or ``isotonic``.  The task list is given, so that one count per task decides.
+    """
+
+    def __init__(self, method: str, tasks: Sequence[str] = ("height", "direction", "breaking"),
+                 min_rows: int = MIN_ROWS_FIT):
+        if method not in ("platt", "isotonic"):
+            raise ValueError(f"unknown calibration method {method!r}")
+        self.method, self.tasks, self.min_rows, self.models = method, list(tasks), min_rows, {}
+
+    def fit(self, pairs: DataFrame) -> Calibrators:
+        """Fit each listed task on its ``(task, confidence, correct)`` rows."""
+        mine = pairs.filter(F.col("task").isin(self.tasks))
+        sizes = {r["task"]: r["n"] for r in mine.groupBy("task").agg(F.count("*").alias("n")).collect()}
+        self.models = {}
+        for task in self.tasks:
+            if sizes.get(task, 0) >= self.min_rows:
+                rows = mine.filter(F.col("task") == task)
+                self.models[task] = fit_platt(rows, sizes[task]) if self.method == "platt" else fit_isotonic(rows)
+        return self
+
+    def transform(self, pairs: DataFrame) -> DataFrame:
+        """Add ``calibrated`` to rows of any task."""
+        parts = [pairs.filter(~F.coalesce(F.col("task").isin(list(self.models)), F.lit(False)))
+                 .withColumn("calibrated", F.col("confidence"))]
+        for task, model in self.models.items():
+            rows = pairs.filter(F.col("task") == task)
+            parts.append(apply_platt(model, rows) if self.method == "platt" else model.transform(rows))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def calibrator_report(pairs: DataFrame, method: str, by: Sequence[str] = ("task",),
                       tasks: Sequence[str] = ("height", "direction", "breaking")) -> DataFrame:
-    """Calibration errors before and after fitting ``method`` (``platt`` or ``isotonic``) for each task."""
-    sizes = {r["task"]: r["n"] for r in pairs.filter(F.col("task").isin(list(tasks))).groupBy("task")
-             .agg(F.count("*").alias("n")).collect()}        # one row per listed task
-    out = None
-    for task in tasks:
-        if sizes.get(task, 0) < MIN_ROWS_FIT:
-            continue
-        mine = pairs.filter(F.col("task") == task)
-        if method == "platt":
-            scored = apply_platt(fit_platt(mine, sizes[task]), mine)
-        else:
-            scored = fit_isotonic(mine).transform(mine)
-        before = calibration_errors(mine, by).select("task", F.col("ece").alias("ece_before"))
-        after = calibration_errors(scored.select("task", F.col("calibrated").alias("confidence"), "correct"), by)
-        row = after.join(before, "task").select("task", "n", "ece_before", F.col("ece").alias("ece_after"))
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    """Calibration errors before and after fitting ``method``, for the tasks with enough rows."""
+    fitted = Calibrators(method, tasks).fit(pairs)
+    if not fitted.models:
         raise ValueError(f"no task has the {MIN_ROWS_FIT} rows a calibrator needs")
-    return out
+    mine = pairs.filter(F.col("task").isin(list(fitted.models)))
+    after = fitted.transform(mine).withColumn("confidence", F.col("calibrated"))
+    return calibration_errors(mine, by).select(*by, "n", F.col("ece").alias("ece_before")).join(
+        calibration_errors(after, by).select(*by, F.col("ece").alias("ece_after")), list(by))

@@ -69,7 +69,9 @@ def rank_distances(long: DataFrame, first: str, second: str) -> DataFrame:
     # identical values throughout leave nothing to rank: no evidence of a difference
     z = F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.abs(u - n1 * n2 / 2.0) - 0.5), sigma), F.lit(0.0))
     return out.select(
-        "feature", "n1", "n2", "ks", _kolmogorov_tail(effective * F.col("ks")).alias("ks_p"), "wasserstein",
+        "feature", "n1", "n2", "ks", _kolmogorov_tail(effective * F.col("ks")).alias("ks_p"),
+        # a single common value has no following value to sum over; a missing sample has no distance
+        F.when(F.col("ks").isNotNull(), F.coalesce("wasserstein", F.lit(0.0))).alias("wasserstein"),
         u.alias("mann_whitney_u"),
         _two_sided_normal(z).alias("mann_whitney_p"))
 
