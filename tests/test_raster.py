@@ -1,7 +1,6 @@
 """Raster kernels against loops over pixels, and raster features on known images."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

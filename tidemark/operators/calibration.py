@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluation import TIGHT_M, ratio
+from tidemark.operators.evaluation import TIGHT_M
 
 # Ten equal bins on [0, 1], open on the left and closed on the right.
 BIN_EDGES = [i * 0.1 for i in range(10)] + [1.0]

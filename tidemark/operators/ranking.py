@@ -1,10 +1,10 @@
 """Exact ranks, running totals and rolling windows that survive a hot key.
 
 A plain ``Window.partitionBy(key).orderBy(v)`` sends every row of a key to one
-task.  The functions here cut each key into order-preserving *chunks* at
-approximate quantiles, run the window inside ``(key, chunk)`` and add what the
-earlier chunks contribute from a tiny per-chunk table, so the result is exact
-and a key holding a third of the data is spread over many tasks.
+task.  The functions here find the hot keys, cut those into order-preserving
+*chunks* at approximate quantiles, run the window inside ``(key, chunk)`` and add
+what the earlier chunks contribute from a tiny per-chunk table, so the result is
+exact and a key holding a third of the data is spread over many tasks.
 """
 
 from __future__ import annotations
