@@ -24,7 +24,7 @@ v_cum AS (SELECT *, sum(n1) OVER w AS c1, sum(n2) OVER w AS c2, sum(n) OVER w AS
   WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
 v_dist AS (SELECT feature, max(t1)::BIGINT AS n1, max(t2)::BIGINT AS n2,
   max(abs(c1 / t1::DOUBLE - c2 / t2::DOUBLE)) AS ks,
-  sum(abs(c1 / t1::DOUBLE - c2 / t2::DOUBLE) * (nxt - value)) AS wasserstein,
+  coalesce(sum(abs(c1 / t1::DOUBLE - c2 / t2::DOUBLE) * (nxt - value)), 0) AS wasserstein,
   sum(n1 * (c - (n - 1) / 2::DOUBLE)) - max(t1)::DOUBLE * (max(t1) + 1) / 2 AS u FROM v_cum GROUP BY feature)"""
 
 
