@@ -1,4 +1,4 @@
 """Importing this module registers the queries of the subpackage."""
 
-from tidemark.llm import decontamination, language, quality, secrets, sentencepieces, simhash, toxicity  # noqa: F401
+from tidemark.llm import decontamination, language, quality, secrets, sentencepieces, simhash, toxicity, urls, vectors  # noqa: F401
 from tidemark.llm.registry import QUERIES, SQL  # noqa: F401
