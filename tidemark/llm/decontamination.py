@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.registry import query
+from tidemark.llm.rows import without
 from tidemark.llm.text import MULTIPLIER, Words, chunks, mix
 from tidemark.sources.tables import table
 
@@ -126,7 +127,7 @@ def _bit_filter(spark: SparkSession, keys: DataFrame):
     """Bits of all fingerprints, gathered as at most ``FILTER_BITS / 64`` words."""
     slot = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = (keys.select(F.shiftright(slot, 6).alias("word"),
-                         F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+                         F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
              .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     for word, value in words:
@@ -169,6 +170,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
         (F.size("spans") > 0).alias("contaminated"), "spans", "uid")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window."""
+    return without(docs, contamination(docs, benchmark, length).filter("contaminated"))
+
+
 _SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

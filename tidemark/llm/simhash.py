@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.registry import query
+from tidemark.llm.rows import without
 from tidemark.llm.text import LOWER, chunks
 from tidemark.sources.tables import pin, table
 
@@ -196,9 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id, the first row on ties."""
-    out = near_duplicates(docs).filter("uid != keeper").select(F.col("uid").alias("_out"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(out.hint("shuffle_hash"), F.col("_row") == F.col("_out"), "left_anti").drop("_row")
+    return without(docs, near_duplicates(docs).filter("uid != keeper"))
 
 
 @query("op8_simhash")
