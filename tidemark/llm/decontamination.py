@@ -76,7 +76,7 @@ def _fingerprints(column: pa.Array, lengths: list[int], bits: np.ndarray | None)
             k = min(GRAM, length)
             at, gram = winnow(hashes, remaining, length, k)
             if bits is not None:
-                slot = gram & np.uint64(FILTER_BITS - 1)
+                slot = gram & np.uint64(64 * len(bits) - 1)
                 at_bits = bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))
                 passed = (at_bits & np.uint64(1)).astype(bool)
                 at, gram = at[passed], gram[passed]

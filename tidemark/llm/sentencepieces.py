@@ -29,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidemark.llm.registry import query
 from tidemark.sources.tables import table
@@ -290,7 +291,7 @@ def encoded(docs: DataFrame, model_path: str, carry: list[str] | None = None) ->
     """
     carry = carry or []
     packed = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = docs.select(*carry).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = StructType([*docs.select(*carry).schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(packed.value)

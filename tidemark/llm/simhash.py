@@ -144,7 +144,7 @@ def _midpoints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _links_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_of_lists(batches: Iterator[pa.RecordBatch], pairwise: int) -> Iterator[pa.RecordBatch]:
     """Rows (slot, bytes, fp), sorted, to links between fingerprints: a spanning star per linked set of a list."""
     rest = None
     for batch in batches:
@@ -156,38 +156,38 @@ def _links_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not len(first):
             continue
         rest = [x[first[-1]:] for x in now]
-        yield _links(fp[:first[-1]], first[:-1])
+        yield _links(fp[:first[-1]], first[:-1], pairwise)
     if rest is not None:
-        yield _links(rest[2], np.zeros(1, int))
+        yield _links(rest[2], np.zeros(1, int), pairwise)
 
 
-def _links(fp: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+def _links(fp: np.ndarray, first: np.ndarray, pairwise: int) -> pa.RecordBatch:
     u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.diff(np.r_[first, len(fp)])
     for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
         values = fp[at:at + n].view(np.uint64)
-        root = _roots(_pairs(values) if n <= PAIRWISE else _midpoints(values), n)
+        root = _roots(_pairs(values) if n <= pairwise else _midpoints(values), n)
         moved = np.flatnonzero(root != np.arange(n))
         u.append(fp[at:at + n][moved])
         v.append(fp[at:at + n][root[moved]])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
 
-def linked(prints: DataFrame) -> DataFrame:
+def linked(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) at ``DISTANCE`` or fewer bits; components are complete."""
     listed = prints.select("fp", F.inline(F.array(*[
         F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes"))
         for i, m in enumerate(MASKS)])))
     lists = listed.repartition("slot", "bytes").sortWithinPartitions("slot", "bytes")
-    return lists.mapInArrow(_links_of_lists, "u bigint, v bigint")
+    return lists.mapInArrow(lambda batches: _links_of_lists(batches, pairwise), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """Per document: uid, doc_id, fingerprint, component_id, and ``keeper``, the uid of its component's first document."""
     prints = pin(with_fingerprints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid"))
     classes = prints.groupBy("fp").agg(first.alias("first"))
-    roots = components(linked(classes.select("fp"))).withColumnsRenamed({"node": "fp"})
+    roots = components(linked(classes.select("fp"), pairwise)).withColumnsRenamed({"node": "fp"})
     rooted = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     of_class = rooted.join(best, "root").select("fp", "best.doc_id", "best.uid")
