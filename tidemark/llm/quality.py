@@ -135,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
         return nothing
     rows = docs.filter("length(text) > 0").select("doc_id", "text")
     # One row of equal texts is enough: copies would be learned by heart.
-    sample = pin(per_class(judged, "quality", PER_CLASS, "doc_id").join(rows, "doc_id").dropDuplicates(["text"])
+    # The chosen labels are about 2 * PER_CLASS rows whatever the input: sent to the texts, which then stay where they are.
+    chosen = F.broadcast(per_class(judged, "quality", PER_CLASS, "doc_id"))
+    sample = pin(rows.join(chosen, "doc_id").dropDuplicates(["text"])
                  .select("quality", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("learn")))
     pieces = sample.filter("learn").mapInArrow(_pieces, "quality int, piece binary").collect()
     sides = [[bytes(p.piece) for p in pieces if p.quality == k] for k in (1, 0)]
