@@ -35,7 +35,7 @@ def test_windows_equal_the_table(spark, tmp_path):
 def test_degradation_over_batches_equals_the_table(spark, tmp_path):
     for part in range(4):
         write(spark, rows(90, part * 90), tmp_path / "in")
-    mon = monitor.DegradationMonitor(spark, str(tmp_path / "state"))
+    mon = monitor.DegradationMonitor(spark, root=str(tmp_path / "state"))
     got = mon.run(stream_of(spark, tmp_path / "in").drop("ts"))
     assert mon.last == 3
     want = tm.degradation(spark.read.parquet(str(tmp_path / "in")), ["component"], accuracy="accuracy")
@@ -56,10 +56,20 @@ def test_cool_down_state_survives_batches(spark, tmp_path):
     assert sorted(r["at"] / 60 for r in out.collect()) == [0, 15, 30, 60]
 
 
-def test_repeats_inside_the_limit_are_dropped(spark, tmp_path):
-    write(spark, [(0.0, 1, "a", 1.0, 1.0, False, 0.0), (60.0, 2, "a", 1.0, 1.0, False, 0.0), (60.0, 3, "b", 1.0, 1.0, False, 0.0)], tmp_path / "in")
-    out = monitor.run_available(monitor.without_recent_repeats(stream_of(spark, tmp_path / "in"), "component"), "once")
-    assert sorted(r["component"] for r in out.collect()) == ["a", "b"]
+@pytest.mark.parametrize("parts", [[[0, 4, 6, 11]], [[0, 4], [6], [11]], [[0], [4, 6, 11]]])
+def test_results_are_reused_for_five_minutes_after_they_were_computed(spark, tmp_path, parts):
+    for minutes in parts:
+        write(spark, [(6e4 + 60 * m, m, "a", 1.0, 1.0, False, 0.0) for m in minutes] + [(6e4 + 60 * m, 100 + m, "b", 1.0, 1.0, False, 0.0) for m in minutes if m], tmp_path / "in")
+    out = monitor.run_available(monitor.reused_stream(stream_of(spark, tmp_path / "in"), "component", "event_id"), "reuse")
+    got = {r["ident"]: r["reuse_of"] for r in out.collect()}
+    assert got == {0: None, 4: 0, 6: None, 11: None, 104: None, 106: 104, 111: None}
+
+
+def test_degradation_goes_on_from_an_earlier_run(spark, tmp_path):
+    write(spark, rows(90), tmp_path / "in")
+    for _ in range(2):      # the second run finds no new data
+        got = monitor.DegradationMonitor(spark, root=str(tmp_path / "state")).run(stream_of(spark, tmp_path / "in").drop("ts"))
+        assert got.count() == 2
 
 
 def test_late_rows_are_counted(spark, tmp_path):
@@ -70,7 +80,6 @@ def test_late_rows_are_counted(spark, tmp_path):
     def once():
         q = (summary.writeStream.format("parquet").option("path", str(tmp_path / "out"))
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-        q.awaitTermination()
         return monitor.late_rows(q)
     assert once() == 0
     write(spark, rows(4, 0), path)      # an hour behind the watermark
@@ -92,9 +101,10 @@ def test_scoring_failures_become_null_rows(spark, tmp_path):
 
 
 def test_alert_rules_and_speed_flags(spark):
-    metrics = spark.createDataFrame([(1.0, 90.0, 96.0, 0.2, 20000.0, 95.0, 100.0), (2.0, 10.0, 10.0, 0.0, 1.0, 0.0, 0.0)],
+    metrics = spark.createDataFrame([(1.0, 90.0, 96.0, 0.2, 20000.0, 95.0, 100.0, True), (2.0, 10.0, 10.0, 0.0, 1.0, 0.0, 0.0, True),
+                                     (3.0, 10.0, 10.0, 0.0, 1.0, 95.0, 100.0, False)],
                                     "at double, cpu_usage_percent double, memory_usage_percent double, error_rate double, "
-                                    "avg_duration_ms double, gpu_memory_used_mb double, gpu_memory_total_mb double")
+                                    "avg_duration_ms double, gpu_memory_used_mb double, gpu_memory_total_mb double, gpu_available boolean")
     got = tm.alerts(metrics, tm.ALERT_RULES, ["at"]).collect()
     assert {r["rule_id"] for r in got} == {r.rule_id for r in tm.ALERT_RULES} and {r["at"] for r in got} == {1.0}
     flags = tm.speed_flags(spark.createDataFrame([(150.0,), (6000.0,), (20000.0,)], "duration_ms double")).collect()

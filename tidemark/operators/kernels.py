@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Kernel = Callable[..., dict[str, np.ndarray]]
+LEAST_SIDE = 2              # smaller rasters have no neighbourhood
 STACK_PIXELS = 1 << 22      # pixels worked on at once, so the working arrays stay small for large photos
 
 
@@ -23,7 +25,8 @@ def apply_kernel(df: DataFrame, kernel: Kernel, outputs: str, arrays: Sequence[s
     """Add the columns ``outputs`` (DDL) that ``kernel(*arrays)`` computes from the raster columns ``arrays``.
 
     Rasters are dropped from the result unless ``keep_arrays``.  A kernel output is
-    ``(n,)`` for a number or ``(n, h, w)`` for a raster.
+    ``(n,)`` for a number or ``(n, h, w)`` for a raster.  A raster that is missing, below ``LEAST_SIDE`` pixels on a
+    side, or not ``h * w`` long (an unreadable file, a broken row) gives nulls in all of them.
     """
     added = StructType.fromDDL(outputs)
     kept = [f for f in df.schema.fields if keep_arrays or f.name not in arrays]
@@ -33,10 +36,11 @@ def apply_kernel(df: DataFrame, kernel: Kernel, outputs: str, arrays: Sequence[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, w = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("h", "w"))
+            h, w = (pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False) for c in ("h", "w"))
             results = {f.name: [None] * batch.num_rows for f in added.fields}
-            for size in sorted(set(zip(h.tolist(), w.tolist()))):
-                same = np.flatnonzero((h == size[0]) & (w == size[1]))
+            whole = _whole(batch, arrays)
+            for size in sorted({(int(a), int(b)) for a, b in zip(h[whole], w[whole])}):
+                same = np.flatnonzero(whole & (h == size[0]) & (w == size[1]))
                 step = max(1, STACK_PIXELS // max(1, size[0] * size[1]))
                 for rows in (same[i:i + step] for i in range(0, len(same), step)):
                     picked = batch.take(pa.array(rows))
@@ -52,6 +56,19 @@ def apply_kernel(df: DataFrame, kernel: Kernel, outputs: str, arrays: Sequence[s
     return df.mapInArrow(run, schema)
 
 
+def _whole(batch: pa.RecordBatch, arrays: Sequence[str]) -> np.ndarray:
+    """Rows whose rasters can be worked on."""
+    h, w = (pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w"))
+    ok = (h >= LEAST_SIDE) & (w >= LEAST_SIDE)
+    for name in arrays:
+        column = batch.column(name)
+        length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        ok &= length == h * w
+        if column.flatten().null_count:
+            ok &= np.array([x.is_valid and x.values.null_count == 0 for x in column], bool)
+    return ok
+
+
 def _pad(a: np.ndarray, r: int, border: str) -> np.ndarray:
     """Border pixels: ``mirror`` repeats no edge pixel, ``reflect`` repeats it."""
     return np.pad(a, ((0, 0), (r, r), (r, r)), mode={"mirror": "reflect", "reflect": "symmetric"}[border])

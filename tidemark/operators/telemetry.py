@@ -40,7 +40,7 @@ ALERT_RULES = [
     AlertRule("error_rate_high", "error_rate_high", "error", "error_rate > 0.1D", "High Error Rate Detected"),
     AlertRule("slow", "performance_degradation", "warning", "avg_duration_ms > 10000", "Performance Degradation Detected"),
     AlertRule("gpu_memory", "resource_exhaustion", "error",
-              "gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1) > 0.9D", "GPU Memory Exhaustion"),
+              "gpu_available AND gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1) > 0.9D", "GPU Memory Exhaustion"),
 ]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +52,12 @@ def stream_slow_ops(spark: SparkSession, d: str) -> DataFrame:
 
 
 HOURLY = """v_met AS (SELECT (floor(secs / 3600) * 3600)::BIGINT AS secs, component, avg(memory_mb) * 1.4::DOUBLE AS memory_usage_percent,
-  count_if(error_occurred) / count(*)::DOUBLE AS error_rate, avg(duration_ms) * 100 AS avg_duration_ms FROM v_tel
+  count_if(error_occurred) / count(*)::DOUBLE AS error_rate, avg(duration_ms) * 100 AS avg_duration_ms,
+  max(duration_ms) / 5 AS cpu_usage_percent, max(duration_ms) AS gpu_memory_used_mb FROM v_tel
   WHERE floor(secs / 3600) * 3600 + 3600 <= (SELECT mark FROM v_now) GROUP BY 1, 2),
 t AS (SELECT component, r.rule_id, m.secs FROM v_met m, LATERAL (VALUES ('memory_high', memory_usage_percent > 85),
-  ('memory_critical', memory_usage_percent > 95), ('error_rate_high', error_rate > 0.1::DOUBLE), ('slow', avg_duration_ms > 10000)) AS r(rule_id, hit) WHERE r.hit),
+  ('memory_critical', memory_usage_percent > 95), ('error_rate_high', error_rate > 0.1::DOUBLE), ('slow', avg_duration_ms > 10000),
+  ('cpu_high', cpu_usage_percent > 85), ('gpu_memory', gpu_memory_used_mb / 500 > 0.9::DOUBLE)) AS r(rule_id, hit) WHERE r.hit),
 j AS (SELECT component, rule_id, secs, min(secs) OVER (PARTITION BY component, rule_id ORDER BY secs RANGE BETWEEN 14400 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
 chain AS (SELECT component, rule_id, min(secs) AS secs FROM t GROUP BY 1, 2 UNION ALL SELECT c.component, c.rule_id, j.nxt FROM chain c
   JOIN j ON j.component = c.component AND j.rule_id = c.rule_id AND j.secs = c.secs WHERE j.nxt IS NOT NULL)"""
@@ -63,9 +67,10 @@ chain AS (SELECT component, rule_id, min(secs) AS secs FROM t GROUP BY 1, 2 UNIO
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     hourly = monitor.summary_stream(event_stream(spark, d), ["component"], "1 hour").select(
         F.unix_seconds("window.start").alias("at"), "component", (F.col("avg_mb") * 1.4).alias("memory_usage_percent"),
-        (F.col("errors") / F.col("n")).alias("error_rate"), (F.col("avg_duration_ms") * 100).alias("avg_duration_ms"))
-    rules = [r for r in tm.ALERT_RULES if r.rule_id not in ("cpu_high", "gpu_memory")]
-    fired = tm.alerts(monitor.staged(hourly, "hourly"), rules, ["at", "component"])
+        (F.col("errors") / F.col("n")).alias("error_rate"), (F.col("avg_duration_ms") * 100).alias("avg_duration_ms"),
+        (F.col("max_ms") / 5).alias("cpu_usage_percent"), F.lit(True).alias("gpu_available"), F.col("max_ms").alias("gpu_memory_used_mb"),
+        F.lit(500.0).alias("gpu_memory_total_mb"))
+    fired = tm.alerts(monitor.staged(hourly, "hourly"), tm.ALERT_RULES, ["at", "component"])
     out = monitor.cooled_down_stream(fired, ["component", "rule_id"], minutes=240)
     return monitor.run_available(out, "alerts").withColumnRenamed("at", "secs")
 
@@ -74,17 +79,31 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
   round(er, 6) AS error_rate, round(tr, 6) AS accuracy_trend, array_to_string(rs, '; ') AS reasons, len(rs) > 0 AS is_degraded FROM f""")
 def stream_degradation(spark: SparkSession, d: str) -> DataFrame:
     stream = event_stream(spark, d).withColumns({"memory_mb": F.col("memory_mb") * 20, "accuracy": F.col("duration_ms")})
-    out = monitor.DegradationMonitor(spark).run(stream)
+    out = monitor.DegradationMonitor(spark, f"degradation-{uuid.uuid4().hex}").run(stream)
     return rounded(out.withColumn("reasons", as_text("reasons")))
 
 
-@query("stream_sessions")
+@query("stream_sessions", with_views(TEL, CLOSED) + """, g AS (SELECT component, secs, duration_ms,
+    CASE WHEN secs - lag(secs) OVER (PARTITION BY component ORDER BY secs) <= 1800 THEN 0 ELSE 1 END AS new FROM v_tel),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY component ORDER BY secs ROWS UNBOUNDED PRECEDING) AS session FROM g)
+  SELECT component, floor(min(secs))::BIGINT AS session_start, count(*) AS n, round(avg(duration_ms), 6) AS avg_ms FROM s
+  GROUP BY component, session HAVING max(secs) + 1800 <= (SELECT mark FROM v_now)""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = monitor.run_available(monitor.session_stream(event_stream(spark, d), "component", "30 minutes"), "sessions")
     return rounded(out.select("component", F.unix_seconds("session.start").alias("session_start"), "n", "avg_ms"))
 
 
-@query("stream_reuse")
+REUSE = """v_h AS (SELECT event_id, secs, md5(component || '-' || operation) AS hash FROM v_tel),
+j AS (SELECT hash, secs, min(secs) OVER (PARTITION BY hash ORDER BY secs RANGE BETWEEN 300 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
+  FROM (SELECT DISTINCT hash, secs FROM v_h)),
+chain AS (SELECT hash, min(secs) AS secs FROM v_h GROUP BY hash UNION ALL SELECT c.hash, j.nxt FROM chain c
+  JOIN j ON j.hash = c.hash AND j.secs = c.secs WHERE j.nxt IS NOT NULL),
+done AS (SELECT hash, secs, min(event_id) AS id FROM chain JOIN v_h USING (hash, secs) GROUP BY hash, secs)"""
+
+
+@query("stream_reuse", with_views(TEL, REUSE).replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT event_id, h.hash,
+  CASE WHEN done.id <> event_id THEN done.id END AS reuse_of FROM v_h h ASOF JOIN done ON h.hash = done.hash AND h.secs >= done.secs""")
 def stream_reuse(spark: SparkSession, d: str) -> DataFrame:
     requests = event_stream(spark, d).select("event_id", "ts", F.md5(F.concat_ws("-", "component", "operation").cast("binary")).alias("hash"))
-    return monitor.run_available(monitor.without_recent_repeats(requests, "hash"), "reuse").select("event_id", "hash")
+    out = monitor.run_available(monitor.reused_stream(requests, "hash", "event_id"), "reuse")
+    return out.select(F.col("ident").alias("event_id"), "hash", "reuse_of")

@@ -26,6 +26,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the paths that a glob pattern finds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return [f.getPath().getName() for f in found or []]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scan_files(spark: SparkSession, path: str, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> DataFrame:
     """Files below ``path`` with an accepted extension (any case); contents are not read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) \
@@ -35,22 +48,22 @@ def scan_files(spark: SparkSession, path: str, extensions: Sequence[str] = IMAGE
 
 
 def scan_images(spark: SparkSession, path: str, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> DataFrame:
-    """File listing with decoded size, channels and bytes; unreadable files have ``is_corrupted``.
+    """Decoded size, channels and bytes of the image files below ``path``; unreadable files have ``is_corrupted``.
 
-    WebP has no decoder in the JVM and is reported as unreadable.
+    One scan: size and time of a file come with the decoded image, and only files with an accepted extension are
+    opened. WebP has no decoder in the JVM and is reported as unreadable.
     """
-    decoded = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
-    decoded = decoded.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"),
-                             F.col("image.width").alias("w"), F.col("image.nChannels").alias("channels"),
-                             F.col("image.data").alias("data"))
-    # both sources spell the scheme differently (file:/ and file:///)
-    listing = scan_files(spark, path, extensions).withColumn("_p", _plain("path"))
-    joined = listing.join(decoded.withColumn("_p", _plain("path")).drop("path"), "_p", "left").drop("_p")
-    return joined.withColumn("is_corrupted", F.coalesce(F.col("h") <= 0, F.lit(True)))
-
-
-def _plain(column: str) -> Column:
-    return F.regexp_replace(column, "^[a-z0-9]+:/+", "/")
+    # a glob knows no case, so each letter is given both ways
+    both = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    decoded = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", f"*.{{{both}}}").load(path)
+    size = F.col("image.height")
+    return decoded.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"),
+        F.col("_metadata.file_size").alias("length"), F.lower(F.regexp_extract("_metadata.file_path", r"\.([^./]+)$", 1)).alias("ext"),
+        F.when(size > 0, size).alias("h"), F.when(size > 0, F.col("image.width")).alias("w"),
+        F.when(size > 0, F.col("image.nChannels")).alias("channels"), F.when(size > 0, F.col("image.data")).alias("data"),
+        F.coalesce(size <= 0, F.lit(True)).alias("is_corrupted"))
 
 
 def planes(df: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ def planes(df: DataFrame) -> DataFrame:
             out = {"r": [], "g": [], "b": []}
             for data, n in zip(batch.column("data"), batch.column("channels")):
                 n = n.as_py()
-                raw = None if n is None or n <= 0 else np.frombuffer(data.as_py(), np.uint8).reshape(-1, n)
+                raw = None if n is None or n <= 0 or not data.is_valid else np.frombuffer(data.as_py(), np.uint8).reshape(-1, n)
                 for name, i in (("b", 0), ("g", 1), ("r", 2)):      # decoded bytes are blue first
                     out[name].append(None if raw is None else raw[:, i if n >= 3 else 0].astype(np.float64))
             yield pa.RecordBatch.from_arrays(
@@ -78,17 +91,24 @@ def planes(df: DataFrame) -> DataFrame:
 
 
 def scan_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Two-dimensional ``.npy`` arrays as ``(path, h, w, px)``; pickled content is refused."""
+    """Two-dimensional ``.npy`` arrays as ``(path, h, w, px)``; other, broken or pickled content gives nulls."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy") \
         .load(path).select("path", "content")
 
+    def read(content: bytes) -> np.ndarray | None:
+        try:
+            found = np.load(io.BytesIO(content), allow_pickle=False)
+            return found.astype(np.float32) if isinstance(found, np.ndarray) and found.ndim == 2 else None
+        except (ValueError, EOFError, OSError, TypeError):
+            return None
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [np.load(io.BytesIO(c.as_py()), allow_pickle=False) for c in batch.column("content")]
+            arrays = [read(c.as_py()) for c in batch.column("content")]
             yield pa.RecordBatch.from_arrays([
-                batch.column("path"), pa.array([a.shape[0] for a in arrays], pa.int32()),
-                pa.array([a.shape[1] for a in arrays], pa.int32()),
-                pa.array([a.astype(np.float32).ravel() for a in arrays], pa.list_(pa.float32()))],
+                batch.column("path"), pa.array([None if a is None else a.shape[0] for a in arrays], pa.int32()),
+                pa.array([None if a is None else a.shape[1] for a in arrays], pa.int32()),
+                pa.array([None if a is None else a.ravel() for a in arrays], pa.list_(pa.float32()))],
                 names=["path", "h", "w", "px"])
     return raw.mapInArrow(decode, ARRAY_SCHEMA)
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import telemetry as tm
 from tidemark.operators.ranking import first_per_key
-from tidemark.sources.files import path_exists
+from tidemark.sources.files import drop_path, folders, path_exists
 from tidemark.sources.tables import shared_dir
 
 
@@ -83,14 +83,52 @@ def cooled_down_stream(fired: DataFrame, keys: Sequence[str], *, minutes: float
         walk, schema, "last double", "append", "NoTimeout")
 
 
-def without_recent_repeats(stream: DataFrame, key: str, ttl: str = "5 minutes", ts: str = "ts") -> DataFrame:
-    """First request of each content within the time limit; repeats are answered from the stored result."""
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+def reused_stream(stream: DataFrame, key: str, ident: str, *, ts: str = "ts", ttl_seconds: float = 300.0,
+                  lateness: str = "10 minutes") -> DataFrame:
+    """Every request with ``reuse_of``, the request whose stored result answers it; null if it is computed anew.
+
+    A result answers requests of the same content for ``ttl_seconds`` after it was *computed*; answers from it do not
+    prolong its life. The state of a content is the time and id of its last computed result and goes when
+    the watermark has passed its end. Rows of a content are walked in event time by jumps from one computed
+    request to the next, so batch borders make no difference to rows that come in time.
+    """
+    rows = stream.withWatermark(ts, lateness).select(F.col(ident).alias("ident"), key, ts, (F.unix_micros(ts) / 1e6).alias("at"))
+    schema = f"ident bigint, {key} string, at double, reuse_of bigint"
+
+    def walk(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = pd.concat(list(batches)).sort_values(["at", "ident"])
+        at, ids = frame["at"].to_numpy(), frame["ident"].to_numpy()
+        reuse = pd.array([None] * len(at), dtype="Int64")
+        start, (last, holder) = 0, state.get if state.exists else (None, None)
+        if last is not None:
+            start = int(at.searchsorted(last + ttl_seconds))
+            reuse[:start] = holder
+        while start < len(at):
+            last, holder = float(at[start]), int(ids[start])
+            stop = max(start + 1, int(at.searchsorted(last + ttl_seconds)))
+            reuse[start + 1:stop] = holder
+            start = stop
+        state.update((last, holder))
+        state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"ident": ids, key: group[0], "at": at, "reuse_of": reuse})
+    return rows.groupBy(key).applyInPandasWithState(walk, schema, "last double, holder bigint", "append", "EventTimeTimeout")
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that arrived behind the watermark, summed over the query's recent progress."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+    """Rows that arrived behind the watermark, over all batches; follows the query until it ends.
+
+    Spark keeps only the last progress records, so they are read while the query runs and counted by batch.
+    """
+    seen: dict[int, int] = {}
+    while True:
+        ended = query.awaitTermination(0.2)
+        for p in query.recentProgress:
+            seen[p["batchId"]] = sum(int(op["numRowsDroppedByWatermark"]) for op in p["stateOperators"])
+        if ended or not query.isActive:
+            return sum(seen.values())
 
 
 class DegradationMonitor:
@@ -104,9 +142,10 @@ class DegradationMonitor:
 
     COLUMNS = ["at", "event_id", "component", "duration_ms", "memory_mb", "error_occurred", "accuracy"]
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, name: str = "degradation", root: str | None = None):
+        """``root`` (by default ``name`` in the shared folder) holds the state; a monitor with the same root goes on from it."""
         self.spark = spark
-        self.root = root or _fresh(spark, "degradation")
+        self.root = root or f"{shared_dir(spark)}/{name}"
 
     def _state(self, epoch: int) -> str:
         return f"{self.root}/state/epoch={epoch}"
@@ -122,14 +161,24 @@ class DegradationMonitor:
             .write.mode("overwrite").parquet(self._state(epoch))
         report = tm.degradation(self.spark.read.parquet(self._state(epoch)), ["component"], accuracy="accuracy")
         report.write.mode("overwrite").parquet(f"{self.root}/report/epoch={epoch}")
-        self.last = epoch
+        for folder in ("state", "report"):  # the batch before may have to be run again; older ones may not
+            drop_path(self.spark, f"{self.root}/{folder}/epoch={epoch - 2}")
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Process what is available now and return the latest report."""
         query = (stream.writeStream.foreachBatch(self.step).option("checkpointLocation", f"{self.root}/checkpoint")
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-        return self.spark.read.parquet(f"{self.root}/report/epoch={self.last}")
+        last = self.last
+        if last is None:
+            raise ValueError("no data has been seen yet")
+        return self.spark.read.parquet(f"{self.root}/report/epoch={last}")
+
+    @property
+    def last(self) -> int | None:
+        """Number of the last batch with a report, also of an earlier run."""
+        found = folders(self.spark, f"{self.root}/report/epoch=*")
+        return max((int(name.partition("=")[2]) for name in found), default=None)
 
 
 def observed(df: DataFrame, name: str) -> DataFrame:
