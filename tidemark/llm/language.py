@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.registry import query
 from tidemark.llm.sampling import in_fold, per_class
-from tidemark.llm.text import Words, chunks
+from tidemark.llm.text import Words, chunks, slices
 from tidemark.sources.tables import table
 
 UNKNOWN = "und"
@@ -208,7 +208,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~in_fold("doc_id", FOLDS, HELD_OUT))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             labels, scores = predict(batch.column("text"), sent.value)
             yield batch.filter(pa.array([x != UNKNOWN and s >= LEAST_SCORE for x, s in zip(labels, scores)], pa.bool_()))
 

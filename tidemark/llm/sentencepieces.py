@@ -36,7 +36,7 @@ from tidemark.sources.tables import table
 
 SPACE = "▁"
 #: Stretches kept per worker; when full, the memory starts anew.
-KEPT = 600_000
+KEPT = 200_000
 #: Longer stretches are not kept.
 _LONG = 48
 _ROWS = 256

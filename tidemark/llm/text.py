@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
@@ -30,7 +30,7 @@ def _geometric(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept for the next chunk unless a giant text needed it."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        grown = np.empty(max(n, CHUNK * 2), np.uint64)
+        grown = np.empty(max(n, CHUNK + (CHUNK >> 2)), np.uint64)
         grown[0] = 1
         done, step = 1, base
         while done < len(grown):
@@ -38,7 +38,7 @@ def _geometric(base: int, n: int) -> np.ndarray:
             np.multiply(grown[:more], np.uint64(step), out=grown[done:done + more])
             done, step = done + more, step * step % (1 << 64)
         have = grown
-        if n <= CHUNK * 8:
+        if n <= 2 * CHUNK:
             _powers[base] = grown
     return have[:n]
 
@@ -74,6 +74,12 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what is made from one part is handed on before the next is begun."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 class Words:
     """Words of a chunk: byte borders, first word of each text (``bounds``) and a 64-bit hash per word."""
 
