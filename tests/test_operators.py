@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
-from tidemark.operators import bands, calibration, drift, evaluation, gates, joins, labels, lineage, predictions, profiling
+from tidemark.operators import bands, calibration, drift, evaluation, gates, joins, labels, lineage, predictions, profiling, rules
 from tidemark.operators import telemetry as tm
-from tidemark.sources.tables import broadcast_within, literal_table
+from tidemark.operators.ranking import hot_groups
+from tidemark.sources.tables import literal_table
 
 
 def one(df):
@@ -48,7 +49,7 @@ def test_absent_class_has_zero_scores(spark):
 def test_ensemble_breaks_ties_to_the_smaller_label(spark):
     df = spark.createDataFrame([(1, 2, 1.0), (1, 0, 2.0), (2, 1, 3.0), (2, 1, 5.0), (2, 0, 4.0)], "item int, d int, h double")
     got = {r["item"]: r for r in evaluation.ensemble(df, "item", ["d"], {"height": "h"}).collect()}
-    assert got[1]["d"] == "0" and got[2]["d"] == "1" and got[2]["height"] == 4.0 and got[2]["num_models"] == 3
+    assert got[1]["d"] == 0 and got[2]["d"] == 1 and got[2]["height"] == 4.0 and got[2]["num_models"] == 3
 
 
 # --- calibration -----------------------------------------------------------------------------------
@@ -180,6 +181,20 @@ def test_alias_columns_and_zero_columns(spark):
     out = gates.normalise_columns(df)
     assert set(out.columns) == {"z", "k", "image", "wave_height"}
     assert set(gates.drop_all_zero(df.select("z", "k")).columns) == {"k"}
+    labelled = spark.createDataFrame([("LEFT",)], "direction_label string")
+    assert gates.normalise_columns(labelled).columns == ["wave_direction"]
+
+
+def test_ensemble_votes_on_text_labels(spark):
+    rows = [(1, "LEFT", 1.0, 2), (1, "RIGHT", 3.0, 2), (1, "RIGHT", None, 1), (2, "RIGHT", 2.0, 5), (2, "LEFT", 4.0, None), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "item int, d string, h double, b int")
+    got = {r["item"]: (r["mean"], r["num_models"], r["d"], r["b"]) for r in evaluation.ensemble(df, "item", ["d", "b"], {"mean": "h"}).collect()}
+    assert got == {1: (2.0, 3, "RIGHT", 2), 2: (3.0, 2, "LEFT", 5), 3: (None, 1, None, None)}
+
+
+def test_unknown_condition_is_no_category(spark):
+    df = spark.createDataFrame([(77, 1.0, "LEFT", "SPILLING")], "weather_id bigint, height_meters double, direction string, breaking_type string")
+    assert "" not in {r["category"] for r in labels.balance(df).collect()}
 
 
 def test_balance_scores(spark):
@@ -217,9 +232,13 @@ def test_reuse_needs_a_fresh_result(spark):
     assert got == {1: 10, 2: 10, 3: None, 4: None}
 
 
-def test_broadcast_only_below_the_bound(spark):
-    assert "broadcast" in broadcast_within(spark.range(5), 10)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_within(spark.range(50), 10)._jdf.queryExecution().analyzed().toString().lower()
+def test_salts_follow_the_share_of_a_key(spark):
+    left = spark.range(4000).select(F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    hot = hot_groups(left, ["k"])
+    assert len(hot) == 1 and hot.total == 4000
+    for partitions in (8, 100, 10_000):
+        wanted = left.select(hot.pieces(F.xxhash64("k"), partitions).alias("n"), "k").distinct().collect()
+        assert {r["n"] for r in wanted if r["k"] == 7} == {-(-3 * partitions // 4)} and {r["n"] for r in wanted if r["k"] != 7} == {1}
 
 
 # --- telemetry -------------------------------------------------------------------------------------
@@ -297,3 +316,23 @@ def test_lineage_steps_with_one_busy_dataset(spark):
     merged = got.dropna(subset=["sid"]).merge(want, on=["ds", "sid"], suffixes=("", "_w"))
     assert len(merged) == 2000 and (merged["position"] == merged["position_w"]).all()
     assert got[got["sid"].isna()]["ds"].tolist() == [4]
+
+
+def test_one_feature_drifts_and_the_mean_does_not(spark):
+    ks = spark.createDataFrame([("brightness", 0.3)] + [(f, 0.0) for f in drift.DRIFT_FEATURES[1:]], "feature string, ks double")
+    said = {r["text"] for r in joins.recommend(drift.drift_measures(ks), rules.DRIFT).collect()}
+    assert said == {"No significant data drift detected - dataset is stable"}
+    worse = spark.createDataFrame([("brightness", 0.9), ("contrast", 0.2)] + [(f, 0.0) for f in drift.DRIFT_FEATURES[2:]], "feature string, ks double")
+    said = {r["text"] for r in joins.recommend(drift.drift_measures(worse), rules.DRIFT).collect()}
+    assert len(said) == 5 and any("Brightness" in t for t in said) and any("Contrast" in t for t in said)
+
+
+def test_alerts_carry_message_actions_metrics_and_id(spark):
+    metrics = spark.createDataFrame([(100.0, "c1", 97.25, 0.0)], "at double, component string, memory_usage_percent double, error_rate double") \
+        .withColumns({c: F.lit(0.0) for c in ("cpu_usage_percent", "avg_duration_ms", "gpu_memory_used_mb", "gpu_memory_total_mb")}) \
+        .withColumn("gpu_available", F.lit(False))
+    got = {r["rule_id"]: r for r in tm.alerts(metrics, tm.ALERT_RULES, ["at", "component"]).collect()}
+    assert set(got) == {"memory_high", "memory_critical"}
+    row = got["memory_critical"]
+    assert row["message"] == "Memory usage is 97.3%, system may become unstable" and len(row["actions"]) == 4
+    assert row["alert_id"] == "resource_exhaustion_critical_100" and row["metrics"]["memory_usage_percent"] == 97.25

@@ -120,3 +120,30 @@ def test_first_per_key_cuts_before_the_shuffle(spark):
     _, df = skewed(spark)
     plan = rk.first_per_key(df, ["k"], [F.col("at"), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_chunks_stay_near_the_partition_count(spark):
+    """300 warm keys do not multiply the chunks; one hot key gets its share of them."""
+    df = spark.range(60_000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    chunks = rk.with_chunks(df, ["k"], "v", chunks=16, bounded_keys=True).select("k", "_chunk").distinct().count()
+    assert chunks <= 2 * 300
+    hot = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    per = rk.with_chunks(hot, ["k"], "v", chunks=64).filter("k = 0").groupBy("_chunk").count().collect()
+    assert 20 <= len(per) <= 64 and max(r["count"] for r in per) < 3_000
+
+
+def test_results_do_not_hang_on_exchange_reuse(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"))
+    points = {"q": 0.37}
+    with_reuse = rk.exact_percentiles(df, ["k"], "v", points, bounded_keys=True).orderBy("k").collect()
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert rk.exact_percentiles(df, ["k"], "v", points, bounded_keys=True).orderBy("k").collect() == with_reuse
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_a_long_list_of_keys_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(rk, "MOST_KEYS", 5)
+    with pytest.raises(ValueError, match="more than 5 keys"):
+        rk.with_chunks(spark.range(100).select("id", F.col("id").alias("v")), ["id"], "v", bounded_keys=True)

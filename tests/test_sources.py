@@ -124,3 +124,37 @@ def test_lineage_tables(spark, tmp_path):
     lineage.create_versions(new, versions)
     lineage.create_versions(new, versions)
     assert sorted(r["version"] for r in spark.read.parquet(versions).collect()) == ["1.0.0", "1.0.1"]
+
+
+def grey_png(pixels: np.ndarray) -> bytes:
+    h, w = pixels.shape
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
+    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
+            + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_features_of_good_and_bad_files(spark, tmp_path):
+    """Bad files give null features and a reason; the good ones agree with the features of their planes."""
+    rng = np.random.default_rng(1)
+    (tmp_path / "good.png").write_bytes(png(rng.integers(0, 256, (6, 8, 3), dtype=np.uint8)))
+    (tmp_path / "grey.PNG").write_bytes(grey_png(rng.integers(0, 256, (5, 7), dtype=np.uint8)))
+    (tmp_path / "cut.png").write_bytes(png(rng.integers(0, 256, (6, 8, 3), dtype=np.uint8))[:60])
+    (tmp_path / "one.png").write_bytes(png(np.full((1, 1, 3), 9, np.uint8)))
+    (tmp_path / "flat.png").write_bytes(png(np.full((1, 9, 3), 9, np.uint8)))
+    (tmp_path / "photo.webp").write_bytes(b"RIFF....WEBP")
+    (tmp_path / "notes.txt").write_text("no image")
+    images = files.scan_images(spark, str(tmp_path))
+    out = raster.image_features(images)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in out.collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {"good.png": None, "grey.PNG": None, "cut.png": "unreadable", "one.png": "too small",
+                                                        "flat.png": "too small", "photo.webp": "unreadable"}
+    assert all((r["brightness"] is None) == (r["reason"] is not None) for r in got.values()) and "data" not in out.columns
+    wide = {r["path"].rsplit("/", 1)[1]: r for r in raster.feature_vector(files.planes(images)).collect()}
+    for name in ("good.png", "grey.PNG"):
+        assert all(got[name][c] == pytest.approx(wide[name][c]) for c in raster.FEATURES)
+    assert all(wide[n]["brightness"] is None for n in ("cut.png", "one.png", "flat.png", "photo.webp"))
+    plan = images._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan

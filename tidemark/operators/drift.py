@@ -131,12 +131,31 @@ def kl_divergence(long: DataFrame, first: str, second: str, bins: int = KL_BINS)
 
 def drift_report(long: DataFrame, first: str, second: str, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """Mean KS over the features, whether it exceeds the threshold and which features do."""
-    ks = rank_distances(long, first, second)
+    return report_of(rank_distances(long, first, second), threshold)
+
+
+def report_of(ks: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """The same from one KS row per feature."""
     return ks.agg(
         F.avg("ks").alias("drift_score"), (F.avg("ks") > threshold).alias("drift_detected"),
         F.array_sort(F.collect_list(F.when(F.col("ks") > threshold, F.col("feature")))).alias("affected"))
 
 
+# The image features that a drift verdict is made of.
+DRIFT_FEATURES = ["brightness", "contrast", "saturation", "sharpness", "texture"]
+
+
+def drift_measures(ks: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """``(metric, value)`` rows for the drift texts: the verdict, and the features' KS only where there is drift.
+
+    ``ks`` has one row per feature. Without drift of the mean nothing is said about single features.
+    """
+    verdict = ks.agg(F.coalesce(F.avg("ks") > threshold, F.lit(False)).alias("detected"))
+    rows = F.array(F.struct(F.lit("drift_detected").alias("metric"), F.when(F.col("detected"), 1.0).otherwise(0.0).alias("value")))
+    single = ks.join(F.broadcast(verdict), F.col("detected"))  # one row against a row per feature
+    return verdict.select(F.inline(rows)).unionByName(single.select(F.col("feature").alias("metric"), F.col("ks").alias("value")))
+
+
 def compare_datasets(long: DataFrame, first: str, second: str, visual: Column) -> DataFrame:
     """One row comparing two datasets: distances and test statistics averaged over the features, and the match score.
 

@@ -155,18 +155,19 @@ def brier(df: DataFrame, task_columns: dict[str, tuple[str, str, str]], by: Sequ
 
 
 def ensemble(df: DataFrame, item: str, votes: Sequence[str], means: dict[str, str]) -> DataFrame:
-    """Mean of numeric outputs and majority vote of class outputs per item (ties: smallest label).
+    """Mean of numeric outputs and majority vote of class outputs per item; labels keep their type, ties go to the smallest.
 
     Votes are counted per ``(item, task, label)`` first, so the item with most
     models is never gathered in one place.
     """
-    task = F.array(*[F.struct(F.lit(v).alias("task"), F.col(v).cast("string").alias("label")) for v in votes])
-    counted = df.select(item, F.explode(task).alias("_t")) \
-        .groupBy(item, "_t.task", "_t.label").agg(F.count("*").alias("n"))
+    kinds = {v: df.schema[v].dataType for v in votes}
+    task = F.array(*[F.struct(F.lit(i).alias("task"), *[(F.col(w) if w == v else F.lit(None).cast(kinds[w])).alias(f"_v{j}")
+                                                        for j, w in enumerate(votes)]) for i, v in enumerate(votes)])
+    labels = [f"_v{j}" for j in range(len(votes))]
+    counted = df.select(item, F.inline(task)).groupBy(item, "task", *labels).agg(F.count("*").alias("n"))
     won = counted.groupBy(item).agg(*[
-        F.max_by(F.when(F.col("task") == v, F.col("label")),
-                 F.when(F.col("task") == v, F.struct(F.col("n"), -F.col("label").cast("bigint")))).alias(v)
-        for v in votes])
+        F.min_by(label, F.when(F.col("task") == j, F.struct(-F.col("n"), F.col(label).isNull(), F.col(label)))).alias(v)
+        for j, (v, label) in enumerate(zip(votes, labels))])
     averaged = df.groupBy(item).agg(*[F.avg(c).alias(o) for o, c in means.items()],
                                     F.count("*").alias("num_models"))
     return averaged.join(won, item)

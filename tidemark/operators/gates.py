@@ -135,7 +135,7 @@ def sample_frames(df: DataFrame, every: int, fps: float, frame: str = "frame") -
 ALIASES = {
     "image": ["image", "input", "inputs", "pixel_values", "rgb"],
     "wave_height": ["wave_height", "height", "height_meters"],
-    "direction": ["direction", "wave_direction"],
+    "wave_direction": ["wave_direction", "direction", "direction_label"],
     "breaking_type": ["breaking_type", "breaking"],
 }
 

@@ -7,30 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import asof_join, hot_groups
+from tidemark.operators.ranking import Hot, asof_join, hot_groups
 from tidemark.sources.tables import literal_table
 
-SALTS = 32
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, hot: list[int] | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, hot: Hot | None = None) -> DataFrame:
     """Equi-join (``inner``, ``left``, ``left_semi``, ``left_anti``) that spreads the hot keys of ``left``.
 
     Rows of a hot key get a salt from the row itself and the matching rows of
-    ``right`` (few per key) are copied once per salt; all other keys are joined
+    ``right`` (few per key) are copied once per salt; a key has as many salts as it holds partitions'
+    worth of rows.  All other keys are joined
     as usual in the same shuffle.  No row is dropped and none is doubled.
     ``hot`` passes in hot keys that are known already.
     """
     hot = hot_groups(left.filter(F.col(key).isNotNull()), [key]) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.xxhash64(key).isin(hot)
+    salts = hot.pieces(F.xxhash64(key), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))).cast("int")
     # from the row's own values, so that a task that is run again gives the same salts
     values = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    salted_left = left.withColumn("_salt", F.when(
-        is_hot, F.pmod(F.xxhash64(*values), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(copies))
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*values), salts).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 

@@ -90,7 +90,7 @@ def balance(df: DataFrame) -> DataFrame:
     """
     with_condition = df.join(F.broadcast(conditions(df)), "weather_id", "left").select(
         height_band(F.col("height_meters")).alias("height"), "direction", "breaking_type",
-        F.concat_ws("_", "lighting", "weather").alias("weather"))
+        F.concat(F.col("lighting"), F.lit("_"), F.col("weather")).alias("weather"))  # null for an unknown condition
     sets = with_condition.groupingSets([[d] for d in DIMENSIONS], *DIMENSIONS).agg(
         F.count("*").alias("n"), F.grouping_id().alias("_g"))
     # grouping_id has a 0 bit for the one column that is grouped

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import let
 from tidemark.operators.evaluation import extreme
 from tidemark.operators.ranking import exact_percentiles
 from tidemark.sources.tables import pin
@@ -25,8 +26,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Class probabilities from logits, shifted by the largest one."""
-    weights = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    # each part is bound once: the largest logit, the weights, their sum
+    return let(F.array_max(logits), lambda top: let(
+        F.transform(logits, lambda v: F.exp(v - top)), lambda weights: let(
+            F.aggregate(weights, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(weights, lambda w: w / total))))
 
 
 def argmax(values: Column) -> Column:

@@ -156,9 +156,12 @@ def dataset_checksum(df: DataFrame, by: Sequence[str], path: str = "path", lengt
         .alias("checksum"))
 
 
-def health_row(files: DataFrame, images: DataFrame, drift_score: Column, as_of: Column, *,
+def health_row(files: DataFrame, images: DataFrame, drift: DataFrame, as_of: Column, *,
                quality_threshold: float = 0.7, freshness_hours: float = 24.0) -> DataFrame:
-    """One health row: quality, drift, anomalies, missing and duplicate shares, format consistency, age, alerts."""
+    """One health row: quality, drift, anomalies, missing and duplicate shares, format consistency, age, alerts.
+
+    ``drift`` is the one row of ``drift_report`` against the baseline.
+    """
     score = quality_score(image_profile(images)).withColumn("_k", F.lit(1))
     formats = files.groupBy("ext").agg(F.count("*").alias("n")).agg(F.count("*").alias("formats"))
     copies = duplicate_count(files, "content_hash").select("duplicates")
@@ -166,16 +169,20 @@ def health_row(files: DataFrame, images: DataFrame, drift_score: Column, as_of:
         F.count("*").alias("total_samples"), F.count_if(~F.col("valid")).alias("_missing"),
         F.max("modified").alias("_last")).withColumn("_k", F.lit(1))
     age = (F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("_last").cast("timestamp"))) / 3600.0
-    row = listing.join(F.broadcast(score), "_k").select(
-        "total_samples", "quality_score", drift_score.alias("drift_score"), "anomaly_count",
+    drifted = drift.select(F.lit(1).alias("_k"), "drift_score", "drift_detected", "affected")
+    row = listing.join(F.broadcast(score), "_k").join(F.broadcast(drifted), "_k").select(
+        "total_samples", "quality_score", "drift_score", "drift_detected", "affected", "anomaly_count",
         (100 * ratio(F.col("_missing"), F.col("total_samples"))).alias("missing_percentage"),
         (100 * ratio(copies.scalar(), F.col("total_samples"))).alias("duplicate_percentage"),
         (1.0 / formats.scalar()).alias("format_consistency"), age.alias("freshness_hours"))
-    alerts = F.array_compact(F.array(
-        F.when(F.col("quality_score") < quality_threshold, F.lit("quality below threshold")),
-        F.when(F.col("drift_score") > 0.1, F.lit("data drift detected")),
-        F.when(F.col("freshness_hours") > freshness_hours, F.lit("data is stale"))))
-    return row.withColumn("alerts", alerts)
+    found = F.coalesce("drift_detected", F.lit(False))
+    features = F.transform("affected", lambda f: F.concat(F.lit("affected feature: "), f))
+    alerts = F.concat(
+        F.array_compact(F.array(F.when(F.col("quality_score") < quality_threshold, F.lit("quality below threshold")),
+                                F.when(found, F.lit("data drift detected")))),
+        F.when(found, features).otherwise(F.array().cast("array<string>")),
+        F.array_compact(F.array(F.when(F.col("freshness_hours") > freshness_hours, F.lit("data is stale")))))
+    return row.withColumn("alerts", alerts).drop("drift_detected", "affected")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

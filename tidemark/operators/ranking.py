@@ -20,13 +20,29 @@ from tidemark.sources.tables import pin
 
 CHUNK = "_chunk"
 HALO = "_halo"
+#: Keys that a caller may declare to be a fixed list.
+MOST_KEYS = 10_000
 GROUP = "_group"
-MIN_HOT_GROUPS = 64
 
 
 def _chunk_count(df: DataFrame, chunks: int | None) -> int:
-    wanted = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(wanted, 4096))
+    """Chunks that all rows together are cut into: one per shuffle partition."""
+    return max(4, chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+class Hot(dict):
+    """Hot keys: hash of the key to its rows (an upper estimate); ``total`` counts all rows."""
+
+    def __init__(self, counts: dict[int, int], total: int):
+        super().__init__(counts)
+        self.total = total
+
+    def pieces(self, hashed: Column, partitions: int) -> Column:
+        """Partitions' worth of rows that a key holds, 1 for keys that are not hot."""
+        if not self:
+            return F.lit(1)
+        wanted = F.create_map(*[F.lit(x) for h, n in sorted(self.items()) for x in (h, -(-n * partitions // max(self.total, 1)))])
+        return F.coalesce(F.try_element_at(wanted, hashed), F.lit(1))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -37,62 +53,70 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys that hold more than a fair task's share of the rows.
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> Hot:
+    """Hashes of the keys that hold more than a fair task's share of the rows, with their counts.
 
     One aggregate over a fixed-size frequency sketch.  At most ``1 / share``
     keys can be that frequent, so the list that comes to the driver is bounded
     by twice the partition count whatever the data.
     """
-    fair = max(MIN_HOT_GROUPS, _chunk_count(df, None))
+    fair = _chunk_count(df, None)
     hashed = df.select(_hash(keys).alias("_keyhash"))
     row = hashed.agg(F.expr(f"approx_top_k(_keyhash, {2 * fair}, {max(20 * fair, 10_000)})").alias("top"),
                      F.count("*").alias("n")).first()
-    return [t["item"] for t in row["top"] or [] if t["count"] * fair > row["n"]]
+    return Hot({t["item"]: t["count"] for t in row["top"] or [] if t["count"] * fair > row["n"]}, row["n"])
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], by: str, *, chunks: int | None = None,
-                bounded_keys: bool = False, shared: Sequence[str] = (), hot: list[int] | None = None,
-                then: str | None = None) -> DataFrame:
+                bounded_keys: bool = False, hot: Hot | None = None, then: str | None = None) -> DataFrame:
     """Add ``_chunk``: rows with a larger ``by`` never sit in a smaller chunk of their key.
 
-    Which keys are cut: all of them if ``bounded_keys`` states that they come
-    from a fixed list (features, tasks, models named by the caller), otherwise
+    A key is cut into as many chunks as it holds partitions' worth of rows, so there are about as many chunks
+    as partitions in all.  Which keys are cut: all of them if ``bounded_keys`` states that they come
+    from a fixed list (features, tasks, models named by the caller; more than ``MOST_KEYS`` raise), otherwise
     only the hot ones, found first; every other key is one chunk.  Either way
-    the split table has a bounded number of keys and is broadcast; in the second
-    case it is written out once, so a lost executor cannot change it.
+    the split table has a bounded size and is broadcast, and it is written out once, so that all parts
+    of a plan, and tasks run again after a loss, see the same cuts.
 
-    ``shared`` names non-negative count columns that later steps also read; the split pass
-    touches them so that Spark reuses one shuffle of ``df`` for both.  ``hot`` passes in the
-    hot keys where they are known already.  ``then`` is the numeric column that orders equal
+    ``hot`` passes in the hot keys where they are known already.  ``then`` is the numeric column that orders equal
     ``by``: a value filling whole chunks by itself is cut further along it.
     """
     n = _chunk_count(df, chunks)
-    side = math.isqrt(n - 1) + 1
-    cuts = [i / (side * side) for i in range(1, side * side)]
+    cuts = [i / n for i in range(1, n)]
     value = F.col(by).cast("double")
     hashed = df.withColumn("_keyhash", _hash(keys))
-    if bounded_keys or not keys:
-        touched = F.when(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in shared]), value) if shared else value
-        splits = hashed.groupBy("_keyhash").agg(F.percentile_approx(touched, cuts, 20 * n).alias("_splits"))
-    else:
+    cut = hashed
+    if not bounded_keys and keys:
         hot = hot_groups(df, keys) if hot is None else hot
         if not hot:     # noted in the column's metadata: plain windows are enough
             return df.select("*", F.lit(0).alias(CHUNK, metadata={"single": True}))
-        splits = pin(hashed.filter(F.col("_keyhash").isin(hot)).groupBy("_keyhash")
-                     .agg(F.percentile_approx(value, cuts, 20 * n).alias("_splits")))
+        cut = hashed.filter(F.col("_keyhash").isin(list(hot)))
+    found = cut.groupBy("_keyhash").agg(F.percentile_approx(value, cuts, 20 * n).alias("_all"), F.count("*").alias("_rows"))
+    splits = pin(_thinned(found, n, hot.total if hot else None))
+    if bounded_keys and splits.count() > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys; leave bounded_keys out")
     tagged = hashed.join(F.broadcast(splits), "_keyhash", "left")
-    # two short scans instead of one long one: first every side-th cut, then the cuts in between
-    coarse_cuts = F.filter("_splits", lambda s, i: (i % side) == side - 1)
-    tagged = tagged.withColumn("_coarse", F.size(F.filter(coarse_cuts, lambda s: s <= value)))
-    fine = F.size(F.filter(F.slice("_splits", F.col("_coarse") * side + 1, F.lit(side)), lambda s: s <= value))
-    number = F.when(F.col("_splits").isNotNull(), F.greatest(F.lit(0), F.col("_coarse") * side + fine))
+    # two short scans instead of one long one: the coarse cuts, then those between two of them
+    tagged = tagged.withColumn("_coarse", F.size(F.filter("_coarse_splits", lambda s: s <= value)))
+    fine = F.size(F.filter(F.slice("_splits", F.col("_coarse") * F.col("_stride") + 1, F.col("_stride")), lambda s: s <= value))
+    number = F.when(F.col("_splits").isNotNull(), F.greatest(F.lit(0), F.col("_coarse") * F.col("_stride") + fine))
     tagged = tagged.withColumn(CHUNK, F.coalesce(number, F.lit(0)).cast("bigint"))
     if then is not None and not (bounded_keys or not keys):
         tagged = _cut_ties(tagged, splits, value, F.col(then).cast("double"), cuts)
     return tagged.select(*df.columns, CHUNK)
 
 
+def _thinned(found: DataFrame, n: int, total: int | None) -> DataFrame:
+    """As many of a key's ``n - 1`` cuts as its share of the rows asks for, with every ``_stride``-th kept apart."""
+    rows = F.lit(total) if total else F.sum("_rows").over(Window.partitionBy())  # one row per listed key
+    pieces = F.greatest(F.lit(2), F.least(F.lit(n), F.ceil(F.col("_rows") * n / rows))).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(n) / pieces)).cast("int")
+    out = found.withColumn("_step", step).withColumn("_splits", F.filter("_all", lambda s, i: (i + 1) % F.col("_step") == 0))
+    out = out.withColumn("_stride", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_splits")))).cast("int"))
+    coarse = F.filter("_splits", lambda s, i: i % F.col("_stride") == F.col("_stride") - 1)
+    return out.select("_keyhash", "_splits", coarse.alias("_coarse_splits"), "_stride")
+
+
 def _cut_ties(tagged: DataFrame, splits: DataFrame, value: Column, then: Column, cuts: list[float]) -> DataFrame:
     """Cut chunks that start with one value filling at least a whole chunk.
 
@@ -150,8 +174,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     """
     sums, mins, maxs, next_of = sums or {}, mins or {}, maxs or {}, next_of or {}
     tagged = df if CHUNK in df.columns else with_chunks(
-        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, shared=sorted(set(sums.values())),
-        then=_second(df, order))
+        df, keys, order[0], chunks=chunks, bounded_keys=bounded_keys, then=_second(df, order))
     if _single(tagged):
         whole = Window.partitionBy(*keys).orderBy(*order)
         upto = whole.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)

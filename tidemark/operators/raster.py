@@ -8,12 +8,16 @@ arrays are interpreted element by element.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidemark.functions.scalars import let
 from tidemark.operators import kernels as kn
 
 # Fixed values of the image scores.
@@ -21,11 +25,6 @@ LEVELS = 256
 WATER_HUE, WATER_MIN_SATURATION, WATER_MIN_VALUE = (90, 130), 50, 50
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also when the body uses it inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def moments(values: Column) -> Column:
     """``struct(mean, var, std)`` of an array (population variance), in one fold."""
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
@@ -356,24 +355,57 @@ FEATURES = ["brightness", "contrast", "saturation", "sharpness", "texture",
             "hist_b_mean", "hist_b_std", "hist_g_mean", "hist_g_std", "hist_r_mean", "hist_r_std"]
 
 
+def _feature_kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """The eleven features of stacks of colour planes with levels 0-255."""
+    level = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+    top = np.maximum(np.maximum(r, g), b)
+    reach = top - np.minimum(np.minimum(r, g), b)
+    saturation = np.floor(np.divide(reach * 255.0, top, out=np.zeros_like(top), where=top > 0) + 0.5)
+    out = {"brightness": kn.mean(level), "contrast": kn.std(level), "saturation": kn.mean(saturation),
+           "sharpness": kn.flat(kn.laplacian(level)).var(axis=1), "texture": kn.mean(kn.sobel(level))}
+    for name, plane in (("b", b), ("g", g), ("r", r)):
+        bins = kn.counts(np.floor(plane / 8), 32)
+        out |= {f"hist_{name}_mean": bins.mean(axis=1), f"hist_{name}_std": bins.std(axis=1)}
+    return out
+
+
 def feature_vector(df: DataFrame) -> DataFrame:
     """The eleven features that datasets are compared on, from colour planes ``r, g, b`` of levels 0-255.
 
     Brightness and contrast are mean and deviation of the grey levels, sharpness the Laplacian variance,
     texture the mean Sobel magnitude; each channel adds mean and deviation of its 32-bin histogram.
     """
-    def kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
-        level = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
-        top = np.maximum(np.maximum(r, g), b)
-        reach = top - np.minimum(np.minimum(r, g), b)
-        saturation = np.floor(np.divide(reach * 255.0, top, out=np.zeros_like(top), where=top > 0) + 0.5)
-        out = {"brightness": kn.mean(level), "contrast": kn.std(level), "saturation": kn.mean(saturation),
-               "sharpness": kn.flat(kn.laplacian(level)).var(axis=1), "texture": kn.mean(kn.sobel(level))}
-        for name, plane in (("b", b), ("g", g), ("r", r)):
-            bins = kn.counts(np.floor(plane / 8), 32)
-            out |= {f"hist_{name}_mean": bins.mean(axis=1), f"hist_{name}_std": bins.std(axis=1)}
-        return out
-    return kn.apply_kernel(df, kernel, ", ".join(f"{c} double" for c in FEATURES), arrays=("r", "g", "b"))
+    return kn.apply_kernel(df, _feature_kernel, ", ".join(f"{c} double" for c in FEATURES), arrays=("r", "g", "b"))
+
+
+def image_features(images: DataFrame) -> DataFrame:
+    """The same features straight from decoded image bytes (``h, w, channels, data``, as ``scan_images`` gives them).
+
+    One pass, one image at a time, bytes in and numbers out: no pixel array leaves the task.  ``reason`` says why a row
+    has none: ``unreadable``, ``too small``, or ``wrong length``.
+    """
+    keep = [f for f in images.schema.fields if f.name != "data" and f.name not in (*FEATURES, "reason")]
+    schema = StructType([*keep, *[StructField(c, DoubleType()) for c in FEATURES], StructField("reason", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def one(h: int | None, w: int | None, channels: int | None, data: bytes | None) -> dict[str, object]:
+        if not h or not w or not channels or min(h, w, channels) <= 0 or data is None:
+            return {"reason": "unreadable"}
+        if min(h, w) < kn.LEAST_SIDE:
+            return {"reason": "too small"}
+        if len(data) != h * w * channels:
+            return {"reason": "wrong length"}
+        pixels = np.frombuffer(data, np.uint8).reshape(1, h, w, channels)
+        planes = [pixels[..., k if channels >= 3 else 0].astype(np.float64) for k in (2, 1, 0)]  # decoded bytes are blue first
+        return {name: float(value[0]) for name, value in _feature_kernel(*planes).items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(*(x.as_py() for x in row)) for row in zip(*(batch.column(c) for c in ("h", "w", "channels", "data")))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in keep] + [pa.array([x.get(n) for x in found], arrow.field(n).type) for n in (*FEATURES, "reason")],
+                schema=arrow)
+    return images.mapInArrow(run, schema)
 
 
 def equalise(df: DataFrame, factor: float = 1.5) -> DataFrame:

@@ -24,23 +24,47 @@ COOLDOWN_MINUTES, TICK_SECONDS = 15, 60
 
 @dataclass(frozen=True)
 class AlertRule:
-    """A rule is a SQL predicate over a metrics row, with the alert's kind and wording."""
+    """A rule is a SQL predicate over a metrics row, with the alert's kind and wording.
+
+    ``message`` is a format with one place, filled by the SQL expression ``shown``.
+    """
     rule_id: str
     alert_type: str
     severity: str
     condition: str
     title: str
+    message: str = ""
+    shown: str = "''"
+    actions: tuple[str, ...] = ()
 
 
 # The six standard alert rules.
 ALERT_RULES = [
-    AlertRule("cpu_high", "resource_exhaustion", "warning", "cpu_usage_percent > 85", "High CPU Usage Detected"),
-    AlertRule("memory_high", "resource_exhaustion", "warning", "memory_usage_percent > 85", "High Memory Usage Detected"),
-    AlertRule("memory_critical", "resource_exhaustion", "critical", "memory_usage_percent > 95", "Critical Memory Usage"),
-    AlertRule("error_rate_high", "error_rate_high", "error", "error_rate > 0.1D", "High Error Rate Detected"),
-    AlertRule("slow", "performance_degradation", "warning", "avg_duration_ms > 10000", "Performance Degradation Detected"),
+    AlertRule("cpu_high", "resource_exhaustion", "warning", "cpu_usage_percent > 85", "High CPU Usage Detected",
+              "CPU usage is %.1f%%, exceeding 85%% threshold", "round(cpu_usage_percent, 1)",
+              ("Check for runaway processes", "Consider scaling up compute resources",
+               "Review recent code changes for performance issues")),
+    AlertRule("memory_high", "resource_exhaustion", "warning", "memory_usage_percent > 85", "High Memory Usage Detected",
+              "Memory usage is %.1f%%, exceeding 85%% threshold", "round(memory_usage_percent, 1)",
+              ("Check for memory leaks", "Clear GPU cache if using CUDA", "Restart the application",
+               "Consider increasing available memory")),
+    AlertRule("memory_critical", "resource_exhaustion", "critical", "memory_usage_percent > 95", "Critical Memory Usage",
+              "Memory usage is %.1f%%, system may become unstable", "round(memory_usage_percent, 1)",
+              ("Immediately restart the application", "Kill non-essential processes", "Check for memory leaks",
+               "Scale up memory resources")),
+    AlertRule("error_rate_high", "error_rate_high", "error", "error_rate > 0.1D", "High Error Rate Detected",
+              "Error rate is %.1f%%, exceeding 10%% threshold", "round(error_rate * 100, 1)",
+              ("Check application logs for error patterns", "Verify input data quality",
+               "Check model loading and initialization", "Review recent deployments")),
+    AlertRule("slow", "performance_degradation", "warning", "avg_duration_ms > 10000", "Performance Degradation Detected",
+              "Average operation time is %.0fms, exceeding 10s threshold", "round(avg_duration_ms, 0)",
+              ("Check system resource usage", "Review recent code changes", "Consider optimizing model inference",
+               "Check for network latency issues")),
     AlertRule("gpu_memory", "resource_exhaustion", "error",
-              "gpu_available AND gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1) > 0.9D", "GPU Memory Exhaustion"),
+              "gpu_available AND gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1) > 0.9D", "GPU Memory Exhaustion",
+              "GPU memory usage is %.1f%%, exceeding 90%% threshold", "round(100 * gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1), 1)",
+              ("Clear GPU cache with torch.cuda.empty_cache()", "Reduce batch size or model size",
+               "Switch to CPU processing temporarily", "Restart the application")),
 ]
 
 
@@ -88,8 +112,14 @@ def health_summary(df: DataFrame, by: Sequence[str], gauges: Sequence[str], last
 
 
 def error_summary(df: DataFrame, last_n: int = 10) -> DataFrame:
-    """Counts by category and severity over the latest errors, with subtotals (``ALL``)."""
+    """Counts by category and severity over the latest errors, with subtotals (``ALL``); the total of all errors and the latest one."""
     latest = df.orderBy(F.desc("at"), F.desc("event_id")).limit(last_n)
+    whole = df.agg(F.count("*").alias("total_errors"), F.max_by("event_id", F.struct("at", "event_id")).alias("most_recent"))
+    one = F.lit(1).alias("_k")      # one row beside the few subtotals
+    return _latest_counts(latest).withColumn("_k", one).join(F.broadcast(whole.withColumn("_k", one)), "_k").drop("_k")
+
+
+def _latest_counts(latest: DataFrame) -> DataFrame:
     return latest.rollup("category", "severity").agg(F.count("*").alias("n"), F.grouping_id().alias("_g")).select(
         F.when(F.col("_g") < 3, F.col("category")).otherwise("ALL").alias("category"),
         F.when(F.col("_g") < 1, F.col("severity")).otherwise("ALL").alias("severity"), "n")
@@ -240,12 +270,21 @@ def sessions(df: DataFrame, key: str, gap_seconds: float) -> DataFrame:
         F.count_if("error_occurred").alias("errors"), F.avg("duration_ms").alias("avg_ms"))
 
 
-def alerts(metrics: DataFrame, rules: Sequence[AlertRule], carry: Sequence[str]) -> DataFrame:
-    """One row per metrics row and rule that fires; rules stay SQL predicates in the plan."""
+def alerts(metrics: DataFrame, rules: Sequence[AlertRule], carry: Sequence[str], at: str = "at") -> DataFrame:
+    """One row per metrics row and rule that fires; rules stay SQL predicates in the plan.
+
+    Each carries its message, suggested actions, id (kind, severity and second of ``at``) and the numeric metrics it was
+    raised on.
+    """
+    numbers = [f.name for f in metrics.schema.fields if f.name not in carry and f.dataType.typeName() in ("double", "float", "long", "integer")]
+    seen = F.map_from_arrays(F.array(*[F.lit(n) for n in numbers]), F.array(*[F.col(n).cast("double") for n in numbers])) \
+        if numbers else F.create_map().cast("map<string,double>")
     fired = F.array_compact(F.array(*[F.when(F.expr(r.condition), F.struct(
         F.lit(r.rule_id).alias("rule_id"), F.lit(r.alert_type).alias("alert_type"), F.lit(r.severity).alias("severity"),
-        F.lit(r.title).alias("title"))) for r in rules]))
-    return metrics.select(*carry, F.inline(fired))
+        F.lit(r.title).alias("title"), F.format_string(r.message, F.expr(r.shown)).alias("message"),
+        F.array(*[F.lit(a) for a in r.actions]).cast("array<string>").alias("actions"),
+        F.concat(F.lit(f"{r.alert_type}_{r.severity}_"), F.col(at).cast("bigint").cast("string")).alias("alert_id"))) for r in rules]))
+    return metrics.select(*carry, seen.alias("metrics"), F.inline(fired))
 
 
 def cooled_down(fired: DataFrame, keys: Sequence[str], *, at: str = "at", minutes: float = COOLDOWN_MINUTES,
@@ -253,13 +292,15 @@ def cooled_down(fired: DataFrame, keys: Sequence[str], *, at: str = "at", minute
     """Alerts that are emitted: the first of a key, then the first one at least ``minutes`` after the last emitted.
 
     Rules are evaluated once per tick, so alerts first collapse to distinct ticks
-    (map-side), which bounds a key by the time covered, not by the traffic.  A
+    (map-side, with the payload of the first), which bounds a key by the time covered, not by the traffic.  A
     silence of the cool-down length always restarts the count, so each stretch
     between silences is an independent group; only there the dependence on the
     last *emitted* alert is walked through in order.
     """
+    payload = [c for c in fired.columns if c not in (*keys, at)]
+    order = F.struct(*[F.col(c) for c in (at, "alert_id", "component") if c in fired.columns])
     ticks = fired.groupBy(*keys, (F.floor(F.col(at) / tick_seconds) * tick_seconds).alias("at")) \
-        .agg(F.count("*").alias("alerts"))
+        .agg(F.count("*").alias("alerts"), *[F.min_by(c, order).alias(c) for c in payload])
     gap = minutes * 60.0
     marked = rolling(with_chunks(ticks, keys, "at"), keys, ["at"], 1, {
         "_new": lambda w: F.when(F.col("at") - F.lag("at").over(w) < gap, 0).otherwise(1)})

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import drift as dr
 from tidemark.operators import labels as lb
+from tidemark.operators import profiling as pr
 from tidemark.operators import raster as ra
 from tidemark.operators import rules
 from tidemark.operators.joins import recommend
 from tidemark.plans import raster, views
-from tidemark.plans.profiling import FIRES, rules_sql
+from tidemark.plans.profiling import FIRES, PROFILE, rules_sql
 from tidemark.plans.registry import query
-from tidemark.plans.views_sql import FEAT, LAB, PIX, RGB, with_views
+from tidemark.plans.views_sql import FEAT, FILE, IMG, LAB, PIX, RGB, with_views
 from tidemark.sources.tables import table
 
 CURVE = """v_cnt AS (SELECT feature, value, count_if(dataset = 'baseline')::BIGINT AS n1,
@@ -155,15 +156,44 @@ def _image_features(spark: SparkSession, d: str) -> DataFrame:
     return dr.to_long(wide.select("dataset", *[F.round(c, 9).alias(c) for c in ra.FEATURES]), ra.FEATURES)
 
 
-@query("drift_recommendations", with_views(RGB, raster.FEATURE_SQL, IMAGES, CURVE, rules_sql(rules.DRIFT)) + """,
-  m AS (SELECT feature AS metric, ks AS value FROM v_dist UNION ALL SELECT 'drift_detected', CASE WHEN avg(ks) > 0.1::DOUBLE THEN 1 ELSE 0 END FROM v_dist)
+NAMED = "v_named AS (SELECT * FROM v_dist WHERE feature IN (" + ", ".join(f"'{c}'" for c in dr.DRIFT_FEATURES) + "))"
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """KS rows of the features that make the drift verdict."""
+    part = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") < 5, "baseline").otherwise("current").alias("dataset"))
+    wide = ra.feature_vector(views.rgb_images(spark, d)).join(part, "vec_id")
+    return dr.rank_distances(dr.to_long(wide.select("dataset", *[F.round(c, 9).alias(c) for c in dr.DRIFT_FEATURES]), dr.DRIFT_FEATURES),
+                             "baseline", "current")
+
+
+@query("drift_recommendations", with_views(RGB, raster.FEATURE_SQL, IMAGES, CURVE, NAMED, rules_sql(rules.DRIFT)) + """,
+  o AS (SELECT avg(ks) > 0.1::DOUBLE AS detected FROM v_named),
+  m AS (SELECT feature AS metric, ks AS value FROM v_named, o WHERE detected
+    UNION ALL SELECT 'drift_detected', CASE WHEN detected THEN 1 ELSE 0 END FROM o)
   SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
 def drift_recommendations(spark: SparkSession, d: str) -> DataFrame:
-    ks = dr.rank_distances(_image_features(spark, d), "baseline", "current")
-    overall = ks.agg(F.lit("drift_detected").alias("metric"),
-                     F.when(F.avg("ks") > dr.DRIFT_THRESHOLD, 1.0).otherwise(0.0).alias("value"))
-    measured = ks.select(F.col("feature").alias("metric"), F.col("ks").alias("value")).unionByName(overall)
-    return recommend(measured, rules.DRIFT)
+    return recommend(dr.drift_measures(_named(spark, d)), rules.DRIFT)
+
+
+@query("health_row", with_views(IMG, PROFILE, FILE, RGB, raster.FEATURE_SQL, IMAGES, CURVE, NAMED) + """, f AS (SELECT count(*) AS total_samples,
+    count_if(NOT valid) AS missing, count(DISTINCT ext) AS formats, count(*) - count(DISTINCT content_hash) AS copies,
+    (epoch(TIMESTAMP '2025-01-01') - epoch(max(modified))) / 3600 AS age FROM v_file),
+  dr AS (SELECT avg(ks) AS drift_score, coalesce(list(feature ORDER BY feature) FILTER (WHERE ks > 0.1::DOUBLE), []) AS affected FROM v_named),
+  r AS (SELECT total_samples, quality_score, anomaly_count, 100 * missing / total_samples::DOUBLE AS missing_percentage,
+    100 * copies / total_samples::DOUBLE AS duplicate_percentage, 1 / formats::DOUBLE AS format_consistency,
+    drift_score, affected, age AS freshness_hours FROM f, q, dr)
+  SELECT total_samples, round(quality_score, 6) AS quality_score, round(drift_score, 6) AS drift_score, anomaly_count,
+    round(missing_percentage, 6) AS missing_percentage, round(duplicate_percentage, 6) AS duplicate_percentage,
+    round(format_consistency, 6) AS format_consistency, round(freshness_hours, 6) AS freshness_hours,
+    array_to_string(list_concat(list_filter([CASE WHEN quality_score < 0.7::DOUBLE THEN 'quality below threshold' END,
+      CASE WHEN drift_score > 0.1::DOUBLE THEN 'data drift detected' END], lambda x: x IS NOT NULL),
+      list_concat(CASE WHEN drift_score > 0.1::DOUBLE THEN list_transform(affected, lambda x: 'affected feature: ' || x) ELSE [] END,
+      list_filter([CASE WHEN freshness_hours > 24 THEN 'data is stale' END], lambda x: x IS NOT NULL))), '; ') AS alerts FROM r""")
+def health_row(spark: SparkSession, d: str) -> DataFrame:
+    drift = dr.report_of(_named(spark, d))
+    row = pr.health_row(views.files(spark, d), views.images(spark, d), drift, F.lit("2025-01-01").cast("timestamp_ntz"))
+    return rounded(row.withColumn("alerts", as_text("alerts")))
 
 
 @query("compare_moments", with_views(LAB) + " UNION ALL ".join(

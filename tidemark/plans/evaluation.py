@@ -219,8 +219,8 @@ def brier(spark: SparkSession, d: str) -> DataFrame:
   a AS (SELECT image_id, avg(h_pred) AS height_meters, avg(conf_d) AS confidence, count(*) AS num_models
     FROM v_pred GROUP BY image_id)
   SELECT image_id, round(height_meters, 6) AS height_meters, round(confidence, 6) AS confidence, num_models,
-    max(CASE WHEN task = 'd_pred' THEN label END)::VARCHAR AS d_pred,
-    max(CASE WHEN task = 'b_pred' THEN label END)::VARCHAR AS b_pred
+    max(CASE WHEN task = 'd_pred' THEN label END) AS d_pred,
+    max(CASE WHEN task = 'b_pred' THEN label END) AS b_pred
   FROM a JOIN r USING (image_id) WHERE k = 1 GROUP BY ALL""")
 def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ev.ensemble(views.predictions(spark, d), "image_id", ["d_pred", "b_pred"],

@@ -15,7 +15,7 @@ from tidemark.plans import views
 from tidemark.plans.profiling import FIRES, HEIGHT_CASE, rules_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import LAB, with_views
-from tidemark.sources.tables import broadcast_within, pin, table
+from tidemark.sources.tables import table
 
 COND = "v_cond AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{a}', '{b}', {w}::DOUBLE, {f}::DOUBLE)" for i, (a, b, w, f) in enumerate(lb.CONDITIONS)) + \
@@ -134,7 +134,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 def weighted_resample(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"))
     weights = lb.class_weights(orders, "label").select("label", (F.lit(1.37) * F.col("weight")).alias("weight"))
-    weighted = orders.join(broadcast_within(pin(weights), 10_000), "label")
+    weighted = orders.join(weights, "label")
     out = lb.weighted_resample(weighted, "o_orderkey", "weight", seed=7)
     return out.groupBy("label").agg(F.count("*").alias("n"))
 

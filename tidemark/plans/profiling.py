@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import as_text, rounded
 from tidemark.operators import bands, gates
+from tidemark.operators import drift as dr
 from tidemark.operators import profiling as pr
 from tidemark.operators import rules
 from tidemark.operators.joins import metric_rows, recommend, skew_join
 from tidemark.plans import views
 from tidemark.plans.registry import query
-from tidemark.plans.views_sql import FILE, IMG, LAB, PRED, with_views
+from tidemark.plans.views_sql import FEAT, FILE, IMG, LAB, PRED, with_views
 from tidemark.sources.tables import table
 
 
-
 # --- profiles --------------------------------------------------------------------------------------
 @query("resolution_profile", with_views(IMG) + """, a AS (SELECT *, width * height AS area,
   width::VARCHAR || 'x' || height::VARCHAR AS size FROM v_img)
@@ -142,29 +142,6 @@ def dataset_checksum(spark: SparkSession, d: str) -> DataFrame:
     return pr.dataset_checksum(views.listing(spark, d), ["folder"])
 
 
-@query("health_row", with_views(IMG, PROFILE, FILE) + """, f AS (SELECT count(*) AS total_samples,
-    count_if(NOT valid) AS missing, count(DISTINCT ext) AS formats, count(*) - count(DISTINCT content_hash) AS copies,
-    (epoch(TIMESTAMP '2025-01-01') - epoch(max(modified))) / 3600 AS age FROM v_file),
-  r AS (SELECT total_samples, quality_score, anomaly_count, 100 * missing / total_samples::DOUBLE AS missing_percentage,
-    100 * copies / total_samples::DOUBLE AS duplicate_percentage, 1 / formats::DOUBLE AS format_consistency,
-    (SELECT abs(avg(CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN l_discount END)
-       - avg(CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' THEN l_discount END)) FROM lineitem) AS drift_score,
-    age AS freshness_hours FROM f, q)
-  SELECT total_samples, round(quality_score, 6) AS quality_score, round(drift_score, 6) AS drift_score, anomaly_count,
-    round(missing_percentage, 6) AS missing_percentage, round(duplicate_percentage, 6) AS duplicate_percentage,
-    round(format_consistency, 6) AS format_consistency, round(freshness_hours, 6) AS freshness_hours,
-    array_to_string(list_filter([CASE WHEN quality_score < 0.7::DOUBLE THEN 'quality below threshold' END,
-      CASE WHEN drift_score > 0.1::DOUBLE THEN 'data drift detected' END,
-      CASE WHEN freshness_hours > 24 THEN 'data is stale' END], lambda x: x IS NOT NULL), '; ') AS alerts FROM r""")
-def health_row(spark: SparkSession, d: str) -> DataFrame:
-    wide = views.features_wide(spark, d)
-    drift = wide.agg(F.abs(F.avg(F.when(F.col("dataset") == "baseline", F.col("l_discount")))
-                           - F.avg(F.when(F.col("dataset") == "current", F.col("l_discount")))))
-    row = pr.health_row(views.files(spark, d), views.images(spark, d), drift.scalar(),
-                        F.lit("2025-01-01").cast("timestamp_ntz"))
-    return rounded(row.withColumn("alerts", as_text("alerts")))
-
-
 def rules_sql(rules: list) -> str:
     return "v_rule AS (SELECT * FROM (VALUES " + ", ".join(
         f"('{m}', '{o}', {t}::DOUBLE, '{x}')" for m, o, t, x in rules) + ") AS r(metric, op, threshold, text))"
@@ -174,7 +151,12 @@ FIRES = """CASE op WHEN '<' THEN value < threshold WHEN '>' THEN value > thresho
   WHEN '>=' THEN value >= threshold ELSE value = threshold END"""
 
 
-@query("dataset_recommendations", with_views(IMG, PROFILE, FILE, rules_sql(rules.QUALITY + rules.HEALTH)) + """,
+KS = """v_kc AS (SELECT feature, value, count_if(dataset = 'baseline') AS n1, count_if(dataset = 'current') AS n2 FROM v_feat GROUP BY 1, 2),
+v_ks AS (SELECT feature, max(abs(c1 / t1::DOUBLE - c2 / t2::DOUBLE)) AS ks FROM (SELECT feature, sum(n1) OVER w AS c1, sum(n2) OVER w AS c2,
+  sum(n1) OVER f AS t1, sum(n2) OVER f AS t2 FROM v_kc WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)) GROUP BY feature)"""
+
+
+@query("dataset_recommendations", with_views(IMG, PROFILE, FILE, FEAT, KS, rules_sql(rules.QUALITY + rules.HEALTH)) + """,
   f AS (SELECT count(*)::DOUBLE AS total_samples, 100 * (count(*) - count(DISTINCT content_hash)) / count(*)::DOUBLE AS dup,
     (epoch(TIMESTAMP '2025-01-01') - epoch(max(modified))) / 3600 AS age FROM v_file),
   m AS (SELECT 'critical_issues' AS metric, count(CASE WHEN severity = 'critical' THEN 1 END)::DOUBLE AS value FROM i
@@ -184,11 +166,14 @@ FIRES = """CASE op WHEN '<' THEN value < threshold WHEN '>' THEN value > thresho
     UNION ALL SELECT 'corruption', count(CASE WHEN issue = 'corruption' THEN 1 END) FROM i UNION ALL SELECT 'issues', count(*) FROM i
     UNION ALL SELECT 'quality_score', quality_score FROM q UNION ALL SELECT 'freshness_hours', age FROM f
     UNION ALL SELECT 'total_samples', total_samples FROM f UNION ALL SELECT 'duplicate_percentage', dup FROM f
-    UNION ALL SELECT 'alerts', CASE WHEN quality_score < 0.7::DOUBLE THEN 1 ELSE 0 END + CASE WHEN age > 24 THEN 1 ELSE 0 END FROM q, f)
+    UNION ALL SELECT 'alerts', CASE WHEN quality_score < 0.7::DOUBLE THEN 1 ELSE 0 END + CASE WHEN age > 24 THEN 1 ELSE 0 END
+      + (SELECT CASE WHEN avg(ks) > 0.1::DOUBLE THEN 1 + count_if(ks > 0.1::DOUBLE) ELSE 0 END FROM v_ks) FROM q, f)
   SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
 def dataset_recommendations(spark: SparkSession, d: str) -> DataFrame:
     images = views.images(spark, d)
-    health = pr.health_row(views.files(spark, d), images, F.lit(0.0), F.lit("2025-01-01").cast("timestamp_ntz"))
+    wide = views.features_wide(spark, d)
+    drift = dr.drift_report(dr.to_long(wide, views.FEATURES), "baseline", "current")
+    health = pr.health_row(views.files(spark, d), images, drift, F.lit("2025-01-01").cast("timestamp_ntz"))
     health = health.withColumn("alerts", F.size("alerts"))
     measured = metric_rows(pr.issue_counts(pr.image_profile(images)), [
         "critical_issues", "high_issues", "low_resolution_or_blur", "no_ocean_content", "corruption", "issues"])

@@ -66,7 +66,9 @@ def health_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("error_summary", with_views(TEL) + """, e AS (SELECT component AS category, CASE WHEN duration_ms > 100 THEN 'high' ELSE 'low' END AS severity
     FROM v_tel WHERE error_occurred ORDER BY secs DESC, event_id DESC LIMIT 10)
   SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category,
-    CASE WHEN grouping(severity) = 1 THEN 'ALL' ELSE severity END AS severity, count(*) AS n FROM e GROUP BY ROLLUP (category, severity)""")
+    CASE WHEN grouping(severity) = 1 THEN 'ALL' ELSE severity END AS severity, count(*) AS n,
+    (SELECT count_if(error_occurred)::BIGINT FROM v_tel) AS total_errors, (SELECT arg_max(event_id, (secs, event_id)) FROM v_tel WHERE error_occurred) AS most_recent
+  FROM e GROUP BY ROLLUP (category, severity)""")
 def error_summary(spark: SparkSession, d: str) -> DataFrame:
     errors = views.telemetry(spark, d).filter("error_occurred").select(
         "at", "event_id", F.col("component").alias("category"),
@@ -211,11 +213,18 @@ def session_summary(spark: SparkSession, d: str) -> DataFrame:
 METRICS = """v_met AS (SELECT (floor(secs / 3600) * 3600)::BIGINT AS secs, component, max(memory_mb) AS cpu_usage_percent,
   avg(memory_mb) * 1.4::DOUBLE AS memory_usage_percent, count_if(error_occurred) / count(*)::DOUBLE AS error_rate,
   avg(duration_ms) * 100 AS avg_duration_ms, max(memory_mb) AS gpu_memory_used_mb, 100::DOUBLE AS gpu_memory_total_mb FROM v_tel GROUP BY 1, 2)"""
-FIRED = """v_fired AS (SELECT m.secs, m.component, r.rule_id, r.severity FROM v_met m, LATERAL (VALUES
-  ('cpu_high', 'warning', cpu_usage_percent > 85), ('memory_high', 'warning', memory_usage_percent > 85),
-  ('memory_critical', 'critical', memory_usage_percent > 95), ('error_rate_high', 'error', error_rate > 0.1::DOUBLE),
-  ('slow', 'warning', avg_duration_ms > 10000), ('gpu_memory', 'error', gpu_memory_used_mb / gpu_memory_total_mb > 0.9::DOUBLE))
-  AS r(rule_id, severity, hit) WHERE r.hit)"""
+_TEXTS = ", ".join("('{}', '{}', '{}', '{}')".format(r.rule_id, r.title, r.alert_type, "; ".join(r.actions)) for r in tm.ALERT_RULES)
+FIRED = f"""v_text AS (SELECT * FROM (VALUES {_TEXTS}) AS t(rule_id, title, alert_type, actions)),
+v_fired AS (SELECT m.secs, m.component, r.rule_id, r.severity, r.message, title, alert_type, actions,
+    alert_type || '_' || r.severity || '_' || m.secs::VARCHAR AS alert_id FROM v_met m, LATERAL (VALUES
+  ('cpu_high', 'warning', cpu_usage_percent > 85, printf('CPU usage is %.1f%%, exceeding 85%% threshold', round(cpu_usage_percent, 1))),
+  ('memory_high', 'warning', memory_usage_percent > 85, printf('Memory usage is %.1f%%, exceeding 85%% threshold', round(memory_usage_percent, 1))),
+  ('memory_critical', 'critical', memory_usage_percent > 95, printf('Memory usage is %.1f%%, system may become unstable', round(memory_usage_percent, 1))),
+  ('error_rate_high', 'error', error_rate > 0.1::DOUBLE, printf('Error rate is %.1f%%, exceeding 10%% threshold', round(error_rate * 100, 1))),
+  ('slow', 'warning', avg_duration_ms > 10000, printf('Average operation time is %.0fms, exceeding 10s threshold', round(avg_duration_ms, 0))),
+  ('gpu_memory', 'error', gpu_memory_used_mb / gpu_memory_total_mb > 0.9::DOUBLE,
+   printf('GPU memory usage is %.1f%%, exceeding 90%% threshold', round(100 * gpu_memory_used_mb / gpu_memory_total_mb, 1))))
+  AS r(rule_id, severity, hit, message) JOIN v_text USING (rule_id) WHERE r.hit)"""
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -225,23 +234,27 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
         F.max("memory_mb").alias("cpu_usage_percent"), (F.avg("memory_mb") * 1.4).alias("memory_usage_percent"),
         (F.count_if("error_occurred") / F.count("*")).alias("error_rate"),
         (F.avg("duration_ms") * 100).alias("avg_duration_ms"), F.max("memory_mb").alias("gpu_memory_used_mb"),
-        F.lit(100.0).alias("gpu_memory_total_mb"))
+        F.lit(100.0).alias("gpu_memory_total_mb"), F.lit(True).alias("gpu_available"))
 
 
-@query("alert_rules", with_views(TEL, METRICS, FIRED) + "SELECT secs, component, rule_id, severity FROM v_fired")
+@query("alert_rules", with_views(TEL, METRICS, FIRED) + """SELECT secs, component, rule_id, alert_type, severity, title, message, actions, alert_id,
+  round(v_met.error_rate, 6) AS error_rate FROM v_fired JOIN v_met USING (secs, component)""")
 def alert_rules(spark: SparkSession, d: str) -> DataFrame:
     return tm.alerts(metrics(spark, d), tm.ALERT_RULES, ["at", "component"]) \
-        .select(F.col("at").alias("secs"), "component", "rule_id", "severity")
+        .select(F.col("at").alias("secs"), "component", "rule_id", "alert_type", "severity", "title", "message",
+                as_text("actions").alias("actions"), "alert_id", F.round(F.element_at("metrics", "error_rate"), 6).alias("error_rate"))
 
 
-@query("alert_cooldown", with_views(TEL, METRICS, FIRED).replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT rule_id, secs, count(*) AS alerts FROM v_fired GROUP BY 1, 2),
+@query("alert_cooldown", with_views(TEL, METRICS, FIRED).replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT rule_id, secs, count(*) AS alerts, min(component) AS component, arg_min(message, component) AS message,
+    min(severity) AS severity, min(alert_id) AS alert_id FROM v_fired GROUP BY 1, 2),
   j AS (SELECT rule_id, secs, min(secs) OVER (PARTITION BY rule_id ORDER BY secs RANGE BETWEEN 7200 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
   chain AS (SELECT rule_id, min(secs) AS secs FROM t GROUP BY rule_id UNION ALL
     SELECT c.rule_id, j.nxt FROM chain c JOIN j ON j.rule_id = c.rule_id AND j.secs = c.secs WHERE j.nxt IS NOT NULL)
-  SELECT rule_id, secs, alerts FROM chain JOIN t USING (rule_id, secs)""")
+  SELECT rule_id, secs, alerts, component, message, severity, alert_id FROM chain JOIN t USING (rule_id, secs)""")
 def alert_cooldown(spark: SparkSession, d: str) -> DataFrame:
     fired = tm.alerts(metrics(spark, d), tm.ALERT_RULES, ["at", "component"])
-    return tm.cooled_down(fired, ["rule_id"], minutes=120).withColumnRenamed("at", "secs")
+    return tm.cooled_down(fired, ["rule_id"], minutes=120).select(
+        "rule_id", F.col("at").alias("secs"), "alerts", "component", "message", "severity", "alert_id")
 
 
 @query("active_alerts", with_views(TEL, METRICS, FIRED) + """SELECT component, rule_id, count(*) AS n FROM v_fired v

@@ -43,10 +43,3 @@ def literal_table(spark: SparkSession, columns: str, rows: Sequence[tuple]) -> D
 
 def _typed(columns: str) -> str:
     return ",".join(f"{n}:{t}" for n, t in (part.split() for part in columns.split(",")))
-
-
-def broadcast_within(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only if it really has at most ``max_rows`` rows; else let Spark choose the join."""
-    if df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
