@@ -58,7 +58,22 @@ def test_mixed_sizes_keep_their_rows(spark):
     for i, a in enumerate(images):
         assert out.loc[i, "laplacian_variance"] == pytest.approx(kn.laplacian(a[None])[0].var())
         assert out.loc[i, "edge_mean"] == pytest.approx(kn.sobel(a[None])[0].mean())
-        assert 0 <= out.loc[i, "noise_level"] <= 1 and list(out.loc[i, "px"]) == a.ravel().tolist()
+        assert 0 <= out.loc[i, "noise_level"] <= 1
+    assert "px" not in out.columns      # pixels stay in the task
+
+
+def test_colour_and_level_measures(spark):
+    rng = np.random.default_rng(2)
+    r, g, b = rng.integers(0, 256, (3, 6, 4)).astype(float)
+    df = spark.createDataFrame([(1, 6, 4, *[x.ravel().tolist() for x in (r, g, b)]), (2, 6, 4, None, [0.0] * 24, [0.0] * 24)],
+                               "vec_id long, h int, w int, r array<double>, g array<double>, b array<double>")
+    got = {x["vec_id"]: x for x in ra.colour_measures(df).collect()}
+    level = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+    assert got[1]["r_mean"] == pytest.approx(r.mean()) and got[1]["b_range"] == b.max() - b.min() and got[2]["r_mean"] is None
+    assert got[1]["blue_coverage"] == pytest.approx(((b > r) & (b > g))[2:].mean())
+    assert got[1]["dark_coverage"] == pytest.approx((level[2:] < 128).mean()) and got[1]["grey_mean"] == pytest.approx(level.mean())
+    low = ra.level_measures(rows(spark, [level])).first()
+    assert low["brightness"] == pytest.approx(level.mean()) and low["laplacian_variance"] == pytest.approx(kn.laplacian(level[None])[0].var())
 
 
 def test_wave_measures_of_a_sine(spark):
@@ -94,11 +109,10 @@ def test_normalise_and_corrupt(spark):
     assert [r[0] for r in bad.select(ra.is_corrupt(F.col("px"))).collect()] == [True, False, True, True, True, True]
 
 
-def test_hsv_of_primary_colours(spark):
-    df = spark.createDataFrame([([255.0, 0.0, 0.0, 128.0], [0.0, 255.0, 0.0, 128.0], [0.0, 0.0, 255.0, 128.0])],
-                               "r array<double>, g array<double>, b array<double>")
-    got = df.select(ra.hsv_pixels(F.col("r"), F.col("g"), F.col("b"))).first()[0]
-    assert [(p["h"], p["s"], p["v"]) for p in got] == [(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 128)]
+def test_hsv_of_primary_colours():
+    planes = [np.array([[x]], float) for x in ([255.0, 0.0, 0.0, 128.0], [0.0, 255.0, 0.0, 128.0], [0.0, 0.0, 255.0, 128.0])]
+    h, s, v = ra.hsv(*planes)
+    assert list(zip(h.ravel(), s.ravel(), v.ravel())) == [(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 128)]
 
 
 def test_equalise(spark):

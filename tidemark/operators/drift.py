@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import kernels as kn
 from tidemark.operators.ranking import running
 
 # Fixed values of the comparison.
@@ -220,13 +222,15 @@ def compare_moments(df: DataFrame, expected: dict[str, tuple[float, float]], ext
     return one.select(F.inline(F.array(*rows)))
 
 
+def _sums(a: np.ndarray) -> dict[str, np.ndarray]:
+    x = kn.flat(a)
+    return {"_n": np.full(len(x), x.shape[1]), "_s": x.sum(axis=1), "_q": (x * x).sum(axis=1), "_lo": x.min(axis=1), "_hi": x.max(axis=1)}
+
+
 def pooled_stats(df: DataFrame, by: Sequence[str], px: str = "px") -> DataFrame:
-    """Statistics over all pixels of a dataset, combined from per-image sums (pixels are never exploded)."""
-    x = F.col(px)
-    per = df.select(
-        *by, F.size(x).alias("_n"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("_s"),
-        F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("_q"), F.array_min(x).alias("_lo"),
-        F.array_max(x).alias("_hi"))
+    """Statistics over all pixels of a dataset, combined from per-image sums (pixels are never exploded); ``h`` and ``w`` give the sizes."""
+    sums = kn.apply_kernel(df, _sums, "_n bigint, _s double, _q double, _lo double, _hi double", arrays=(px,))
+    per = sums.select(*by, "_n", "_s", "_q", "_lo", "_hi")
     n = F.sum("_n")
     mean, mean_square = F.try_divide(F.sum("_s"), n), F.try_divide(F.sum("_q"), n)
     return per.groupBy(*by).agg(

@@ -62,93 +62,96 @@ def normalise(px: Column) -> Column:
         px, lambda v: F.when(e["hi"] > e["lo"], (v - e["lo"]) / (e["hi"] - e["lo"])).otherwise(0.0)))
 
 
-def half_up(x: Column) -> Column:
+def _half_up(x: np.ndarray) -> np.ndarray:
     """Round to the nearest whole level."""
-    return F.floor(x + 0.5).cast("double")
+    return np.floor(x + 0.5)
 
 
-def grey(r: Column, g: Column, b: Column) -> Column:
-    """Whole grey levels from three colour planes."""
-    return F.transform(F.arrays_zip(r.alias("r"), g.alias("g"), b.alias("b")),
-                       lambda p: half_up(0.299 * p["r"] + 0.587 * p["g"] + 0.114 * p["b"]))
+def _grey(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole grey levels."""
+    return _half_up(0.299 * r + 0.587 * g + 0.114 * b)
 
 
-def colour_stats(r: Column, g: Column, b: Column) -> dict[str, Column]:
-    """Mean, deviation and range per channel and the colour balance ``1 - std / mean`` of the channel means."""
+def hsv(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue 0-179, saturation and value 0-255, all whole numbers."""
+    v = np.maximum(np.maximum(r, g), b)
+    diff = v - np.minimum(np.minimum(r, g), b)
+    turn = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
+    hue = _half_up(np.divide(turn * 30.0, diff, out=np.zeros_like(v), where=diff > 0))
+    sat = _half_up(np.divide(diff * 255.0, v, out=np.zeros_like(v), where=v > 0))
+    return np.where(hue < 0, hue + 180, hue), sat, v
+
+
+def _lower(a: np.ndarray) -> np.ndarray:
+    """Rows of the lower two thirds."""
+    return a[:, a.shape[1] // 3:]
+
+
+def _colour_kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     out = {}
     for name, plane in (("r", r), ("g", g), ("b", b)):
-        m = moments(plane)
-        out |= {f"{name}_mean": m["mean"], f"{name}_std": m["std"], f"{name}_range": value_range(plane)}
-    means = F.array(out["r_mean"], out["g_mean"], out["b_mean"])
-    m = moments(means)
-    return out | {"colour_balance": F.when(m["mean"] > 0, 1 - m["std"] / m["mean"]).otherwise(0.0)}
-
-
-def contrast_stats(px: Column) -> dict[str, Column]:
-    """Brightness, both RMS contrasts, Michelson contrast and dynamic range of grey levels 0-255."""
-    m, lo, hi = moments(px), F.array_min(px), F.array_max(px)
-    return {"brightness": m["mean"], "brightness_std": m["std"],
-            "rms_ratio": F.when(m["mean"] > 0, m["std"] / m["mean"]).otherwise(0.0), "rms_contrast": m["std"] / 255.0,
-            "michelson": (hi - lo) / (hi + lo + 1e-8), "dynamic_range": (hi - lo) / 255.0}
-
-
-def hsv_pixels(r: Column, g: Column, b: Column) -> Column:
-    """Array of ``struct(h, s, v)``: hue 0-179, saturation and value 0-255, all whole numbers."""
-    def one(p: Column) -> Column:
-        v = F.greatest(p["r"], p["g"], p["b"])
-        diff = v - F.least(p["r"], p["g"], p["b"])
-        turn = (F.when(v == p["r"], p["g"] - p["b"]).when(v == p["g"], p["b"] - p["r"] + 2 * diff)
-                .otherwise(p["r"] - p["g"] + 4 * diff))
-        hue = F.when(diff == 0, 0.0).otherwise(half_up(F.try_divide(turn * 30.0, diff)))
-        sat = F.when(v == 0, 0.0).otherwise(half_up(F.try_divide(diff * 255.0, v)))
-        return F.struct(F.when(hue < 0, hue + 180).otherwise(hue).alias("h"), sat.alias("s"), v.alias("v"))
-    return F.transform(F.arrays_zip(r.alias("r"), g.alias("g"), b.alias("b")), one)
-
-
-def share(values: Column, test: Callable[[Column], Column]) -> Column:
-    """Share of array elements passing the test."""
-    return F.try_divide(F.size(F.filter(values, test)), F.size(values))
-
-
-def water_stats(r: Column, g: Column, b: Column) -> dict[str, Column]:
-    """Saturation and hue statistics and the share of water-coloured pixels."""
-    hsv = hsv_pixels(r, g, b)
-    hue, sat = F.transform(hsv, lambda p: p["h"]), F.transform(hsv, lambda p: p["s"])
+        out |= {f"{name}_mean": kn.mean(plane), f"{name}_std": kn.std(plane), f"{name}_range": kn.spread(plane)}
+    means = np.stack([out["r_mean"], out["g_mean"], out["b_mean"]], axis=1)
+    middle = means.mean(axis=1)
+    balance = 1 - np.divide(means.std(axis=1), middle, out=np.ones_like(middle), where=middle > 0)
+    hue, sat, value = hsv(r, g, b)
     low, high = WATER_HUE
-    water = share(hsv, lambda p: p["h"].between(low, high) & (p["s"] >= WATER_MIN_SATURATION)
-                  & (p["v"] >= WATER_MIN_VALUE))
-    m = moments(hue)
-    return {"saturation": mean(sat) / 255.0, "hue_variance": m["var"] / 32400.0, "water_coverage": water}
+    water = (hue >= low) & (hue <= high) & (sat >= WATER_MIN_SATURATION) & (value >= WATER_MIN_VALUE)
+    level = _grey(r, g, b)
+    return out | {
+        "colour_balance": balance, "grey_mean": kn.mean(level), "saturation": kn.mean(sat) / 255.0,
+        "hue_variance": kn.flat(hue).var(axis=1) / 32400.0, "water_coverage": kn.mean(water.astype(np.float64)),
+        "blue_coverage": kn.mean(((_lower(b) > _lower(r)) & (_lower(b) > _lower(g))).astype(np.float64)),
+        "dark_coverage": kn.mean((_lower(level) < 128).astype(np.float64))}
+
+
+def colour_measures(df: DataFrame) -> DataFrame:
+    """Colour, water and darkness measures of planes ``r, g, b`` of levels 0-255, in one pass.
+
+    Mean, deviation and range per channel; the colour balance ``1 - std / mean`` of the channel means; saturation and hue
+    statistics; the shares of water-coloured pixels, and of blue-dominant and of dark ones in the lower two thirds.
+    """
+    names = [f"{c}_{k}" for c in "rgb" for k in ("mean", "std", "range")] + [
+        "colour_balance", "grey_mean", "saturation", "hue_variance", "water_coverage", "blue_coverage", "dark_coverage"]
+    return kn.apply_kernel(df, _colour_kernel, ", ".join(f"{n} double" for n in names), arrays=("r", "g", "b"))
 
 
-def lower_part(values: Column, h: Column, w: Column) -> Column:
-    """Pixels of the lower two thirds."""
-    start = F.floor(h / 3).cast("int") * w
-    return F.slice(values, start + 1, h * w - start)
+def _grey_kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+    m, deviation = kn.mean(a), kn.std(a)
+    low, high = kn.flat(a).min(axis=1), kn.flat(a).max(axis=1)
+    return {"brightness": m, "brightness_std": deviation, "rms_ratio": np.divide(deviation, m, out=np.zeros_like(m), where=m > 0),
+            "rms_contrast": deviation / 255.0, "michelson": (high - low) / (high + low + 1e-8), "dynamic_range": (high - low) / 255.0,
+            "dark_coverage": kn.mean((_lower(a) < 128).astype(np.float64))}
 
 
-def blue_coverage(r: Column, g: Column, b: Column, h: Column, w: Column) -> Column:
-    """Share of blue-dominant pixels in the lower two thirds."""
-    low = lower_part(F.arrays_zip(r.alias("r"), g.alias("g"), b.alias("b")), h, w)
-    return share(low, lambda p: (p["b"] > p["r"]) & (p["b"] > p["g"]))
+_GREY = ["brightness", "brightness_std", "rms_ratio", "rms_contrast", "michelson", "dynamic_range", "dark_coverage"]
 
 
-def dark_coverage(px: Column, h: Column, w: Column) -> Column:
-    """Share of dark pixels in the lower two thirds, for grey images."""
-    return share(lower_part(px, h, w), lambda v: v < 128)
+def grey_measures(df: DataFrame) -> DataFrame:
+    """Brightness, both RMS contrasts, Michelson contrast, dynamic range, and the dark share of the lower two thirds of levels 0-255."""
+    return kn.apply_kernel(df, _grey_kernel, ", ".join(f"{n} double" for n in _GREY))
+
+
+def level_measures(df: DataFrame) -> DataFrame:
+    """``grey_measures`` and ``neighbour_measures`` in one pass."""
+    return kn.apply_kernel(df, lambda a: _grey_kernel(a) | _neighbour_kernel(a), ", ".join(f"{n} double" for n in _GREY + _NEIGHBOUR))
+
+
+def _neighbour_kernel(a: np.ndarray) -> dict[str, np.ndarray]:
+    lap, edges = kn.laplacian(a), kn.sobel(a)
+    high_pass = np.clip(9 * a - 9 * kn.box(a, 3), 0, 255)
+    q = kn.flat(lap)
+    variance = (q * q).mean(axis=1) - q.mean(axis=1) ** 2
+    return {"laplacian_variance": variance, "edge_mean": kn.mean(edges), "edge_max": kn.flat(edges).max(axis=1),
+            "noise_level": np.minimum(1.0, kn.std(high_pass) / 255.0), "laplacian_noise": variance / 65025.0}
+
+
+_NEIGHBOUR = ["laplacian_variance", "edge_mean", "edge_max", "noise_level", "laplacian_noise"]
 
 
 def neighbour_measures(df: DataFrame) -> DataFrame:
     """Laplacian variance, Sobel statistics and both noise estimates of grey levels 0-255."""
-    def kernel(a: np.ndarray) -> dict[str, np.ndarray]:
-        lap, edges = kn.laplacian(a), kn.sobel(a)
-        high_pass = np.clip(9 * a - 9 * kn.box(a, 3), 0, 255)
-        q = kn.flat(lap)
-        variance = (q * q).mean(axis=1) - q.mean(axis=1) ** 2
-        return {"laplacian_variance": variance, "edge_mean": kn.mean(edges), "edge_max": kn.flat(edges).max(axis=1),
-                "noise_level": np.minimum(1.0, kn.std(high_pass) / 255.0), "laplacian_noise": variance / 65025.0}
-    return kn.apply_kernel(df, kernel, "laplacian_variance double, edge_mean double, edge_max double, "
-                                       "noise_level double, laplacian_noise double", keep_arrays=True)
+    return kn.apply_kernel(df, _neighbour_kernel, ", ".join(f"{n} double" for n in _NEIGHBOUR))
 
 
 def image_scores(contrast: Column, sharpness: Column, ocean: Column, noise: Column, dynamic_range: Column,
@@ -357,7 +360,7 @@ FEATURES = ["brightness", "contrast", "saturation", "sharpness", "texture",
 
 def _feature_kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     """The eleven features of stacks of colour planes with levels 0-255."""
-    level = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+    level = _grey(r, g, b)
     top = np.maximum(np.maximum(r, g), b)
     reach = top - np.minimum(np.minimum(r, g), b)
     saturation = np.floor(np.divide(reach * 255.0, top, out=np.zeros_like(top), where=top > 0) + 0.5)

@@ -212,7 +212,7 @@ def compare_moments(spark: SparkSession, d: str) -> DataFrame:
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") < 5, "real").otherwise("synthetic")
                                                   .alias("dataset"))
-    grey = views.rasters(spark, d).select("vec_id", F.transform("px", lambda v: v * 255).alias("px"))
+    grey = views.rasters(spark, d).select("vec_id", "h", "w", F.transform("px", lambda v: v * 255).alias("px"))
     return grey.join(source, "vec_id")
 
 

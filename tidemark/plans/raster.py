@@ -17,10 +17,6 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
     return views.rasters(spark, d).withColumn("px", F.transform("px", lambda v: F.floor(v * 255).cast("double")))
 
 
-def _grey(spark: SparkSession, d: str) -> DataFrame:
-    return views.rgb_images(spark, d).withColumn("px", ra.grey(F.col("r"), F.col("g"), F.col("b")))
-
-
 LEV = "v_l AS (SELECT vec_id, y, x, floor(v * 255)::DOUBLE AS v FROM v_pix)"
 
 
@@ -47,9 +43,8 @@ SOBEL = """v_sob AS (SELECT vec_id, y, x, sqrt(pow(sum(v * dx * (2 - abs(dy))),
   SELECT vec_id, """ + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in "rgb" for k in ("mean", "std", "range")) + """,
     round(grey_mean, 6) AS grey_mean, round(1 - ms / mm, 6) AS colour_balance FROM c JOIN m USING (vec_id)""")
 def rast_color(spark: SparkSession, d: str) -> DataFrame:
-    cols = ra.colour_stats(F.col("r"), F.col("g"), F.col("b"))
-    return rounded(_grey(spark, d).select("vec_id", *[c.alias(n) for n, c in cols.items()],
-                                          ra.mean(F.col("px")).alias("grey_mean")))
+    return rounded(ra.colour_measures(views.rgb_images(spark, d)).select(
+        "vec_id", *[f"{c}_{k}" for c in "rgb" for k in ("mean", "std", "range")], "grey_mean", "colour_balance"))
 
 
 @query("rast_contrast", with_views(PIX, LEV) + """SELECT vec_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS brightness_std,
@@ -57,7 +52,7 @@ def rast_color(spark: SparkSession, d: str) -> DataFrame:
   round((max(v) - min(v)) / (max(v) + min(v) + 0.00000001::DOUBLE), 6) AS michelson, round((max(v) - min(v)) / 255, 6) AS dynamic_range
   FROM v_l GROUP BY vec_id""")
 def rast_contrast(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_levels(spark, d).select("vec_id", *[c.alias(n) for n, c in ra.contrast_stats(F.col("px")).items()]))
+    return rounded(ra.grey_measures(_levels(spark, d)).drop("h", "w", "dark_coverage"))
 
 
 @query("rast_entropy", with_views(PIX, LEV) + """, h AS (SELECT vec_id, v, count(*) AS n FROM v_l GROUP BY 1, 2),
@@ -90,13 +85,13 @@ def rast_sobel(spark: SparkSession, d: str) -> DataFrame:
 
 
 FEATURE_SQL = """v_gr AS (SELECT vec_id, y, x, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE) AS v FROM v_rgb)""" \
-    + ",\n" + neighbours("v_nb", "v_gr", 1, 4) + ",\n" + LAPLACE + ",\n" + SOBEL + """,
+    + ",\n" + neighbours("v_nb", "v_gr", 1, 8) + ",\n" + LAPLACE + ",\n" + SOBEL + """,
 v_sat AS (SELECT vec_id, avg(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE floor((greatest(r, g, b) - least(r, g, b)) * 255 / greatest(r, g, b) + 0.5::DOUBLE) END) AS s
   FROM v_rgb GROUP BY 1),
 v_hb AS (SELECT vec_id, t.c, floor(t.v / 8) AS bin, count(*) AS n FROM v_rgb, LATERAL (VALUES ('b', b), ('g', g), ('r', r)) AS t(c, v) GROUP BY 1, 2, 3),
-v_hs AS (SELECT vec_id, c, sqrt(sum(n * n) / 32::DOUBLE - 0.25::DOUBLE) AS sd FROM v_hb GROUP BY 1, 2),
+v_hs AS (SELECT vec_id, c, sqrt(sum(n * n) / 32::DOUBLE - 4) AS sd FROM v_hb GROUP BY 1, 2),
 v_fv AS (SELECT g.vec_id, avg(g.v) AS brightness, stddev_pop(g.v) AS contrast, any_value(s) AS saturation, var_pop(l) AS sharpness, avg(m) AS texture,
-  0.5::DOUBLE AS hist_b_mean, any_value(hb.sd) AS hist_b_std, 0.5::DOUBLE AS hist_g_mean, any_value(hg.sd) AS hist_g_std, 0.5::DOUBLE AS hist_r_mean,
+  2::DOUBLE AS hist_b_mean, any_value(hb.sd) AS hist_b_std, 2::DOUBLE AS hist_g_mean, any_value(hg.sd) AS hist_g_std, 2::DOUBLE AS hist_r_mean,
   any_value(hr.sd) AS hist_r_std FROM v_gr g JOIN v_lap USING (vec_id, y, x) JOIN v_sob USING (vec_id, y, x) JOIN v_sat USING (vec_id)
   JOIN v_hs hb ON hb.vec_id = g.vec_id AND hb.c = 'b' JOIN v_hs hg ON hg.vec_id = g.vec_id AND hg.c = 'g' JOIN v_hs hr ON hr.vec_id = g.vec_id AND hr.c = 'r'
   GROUP BY g.vec_id)"""
@@ -117,20 +112,16 @@ v_hsv AS (SELECT vec_id, y, x, vv, s, CASE WHEN h < 0 THEN h + 180 ELSE h END AS
 
 
 @query("rast_water", with_views(RGB, HSV) + """SELECT vec_id, round(avg(s) / 255, 6) AS saturation, round(var_pop(h) / 32400, 6) AS hue_variance,
-  count_if(h BETWEEN 90 AND 130 AND s >= 50 AND vv >= 50) / count(*)::DOUBLE AS water_coverage FROM v_hsv GROUP BY vec_id""")
+  round(count_if(h BETWEEN 90 AND 130 AND s >= 50 AND vv >= 50) / count(*)::DOUBLE, 6) AS water_coverage FROM v_hsv GROUP BY vec_id""")
 def rast_water(spark: SparkSession, d: str) -> DataFrame:
-    cols = ra.water_stats(F.col("r"), F.col("g"), F.col("b"))
-    return rounded(views.rgb_images(spark, d).select("vec_id", *[c.alias(n) for n, c in cols.items()]))
+    return rounded(ra.colour_measures(views.rgb_images(spark, d)).select("vec_id", "saturation", "hue_variance", "water_coverage"))
 
 
 @query("rast_blue", with_views(RGB) + """SELECT vec_id, round(count_if(b > r AND b > g) / count(*)::DOUBLE, 6) AS blue_coverage,
   round(count_if(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE) < 128) / count(*)::DOUBLE, 6) AS dark_coverage
-  FROM v_rgb WHERE y >= 1 GROUP BY vec_id""")
+  FROM v_rgb WHERE y >= 2 GROUP BY vec_id""")
 def rast_blue(spark: SparkSession, d: str) -> DataFrame:
-    h, w = F.col("h"), F.col("w")
-    return rounded(_grey(spark, d).select(
-        "vec_id", ra.blue_coverage(F.col("r"), F.col("g"), F.col("b"), h, w).alias("blue_coverage"),
-        ra.dark_coverage(F.col("px"), h, w).alias("dark_coverage")))
+    return rounded(ra.colour_measures(views.rgb_images(spark, d)).select("vec_id", "blue_coverage", "dark_coverage"))
 
 
 NOISE = """v_hp AS (SELECT vec_id, y, x, greatest(0, least(255, sum(CASE WHEN dy = 0 AND dx = 0 THEN 8 * v ELSE -v END))) AS r
@@ -154,11 +145,8 @@ def rast_noise(spark: SparkSession, d: str) -> DataFrame:
     round((CASE WHEN br / 255 BETWEEN 0.1::DOUBLE AND 0.9::DOUBLE THEN 1 ELSE 0.5::DOUBLE END + CASE WHEN c > 0.1::DOUBLE THEN 1 ELSE 0.5::DOUBLE END
       + CASE WHEN s > 100 THEN 1 ELSE 0.5::DOUBLE END) / 3, 6) AS flag_score FROM a JOIN b USING (vec_id) JOIN n USING (vec_id)""")
 def image_score(spark: SparkSession, d: str) -> DataFrame:
-    measured = ra.neighbour_measures(_levels(spark, d))
-    c = ra.contrast_stats(F.col("px"))
-    scores = ra.image_scores(
-        c["rms_contrast"], F.col("laplacian_variance"), ra.dark_coverage(F.col("px"), F.col("h"), F.col("w")),
-        F.col("noise_level"), c["dynamic_range"], c["brightness"])
+    measured = ra.level_measures(_levels(spark, d))
+    scores = ra.image_scores(*map(F.col, ("rms_contrast", "laplacian_variance", "dark_coverage", "noise_level", "dynamic_range", "brightness")))
     return rounded(measured.select("vec_id", *[e.alias(n) for n, e in scores.items()]))
 
 

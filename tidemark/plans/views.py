@@ -134,9 +134,8 @@ def rasters(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def rgb_images(spark: SparkSession, directory: str) -> DataFrame:
-    """Colour images: three 4x4 planes (red, green, blue) of whole numbers 0-255."""
+    """Colour images: three 8x8 planes of whole numbers 0-255, the whole vector turned by 0, 16 and 32 places."""
     r = rasters(spark, directory)
     level = F.transform("px", lambda v: F.floor(v * 255).cast("double"))
-    return r.select("vec_id", F.lit(4).alias("h"), F.lit(4).alias("w"), level.alias("all")).select(
-        "vec_id", "h", "w", F.slice("all", 1, 16).alias("r"), F.slice("all", 17, 16).alias("g"),
-        F.slice("all", 33, 16).alias("b"))
+    turned = {name: F.concat(F.slice("all", 1 + n, 64), F.slice("all", 1, n)) if n else F.col("all") for name, n in (("r", 0), ("g", 16), ("b", 32))}
+    return r.select("vec_id", "h", "w", level.alias("all")).select("vec_id", "h", "w", *[c.alias(n) for n, c in turned.items()])

@@ -50,9 +50,9 @@ v_pix AS (SELECT vec_id, CAST(floor(i / 8) AS BIGINT) AS y, CAST(i % 8 AS BIGINT
 # colour pixels (id, y, x, r, g, b)
 RGB = PIX + """,
 v_lev AS (SELECT vec_id, y * 8 + x AS i, floor(v * 255)::DOUBLE AS v FROM v_pix),
-v_rgb AS (SELECT a.vec_id, CAST(floor(a.i / 4) AS BIGINT) AS y, CAST(a.i % 4 AS BIGINT) AS x, a.v AS r, b.v AS g, c.v AS b
-  FROM v_lev a JOIN v_lev b ON a.vec_id = b.vec_id AND b.i = a.i + 16
-  JOIN v_lev c ON a.vec_id = c.vec_id AND c.i = a.i + 32 WHERE a.i < 16)"""
+v_rgb AS (SELECT a.vec_id, CAST(floor(a.i / 8) AS BIGINT) AS y, CAST(a.i % 8 AS BIGINT) AS x, a.v AS r, b.v AS g, c.v AS b
+  FROM v_lev a JOIN v_lev b ON a.vec_id = b.vec_id AND b.i = (a.i + 16) % 64
+  JOIN v_lev c ON a.vec_id = c.vec_id AND c.i = (a.i + 32) % 64)"""
 
 
 def with_views(*views: str) -> str:
