@@ -336,3 +336,18 @@ def test_alerts_carry_message_actions_metrics_and_id(spark):
     row = got["memory_critical"]
     assert row["message"] == "Memory usage is 97.3%, system may become unstable" and len(row["actions"]) == 4
     assert row["alert_id"] == "resource_exhaustion_critical_100" and row["metrics"]["memory_usage_percent"] == 97.25
+
+
+def test_missing_labels_are_errors(spark):
+    row = {"height_meters": 1.0, "height_feet": 3.28084, "height_confidence": 0.9, "direction_confidence": 0.9, "breaking_confidence": 0.9,
+           "direction": None, "breaking_type": None, "extreme_conditions": False, "wind_strength": 0.1, "wave_steepness": 0.1}
+    df = spark.createDataFrame([row], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string' if v is None else 'double'}" for k, v in row.items()))
+    got = gates.validate_labels(df).first()
+    assert got["errors"] == ["unknown direction", "unknown breaking type"] and not got["is_valid"]
+
+
+def test_confidence_trend_is_a_reason(spark):
+    rows = [("c", float(i), i, 100.0, 10.0, False, 10.0 - i) for i in range(30)]
+    df = spark.createDataFrame(rows, "component string, at double, event_id long, duration_ms double, memory_mb double, error_occurred boolean, confidence double")
+    got = tm.degradation(df, ["component"], confidence="confidence").first()
+    assert got["confidence_trend"] == pytest.approx(-1.0) and got["reasons"] == ["confidence declining"] and got["is_degraded"]

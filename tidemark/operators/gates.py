@@ -65,6 +65,11 @@ def depth_valid(variant: str = "edges") -> Column:
     return (F.col("depth_range") >= 0.01) & (F.col("depth_std") >= 0.01) & (F.col("quality_score") >= GATE_THRESHOLD)
 
 
+def known(label: Column, domain: Sequence[str]) -> Column:
+    """Whether a label is in its domain; a missing one is not."""
+    return F.coalesce(label.isin(list(domain)), F.lit(False))
+
+
 def validate_labels(df: DataFrame) -> DataFrame:
     """Check label rows: hard errors, consistency warnings and the confidence left after penalties."""
     confidences = ["height_confidence", "direction_confidence", "breaking_confidence"]
@@ -73,8 +78,8 @@ def validate_labels(df: DataFrame) -> DataFrame:
         F.when(~F.col("height_meters").between(low, high), F.lit("height out of range")),
         F.when(F.abs(F.col("height_feet") - F.col("height_meters") * FEET_PER_METRE) > 0.01,
                F.lit("feet do not match metres")),
-        F.when(~F.col("direction").isin(DIRECTIONS), F.lit("unknown direction")),
-        F.when(~F.col("breaking_type").isin(BREAKING_TYPES), F.lit("unknown breaking type")),
+        F.when(~known(F.col("direction"), DIRECTIONS), F.lit("unknown direction")),
+        F.when(~known(F.col("breaking_type"), BREAKING_TYPES), F.lit("unknown breaking type")),
         *[F.when(~F.col(c).between(0.0, 1.0), F.lit(f"{c} out of range")) for c in confidences])
     warnings = found(
         F.when((F.col("wind_strength") > 0.7) & (F.col("breaking_type") != "SPILLING"),

@@ -48,10 +48,10 @@ def lineage_steps(headers: DataFrame, steps: DataFrame, key: str, order: Sequenc
 
 
 def parents(df: DataFrame, key: str, parent_list: str, columns: Sequence[str]) -> DataFrame:
-    """Each dataset with the existing parents it names."""
+    """Each dataset with the existing parents it names; a parent that very many name is spread."""
     wanted = df.select(key, F.explode(parent_list).alias("parent"))
     known = df.select(F.col(key).alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in columns])
-    return wanted.join(known, "parent")
+    return skew_join(wanted, known, "parent")
 
 
 def patch_number(version: Column) -> Column:

@@ -191,7 +191,7 @@ def trend(value: Column, age: Column) -> Column:
     return F.when(F.count(value) >= MIN_TREND_ROWS, F.coalesce(F.regr_slope(value, -age), F.lit(0.0))).otherwise(0.0)
 
 
-def degradation(df: DataFrame, keys: Sequence[str], *, accuracy: str | None = None) -> DataFrame:
+def degradation(df: DataFrame, keys: Sequence[str], *, accuracy: str | None = None, confidence: str | None = None) -> DataFrame:
     """Is a component getting worse: recent means against the baseline and fixed limits, with reasons.
 
     Only the first 10 and the last 100 rows of a key matter; both are cut down
@@ -199,22 +199,23 @@ def degradation(df: DataFrame, keys: Sequence[str], *, accuracy: str | None = No
     """
     late = last_rows(df, keys, TREND_ROWS)
     now = F.col("age") <= ROLLING_ROWS
-    acc = F.col(accuracy) if accuracy else F.lit(None).cast("double")
+    acc, conf = (F.col(c) if c else F.lit(None).cast("double") for c in (accuracy, confidence))
     recent_means = late.groupBy(*keys).agg(
         F.count("*").alias("_rows"), F.avg(F.when(now, F.col("duration_ms"))).alias("avg_ms"),
         F.avg(F.when(now, F.col("memory_mb"))).alias("avg_mb"),
         F.avg(F.when(now, F.when(F.col("error_occurred"), 1.0).otherwise(0.0))).alias("error_rate"),
-        trend(acc, F.col("age")).alias("accuracy_trend"))
+        trend(acc, F.col("age")).alias("accuracy_trend"), trend(conf, F.col("age")).alias("confidence_trend"))
     early = baseline(df, keys, {"baseline_ms": "duration_ms"})
     both = null_safe_join(recent_means, early, list(keys), "left")
     reasons = F.array_compact(F.array(
         F.when(F.col("avg_ms") > SLOWDOWN * F.col("baseline_ms"), F.lit("processing time increased")),
         F.when(F.col("avg_mb") > MEMORY_LIMIT_MB, F.lit("high memory usage")),
         F.when(F.col("accuracy_trend") < TREND_LIMIT, F.lit("accuracy declining")),
+        F.when(F.col("confidence_trend") < TREND_LIMIT, F.lit("confidence declining")),
         F.when(F.col("error_rate") > ERROR_LIMIT, F.lit("high error rate"))))
     enough = F.col("_rows") >= BASELINE_ROWS
     return both.select(
-        *keys, "avg_ms", "baseline_ms", "avg_mb", "error_rate", "accuracy_trend",
+        *keys, "avg_ms", "baseline_ms", "avg_mb", "error_rate", "accuracy_trend", "confidence_trend",
         F.when(enough, reasons).otherwise(F.array(F.lit("insufficient data"))).alias("reasons")) \
         .withColumn("is_degraded", (F.size("reasons") > 0) & ~F.array_contains("reasons", "insufficient data"))
 
@@ -319,4 +320,4 @@ def cooled_down(fired: DataFrame, keys: Sequence[str], *, at: str = "at", minute
 
 def active_alerts(history: DataFrame, acknowledged: DataFrame, key: str = "alert_id") -> DataFrame:
     """History minus acknowledged alerts."""
-    return history.join(acknowledged.select(key), key, "left_anti")
+    return history.join(acknowledged.select(key).distinct(), key, "left_anti")

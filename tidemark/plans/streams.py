@@ -76,10 +76,10 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stream_degradation", with_views(TEL) + batch.DEGRADED + """ SELECT component, round(ms, 6) AS avg_ms, round(base, 6) AS baseline_ms, round(mb, 6) AS avg_mb,
-  round(er, 6) AS error_rate, round(tr, 6) AS accuracy_trend, array_to_string(rs, '; ') AS reasons, len(rs) > 0 AS is_degraded FROM f""")
+  round(er, 6) AS error_rate, round(tr, 6) AS accuracy_trend, round(ct, 6) AS confidence_trend, array_to_string(rs, '; ') AS reasons, len(rs) > 0 AS is_degraded FROM f""")
 def stream_degradation(spark: SparkSession, d: str) -> DataFrame:
     stream = event_stream(spark, d).withColumns({"memory_mb": F.col("memory_mb") * 20, "accuracy": F.col("duration_ms")})
-    out = monitor.DegradationMonitor(spark, f"degradation-{uuid.uuid4().hex}").run(stream)
+    out = monitor.DegradationMonitor(spark, f"degradation-{uuid.uuid4().hex}", confidence="memory_mb").run(stream)
     return rounded(out.withColumn("reasons", as_text("reasons")))
 
 

@@ -153,16 +153,16 @@ DEGRADED = """, a AS (SELECT *, memory_mb * 20 AS mb, row_number() OVER (PARTITI
     row_number() OVER (PARTITION BY component ORDER BY secs DESC, event_id DESC) AS age FROM v_tel),
   g AS (SELECT component, count(*) AS n, avg(CASE WHEN r <= 10 THEN duration_ms END) AS base, avg(CASE WHEN age <= 10 THEN duration_ms END) AS ms,
     avg(CASE WHEN age <= 10 THEN mb END) AS mb, avg(CASE WHEN age <= 10 THEN CASE WHEN error_occurred THEN 1 ELSE 0 END END) AS er,
-    regr_slope(CASE WHEN age <= 100 THEN duration_ms END, -age) AS tr FROM a GROUP BY component),
+    regr_slope(CASE WHEN age <= 100 THEN duration_ms END, -age) AS tr, regr_slope(CASE WHEN age <= 100 THEN mb END, -age) AS ct FROM a GROUP BY component),
   f AS (SELECT *, list_filter([CASE WHEN ms > 1.5::DOUBLE * base THEN 'processing time increased' END, CASE WHEN mb > 1000 THEN 'high memory usage' END,
-    CASE WHEN tr < -0.1::DOUBLE THEN 'accuracy declining' END, CASE WHEN er > 0.1::DOUBLE THEN 'high error rate' END], lambda x: x IS NOT NULL) AS rs FROM g)"""
+    CASE WHEN tr < -0.1::DOUBLE THEN 'accuracy declining' END, CASE WHEN ct < -0.1::DOUBLE THEN 'confidence declining' END, CASE WHEN er > 0.1::DOUBLE THEN 'high error rate' END], lambda x: x IS NOT NULL) AS rs FROM g)"""
 
 
 @query("degradation", with_views(TEL) + DEGRADED + """ SELECT component, round(ms, 6) AS avg_ms, round(base, 6) AS baseline_ms, round(mb, 6) AS avg_mb,
-  round(er, 6) AS error_rate, round(tr, 6) AS accuracy_trend, array_to_string(rs, '; ') AS reasons, len(rs) > 0 AS is_degraded FROM f""")
+  round(er, 6) AS error_rate, round(tr, 6) AS accuracy_trend, round(ct, 6) AS confidence_trend, array_to_string(rs, '; ') AS reasons, len(rs) > 0 AS is_degraded FROM f""")
 def degradation(spark: SparkSession, d: str) -> DataFrame:
     df = views.telemetry(spark, d).withColumn("memory_mb", F.col("memory_mb") * 20)
-    out = tm.degradation(df, KEYS, accuracy="duration_ms")
+    out = tm.degradation(df, KEYS, accuracy="duration_ms", confidence="memory_mb")
     return rounded(out.withColumn("reasons", as_text("reasons")))
 
 

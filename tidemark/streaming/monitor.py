@@ -142,9 +142,9 @@ class DegradationMonitor:
 
     COLUMNS = ["at", "event_id", "component", "duration_ms", "memory_mb", "error_occurred", "accuracy"]
 
-    def __init__(self, spark: SparkSession, name: str = "degradation", root: str | None = None):
+    def __init__(self, spark: SparkSession, name: str = "degradation", root: str | None = None, confidence: str | None = None):
         """``root`` (by default ``name`` in the shared folder) holds the state; a monitor with the same root goes on from it."""
-        self.spark = spark
+        self.spark, self.confidence = spark, confidence
         self.root = root or f"{shared_dir(spark)}/{name}"
 
     def _state(self, epoch: int) -> str:
@@ -152,14 +152,14 @@ class DegradationMonitor:
 
     def step(self, batch: DataFrame, epoch: int) -> None:
         """One micro-batch: merge its rows into the state and write the new report."""
-        rows = batch.select(*self.COLUMNS)
+        rows = batch.select(*dict.fromkeys([*self.COLUMNS, *([self.confidence] if self.confidence else [])]))
         if epoch > 0 and path_exists(self.spark, self._state(epoch - 1)):
             rows = rows.unionByName(self.spark.read.parquet(self._state(epoch - 1)))
         early = first_per_key(rows, ["component"], [F.col("at"), F.col("event_id")], tm.BASELINE_ROWS)
         late = first_per_key(rows, ["component"], [F.desc("at"), F.desc("event_id")], tm.TREND_ROWS)
         early.unionByName(late).dropDuplicates(["component", "event_id"]) \
             .write.mode("overwrite").parquet(self._state(epoch))
-        report = tm.degradation(self.spark.read.parquet(self._state(epoch)), ["component"], accuracy="accuracy")
+        report = tm.degradation(self.spark.read.parquet(self._state(epoch)), ["component"], accuracy="accuracy", confidence=self.confidence)
         report.write.mode("overwrite").parquet(f"{self.root}/report/epoch={epoch}")
         for folder in ("state", "report"):  # the batch before may have to be run again; older ones may not
             drop_path(self.spark, f"{self.root}/{folder}/epoch={epoch - 2}")
