@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.text import small_batches
+
 Runner = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Runner] = {}
@@ -17,7 +19,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     def register(run: Runner) -> Runner:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = run
+
+        def prepared(spark: SparkSession, directory: str) -> DataFrame:
+            small_batches(spark)
+            return run(spark, directory)
+
+        QUERIES[name] = prepared
         if sql:
             SQL[name] = sql
         return run

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 CHUNK = 1 << 20
+BATCH_ROWS = 2_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
@@ -43,6 +45,17 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most ``BATCH_ROWS`` rows in this session.
+
+    Spark's default of 10,000 rows is meant for numbers; whole texts of that many rows fill tens of MB in the JVM and in
+    the worker at once. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     h = h ^ (h >> np.uint64(32))
