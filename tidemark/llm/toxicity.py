@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     judged = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = judged.agg(F.avg("toxic")).first()[0]
     rows = docs.filter("text is not null").select("doc_id", "text")
-    known = per_class(judged.filter("toxic = 1"), "toxic", POSITIVES, "doc_id").join(rows, "doc_id")
+    # About POSITIVES rows whatever the input: sent to the texts, which stay where they are.
+    known = rows.join(F.broadcast(per_class(judged.filter("toxic = 1"), "toxic", POSITIVES, "doc_id")), "doc_id")
     others = per_class(rows.withColumn("side", F.lit(0)), "side", UNLABELLED, "doc_id")
     sample = pin(known.select(F.lit(True).alias("positive"), "text").union(others.select(F.lit(False), "text")))
     size = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
