@@ -26,7 +26,8 @@ COOLDOWN_MINUTES, TICK_SECONDS = 15, 60
 class AlertRule:
     """A rule is a SQL predicate over a metrics row, with the alert's kind and wording.
 
-    ``message`` is a format with one place, filled by the SQL expression ``shown``.
+    ``message`` is a format with one place, filled by the SQL expression ``shown``; numbers are rounded to six digits
+    first, so that noise in the last bits does not decide a tie.
     """
     rule_id: str
     alert_type: str
@@ -41,28 +42,28 @@ class AlertRule:
 # The six standard alert rules.
 ALERT_RULES = [
     AlertRule("cpu_high", "resource_exhaustion", "warning", "cpu_usage_percent > 85", "High CPU Usage Detected",
-              "CPU usage is %.1f%%, exceeding 85%% threshold", "round(cpu_usage_percent, 1)",
+              "CPU usage is %.1f%%, exceeding 85%% threshold", "round(round(cpu_usage_percent, 6), 1)",
               ("Check for runaway processes", "Consider scaling up compute resources",
                "Review recent code changes for performance issues")),
     AlertRule("memory_high", "resource_exhaustion", "warning", "memory_usage_percent > 85", "High Memory Usage Detected",
-              "Memory usage is %.1f%%, exceeding 85%% threshold", "round(memory_usage_percent, 1)",
+              "Memory usage is %.1f%%, exceeding 85%% threshold", "round(round(memory_usage_percent, 6), 1)",
               ("Check for memory leaks", "Clear GPU cache if using CUDA", "Restart the application",
                "Consider increasing available memory")),
     AlertRule("memory_critical", "resource_exhaustion", "critical", "memory_usage_percent > 95", "Critical Memory Usage",
-              "Memory usage is %.1f%%, system may become unstable", "round(memory_usage_percent, 1)",
+              "Memory usage is %.1f%%, system may become unstable", "round(round(memory_usage_percent, 6), 1)",
               ("Immediately restart the application", "Kill non-essential processes", "Check for memory leaks",
                "Scale up memory resources")),
     AlertRule("error_rate_high", "error_rate_high", "error", "error_rate > 0.1D", "High Error Rate Detected",
-              "Error rate is %.1f%%, exceeding 10%% threshold", "round(error_rate * 100, 1)",
+              "Error rate is %.1f%%, exceeding 10%% threshold", "round(round(error_rate * 100, 6), 1)",
               ("Check application logs for error patterns", "Verify input data quality",
                "Check model loading and initialization", "Review recent deployments")),
     AlertRule("slow", "performance_degradation", "warning", "avg_duration_ms > 10000", "Performance Degradation Detected",
-              "Average operation time is %.0fms, exceeding 10s threshold", "round(avg_duration_ms, 0)",
+              "Average operation time is %.0fms, exceeding 10s threshold", "round(round(avg_duration_ms, 6), 0)",
               ("Check system resource usage", "Review recent code changes", "Consider optimizing model inference",
                "Check for network latency issues")),
     AlertRule("gpu_memory", "resource_exhaustion", "error",
               "gpu_available AND gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1) > 0.9D", "GPU Memory Exhaustion",
-              "GPU memory usage is %.1f%%, exceeding 90%% threshold", "round(100 * gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1), 1)",
+              "GPU memory usage is %.1f%%, exceeding 90%% threshold", "round(round(100 * gpu_memory_used_mb / greatest(gpu_memory_total_mb, 1), 6), 1)",
               ("Clear GPU cache with torch.cuda.empty_cache()", "Reduce batch size or model size",
                "Switch to CPU processing temporarily", "Restart the application")),
 ]

@@ -217,13 +217,13 @@ _TEXTS = ", ".join("('{}', '{}', '{}', '{}')".format(r.rule_id, r.title, r.alert
 FIRED = f"""v_text AS (SELECT * FROM (VALUES {_TEXTS}) AS t(rule_id, title, alert_type, actions)),
 v_fired AS (SELECT m.secs, m.component, r.rule_id, r.severity, r.message, title, alert_type, actions,
     alert_type || '_' || r.severity || '_' || m.secs::VARCHAR AS alert_id FROM v_met m, LATERAL (VALUES
-  ('cpu_high', 'warning', cpu_usage_percent > 85, printf('CPU usage is %.1f%%, exceeding 85%% threshold', round(cpu_usage_percent, 1))),
-  ('memory_high', 'warning', memory_usage_percent > 85, printf('Memory usage is %.1f%%, exceeding 85%% threshold', round(memory_usage_percent, 1))),
-  ('memory_critical', 'critical', memory_usage_percent > 95, printf('Memory usage is %.1f%%, system may become unstable', round(memory_usage_percent, 1))),
-  ('error_rate_high', 'error', error_rate > 0.1::DOUBLE, printf('Error rate is %.1f%%, exceeding 10%% threshold', round(error_rate * 100, 1))),
-  ('slow', 'warning', avg_duration_ms > 10000, printf('Average operation time is %.0fms, exceeding 10s threshold', round(avg_duration_ms, 0))),
+  ('cpu_high', 'warning', cpu_usage_percent > 85, printf('CPU usage is %.1f%%, exceeding 85%% threshold', round(round(cpu_usage_percent, 6), 1))),
+  ('memory_high', 'warning', memory_usage_percent > 85, printf('Memory usage is %.1f%%, exceeding 85%% threshold', round(round(memory_usage_percent, 6), 1))),
+  ('memory_critical', 'critical', memory_usage_percent > 95, printf('Memory usage is %.1f%%, system may become unstable', round(round(memory_usage_percent, 6), 1))),
+  ('error_rate_high', 'error', error_rate > 0.1::DOUBLE, printf('Error rate is %.1f%%, exceeding 10%% threshold', round(round(error_rate * 100, 6), 1))),
+  ('slow', 'warning', avg_duration_ms > 10000, printf('Average operation time is %.0fms, exceeding 10s threshold', round(round(avg_duration_ms, 6), 0))),
   ('gpu_memory', 'error', gpu_memory_used_mb / gpu_memory_total_mb > 0.9::DOUBLE,
-   printf('GPU memory usage is %.1f%%, exceeding 90%% threshold', round(100 * gpu_memory_used_mb / gpu_memory_total_mb, 1))))
+   printf('GPU memory usage is %.1f%%, exceeding 90%% threshold', round(round(100 * gpu_memory_used_mb / gpu_memory_total_mb, 6), 1))))
   AS r(rule_id, severity, hit, message) JOIN v_text USING (rule_id) WHERE r.hit)"""
 
 
