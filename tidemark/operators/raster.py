@@ -137,6 +137,16 @@ def level_measures(df: DataFrame) -> DataFrame:
     return kn.apply_kernel(df, lambda a: _grey_kernel(a) | _neighbour_kernel(a), ", ".join(f"{n} double" for n in _GREY + _NEIGHBOUR))
 
 
+def pixel_rows(df: DataFrame, px: str = "px") -> DataFrame:
+    """One row ``(y, x, v)`` per pixel beside the other columns, for joins on pixels; nothing is shuffled.
+
+    A missing raster has no rows. Measures of whole rasters need no such rows: use the kernels.
+    """
+    others = [c for c in df.columns if c not in (px, "h", "w")]
+    rows = df.select(*others, "w", F.posexplode(px).alias("_i", "v"))
+    return rows.select(*others, F.floor(F.col("_i") / F.col("w")).alias("y"), (F.col("_i") % F.col("w")).cast("bigint").alias("x"), "v")
+
+
 def _neighbour_kernel(a: np.ndarray) -> dict[str, np.ndarray]:
     lap, edges = kn.laplacian(a), kn.sobel(a)
     high_pass = np.clip(9 * a - 9 * kn.box(a, 3), 0, 255)

@@ -311,6 +311,11 @@ def rule_labels(spark: SparkSession, d: str) -> DataFrame:
         "breaking_confidence", "fallback_height", "fallback_direction", "fallback_breaking"))
 
 
+@query("pixel_rows", with_views(PIX) + "SELECT vec_id, y, x, round(v, 9) AS v FROM v_pix")
+def pixel_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ra.pixel_rows(views.rasters(spark, d)), 9)
+
+
 @query("join_rgb_depth", with_views(RGB) + """, i AS (SELECT vec_id, avg(r + g + b) / 3 AS brightness FROM v_rgb GROUP BY 1),
   d AS (SELECT vec_id, avg(v) AS depth_mean FROM v_pix WHERE vec_id % 3 > 0 GROUP BY 1)
   SELECT vec_id, round(brightness, 6) AS brightness, round(depth_mean, 6) AS depth_mean FROM i JOIN d USING (vec_id)""")
