@@ -51,3 +51,22 @@ def test_plan_has_no_python(spark):
     plan = U.judged(frame(spark, [(i, f"http://h{i % 7}.net/{'es' if i % 2 else 'en'}/") for i in range(50)]
                           + [(100 + i, f"http://h{i}.com/en/") for i in range(50)]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_every_suffix_keeps_its_rate(spark):
+    rules = (("allow", "test", "/b/"), ("block", "b999.test", "/b/"))
+    rows = [(10 * k + i, f"http://a.s{k:03}.test/b/{i}") for k in range(260) for i in range(4)]
+    rows += [(5000 + i, f"http://a.b999.test/b/{i}") for i in range(3)]
+    rows += [(9000, "http://a.b999.test/c/1"), (9001, "http://a.s123.test/c/1")]
+    got = {r.page_id: r.verdict for r in U.judged(frame(spark, rows), rules).filter("page_id >= 9000").collect()}
+    assert got == {9000: "block", 9001: "allow"}
+
+
+def test_rare_verdict_is_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(U, "TRAIN_ROWS", 200)
+    rules = (("allow", "test", "/"), ("block", "odd.example", "/"))
+    rows = [(i, f"http://host.test/page{i % 10}") for i in range(3000)]
+    rows += [(5000 + i, f"http://x.odd.example/{'9' * 40}?a={i}&b=1&c=2") for i in range(4)]
+    rows += [(9000, f"http://new.site/{'9' * 40}?a=7&b=1&c=2"), (9001, "http://new.site/page5")]
+    got = {r.page_id: r.verdict for r in U.judged(frame(spark, rows), rules).filter("page_id >= 9000").collect()}
+    assert got == {9000: "block", 9001: "allow"}

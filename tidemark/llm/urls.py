@@ -5,7 +5,8 @@ that a rule judges are the labelled ones, from which the trees learn; they judge
 depth, share of digits, entropy, number of parameters, host labels and hyphens, and how often URLs with the same host
 suffix are blocked.
 
-Training takes a bounded sample (``TRAIN_ROWS`` labelled URLs, chosen by a hash) and the ``SUFFIXES`` most frequent suffixes.
+Trees are fitted on at most about ``TRAIN_ROWS`` labelled URLs, half of them of each verdict, chosen by a hash and weighted by what they
+stand for. Suffix statistics are a table of all suffixes of labelled URLs, joined to the URLs.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no rule; without labelled URLs of both kinds
 the method's verdict is that of the only kind, or ``allow``; repeated rows give equal rows.
@@ -24,7 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.registry import query
-from tidemark.sources.tables import table
+from tidemark.llm.sampling import per_class
+from tidemark.operators.joins import skew_join
+from tidemark.sources.tables import pin, table
 
 # The rules, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -32,7 +35,6 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 
 #: Bounds of the fit.
 TRAIN_ROWS = 20_000
-SUFFIXES = 256
 TREES, DEPTH = 10, 4
 
 _FEATURES = ("length", "host_length", "path_length", "query_length", "depth", "labels", "hyphens", "digit_share", "entropy",
@@ -44,7 +46,7 @@ class UrlModel:
     trees: Model | None           # none where only one verdict was seen
     only: str
     rate: float                   # of blocked URLs among the labelled
-    suffixes: dict[str, tuple[float, float]]  # smoothed block rate and share of the labelled, by suffix
+    suffixes: DataFrame | None    # (suffix, suffix_rate, suffix_share): smoothed block rate and share of the labelled
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,17 +91,13 @@ def with_features(rows: DataFrame, model: UrlModel) -> DataFrame:
     entropy = F.aggregate(letters, F.lit(0.0), lambda total, c: total - F.when(c == "", 0.0).otherwise(
         (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / length
         * F.log2((F.length(url) - F.length(F.replace(url, c, F.lit("")))) / length)))
-    known = [(F.lit(s), F.lit(rate), F.lit(share)) for s, (rate, share) in sorted(model.suffixes.items())]
-    rates = F.create_map(*[x for s, rate, _ in known for x in (s, rate)]) if known else None
-    shares = F.create_map(*[x for s, _, share in known for x in (s, share)]) if known else None
-    return rows.withColumns({
+    return skew_join(rows, model.suffixes, "suffix", "left").withColumns({
         "length": length, "host_length": F.length("host").cast("double"), "path_length": F.length("path").cast("double"),
         "query_length": F.length(question).cast("double"), "depth": _count(F.col("path"), "/"), "labels": _count(F.col("host"), "."),
         "hyphens": _count(F.col("host"), "-"), "digit_share": F.length(F.regexp_replace(url, "[^0-9]", "")) / length,
         "entropy": entropy, "parameters": F.when(question == "", 0.0).otherwise(_count(question, "&") + 1),
         "has_fragment": F.contains(url, F.lit("#")).cast("double"),
-        "suffix_rate": F.coalesce(rates[F.col("suffix")], F.lit(model.rate)) if known else F.lit(model.rate),
-        "suffix_share": F.coalesce(shares[F.col("suffix")], F.lit(0.0)) if known else F.lit(0.0)})
+        "suffix_rate": F.coalesce("suffix_rate", F.lit(model.rate)), "suffix_share": F.coalesce("suffix_share", F.lit(0.0))})
 
 
 def train(rows: DataFrame) -> UrlModel:
@@ -107,18 +105,20 @@ def train(rows: DataFrame) -> UrlModel:
     labelled = rows.filter("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
     total, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not total or blocked in (0, total):
-        return UrlModel(None, "block" if total and blocked else "allow", float(bool(total and blocked)), {})
+        return UrlModel(None, "block" if total and blocked else "allow", float(bool(total and blocked)), None)
     rate = blocked / total
-    suffixes = (labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-                .orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect())
-    model = UrlModel(None, "", rate, {r.suffix: ((r.bad + 10 * rate) / (r.n + 10), r.n / total) for r in suffixes})
-    spread = F.xxhash64("page_id", "url").bitwiseAND(F.lit((1 << 62) - 1))
-    sample = labelled.filter(spread <= int((1 << 62) * min(1.0, TRAIN_ROWS / total)))
+    suffixes = pin(labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+                   .select("suffix", ((F.col("bad") + 10 * rate) / (F.col("n") + 10)).alias("suffix_rate"),
+                           (F.col("n") / total).alias("suffix_share")))
+    model = UrlModel(None, "", rate, suffixes)
+    most = TRAIN_ROWS // 2
+    stands_for = F.when(F.col("label") == 1, max(1.0, blocked / most)).otherwise(max(1.0, (total - blocked) / most))
+    sample = per_class(labelled, "label", most, "page_id", "url").withColumn("weight", stands_for)
     vectors = VectorAssembler(inputCols=list(_FEATURES), outputCol="features")
     # The sample is small: few partitions keep the many short passes of boosting short.
-    seen = vectors.transform(with_features(sample, model)).select("features", "label").coalesce(4)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32).fit(seen)
-    return UrlModel(trees, "", rate, model.suffixes)
+    seen = vectors.transform(with_features(sample, model)).select("features", "label", "weight").coalesce(4)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, weightCol="weight").fit(seen)
+    return UrlModel(trees, "", rate, suffixes)
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
