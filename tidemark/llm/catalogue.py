@@ -1,4 +1,5 @@
 """Importing this module registers the queries of the subpackage."""
 
-from tidemark.llm import decontamination, language, licenses, quality, secrets, sentencepieces, simhash, toxicity, urls, vectors  # noqa: F401
+from tidemark.llm import (  # noqa: F401
+    decontamination, language, licenses, quality, secrets, sentencepieces, simhash, tokencounts, toxicity, urls, vectors)
 from tidemark.llm.registry import QUERIES, SQL  # noqa: F401
