@@ -175,7 +175,8 @@ def with_counts(docs: DataFrame, path: str, limit: int = LIMIT, carry: list[str]
                 [*batch.columns[:len(carry)], batch.column(len(carry) + 1), pa.array(tokens), pa.array(tokens > limit)], schema.names)
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    return docs.select(*carry, F.col("text").alias("text"), size.alias("n_bytes")).mapInArrow(run, schema)
+    inputs = [*map(F.col, carry), F.col("text"), size]
+    return docs.select(*[c.alias(f"in{k}") for k, c in enumerate(inputs)]).mapInArrow(run, schema)
 
 
 @query("op12_tokens")
