@@ -220,39 +220,39 @@ leaves AS (
   FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM docs)),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY source) AS n,
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
          dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
   FROM leaves),
-low(tree, level, at, h, n) AS (
-  SELECT tree, 0, at, leaf, n FROM placed
+low(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
   UNION ALL
-  SELECT tree, level + 1, at // {FANOUT}, sha256(string_agg(h, '' ORDER BY at)), (n + {FANOUT - 1}) // {FANOUT}
-  FROM low WHERE n > 1 GROUP BY tree, level, at // {FANOUT}, n),
+  SELECT tree, level + 1, pos // {FANOUT}, sha256(string_agg(h, '' ORDER BY pos)), (n + {FANOUT - 1}) // {FANOUT}
+  FROM low WHERE n > 1 GROUP BY tree, level, pos // {FANOUT}, n),
 subroots AS (SELECT tree, h AS subroot, count(*) OVER () AS n FROM low WHERE n = 1),
-top(level, at, h, n) AS (
+top(level, pos, h, n) AS (
   SELECT 0, tree, subroot, n FROM subroots
   UNION ALL
-  SELECT level + 1, at // {FANOUT}, sha256(string_agg(h, '' ORDER BY at)), (n + {FANOUT - 1}) // {FANOUT}
-  FROM top WHERE n > 1 GROUP BY level, at // {FANOUT}, n),
+  SELECT level + 1, pos // {FANOUT}, sha256(string_agg(h, '' ORDER BY pos)), (n + {FANOUT - 1}) // {FANOUT}
+  FROM top WHERE n > 1 GROUP BY level, pos // {FANOUT}, n),
 low_kin AS (
-  SELECT tree, level, at, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  SELECT tree, level, pos, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
          coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
-  FROM low WHERE n > 1 WINDOW b AS (PARTITION BY tree, level, at // {FANOUT} ORDER BY at)),
+  FROM low WHERE n > 1 WINDOW b AS (PARTITION BY tree, level, pos // {FANOUT} ORDER BY pos)),
 top_kin AS (
-  SELECT level, at, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  SELECT level, pos, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
          coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
-  FROM top WHERE n > 1 WINDOW b AS (PARTITION BY level, at // {FANOUT} ORDER BY at)),
-low_way(tree, leaf_at, level, at, node, proof) AS (
-  SELECT tree, at, 0, at, other, '' FROM placed
+  FROM top WHERE n > 1 WINDOW b AS (PARTITION BY level, pos // {FANOUT} ORDER BY pos)),
+low_way(tree, leaf_pos, level, pos, node, proof) AS (
+  SELECT tree, pos, 0, pos, other, '' FROM placed
   UNION ALL
-  SELECT w.tree, leaf_at, w.level + 1, w.at // {FANOUT}, sha256(l || node || r), proof || l || r FROM low_way w JOIN low_kin k USING (tree, level, at)),
-top_way(tree, leaf_at, level, at, node, proof) AS (
-  SELECT tree, leaf_at, 0, tree, arg_max(node, level), arg_max(proof, level) FROM low_way GROUP BY tree, leaf_at
+  SELECT w.tree, leaf_pos, w.level + 1, w.pos // {FANOUT}, sha256(l || node || r), proof || l || r FROM low_way w JOIN low_kin k USING (tree, level, pos)),
+top_way(tree, leaf_pos, level, pos, node, proof) AS (
+  SELECT tree, leaf_pos, 0, tree, arg_max(node, level), arg_max(proof, level) FROM low_way GROUP BY tree, leaf_pos
   UNION ALL
-  SELECT w.tree, leaf_at, w.level + 1, w.at // {FANOUT}, sha256(l || node || r), proof || l || r FROM top_way w JOIN top_kin k USING (level, at)),
-way AS (SELECT tree, leaf_at, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM top_way GROUP BY tree, leaf_at)
+  SELECT w.tree, leaf_pos, w.level + 1, w.pos // {FANOUT}, sha256(l || node || r), proof || l || r FROM top_way w JOIN top_kin k USING (level, pos)),
+way AS (SELECT tree, leaf_pos, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM top_way GROUP BY tree, leaf_pos)
 SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = t.h AS verified
-FROM placed p JOIN way w ON w.tree = p.tree AND w.leaf_at = p.at JOIN subroots s ON s.tree = p.tree JOIN top t ON t.n = 1
+FROM placed p JOIN way w ON w.tree = p.tree AND w.leaf_pos = p.pos JOIN subroots s ON s.tree = p.tree JOIN top t ON t.n = 1
 """
 
 

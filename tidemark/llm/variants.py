@@ -201,10 +201,10 @@ formed AS (
   SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {RATIO} * w.n THEN other END AS form,
          CASE WHEN other_n >= {RATIO} * w.n THEN other_n END AS form_n
   FROM words w LEFT JOIN best USING (word)),
-chain(word, at, step) AS (
+chain(word, pos, step) AS (
   SELECT word, word, 0 FROM formed
-  UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(at, step) AS root FROM chain GROUP BY word) r USING (word)
+  UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON f.word = c.pos WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(pos, step) AS root FROM chain GROUP BY word) r USING (word)
 """
 
 
