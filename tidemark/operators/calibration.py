@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tidemark.operators.calibrators import Calibrator, CalibratorModel, fit_isotonic as isotonic_blocks, fit_logistic, fit_temperature, logistic, points  # noqa: F401
 from tidemark.operators.evaluation import TIGHT_M
 
 # Ten equal bins on [0, 1], open on the left and closed on the right.
@@ -49,7 +45,17 @@ def reliability_bins(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def calibration_errors(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Expected, maximum and average calibration error per group, from at most 11 bin rows each."""
-    bins = reliability_bins(pairs, by)
+    return _errors(reliability_bins(pairs, by), by)
+
+
+def weighted_errors(counted: DataFrame, by: Sequence[str], confidence: str = "confidence") -> DataFrame:
+    """The same of points (by, confidence, n, hits)."""
+    n = F.sum("n")
+    return _errors(counted.groupBy(*by, bin_number(F.col(confidence)).cast("bigint").alias("bin")).agg(
+        n.alias("n"), (F.sum(F.col(confidence) * F.col("n")) / n).alias("mean_confidence"), (F.sum("hits") / n).alias("accuracy")), by)
+
+
+def _errors(bins: DataFrame, by: Sequence[str]) -> DataFrame:
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("mean_confidence") - F.col("accuracy")))
     return bins.groupBy(*by).agg(
         F.sum("n").alias("n"),
@@ -93,61 +99,45 @@ def best_temperature(losses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.min_by("temperature", F.struct("nll", "temperature")).alias("temperature"), F.min("nll").alias("nll"))
 
 
-def fit_platt(pairs: DataFrame, n_rows: int) -> PipelineModel:
-    """Logistic calibration of one task's confidences with the customary unit L2 penalty."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=["confidence"], outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="correct", regParam=1.0 / max(n_rows, 1),
-                           standardization=False, probabilityCol="_p", rawPredictionCol="_raw",
-                           predictionCol="_class")]).fit(pairs)
+def fit_platt(pairs: DataFrame, n_rows: int | None = None) -> Row:
+    """Slope and intercept for one task's confidences with the customary unit penalty; the number of rows is no longer needed."""
+    return fit_logistic(pairs, []).first()
 
 
-def apply_platt(model: PipelineModel, df: DataFrame) -> DataFrame:
+def apply_platt(model: Row, df: DataFrame) -> DataFrame:
     """Add ``calibrated`` from a fitted logistic calibration, as an arithmetic column."""
-    fitted = model.stages[-1]
-    z = F.col("confidence") * float(fitted.coefficients[0]) + float(fitted.intercept)
-    return df.withColumn("calibrated", 1 / (1 + F.exp(-z)))
+    return df.withColumn("calibrated", logistic(F.col("confidence"), F.lit(model["slope"]), F.lit(model["intercept"])))
 
 
-def fit_isotonic(pairs: DataFrame):
-    """Isotonic calibration; equal confidences are merged into one weighted point first."""
-    points = pairs.groupBy("confidence").agg(F.avg("correct").alias("correct"),
-                                             F.count("*").cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol="confidence", labelCol="correct", weightCol="_w",
-                              predictionCol="calibrated").fit(points)
+def fit_isotonic(pairs: DataFrame) -> DataFrame:
+    """Isotonic calibration of one task, as a table of blocks."""
+    return isotonic_blocks(pairs, [])
 
 
 class Calibrators:
     """Fitted calibrations, one per task that has enough rows; other tasks keep their confidences.
 
-    ``method`` is ``platt`` or ``isotonic``.  The task list is given, so that one count per task decides.
+    ``method`` is ``platt`` or ``isotonic``.  The task list is given; all its tasks are fitted together.
     """
 
     def __init__(self, method: str, tasks: Sequence[str] = ("height", "direction", "breaking"),
                  min_rows: int = MIN_ROWS_FIT):
-        if method not in ("platt", "isotonic"):
-            raise ValueError(f"unknown calibration method {method!r}")
-        self.method, self.tasks, self.min_rows, self.models = method, list(tasks), min_rows, {}
+        self.tasks, self.models = list(tasks), {}
+        self.estimator = Calibrator(method=method, groupCols=["task"], minRows=min_rows)
+        self.model: CalibratorModel | None = None
 
     def fit(self, pairs: DataFrame) -> Calibrators:
         """Fit each listed task on its ``(task, confidence, correct)`` rows."""
-        mine = pairs.filter(F.col("task").isin(self.tasks))
-        sizes = {r["task"]: r["n"] for r in mine.groupBy("task").agg(F.count("*").alias("n")).collect()}
-        self.models = {}
-        for task in self.tasks:
-            if sizes.get(task, 0) >= self.min_rows:
-                rows = mine.filter(F.col("task") == task)
-                self.models[task] = fit_platt(rows, sizes[task]) if self.method == "platt" else fit_isotonic(rows)
+        self.model = self.estimator.fit(pairs.filter(F.col("task").isin(self.tasks)))
+        fitted = {r["task"] for r in self.model.table.select("task").distinct().collect()}
+        self.models = {task: self.model for task in self.tasks if task in fitted}
         return self
 
     def transform(self, pairs: DataFrame) -> DataFrame:
         """Add ``calibrated`` to rows of any task."""
-        parts = [pairs.filter(~F.coalesce(F.col("task").isin(list(self.models)), F.lit(False)))
-                 .withColumn("calibrated", F.col("confidence"))]
-        for task, model in self.models.items():
-            rows = pairs.filter(F.col("task") == task)
-            parts.append(apply_platt(model, rows) if self.method == "platt" else model.transform(rows))
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        if self.model is None:
+            raise ValueError("not fitted yet")
+        return self.model.transform(pairs)
 
 
 def calibrator_report(pairs: DataFrame, method: str, by: Sequence[str] = ("task",),
@@ -156,7 +146,6 @@ def calibrator_report(pairs: DataFrame, method: str, by: Sequence[str] = ("task"
     fitted = Calibrators(method, tasks).fit(pairs)
     if not fitted.models:
         raise ValueError(f"no task has the {MIN_ROWS_FIT} rows a calibrator needs")
-    mine = pairs.filter(F.col("task").isin(list(fitted.models)))
-    after = fitted.transform(mine).withColumn("confidence", F.col("calibrated"))
-    return calibration_errors(mine, by).select(*by, "n", F.col("ece").alias("ece_before")).join(
-        calibration_errors(after, by).select(*by, F.col("ece").alias("ece_after")), list(by))
+    counted = points(pairs.filter(F.col("task").isin(list(fitted.models))), list(dict.fromkeys([*by, "task"])))
+    after = weighted_errors(fitted.transform(counted), by, "calibrated").select(*by, F.col("ece").alias("ece_after"))
+    return weighted_errors(counted, by).select(*by, "n", F.col("ece").alias("ece_before")).join(after, list(by))

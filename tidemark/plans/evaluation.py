@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import as_text, rounded
@@ -145,30 +145,91 @@ def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cal.calibration_summary(cal.calibration_pairs(views.predictions(spark, d))))
 
 
-@query("platt_scaling")
+# points of each task, and calibration errors of values (task, confidence, n, hits, calibrated)
+POINTS = """v_pt AS (SELECT task, confidence AS c, count(*) AS n, sum(correct) AS hits FROM v_pairs GROUP BY 1, 2)"""
+
+
+def _errors_sql(view: str, value: str, name: str) -> str:
+    return f"""{name}_bin AS (SELECT task, CASE WHEN {value} > 0 AND {value} <= 1 THEN len(list_filter({EDGES}, lambda e: {value} > e)) END AS bin,
+  sum(n) AS n, sum({value} * n) / sum(n) AS mean_confidence, sum(hits) / sum(n) AS accuracy FROM {view} GROUP BY 1, 2),
+{name} AS (SELECT task, sum(n)::BIGINT AS n, coalesce(sum(CASE WHEN bin IS NOT NULL THEN abs(mean_confidence - accuracy) * n END) / sum(n), 0) AS ece
+  FROM {name}_bin GROUP BY task)"""
+
+
+REPORT = """SELECT b.task, b.n, round(b.ece, 6) AS ece_before, round(a.ece, 6) AS ece_after FROM v_before b JOIN v_after a USING (task)"""
+NEWTON = """v_fit(task, step, a, b) AS (SELECT DISTINCT task, 0, 0::DOUBLE, 0::DOUBLE FROM v_pt
+  UNION ALL SELECT task, step + 1, a + (hab * gb - hbb * ga) / (haa * hbb - hab * hab), b + (hab * ga - haa * gb) / (haa * hbb - hab * hab)
+  FROM (SELECT task, step, a, b, a + sum((n * p - hits) * c) AS ga, sum(n * p - hits) AS gb, 1 + sum(n * p * (1 - p) * c * c) AS haa,
+      sum(n * p * (1 - p) * c) AS hab, sum(n * p * (1 - p)) AS hbb
+    FROM (SELECT f.task, step, a, b, c, n, hits, 1 / (1 + exp(-(a * c + b))) AS p FROM v_fit f JOIN v_pt t ON t.task = f.task WHERE step < 25)
+    GROUP BY task, step, a, b)),
+v_cal AS (SELECT t.*, 1 / (1 + exp(-(a * c + b))) AS calibrated FROM v_pt t JOIN v_fit f ON f.task = t.task AND step = 25)"""
+
+
+@query("platt_scaling", with_views(PRED, PAIRS, POINTS, NEWTON, _errors_sql("v_pt", "c", "v_before"), _errors_sql("v_cal", "calibrated", "v_after"))
+       .replace("WITH ", "WITH RECURSIVE ", 1) + REPORT)
 def platt_scaling(spark: SparkSession, d: str) -> DataFrame:
-    return cal.calibrator_report(cal.calibration_pairs(views.predictions(spark, d)), "platt")
+    return rounded(cal.calibrator_report(cal.calibration_pairs(views.predictions(spark, d)), "platt"))
+
 
+# the isotonic value of a point: over all starts at or before it, the largest of the least means up to any end at or after it
+MAXMIN = """v_cum AS (SELECT *, sum(n) OVER w AS cn, sum(hits) OVER w AS ch FROM v_pt WINDOW w AS (PARTITION BY task ORDER BY c)),
+v_low AS (SELECT p.task, p.c, s.c AS start, min((e.ch - s.ch + s.hits) / (e.cn - s.cn + s.n)) AS least FROM v_pt p
+  JOIN v_cum s ON s.task = p.task AND s.c <= p.c JOIN v_cum e ON e.task = p.task AND e.c >= p.c GROUP BY 1, 2, 3),
+v_cal AS (SELECT t.*, m.calibrated FROM v_pt t JOIN (SELECT task, c, max(least) AS calibrated FROM v_low GROUP BY 1, 2) m USING (task, c))"""
 
-@query("isotonic_scaling")
+
+@query("isotonic_scaling", with_views(PRED, PAIRS, POINTS, MAXMIN, _errors_sql("v_pt", "c", "v_before"), _errors_sql("v_cal", "calibrated", "v_after")) + REPORT)
 def isotonic_scaling(spark: SparkSession, d: str) -> DataFrame:
-    return cal.calibrator_report(cal.calibration_pairs(views.predictions(spark, d)), "isotonic")
+    return rounded(cal.calibrator_report(cal.calibration_pairs(views.predictions(spark, d)), "isotonic"))
+
+
+@query("isotonic_blocks", with_views(PRED, PAIRS, POINTS, MAXMIN) + """SELECT task, round(min(c), 6) AS lower, round(max(c), 6) AS upper,
+  round(calibrated, 6) AS value, sum(n)::DOUBLE AS weight FROM v_cal GROUP BY task, calibrated""")
+def isotonic_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted steps themselves."""
+    return rounded(cal.isotonic_blocks(cal.calibration_pairs(views.predictions(spark, d)), ["task"]))
+
+
+# logits: product of the whole vector with the mean vector of each of three classes
+CENTROIDS = """v_u AS (SELECT vec_id, label % 3 AS y, i, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) AS t(i)),
+v_c AS (SELECT y AS k, i, avg(v) AS m FROM v_u GROUP BY 1, 2),
+v_z AS (SELECT vec_id, y, k, sum(v * m) AS z FROM v_u JOIN v_c USING (i) GROUP BY 1, 2, 3)"""
+
+
+def class_logits(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, target, logits) by the products of each whole vector with three class means, 64 numbers each."""
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("target"), F.col("embedding").cast("array<double>").alias("v"))
+    means = rows.groupBy("target").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(64)]).alias("mean"))
+    classes = means.agg(*[F.max(F.when(F.col("target") == k, F.col("mean"))).alias(f"mean{k}") for k in range(3)])
+    dot = [F.aggregate(F.zip_with("v", f"mean{k}", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) for k in range(3)]
+    return rows.crossJoin(F.broadcast(classes)).select("vec_id", "target", F.array(*dot).alias("logits"))  # one row of three means
+
+
+@query("temperature_fit", with_views(CENTROIDS).replace("WITH ", "WITH RECURSIVE ", 1) + """, f(step, beta) AS (SELECT 0, 1::DOUBLE UNION ALL
+  SELECT step + 1, beta - avg(m1 - zy) / avg(m2 - m1 * m1) FROM (SELECT step, beta, vec_id, sum(e * z) / sum(e) AS m1, sum(e * z * z) / sum(e) AS m2,
+      max(CASE WHEN k = y THEN z END) AS zy FROM (SELECT *, exp(beta * z) AS e FROM f, v_z WHERE step < 40) GROUP BY 1, 2, 3) GROUP BY step, beta)
+  SELECT round(1 / beta, 6) AS temperature FROM f WHERE step = 40""")
+def temperature_fit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(cal.fit_temperature(class_logits(spark, d), "logits", "target"))
 
 
 GRID = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]
 
 
-@query("temperature_grid", """WITH z AS (SELECT vec_id, label % 3 AS target, t.temperature,
-  [embedding[1]::DOUBLE * 8 / t.temperature, embedding[2]::DOUBLE * 8 / t.temperature,
-   embedding[3]::DOUBLE * 8 / t.temperature] AS z FROM embeddings,
+@query("temperature_grid", """WITH g AS (SELECT vec_id, label % 3 AS target, list_transform([1, 2, 3], lambda k: list_sum(list_transform(
+    list_filter(range(1, 65), lambda i: i % 3 = k % 3), lambda i: embedding[i]::DOUBLE))) AS l FROM embeddings),
+  z AS (SELECT target, t.temperature, list_transform(l, lambda v: v / t.temperature) AS z FROM g,
   (SELECT unnest([0.25, 0.5, 0.75, 1, 1.5, 2, 3, 4])::DOUBLE AS temperature) t),
   l AS (SELECT temperature, avg(list_max(z) + ln(exp(z[1] - list_max(z)) + exp(z[2] - list_max(z))
     + exp(z[3] - list_max(z))) - z[target + 1]) AS nll FROM z GROUP BY temperature)
   SELECT temperature, round(nll, 6) AS nll, nll = (SELECT min(nll) FROM l) AS best FROM l""")
 def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "embeddings").select(
-        (F.col("label") % 3).alias("target"),
-        F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double") * 8).alias("logits"))
+    """Logits are the sums over every third component, so that the whole vector counts."""
+    def third(k: int) -> Column:
+        return F.aggregate(F.filter("embedding", lambda v, i: i % 3 == k), F.lit(0.0), lambda a, v: a + v)
+
+    df = table(spark, d, "embeddings").select((F.col("label") % 3).alias("target"), F.array(*map(third, range(3))).alias("logits"))
     losses = cal.temperature_scaling(df, "logits", "target", GRID)
     best = cal.best_temperature(losses).select("temperature").scalar()
     return rounded(losses.withColumn("best", F.col("temperature") == best))
