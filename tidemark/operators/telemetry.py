@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chains import keep_chosen
 from tidemark.operators.evaluation import ratio
-from tidemark.operators.ranking import (
-    CHUNK, first_per_key, null_safe_join, order_statistic, rolling, running, with_chunks)
+from tidemark.operators.ranking import first_per_key, null_safe_join, order_statistic, rolling, running, with_chunks
+from tidemark.sources.tables import pin
 
 # Fixed values of the monitoring rules.
 WARN_MS, ALERT_MS, TARGET_MS = 5_000.0, 10_000.0, 200.0
@@ -294,29 +294,14 @@ def cooled_down(fired: DataFrame, keys: Sequence[str], *, at: str = "at", minute
     """Alerts that are emitted: the first of a key, then the first one at least ``minutes`` after the last emitted.
 
     Rules are evaluated once per tick, so alerts first collapse to distinct ticks
-    (map-side, with the payload of the first), which bounds a key by the time covered, not by the traffic.  A
-    silence of the cool-down length always restarts the count, so each stretch
-    between silences is an independent group; only there the dependence on the
-    last *emitted* alert is walked through in order.
+    (map-side, with the payload of the first), which bounds a key by the time covered, not by the traffic.  Which ticks
+    emit is found by pointer doubling over their successors, so that one key with all rows spreads like any other.
     """
     payload = [c for c in fired.columns if c not in (*keys, at)]
     order = F.struct(*[F.col(c) for c in (at, "alert_id", "component") if c in fired.columns])
     ticks = fired.groupBy(*keys, (F.floor(F.col(at) / tick_seconds) * tick_seconds).alias("at")) \
         .agg(F.count("*").alias("alerts"), *[F.min_by(c, order).alias(c) for c in payload])
-    gap = minutes * 60.0
-    marked = rolling(with_chunks(ticks, keys, "at"), keys, ["at"], 1, {
-        "_new": lambda w: F.when(F.col("at") - F.lag("at").over(w) < gap, 0).otherwise(1)})
-    stretches = running(marked, keys, ["at"], sums={"_stretch": "_new"}, totals=False).drop("_new", CHUNK)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        last, chosen = None, []
-        for t in pdf["at"]:
-            emit = last is None or t - last >= gap
-            chosen.append(emit)
-            last = t if emit else last
-        return pdf[chosen]
-    return stretches.groupBy(*keys, "_stretch").applyInPandas(keep, stretches.schema).drop("_stretch")
+    return keep_chosen(pin(ticks), keys, "at", minutes * 60.0)
 
 
 def active_alerts(history: DataFrame, acknowledged: DataFrame, key: str = "alert_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import as_text, rounded
-from tidemark.operators import telemetry as tm
+from tidemark.operators import chains, telemetry as tm
 from tidemark.plans import telemetry as batch
 from tidemark.plans import views
 from tidemark.plans.registry import query
@@ -101,8 +101,18 @@ chain AS (SELECT hash, min(secs) AS secs FROM v_h GROUP BY hash UNION ALL SELECT
 done AS (SELECT hash, secs, min(event_id) AS id FROM chain JOIN v_h USING (hash, secs) GROUP BY hash, secs)"""
 
 
-@query("stream_reuse", with_views(TEL, REUSE).replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT event_id, h.hash,
-  CASE WHEN done.id <> event_id THEN done.id END AS reuse_of FROM v_h h ASOF JOIN done ON h.hash = done.hash AND h.secs >= done.secs""")
+REUSED = """ SELECT event_id, h.hash,
+  CASE WHEN done.id <> event_id THEN done.id END AS reuse_of FROM v_h h ASOF JOIN done ON h.hash = done.hash AND h.secs >= done.secs"""
+
+
+@query("reuse_chain", with_views(TEL, REUSE).replace("WITH ", "WITH RECURSIVE ", 1) + REUSED)
+def reuse_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the table, by pointer doubling."""
+    requests = views.telemetry(spark, d).select("event_id", "at", F.md5(F.concat_ws("-", "component", "operation").cast("binary")).alias("hash"))
+    return chains.reused(requests, "hash", "at", "event_id", 300.0).select("event_id", "hash", "reuse_of")
+
+
+@query("stream_reuse", with_views(TEL, REUSE).replace("WITH ", "WITH RECURSIVE ", 1) + REUSED)
 def stream_reuse(spark: SparkSession, d: str) -> DataFrame:
     requests = event_stream(spark, d).select("event_id", "ts", F.md5(F.concat_ws("-", "component", "operation").cast("binary")).alias("hash"))
     out = monitor.run_available(monitor.reused_stream(requests, "hash", "event_id"), "reuse")
