@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels as kn
-from tidemark.operators.ranking import running
+from tidemark.operators.ranking import few_or_chunked, running
 
 # Fixed values of the comparison.
 DRIFT_THRESHOLD = 0.1
@@ -54,8 +54,8 @@ def _kolmogorov_tail(lam: Column) -> Column:
 
 def rank_distances(long: DataFrame, first: str, second: str) -> DataFrame:
     """KS statistic and p-value, Wasserstein-1 and Mann-Whitney U with normal p-value, one row per feature."""
-    ranked = running(paired_counts(long, first, second), ["feature"], ["value"],
-                     sums={"c1": "n1", "c2": "n2"}, next_of={"next_value": "value"}, bounded_keys=True)
+    counts = few_or_chunked(paired_counts(long, first, second), ["feature"], "value")
+    ranked = running(counts, ["feature"], ["value"], sums={"c1": "n1", "c2": "n2"}, next_of={"next_value": "value"})
     gap = F.abs(F.try_divide("c1", "c1_total") - F.try_divide("c2", "c2_total"))
     ties = (F.col("n1") + F.col("n2")).cast("double")
     average_rank = F.col("c1") + F.col("c2") - (ties - 1) / 2.0

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import let
 from tidemark.operators.evaluation import extreme
 from tidemark.operators.ranking import exact_percentiles
-from tidemark.sources.tables import pin
 
 # Fixed values of the output rules.
 HEIGHT_OFFSET, HEIGHT_SPAN = 0.5, 7.5
@@ -135,26 +134,26 @@ def anomaly_rules(height: Column, conf_h: Column, conf_d: Column, conf_b: Column
     return {"anomaly_score": score, "reasons": reasons, "is_anomalous": (score > 0.5) | (F.size(reasons) > 0)}
 
 
-def anomaly_robust(df: DataFrame, features: Sequence[str], contamination: float = 0.1) -> DataFrame:
+def anomaly_robust(df: DataFrame, features: Sequence[str] | dict[str, Sequence[str]], contamination: float = 0.1) -> DataFrame:
     """Robust anomaly score: mean ``abs(x - median) / (1.4826 MAD)`` of the features, flagged above a percentile.
 
-    Medians and deviations are exact percentiles, one row per listed feature, written out once because
-    each feeds the next step; the rows themselves are only projected, never shuffled.  A feature with zero MAD is measured in its own units.
+    ``features`` is a list, which adds ``robust_score`` and ``is_outlier``, or lists by group name, which add ``<group>_score`` and
+    ``<group>_outlier`` each.  Medians and deviations are exact percentiles, one row per listed feature; the rows themselves are only
+    projected, never shuffled.  A feature with zero MAD is measured in its own units. Scores are rounded to nine
+    digits, so that equal rows stay equal.
     """
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                                        for f in features])))
-    med = pin(exact_percentiles(long, ["feature"], "value", {"median": 0.5}, bounded_keys=True))
-    away = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("dev"))
-    mad = pin(exact_percentiles(away, ["feature"], "dev", {"mad": 0.5}, bounded_keys=True))
-    scale = med.join(mad, "feature").groupBy().agg(*[x for f in features for x in (
-        F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"_m_{f}"),
-        F.max(F.when(F.col("feature") == f, F.col("mad"))).alias(f"_d_{f}"))]).withColumn("_k", F.lit(1))
-    tagged = df.withColumn("_k", F.lit(1)).join(F.broadcast(scale), "_k")
+    groups = features if isinstance(features, dict) else {"robust": features}
+    names = list(dict.fromkeys(f for group in groups.values() for f in group))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in names])))
+    med = {r["feature"]: r["median"] for r in exact_percentiles(long, ["feature"], "value", {"median": 0.5}, bounded_keys=True).collect()}
+    away = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f).cast("double") - med.get(f)).alias("dev")) for f in names])))
+    mad = {r["feature"]: r["mad"] for r in exact_percentiles(away, ["feature"], "dev", {"mad": 0.5}, bounded_keys=True).collect()}
 
     def z(f: str) -> Column:
-        unit = F.when(F.col(f"_d_{f}") > 0, 1.4826 * F.col(f"_d_{f}")).otherwise(1.0)
-        return F.abs(F.col(f) - F.col(f"_m_{f}")) / unit
-    score = sum((z(f) for f in features[1:]), z(features[0])) / float(len(features))
-    scored = tagged.withColumn("robust_score", score).select(*df.columns, "robust_score")
-    cut = exact_percentiles(scored.select("robust_score"), [], "robust_score", {"cut": 1 - contamination}).scalar()
-    return scored.withColumn("is_outlier", F.col("robust_score") > cut)
+        return F.abs(F.col(f).cast("double") - med.get(f)) / (1.4826 * mad[f] if mad.get(f) else 1.0)
+
+    scored = df.withColumns({f"{name}_score": F.round(sum((z(f) for f in group[1:]), z(group[0])) / float(len(group)), 9) for name, group in groups.items()})
+    scores = scored.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"{name}_score").alias("score")) for name in groups])))
+    cuts = {r["name"]: r["cut"] for r in exact_percentiles(scores, ["name"], "score", {"cut": 1 - contamination}, bounded_keys=True).collect()}
+    flag = {"robust": "is_outlier"} if not isinstance(features, dict) else {name: f"{name}_outlier" for name in groups}
+    return scored.withColumns({flag[name]: F.col(f"{name}_score") > cuts.get(name) for name in groups})

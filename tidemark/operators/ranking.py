@@ -23,6 +23,8 @@ HALO = "_halo"
 #: Keys that a caller may declare to be a fixed list.
 MOST_KEYS = 10_000
 GROUP = "_group"
+#: Rows of all keys together that plain windows may rank.
+FEW_ROWS = 1_000_000
 
 
 def _chunk_count(df: DataFrame, chunks: int | None) -> int:
@@ -273,10 +275,23 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def few_or_chunked(counts: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Counts of a fixed list of keys, written once, with their chunks: one a key if there are at most ``FEW_ROWS`` in all.
+
+    Counting what has been written costs next to nothing, while cuts cost a sketch and a second exchange.
+    """
+    known = pin(counts)
+    if known.count() <= FEW_ROWS:
+        return known.select("*", F.lit(0).alias(CHUNK, metadata={"single": True}))
+    return with_chunks(known, keys, by, bounded_keys=True)
+
+
 def positions(df: DataFrame, keys: Sequence[str], value: str, *, bounded_keys: bool = False) -> DataFrame:
     """Distinct values with the 0-based sorted positions ``[first, last]`` they occupy and ``total``."""
     counts = value_counts(df, keys, value)
-    ranked = running(counts, keys, [value], sums={"cum": "n"}, bounded_keys=bounded_keys)
+    if bounded_keys or not keys:
+        counts = few_or_chunked(counts, keys, value)
+    ranked = running(counts, keys, [value], sums={"cum": "n"})
     return ranked.select(*keys, value, (F.col("cum") - F.col("n")).alias("first"),
                          (F.col("cum") - 1).alias("last"), F.col("cum_total").alias("total"))
 

@@ -32,7 +32,7 @@ REGRESSION = """SELECT {key} count(*) AS n, round(avg(e), 6) AS mae, round(avg(e
 
 @query("regression_metrics", with_views(PRED) + REGRESSION.format(key="model,", group="GROUP BY model"))
 def regression_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ev.regression_metrics(views.predictions(spark, d), ["model"]))
+    return rounded(ev.regression_metrics(views.predictions(spark, d), ["model"], bounded_keys=True))
 
 
 @query("regression_metrics_all", with_views(PRED) + REGRESSION.format(key="", group=""))
@@ -369,7 +369,7 @@ def best_so_far_history(epochs: DataFrame) -> DataFrame:
   FROM r JOIN o ON r.model = o.model JOIN v_err e ON e.model = r.model GROUP BY ALL""")
 def evaluation_by_model(spark: SparkSession, d: str) -> DataFrame:
     df = views.predictions(spark, d)
-    scores = ev.overall_score(ev.regression_metrics(df, ["model"], extra=ev.accuracies()))
+    scores = ev.overall_score(ev.regression_metrics(df, ["model"], extra=ev.accuracies(), bounded_keys=True))
     errors = cal.calibration_errors(cal.calibration_pairs(df, ["model"]), ["model", "task"])
     wide = errors.groupBy("model").agg(*[F.max(F.when(F.col("task") == t, F.col("ece"))).alias(f"ece_{t}")
                                          for t in ("height", "direction", "breaking")])

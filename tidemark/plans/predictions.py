@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import as_text, rounded
-from tidemark.operators import predictions as pd
+from tidemark.operators import forest, predictions as pd
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import PRED, with_views
@@ -160,19 +160,41 @@ def anomaly_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("reasons", as_text("reasons"))
 
 
-ROBUST = ["h_pred", "conf_d", "conf_b"]
+# features of the four groups that are judged apart: height, direction, breaking and the confidences together
+GROUPS = {"height": ["h_pred", "conf_h", "is_extreme"], "direction": ["conf_d", "gap"], "breaking": ["conf_b", "intensity", "clarity"],
+          "confidence": ["conf_h", "conf_d", "conf_b", "overall"]}
+GROUPED = """v_an AS (SELECT *, CASE WHEN h_pred > 6 THEN 1 ELSE 0 END::DOUBLE AS is_extreme, abs(h_pred - h_true) AS gap,
+  b_pred / 2 AS intensity, conf_b * conf_d AS clarity, (conf_h + conf_d + conf_b) / 3 AS overall FROM v_pred)"""
 
 
-@query("anomaly_robust", with_views(PRED) + ", m AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}" for f in ROBUST)
-       + " FROM v_pred), d AS (SELECT " + ", ".join(f"quantile_cont(abs({f} - m_{f}), 0.5) AS d_{f}" for f in ROBUST)
-       + " FROM v_pred, m), s AS (SELECT model, (" + " + ".join(
-           f"abs({f} - m_{f}) / CASE WHEN d_{f} > 0 THEN 1.4826::DOUBLE * d_{f} ELSE 1 END" for f in ROBUST)
-       + """) / 3 AS score FROM v_pred, m, d), c AS (SELECT quantile_cont(score, 0.9) AS cut FROM s)
-  SELECT model, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score,
-    abs(count_if(score > cut) / count(*)::DOUBLE - 0.1::DOUBLE) < 0.05::DOUBLE AS near_contamination FROM s, c GROUP BY model""")
+def grouped(spark: SparkSession, d: str) -> DataFrame:
+    return views.predictions(spark, d).withColumns({
+        "is_extreme": F.when(F.col("h_pred") > 6, 1.0).otherwise(0.0), "gap": F.abs(F.col("h_pred") - F.col("h_true")), "intensity": F.col("b_pred") / 2,
+        "clarity": F.col("conf_b") * F.col("conf_d"), "overall": (F.col("conf_h") + F.col("conf_d") + F.col("conf_b")) / 3})
+
+
+ROBUST = list(dict.fromkeys(f for group in GROUPS.values() for f in group))
+
+
+@query("anomaly_robust", with_views(PRED, GROUPED) + ", m AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}" for f in ROBUST)
+       + " FROM v_an), d AS (SELECT " + ", ".join(f"quantile_cont(abs({f} - m_{f}), 0.5) AS d_{f}" for f in ROBUST)
+       + " FROM v_an, m), s AS (SELECT model, " + ", ".join("round((" + " + ".join(
+           f"abs({f} - m_{f}) / CASE WHEN d_{f} > 0 THEN 1.4826::DOUBLE * d_{f} ELSE 1 END" for f in group) + f") / {len(group)}, 9) AS {name}"
+           for name, group in GROUPS.items())
+       + " FROM v_an, m, d), c AS (SELECT " + ", ".join(f"quantile_cont({name}, 0.9) AS c_{name}" for name in GROUPS)
+       + " FROM s) SELECT model, count(*) AS n, " + ", ".join(
+           f"round(avg({name}), 6) AS mean_{name}, round(max({name}), 6) AS max_{name}, count_if({name} > c_{name})::BIGINT AS outliers_{name}" for name in GROUPS)
+       + " FROM s, c GROUP BY model")
 def anomaly_robust(spark: SparkSession, d: str) -> DataFrame:
-    out = pd.anomaly_robust(views.predictions(spark, d), ROBUST)
-    share = F.count_if("is_outlier") / F.count("*")
-    return rounded(out.groupBy("model").agg(
-        F.count("*").alias("n"), F.avg("robust_score").alias("mean_score"), F.max("robust_score").alias("max_score"),
-        (F.abs(share - 0.1) < 0.05).alias("near_contamination")))
+    """Scores and outliers of each group of features, per model."""
+    out = pd.anomaly_robust(grouped(spark, d), GROUPS)
+    return rounded(out.groupBy("model").agg(F.count("*").alias("n"), *[x for g in GROUPS for x in (
+        F.avg(f"{g}_score").alias(f"mean_{g}"), F.max(f"{g}_score").alias(f"max_{g}"), F.count_if(f"{g}_outlier").alias(f"outliers_{g}"))]))
+
+
+@query("anomaly_forest")
+def anomaly_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Isolation forests of the four groups: anomaly of every row in each, lifted by the fixed rules."""
+    rules = {"anomaly_score": pd.anomaly_rules(F.col("h_pred"), F.col("conf_h"), F.col("conf_d"), F.col("conf_b"))["anomaly_score"]}
+    return forest.anomalies(grouped(spark, d), GROUPS, rules=rules).select(
+        "sample_id", "model", *[f"{g}_anomaly" for g in GROUPS], "overall_anomaly", "is_anomalous")
