@@ -1,13 +1,14 @@
 """Language identification with whole words first and shorter and shorter character n-grams behind them.
 
-Training counts, per language, the words of the training texts and the character n-grams of their distinct words
-(borders marked); the most frequent of each are kept with their log frequencies. A word that the model knows adds its log
+Training counts, per language, the words of the training texts and the character n-grams of all of them
+(borders marked); those seen often enough are kept with their log frequencies, however many there are. A word that the model knows adds its log
 frequency in each language. A word that it does not know is read through its n-grams: at each character the
 longest known n-gram from ``LONGEST`` characters down to one counts, each step down at a penalty. The language with
 the largest mean is predicted.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with nothing to learn from every text is
-``und``; ties go to the first language in alphabetical order; repeated rows get equal answers.
+``und``; ties go to the first language in alphabetical order; repeated rows get equal answers; very long texts are read whole, a
+chunk at a time; an empty table gives an empty result; other columns of the input do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,19 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.registry import query
 from tidemark.llm.sampling import in_fold, per_class
 from tidemark.llm.text import Words, chunks, slices
-from tidemark.sources.tables import table
+from tidemark.sources.tables import pin, table
 
 UNKNOWN = "und"
-#: Bounds of the model: labelled rows used per language, words and n-grams kept per language.
+#: Bound of the fit: labelled rows used per language.
 TRAIN_ROWS = 4_000
-TOP_WORDS = 10_000
-TOP_GRAMS = 5_000
+#: Words and n-grams seen less often in a language tell nothing about it.
+LEAST_WORD = 3
+LEAST_GRAM = 5
 LONGEST = 5
 #: Log penalty for each character that an n-gram is shorter.
 STEP_DOWN = 1.0
@@ -79,7 +81,7 @@ def _grams(words: Words, at: np.ndarray, longest: int) -> Iterator[tuple[int, np
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) rows to counts (lang, n, key, times): n = 0 for words, else n-grams of the distinct words of a chunk."""
+    """(lang, text) rows to counts (lang, n, key, times): n = 0 for words, else the n-grams of all words."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         for first, data, offsets in chunks(batch.column("text")):
@@ -92,8 +94,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine = np.flatnonzero(of == lang)
                 key, at, times = np.unique(hashes[mine], return_index=True, return_counts=True)
                 out = [(0, key, times)]
-                for n, _, _, grams, fits in _grams(words, mine[at], LONGEST):
-                    out.append((n, *np.unique(grams[fits], return_counts=True)))
+                for n, owner, _, grams, fits in _grams(words, mine[at], LONGEST):
+                    distinct, which = np.unique(grams[fits], return_inverse=True)
+                    out.append((n, distinct, np.bincount(which, weights=times[owner[fits]], minlength=len(distinct))))
                 for n, key, times in out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int32)),
@@ -104,12 +107,11 @@ def train(labelled: DataFrame) -> LanguageModel:
     """Model from (doc_id, text, lang) rows; a bounded sample per language is read."""
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     sample = per_class(rows, "lang", TRAIN_ROWS, "doc_id")
-    counted = (sample.select("lang", "text").mapInArrow(_counts, "lang string, n int, key bigint, times bigint")
-               .groupBy("lang", "n", "key").agg(F.sum("times").alias("times")))
+    counted = pin(sample.select("lang", "text").mapInArrow(_counts, "lang string, n int, key bigint, times bigint")
+                  .groupBy("lang", "n", "key").agg(F.sum("times").alias("times")))
     totals = counted.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "key"))
-    top = (counted.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS))
-           .select("lang", "n", "key", "times").toPandas())
+    enough = F.col("times") >= F.when(F.col("n") == 0, LEAST_WORD).otherwise(LEAST_GRAM)
+    top = counted.filter(enough).select("lang", "n", "key", "times").toArrow().to_pandas()
     languages = sorted({r.lang for r in totals})
     size = {(r.lang, r.n): r.total for r in totals}
     keys: dict[int, np.ndarray] = {}

@@ -2,15 +2,17 @@
 
 zstandard dictionaries are built from texts labelled good and from texts labelled bad. A text is compressed with each of
 them, in pieces short enough that the dictionary and not the text's own start decides; the better it fits one side, the
-smaller that size. The difference of the two sizes over their sum is the evidence, together with how far the text
-compresses at all; a logistic curve over both, fitted on labelled texts that the dictionaries have not seen, makes it a
-probability.
+smaller that size. The difference of the two sizes over the text's length is the only evidence; a logistic curve over it, fitted
+on labelled texts that the dictionaries have not seen, makes it a probability.
 
-Fitting reads a bounded sample (``PER_CLASS`` labelled rows of each class; of each at most ``PIECE * PIECES`` bytes
-go into a dictionary). Every text is scored whole.
+Fitting reads a bounded sample (about ``PER_CLASS`` labelled rows of each class, and at most ``TEXT_BYTES`` of each, in evenly spaced
+pieces). It is cut into ``PARTS`` parts: the curve is fitted on each part's differences under dictionaries of the other
+parts, the dictionaries in use are built from all. Equal texts count once and pieces come in the order of their ids, so that the
+model does not depend on how the tables are stored. Every text is scored whole, very long ones piece by piece.
 
 Defined cases: null and empty texts get the share of good labels; without labels every score is 0.5; with labels of one
-class only every score is that class; repeated rows get equal scores.
+class only every score is that class; repeated rows get equal scores; an empty table gives an empty result; other columns of
+the input do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from tidemark.sources.tables import pin, table
 
 #: Bounds of the fit.
 PER_CLASS = 2_000
-PIECES = 2
-PIECE = 2_048
-DICTIONARY = 64 << 10
+TEXT_BYTES = 1 << 16
+PARTS = 5
+PIECE = 96
+DICTIONARY = 256 << 10
 LEVEL = 3
 FOLDS, HELD_OUT = 3, 1
 
@@ -41,12 +44,19 @@ FOLDS, HELD_OUT = 3, 1
 class QualityModel:
     good: bytes
     bad: bytes
-    centre: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray  # of the curve's terms, the constant first
+    weights: np.ndarray  # constant and slope of the curve over the difference
     share: float         # of good labels
 
 
+def pieces(text: str, most: int | None = None) -> list[bytes]:
+    """A text in pieces of ``PIECE`` bytes; evenly spaced ones if all would be more than ``most`` bytes."""
+    raw = text.encode("utf-8")
+    cuts = range(0, len(raw), PIECE)
+    if most is not None and len(raw) > most:
+        cuts = cuts[::-(-len(raw) // most)]
+    return [raw[at:at + PIECE] for at in cuts]
+
+
 def _dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train one."""
     try:
@@ -55,74 +65,55 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
-class _Sizes:
-    """Compressed sizes of texts under both dictionaries and without one."""
+class Difference:
+    """Compressed size under the bad dictionary less that under the good one, over the length."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.compressors = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None,
-                                                     write_checksum=False, write_content_size=False, write_dict_id=False)
-                            for d in (good, bad, b"")]
-
-    def of(self, text: str) -> tuple[int, int, int, int]:
-        """Bytes, and their compressed sizes: good, bad, plain."""
-        raw = text.encode("utf-8")
-        sizes = [0, 0, 0]
-        for at in range(0, len(raw), PIECE):
-            piece = raw[at:at + PIECE]
-            for k, c in enumerate(self.compressors):
-                sizes[k] += len(c.compress(piece))
-        return len(raw), *sizes
-
-
-def _terms(sizes: np.ndarray) -> np.ndarray:
-    """Normalised size difference, and how far the text compresses by itself."""
-    n, good, bad, plain = sizes.T.astype(float)
-    return np.c_[(bad - good) / np.maximum(bad + good, 1), np.log((plain + 1) / (n + 16)), np.log(n + 16)]
-
+                                                     write_checksum=False, write_content_size=False, write_dict_id=False) for d in (good, bad)]
 
-def _curve(x: np.ndarray) -> np.ndarray:
-    """Constant, terms, their squares and products."""
-    k = x.shape[1]
-    return np.c_[np.ones(len(x)), x, *[x[:, i] * x[:, j] for i in range(k) for j in range(i, k)]]
+    def of(self, text: str) -> float:
+        good, bad = (c.compress for c in self.compressors)
+        parts = pieces(text)
+        return sum(len(bad(p)) - len(good(p)) for p in parts) / max(sum(map(len, parts)), 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton steps."""
-    w = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(x.shape[1])
-    ridge[0, 0] = 1e-6
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Constant and slope of a weighted logistic curve, by Newton steps."""
+    scale = float(np.abs(x).max()) or 1.0
+    rows = np.c_[np.ones(len(x)), x / scale]
+    w = np.zeros(2)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + penalty * np.eye(2), rows.T @ (weight * (p - y)) + penalty * w)
         w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-9:
             break
-    return w
+    return w / np.array([1.0, scale])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(quality, text) rows to (quality, piece): evenly spaced pieces of each text."""
-    for batch in batches:
-        labels, pieces = [], []
-        for label, text in zip(batch.column("quality").to_pylist(), batch.column("text").to_pylist()):
-            raw = text.encode("utf-8")
-            step = max(PIECE, len(raw) // PIECES)
-            for at in range(0, len(raw), step):
-                labels.append(label)
-                pieces.append(raw[at:at + PIECE])
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(pieces, pa.binary())], names=["quality", "piece"])
+def _sample(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id, text, quality, part): about PER_CLASS rows a class, of equal texts the one with the smallest id."""
+    # The chosen labels are a bounded set: sent to the texts, which then stay where they are.
+    chosen = F.broadcast(per_class(judged, "quality", PER_CLASS, "doc_id"))
+    rows = docs.filter("length(text) > 0").select("doc_id", "text").join(chosen, "doc_id")
+    once = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("quality").alias("quality"))
+    return once.select("doc_id", "text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+
 
+def _differences(sample: DataFrame, pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Difference and label of each row of the sample, under the pair of its part."""
+    sent = sample.sparkSession.sparkContext.broadcast(pairs)
 
-def _sizes_of(rows: DataFrame, good: bytes, bad: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and labels of a bounded set of (quality, text) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _Sizes(good, bad)
+        each = [Difference(*pair) for pair in sent.value]
         for batch in batches:
-            got = np.array([sizes.of(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), *map(pa.array, got.T.copy())], names=["quality", *"nabp"])
+            got = [each[part].of(text) for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(got, pa.float64())], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "quality int, n bigint, a bigint, b bigint, p bigint").toPandas()
-    return got[list("nabp")].to_numpy(), got["quality"].to_numpy()
+    got = sample.select("doc_id", "quality", "part", "text").mapInArrow(run, "doc_id bigint, quality int, x double").toPandas()
+    got = got.sort_values("doc_id", kind="stable")
+    return got["x"].to_numpy(), got["quality"].to_numpy(float)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
@@ -130,36 +121,33 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     judged = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     size = {r.quality: r["count"] for r in judged.groupBy("quality").count().collect()}
     share = size.get(1, 0) / sum(size.values()) if size else 0.5
-    nothing = QualityModel(b"", b"", np.zeros(3), np.ones(3), np.zeros(10), share)
+    nothing = QualityModel(b"", b"", np.zeros(2), share)
     if share in (0.0, 1.0) or not size:
         return nothing
-    rows = docs.filter("length(text) > 0").select("doc_id", "text")
-    # One row of equal texts is enough: copies would be learned by heart.
-    # The chosen labels are about 2 * PER_CLASS rows whatever the input: sent to the texts, which then stay where they are.
-    chosen = F.broadcast(per_class(judged, "quality", PER_CLASS, "doc_id"))
-    sample = pin(rows.join(chosen, "doc_id").dropDuplicates(["text"])
-                 .select("quality", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("learn")))
-    pieces = sample.filter("learn").mapInArrow(_pieces, "quality int, piece binary").collect()
-    sides = [[bytes(p.piece) for p in pieces if p.quality == k] for k in (1, 0)]
-    good, bad = (_dictionary(s) if s else b"" for s in sides)
-    sizes, y = _sizes_of(sample.filter("not learn").select("quality", "text"), good, bad)
-    if len(set(y.tolist())) < 2:
+    sample = pin(_sample(docs, judged.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")))
+    held: dict[tuple[int, int], list[list[bytes]]] = {}
+    for row in sample.orderBy("doc_id").toLocalIterator():
+        held.setdefault((row.quality, row.part), []).append(pieces(row.text, TEXT_BYTES))
+    if {q for q, _ in held} != {0, 1}:
         return nothing
-    x = _terms(sizes)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _logistic(_curve((x - centre) / scale), y.astype(float))
-    # The sample holds the classes evenly; the constant is moved back to their true share.
-    weights[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return QualityModel(good, bad, centre, scale, weights, share)
+
+    def pair(without: int | None) -> tuple[bytes, bytes]:
+        sides = [[p for (q, part), texts in sorted(held.items()) if q == kind and part != without for text in texts for p in text] for kind in (1, 0)]
+        return tuple(_dictionary(s) if s else b"" for s in sides)
+
+    x, y = _differences(sample, [pair(part) for part in range(PARTS)])
+    # The sample holds the classes evenly; weights bring back their true share.
+    weights = _logistic(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
+    return QualityModel(*pair(None), weights, share)
 
 
-def score(texts: list[str | None], model: QualityModel, sizes: _Sizes) -> np.ndarray:
+def score(texts: list[str | None], model: QualityModel, difference: Difference) -> np.ndarray:
     """Probability of a good label for each text."""
     out = np.full(len(texts), model.share)
     full = [i for i, t in enumerate(texts) if t]
     if full and model.weights.any():
-        x = (_terms(np.array([sizes.of(texts[i]) for i in full], np.int64)) - model.centre) / model.scale
-        out[full] = 1 / (1 + np.exp(-np.clip(_curve(np.clip(x, -6, 6)) @ model.weights, -30, 30)))
+        x = np.array([difference.of(texts[i]) for i in full])
+        out[full] = 1 / (1 + np.exp(-np.clip(model.weights[0] + model.weights[1] * x, -30, 30)))
     return out
 
 
@@ -168,9 +156,9 @@ def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _Sizes(sent.value.good, sent.value.bad)
+        difference = Difference(sent.value.good, sent.value.bad)
         for batch in batches:
-            scores = score(batch.column("text").to_pylist(), sent.value, sizes)
+            scores = score(batch.column("text").to_pylist(), sent.value, difference)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
                                              names=["doc_id", "score", "predicted"])
 

@@ -7,11 +7,12 @@ which cannot be negative in truth, is kept from becoming so: when it does, the s
 The share p comes from the labelled rows of the training fold.
 
 Training uses bounded samples of the training fold (``POSITIVES`` and ``UNLABELLED`` rows). Features are counted on
-both sides by Spark, and the ``FEATURES`` that lean most to the toxic side are kept; the model adds the weights of those
+both sides by Spark, and all that lean clearly to the toxic side are kept; the model adds the weights of those
 present, each once, so that length alone does not raise a score.
 
 Defined cases: null and empty texts have no features and get the score of the bias; without any toxic example every score
-is 0; repeated rows get equal scores.
+is 0; repeated rows get equal scores; very long texts are read whole, a chunk at a time; an empty table gives an empty result; other
+columns of the input do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +33,9 @@ from tidemark.llm.text import Words, chunks
 from tidemark.sources.tables import pin, table
 
 GRAMS = (4, 5)
-#: Bounds of the sample that the model is fitted on, and of the model.
+#: Bounds of the sample that the model is fitted on.
 POSITIVES = 3_000
 UNLABELLED = 6_000
-FEATURES = 4_096
 #: A feature is used if toxic texts hold it so many standard errors more often, and so many of them hold it.
 LEAST_LEAN = 4.0
 LEAST_TEXTS = 4
@@ -121,14 +121,13 @@ def fit(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarr
 
 
 def choose(counts: DataFrame, positives: int, others: int, prior: float) -> np.ndarray:
-    """Sorted keys of the features that lean most to the toxic side."""
+    """Sorted keys of the features that lean clearly to the toxic side; no more than the sample's toxic texts hold."""
     p, u = F.col("positives") / positives, F.col("others") / others
     both = (F.col("positives") + F.col("others")) / (positives + others)
     lean = (p - u) / F.sqrt(both * (1 - both) * (1 / positives + 1 / others) + 1e-12)
     best = (counts.filter(F.col("positives") >= LEAST_TEXTS).withColumn("lean", lean).filter(F.col("lean") >= LEAST_LEAN)
-            .filter(prior * p >= LEAST_SHARE * u)
-            .orderBy(F.desc("lean"), "key").limit(FEATURES).select("key").collect())
-    return np.sort(np.array([r.key for r in best], np.int64).view(np.uint64))
+            .filter(prior * p >= LEAST_SHARE * u).select("key").toArrow())
+    return np.sort(best["key"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
