@@ -53,17 +53,16 @@ def stream_slow_ops(spark: SparkSession, d: str) -> DataFrame:
 
 HOURLY = """v_met AS (SELECT (floor(secs / 3600) * 3600)::BIGINT AS secs, component, avg(memory_mb) * 1.4::DOUBLE AS memory_usage_percent,
   count_if(error_occurred) / count(*)::DOUBLE AS error_rate, avg(duration_ms) * 100 AS avg_duration_ms,
-  max(duration_ms) / 5 AS cpu_usage_percent, max(duration_ms) AS gpu_memory_used_mb FROM v_tel
-  WHERE floor(secs / 3600) * 3600 + 3600 <= (SELECT mark FROM v_now) GROUP BY 1, 2),
-t AS (SELECT component, r.rule_id, m.secs FROM v_met m, LATERAL (VALUES ('memory_high', memory_usage_percent > 85),
-  ('memory_critical', memory_usage_percent > 95), ('error_rate_high', error_rate > 0.1::DOUBLE), ('slow', avg_duration_ms > 10000),
-  ('cpu_high', cpu_usage_percent > 85), ('gpu_memory', gpu_memory_used_mb / 500 > 0.9::DOUBLE)) AS r(rule_id, hit) WHERE r.hit),
-j AS (SELECT component, rule_id, secs, min(secs) OVER (PARTITION BY component, rule_id ORDER BY secs RANGE BETWEEN 14400 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
-chain AS (SELECT component, rule_id, min(secs) AS secs FROM t GROUP BY 1, 2 UNION ALL SELECT c.component, c.rule_id, j.nxt FROM chain c
+  max(duration_ms) / 5 AS cpu_usage_percent, max(duration_ms) AS gpu_memory_used_mb, 500::DOUBLE AS gpu_memory_total_mb FROM v_tel
+  WHERE floor(secs / 3600) * 3600 + 3600 <= (SELECT mark FROM v_now) GROUP BY 1, 2)"""
+CHAIN = """j AS (SELECT component, rule_id, secs, min(secs) OVER (PARTITION BY component, rule_id ORDER BY secs RANGE BETWEEN 14400 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM v_fired),
+chain AS (SELECT component, rule_id, min(secs) AS secs FROM v_fired GROUP BY 1, 2 UNION ALL SELECT c.component, c.rule_id, j.nxt FROM chain c
   JOIN j ON j.component = c.component AND j.rule_id = c.rule_id AND j.secs = c.secs WHERE j.nxt IS NOT NULL)"""
 
 
-@query("stream_alerts", with_views(TEL, CLOSED, HOURLY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT component, rule_id, secs FROM chain")
+@query("stream_alerts", with_views(TEL, CLOSED, HOURLY, batch.FIRED, CHAIN).replace("WITH ", "WITH RECURSIVE ", 1)
+       + """SELECT component, rule_id, secs, severity, title, message, actions, alert_id, round(error_rate, 6) AS error_rate
+  FROM chain JOIN v_fired USING (component, rule_id, secs) JOIN v_met USING (component, secs)""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     hourly = monitor.summary_stream(event_stream(spark, d), ["component"], "1 hour").select(
         F.unix_seconds("window.start").alias("at"), "component", (F.col("avg_mb") * 1.4).alias("memory_usage_percent"),
@@ -72,7 +71,9 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
         F.lit(500.0).alias("gpu_memory_total_mb"))
     fired = tm.alerts(monitor.staged(hourly, "hourly"), tm.ALERT_RULES, ["at", "component"])
     out = monitor.cooled_down_stream(fired, ["component", "rule_id"], minutes=240)
-    return monitor.run_available(out, "alerts").withColumnRenamed("at", "secs")
+    return monitor.run_available(out, "alerts").select(
+        "component", "rule_id", F.col("at").alias("secs"), "severity", "title", "message", as_text("actions").alias("actions"), "alert_id",
+        F.round(F.element_at("metrics", "error_rate"), 6).alias("error_rate"))
 
 
 @query("stream_degradation", with_views(TEL) + batch.DEGRADED + """ SELECT component, round(ms, 6) AS avg_ms, round(base, 6) AS baseline_ms, round(mb, 6) AS avg_mb,

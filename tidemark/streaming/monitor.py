@@ -18,6 +18,7 @@ from tidemark.operators import telemetry as tm
 from tidemark.operators.ranking import first_per_key
 from tidemark.sources.files import drop_path, folders, path_exists
 from tidemark.sources.tables import shared_dir
+from tidemark.streaming import stateful
 
 
 def run_available(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
@@ -61,26 +62,13 @@ def session_stream(stream: DataFrame, key: str, gap: str, lateness: str = "10 mi
 
 
 def cooled_down_stream(fired: DataFrame, keys: Sequence[str], *, minutes: float = tm.COOLDOWN_MINUTES) -> DataFrame:
-    """Emit an alert only if the last emitted one of its key is at least ``minutes`` old.
+    """Emit an alert, with all its columns, only if the last emitted one of its key is at least ``minutes`` old.
 
     ``fired`` has ``at`` (seconds) and one row per key and tick, as the windowed
-    summaries produce (see ``staged``); the state of a key is one number.
+    summaries produce (see ``staged``); the state of a key is one number, kept in RocksDB.
     """
-    gap = minutes * 60.0
-    schema = fired.select(*keys, "at").schema
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("at")
-        kept = []
-        for t in rows["at"]:
-            emit = last is None or t - last >= gap
-            kept.append(emit)
-            last = t if emit else last
-        state.update((float(last),))
-        yield rows[kept]
-    return fired.select(*keys, "at").groupBy(*keys).applyInPandasWithState(
-        walk, schema, "last double", "append", "NoTimeout")
+    stateful.use_rocksdb(fired.sparkSession)
+    return stateful.cooled_down(fired, keys, minutes * 60.0)
 
 
 def reused_stream(stream: DataFrame, key: str, ident: str, *, ts: str = "ts", ttl_seconds: float = 300.0,
@@ -120,7 +108,8 @@ def reused_stream(stream: DataFrame, key: str, ident: str, *, ts: str = "ts", tt
 def late_rows(query: StreamingQuery) -> int:
     """Rows that arrived behind the watermark, over all batches; follows the query until it ends.
 
-    Spark keeps only the last progress records, so they are read while the query runs and counted by batch.
+    Spark keeps only the last progress records, so they are read while the query runs and counted by batch; a
+    ``stateful.ProgressLog`` that was added before the query started also answers after its end.
     """
     seen: dict[int, int] = {}
     while True:
