@@ -12,11 +12,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels as kn
-from tidemark.operators.ranking import few_or_chunked, running
+from tidemark.operators.ranking import exact_percentiles, few_or_chunked, running
 
 # Fixed values of the comparison.
 DRIFT_THRESHOLD = 0.1
@@ -263,3 +263,21 @@ def feature_compare(long: DataFrame, first: str, second: str) -> DataFrame:
     gap = F.abs(F.col("mean1") - F.col("mean2"))
     return both.withColumn("similarity", 1 - F.least(
         F.lit(1.0), gap / F.greatest(F.col("mean1"), F.col("mean2"), F.lit(0.001))))
+
+
+# Levels of the mean similarity.
+LEVELS = ((0.9, "excellent"), (0.7, "good"), (0.5, "acceptable"))
+
+
+def feature_report(long: DataFrame, first: str, second: str) -> DataFrame:
+    """``feature_compare`` with medians, KS and Mann-Whitney of each feature, and the mean similarity with its level on every row."""
+    both = feature_compare(long, first, second)
+    middle = exact_percentiles(long.filter(F.col("dataset").isin(first, second)), ["feature", "dataset"], "value", {"median": 0.5}, bounded_keys=True)
+    medians = middle.groupBy("feature").agg(*[F.max(F.when(F.col("dataset") == which, F.col("median"))).alias(f"median{n}") for n, which in ((1, first), (2, second))])
+    ranks = rank_distances(long, first, second).select("feature", "ks", "ks_p", "mann_whitney_u", "mann_whitney_p")
+    joined = both.join(medians, "feature").join(ranks, "feature")
+    overall = F.avg("similarity").over(Window.partitionBy())  # one row a feature
+    level = F.lit("poor")
+    for bound, name in reversed(LEVELS):
+        level = F.when(F.col("overall_similarity") >= bound, name).otherwise(level)
+    return joined.withColumn("overall_similarity", overall).withColumn("assessment", level)

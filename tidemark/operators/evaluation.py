@@ -146,6 +146,15 @@ def failure_cases(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg("conf_d").alias("mean_conf_d"), F.avg("conf_b").alias("mean_conf_b"))
 
 
+def failure_rows(df: DataFrame, ident: str) -> DataFrame:
+    """The failing rows of ``failure_cases`` with the reason: a confidence under the bound, or none at all."""
+    worst = F.least("conf_d", "conf_b")
+    missing = F.col("conf_d").isNull() | F.col("conf_b").isNull()
+    reason = F.when(missing, "analysis_error").when(worst < LOW_CONFIDENCE, "low_confidence")
+    quality = F.when(~missing & (worst > HIGH_CONFIDENCE), "high").otherwise("low")
+    return df.select(ident, reason.alias("reason"), "conf_d", "conf_b", "h_pred", quality.alias("prediction_quality")).filter("reason is not null")
+
+
 def brier(df: DataFrame, task_columns: dict[str, tuple[str, str, str]], by: Sequence[str] = ()) -> DataFrame:
     """Brier score per task: mean squared gap between confidence and correctness."""
     def gap(truth: str, pred: str, conf: str) -> Column:

@@ -155,6 +155,32 @@ def system_status(df: DataFrame, by: Sequence[str]) -> DataFrame:
         .otherwise("UNHEALTHY"))
 
 
+# What lowers the health score, by how much, and the texts for it.
+HEALTH_ISSUES = (
+    ("not initialised", 0.5, "Not all components initialized", "Restart pipeline or check component initialization"),
+    ("error_rate > 0.1D", 0.8, "High error rate detected", "Check input data quality and system resources"),
+    (f"avg_ms > {TARGET_MS}D", 0.9, "Not meeting real-time performance requirements", "Consider optimizing configuration or upgrading hardware"),
+    ("recent_error", 0.7, "Recent errors detected", "Monitor error logs and check system stability"))
+
+
+def system_health(stats: DataFrame, fired: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Health of each ``by`` from its numbers and its alerts: counts by severity, state, score, issues and recommendations.
+
+    ``stats`` has one row per ``by`` with initialised, error_rate, avg_ms and recent_error; ``fired`` has a severity per alert.
+    Without alerts a row counts none.
+    """
+    severities = ("critical", "error", "warning", "info")
+    counts = fired.groupBy(*by).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in severities])
+    joined = null_safe_join(stats, counts, by, "left").withColumns({s: F.coalesce(s, F.lit(0)) for s in severities})
+    state = (F.when(F.col("critical") > 0, "critical").when(F.col("error") > 0, "degraded").when(F.col("warning") > 0, "warning").otherwise("healthy"))
+    score = F.lit(1.0)
+    for condition, factor, _, _ in HEALTH_ISSUES:
+        score = score * F.when(F.expr(condition), factor).otherwise(1.0)
+    texts = [F.array_compact(F.array(*[F.when(F.expr(rule[0]), F.lit(rule[k])) for rule in HEALTH_ISSUES])) for k in (2, 3)]
+    status = F.when(F.col("health_score") > 0.8, "HEALTHY").when(F.col("health_score") > 0.5, "DEGRADED").otherwise("UNHEALTHY")
+    return joined.withColumns({"overall_health": state, "health_score": score, "issues": texts[0], "recommendations": texts[1]}).withColumn("health_status", status)
+
+
 def failures_cube(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Failures by every combination of the attributes, ``ALL`` for totals."""
     cube = df.cube(*columns).agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"),

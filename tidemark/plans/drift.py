@@ -251,3 +251,16 @@ def feature_compare(spark: SparkSession, d: str) -> DataFrame:
     out = dr.feature_compare(_long(spark, d), "baseline", "current")
     return out.select("feature", *[F.round(f"{c}{n}", 4).alias(f"{c}{n}") for n in (1, 2)
                                    for c in ("mean", "std", "min", "max")], F.round("similarity", 6).alias("similarity"))
+
+
+@query("feature_report", with_views(FEAT, CURVE) + """, m AS (SELECT feature, avg(CASE WHEN dataset = 'baseline' THEN value END) AS mean1,
+    avg(CASE WHEN dataset = 'current' THEN value END) AS mean2, quantile_cont(CASE WHEN dataset = 'baseline' THEN value END, 0.5) AS median1,
+    quantile_cont(CASE WHEN dataset = 'current' THEN value END, 0.5) AS median2 FROM v_feat GROUP BY feature),
+  s AS (SELECT *, 1 - least(1, abs(mean1 - mean2) / greatest(mean1, mean2, 0.001::DOUBLE)) AS similarity FROM m),
+  o AS (SELECT avg(similarity) AS overall FROM s)
+  SELECT feature, round(median1, 6) AS median1, round(median2, 6) AS median2, round(ks, 6) AS ks, round(u, 1) AS mann_whitney_u, round(similarity, 6) AS similarity,
+    round(overall, 6) AS overall_similarity, CASE WHEN overall >= 0.9::DOUBLE THEN 'excellent' WHEN overall >= 0.7::DOUBLE THEN 'good'
+      WHEN overall >= 0.5::DOUBLE THEN 'acceptable' ELSE 'poor' END AS assessment FROM s JOIN v_dist USING (feature), o""")
+def feature_report(spark: SparkSession, d: str) -> DataFrame:
+    out = dr.feature_report(_long(spark, d), "baseline", "current")
+    return rounded(out.select("feature", "median1", "median2", "ks", F.round("mann_whitney_u", 1).alias("mann_whitney_u"), "similarity", "overall_similarity", "assessment"))

@@ -236,11 +236,17 @@ def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- comparison, failures, ensembles ---------------------------------------------------------------
-@query("compare_models", with_views(PRED) + """, s AS (SELECT model, year(ts) AS ts,
-  avg(abs(h_pred - h_true)) AS mae, count_if(d_pred = d_true) / count(*)::DOUBLE AS direction_acc,
-  count_if(b_pred = b_true) / count(*)::DOUBLE AS breaking_acc FROM v_pred GROUP BY 1, 2),
-  r AS (SELECT model, ts, m.metric, m.value, m.value * m.sgn AS signed FROM s, LATERAL (VALUES ('mae', mae, 1),
-    ('direction_acc', direction_acc, -1), ('breaking_acc', breaking_acc, -1)) AS m(metric, value, sgn)),
+# metric, its expression in SQL, and whether higher is better
+COMPARED = (("overall_score", "0.5::DOUBLE * count_if(abs(h_pred - h_true) <= 0.2::DOUBLE) / count(*) + 0.25::DOUBLE * count_if(d_pred = d_true) / count(*)"
+             " + 0.25::DOUBLE * count_if(b_pred = b_true) / count(*)", True),
+            ("mae", "avg(abs(h_pred - h_true))", False), ("direction_acc", "count_if(d_pred = d_true) / count(*)::DOUBLE", True),
+            ("breaking_acc", "count_if(b_pred = b_true) / count(*)::DOUBLE", True), ("inference_ms", "avg(image_id % 2200)", False),
+            ("memory_mb", "avg(sample_id % 4096)", False), ("images_per_second", "1000 / avg(image_id % 2200)", True))
+
+
+@query("compare_models", with_views(PRED) + ", s AS (SELECT model, year(ts) AS ts, " + ", ".join(f"{x} AS {m}" for m, x, _ in COMPARED) + """ FROM v_pred GROUP BY 1, 2),
+  r AS (SELECT model, ts, m.metric, round(m.value, 9) AS value, round(m.value, 9) * m.sgn AS signed FROM s, LATERAL (VALUES """
+       + ", ".join(f"('{m}', {m}, {-1 if up else 1})" for m, _, up in COMPARED) + """) AS m(metric, value, sgn)),
   k AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY signed, model) AS r_best,
     row_number() OVER (PARTITION BY metric ORDER BY ts, model) AS r_first,
     row_number() OVER (PARTITION BY metric ORDER BY ts DESC, model DESC) AS r_last FROM r)
@@ -249,14 +255,27 @@ def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
     round(max(CASE WHEN r_last = 1 THEN value END) - max(CASE WHEN r_first = 1 THEN value END), 6) AS change
   FROM k GROUP BY metric""")
 def compare_models(spark: SparkSession, d: str) -> DataFrame:
+    """All seven metrics; times and memory come from stand-in columns."""
     df = views.predictions(spark, d).withColumn("year", F.year("ts"))
-    per = ev.accuracy_summary(df, ["model", "year"])
-    long = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(up).alias("higher_is_better"))
-                     for m, up in (("mae", False), ("direction_acc", True), ("breaking_acc", True))])
+    within = F.count_if(F.abs(F.col("h_pred") - F.col("h_true")) <= ev.TIGHT_M) / F.count("*")
+    acc, speed = ev.accuracies(), F.avg(F.col("image_id") % 2200)
+    per = df.groupBy("model", "year").agg(
+        (0.5 * within + 0.25 * acc["direction_acc"] + 0.25 * acc["breaking_acc"]).alias("overall_score"),
+        F.avg(F.abs(F.col("h_pred") - F.col("h_true"))).alias("mae"), *[c.alias(name) for name, c in acc.items()],
+        speed.alias("inference_ms"), F.avg(F.col("sample_id") % 4096).alias("memory_mb"), (1000 / speed).alias("images_per_second"))
+    long = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value"), F.lit(up).alias("higher_is_better")) for m, _, up in COMPARED])
     reports = per.select("model", F.col("year").alias("ts"), F.explode(long).alias("_m")).select("model", "ts", "_m.*")
     return rounded(ev.compare_models(reports))
 
 
+@query("failure_rows", with_views(PRED) + """SELECT sample_id, 'low_confidence' AS reason, round(conf_d - 0.3::DOUBLE, 6) AS conf_d, round(conf_b - 0.3::DOUBLE, 6) AS conf_b,
+  round(h_pred, 6) AS h_pred, 'low' AS prediction_quality FROM v_pred WHERE least(conf_d - 0.3::DOUBLE, conf_b - 0.3::DOUBLE) < 0.5::DOUBLE""")
+def failure_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose lesser confidence, lowered by 0.3 so that some fail, is under the bound."""
+    df = views.predictions(spark, d).withColumns({"conf_d": F.col("conf_d") - 0.3, "conf_b": F.col("conf_b") - 0.3})
+    return rounded(ev.failure_rows(df, "sample_id"))
+
+
 @query("failure_cases", with_views(PRED) + """SELECT model, count(*) AS n,
   count_if(least(conf_d, conf_b) < 0.5::DOUBLE)::BIGINT AS failures,
   round(count_if(conf_d > 0.8::DOUBLE AND conf_b > 0.8::DOUBLE) / count(*)::DOUBLE, 6) AS high_quality_share,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import as_text, rounded
@@ -210,17 +210,32 @@ def top_correlations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pr.top_correlations(views.images(spark, d), MEASURES, at_least=0.02))
 
 
-@query("overview", """SELECT 'documents' AS kind, count(*) AS n, sum(n_chars)::DOUBLE AS size,
-    count(DISTINCT source) AS sources FROM documents
-  UNION ALL SELECT 'depth_maps', count(*), sum(len(embedding))::DOUBLE, count(DISTINCT label) FROM embeddings
-  UNION ALL SELECT 'synthetic', count(*), sum(p_size)::DOUBLE, count(DISTINCT p_brand) FROM part""")
+@query("overview", """WITH q AS (SELECT d.*, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+  k AS (SELECT 'documents' AS kind, count(*) AS n, sum(n_chars)::DOUBLE AS size, count(DISTINCT source) AS sources, avg(quality)::DOUBLE AS mean_quality,
+      count_if(quality > 0.8::DOUBLE)::BIGINT AS high_quality FROM q
+    UNION ALL SELECT 'depth_maps', count(*), sum(len(embedding))::DOUBLE, count(DISTINCT label), NULL, 0 FROM embeddings
+    UNION ALL SELECT 'synthetic', count(*), sum(p_size)::DOUBLE, count(DISTINCT p_brand), avg((p_partkey % 89) / 89::DOUBLE),
+      count_if((p_partkey % 89) / 89::DOUBLE > 0.8::DOUBLE)::BIGINT FROM part)
+  SELECT kind, n, size, sources, round(mean_quality, 6) AS mean_quality, high_quality, round(n / greatest(sources, 1)::DOUBLE, 6) AS per_source,
+    round((SELECT n FROM k WHERE kind = 'synthetic') / (SELECT sum(n) FROM k WHERE kind <> 'depth_maps')::DOUBLE, 6) AS synthetic_ratio FROM k""")
 def overview(spark: SparkSession, d: str) -> DataFrame:
-    def one(kind: str, df: DataFrame, size, source: str) -> DataFrame:
+    """Counts, sizes, quality and sources of each kind of data; the synthetic share is of documents and synthetic rows."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    documents = table(spark, d, "documents").select("doc_id", "n_chars", "source").join(labels, "doc_id", "left")
+    parts = table(spark, d, "part").withColumn("quality", (F.col("p_partkey") % 89) / 89)
+
+    def one(kind: str, df: DataFrame, size, source: str, quality: Column) -> DataFrame:
         return df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(size).cast("double").alias("size"),
-                      F.countDistinct(source).alias("sources"))
-    return one("documents", table(spark, d, "documents"), F.col("n_chars"), "source") \
-        .unionByName(one("depth_maps", table(spark, d, "embeddings"), F.size("embedding"), "label")) \
-        .unionByName(one("synthetic", table(spark, d, "part"), F.col("p_size"), "p_brand"))
+                      F.countDistinct(source).alias("sources"), F.avg(quality).cast("double").alias("mean_quality"),
+                      F.count_if(quality > 0.8).alias("high_quality"))
+    none = F.lit(None).cast("double")
+    kinds = one("documents", documents, F.col("n_chars"), "source", F.col("quality")) \
+        .unionByName(one("depth_maps", table(spark, d, "embeddings"), F.size("embedding"), "label", none)) \
+        .unionByName(one("synthetic", parts, F.col("p_size"), "p_brand", F.col("quality")))
+    whole = Window.partitionBy()  # three rows
+    n = F.col("n")
+    synthetic = F.sum(F.when(F.col("kind") == "synthetic", n)).over(whole) / F.sum(F.when(F.col("kind") != "depth_maps", n)).over(whole)
+    return rounded(kinds.withColumns({"per_source": n / F.greatest("sources", F.lit(1)), "synthetic_ratio": synthetic}))
 
 
 @query("distinct_sources", """SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events

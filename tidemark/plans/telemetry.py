@@ -245,6 +245,35 @@ def alert_rules(spark: SparkSession, d: str) -> DataFrame:
                 as_text("actions").alias("actions"), "alert_id", F.round(F.element_at("metrics", "error_rate"), 6).alias("error_rate"))
 
 
+_ISSUES, _ADVICE = (", ".join(f"CASE WHEN {sql} THEN '{rule[k]}' END" for sql, rule in zip(
+    ("NOT initialised", "error_rate > 0.1::DOUBLE", "avg_ms > 200", "recent_error"), tm.HEALTH_ISSUES)) for k in (2, 3))
+
+
+@query("system_health", with_views(TEL, METRICS, FIRED) + f""", c AS (SELECT component, max(duration_ms > 1) AS initialised, avg(duration_ms) AS avg_ms,
+    avg(CASE WHEN error_occurred THEN 1 ELSE 0 END) AS error_rate,
+    max(error_occurred AND secs >= (SELECT max(secs) - 300 FROM v_tel)) AS recent_error FROM v_tel GROUP BY component),
+  f AS (SELECT component, count_if(severity = 'critical') AS critical, count_if(severity = 'error') AS error, count_if(severity = 'warning') AS warning,
+    count_if(severity = 'info') AS info FROM v_fired GROUP BY component),
+  s AS (SELECT c.*, coalesce(critical, 0)::BIGINT AS critical, coalesce(error, 0)::BIGINT AS error, coalesce(warning, 0)::BIGINT AS warning, coalesce(info, 0)::BIGINT AS info,
+    CASE WHEN NOT initialised THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN error_rate > 0.1::DOUBLE THEN 0.8::DOUBLE ELSE 1 END
+    * CASE WHEN avg_ms > 200 THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN recent_error THEN 0.7::DOUBLE ELSE 1 END AS hs FROM c LEFT JOIN f USING (component))
+  SELECT component, critical, error, warning, info, CASE WHEN critical > 0 THEN 'critical' WHEN error > 0 THEN 'degraded' WHEN warning > 0 THEN 'warning'
+    ELSE 'healthy' END AS overall_health, round(hs, 6) AS health_score, CASE WHEN hs > 0.8::DOUBLE THEN 'HEALTHY' WHEN hs > 0.5::DOUBLE THEN 'DEGRADED' ELSE 'UNHEALTHY' END AS health_status,
+    array_to_string(list_filter([{_ISSUES}], lambda x: x IS NOT NULL), '; ') AS issues,
+    array_to_string(list_filter([{_ADVICE}], lambda x: x IS NOT NULL), '; ') AS recommendations FROM s""")
+def system_health(spark: SparkSession, d: str) -> DataFrame:
+    """Health of each component from its own alerts; an error is recent in the last five minutes of all telemetry."""
+    df = views.telemetry(spark, d)
+    latest = df.agg(F.max("at")).first()[0]
+    stats = df.groupBy("component").agg(
+        F.max(F.col("duration_ms") > 1).alias("initialised"), F.avg("duration_ms").alias("avg_ms"),
+        F.avg(F.when(F.col("error_occurred"), 1.0).otherwise(0.0)).alias("error_rate"),
+        F.max(F.col("error_occurred") & (F.col("at") >= F.lit(latest) - tm.RECENT_ERROR_SECONDS)).alias("recent_error"))
+    out = tm.system_health(stats, tm.alerts(metrics(spark, d), tm.ALERT_RULES, ["at", "component"]), KEYS)
+    return rounded(out.select("component", "critical", "error", "warning", "info", "overall_health", "health_score", "health_status",
+                              as_text("issues").alias("issues"), as_text("recommendations").alias("recommendations")))
+
+
 @query("alert_cooldown", with_views(TEL, METRICS, FIRED).replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT rule_id, secs, count(*) AS alerts, min(component) AS component, arg_min(message, component) AS message,
     min(severity) AS severity, min(alert_id) AS alert_id FROM v_fired GROUP BY 1, 2),
   j AS (SELECT rule_id, secs, min(secs) OVER (PARTITION BY rule_id ORDER BY secs RANGE BETWEEN 7200 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
