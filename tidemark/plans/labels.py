@@ -211,16 +211,21 @@ def quality_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pa.quality_bins(_params(spark, d), "quality_score"))
 
 
-@query("diversity_recommendations", """WITH p AS (SELECT * FROM part), c AS (SELECT DISTINCT p_size, round(p_retailprice, 3), p_partkey % 7 FROM part),
+@query("diversity_recommendations", with_views(PARAM) + """, p AS (SELECT * FROM part), v AS (SELECT name, (count(DISTINCT value) / count(*)::DOUBLE
+      + CASE name WHEN 'p_size' THEN (max(value) - min(value)) / 60 WHEN 'wind' THEN max(value) - min(value) ELSE 1 END
+      + least(CASE WHEN avg(value) <> 0 THEN stddev_pop(value) / avg(value) ELSE 0 END, 1)) / 3 AS diversity_score FROM v_param GROUP BY name), c AS (SELECT DISTINCT p_size, round(p_retailprice, 3), p_partkey % 7 FROM part),
   m AS (SELECT 'uniqueness_rate' AS metric, (SELECT count(*) FROM c) / count(*)::DOUBLE AS value FROM p
-    UNION ALL SELECT 'high_quality_ratio', count(CASE WHEN round(p_size / 50::DOUBLE, 1) >= 0.8::DOUBLE THEN 1 END) / count(*)::DOUBLE FROM p),
+    UNION ALL SELECT 'high_quality_ratio', count(CASE WHEN round(p_size / 50::DOUBLE, 1) >= 0.8::DOUBLE THEN 1 END) / count(*)::DOUBLE FROM p
+    UNION ALL SELECT 'low_diversity_params', count_if(diversity_score < 0.5::DOUBLE)::DOUBLE FROM v),
   """ + rules_sql(rules.DIVERSITY) + """ SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES)
 def diversity_recommendations(spark: SparkSession, d: str) -> DataFrame:
     df = _params(spark, d)
     combos = pa.param_combinations(df, "params")
     shares = pa.quality_bins(df, "quality_score").agg(
         F.sum(F.when(F.col("level") == "high", F.col("share")).otherwise(0.0)).alias("high_quality_ratio"))
-    measured = metric_rows(combos, ["uniqueness_rate"]).unionByName(metric_rows(shares, ["high_quality_ratio"]))
+    low = pa.param_diversity(df, "params", RANGES).agg(F.count_if(F.col("diversity_score") < 0.5).alias("low_diversity_params"))
+    measured = metric_rows(combos, ["uniqueness_rate"]).unionByName(metric_rows(shares, ["high_quality_ratio"])) \
+        .unionByName(metric_rows(low, ["low_diversity_params"]))
     return recommend(measured, rules.DIVERSITY)
 
 
