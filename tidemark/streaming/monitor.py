@@ -178,24 +178,25 @@ def observed(df: DataFrame, name: str) -> DataFrame:
 def score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a user's model to Arrow batches of a table or stream.
 
-    ``predict`` gets and returns a frame.  If a batch fails it is tried row by
-    row, and rows that still fail come out with null results and the reason in
+    ``predict`` gets and returns a frame.  If a batch fails its halves are tried,
+    and so on; rows that fail alone come out with null results and the reason in
     ``error``; the output has the columns of ``schema`` plus ``error``.
     """
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                yield predict(frame)[names].assign(error=None)
-            except Exception:
-                yield pd.concat([_one(predict, frame.iloc[[i]], names) for i in range(len(frame))])
+            yield from _tried(predict, frame, names)
     return df.mapInPandas(run, f"{schema}, error string")
 
 
-def _one(predict: Callable[[pd.DataFrame], pd.DataFrame], row: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+def _tried(predict: Callable[[pd.DataFrame], pd.DataFrame], frame: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFrame]:
     try:
-        return predict(row)[names].assign(error=None)
+        yield predict(frame)[names].assign(error=None)
     except Exception as problem:
-        known = {n: row[n].tolist() if n in row.columns else [None] for n in names}
-        return pd.DataFrame(known).assign(error=f"{type(problem).__name__}: {problem}")
+        if len(frame) > 1:
+            yield from _tried(predict, frame.iloc[:len(frame) // 2], names)
+            yield from _tried(predict, frame.iloc[len(frame) // 2:], names)
+        else:
+            known = {n: frame[n].tolist() if n in frame.columns else [None] for n in names}
+            yield pd.DataFrame(known).assign(error=f"{type(problem).__name__}: {problem}")
