@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluation import ratio
-from tidemark.operators.ranking import exact_percentiles, null_safe_join
+from tidemark.operators.ranking import exact_percentiles, null_safe_join, numbered
+from tidemark.sources.tables import pin
 
 # Fixed values of the profile thresholds.
 LOW_AREA, HIGH_AREA = 640 * 480, 3840 * 2160
@@ -156,6 +157,30 @@ def dataset_checksum(df: DataFrame, by: Sequence[str], path: str = "path", lengt
         .alias("checksum"))
 
 
+#: Digests that one digest of the level above covers.
+FINGERPRINT_FANOUT = 1024
+
+
+def ordered_checksum(df: DataFrame, keys: Sequence[str], columns: Sequence[str], fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
+    """Fingerprint of each key's listing in the order of ``columns``: a hash tree over the sorted rows.
+
+    Any change of a value, a missing row or one more changes it; the order in which rows are stored does not. Each level hashes
+    runs of ``fanout`` digests, so no task sees more than that, and there are as many levels as the logarithm of the rows.
+    """
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    rows = df.select(*keys, *columns, F.sha2(F.concat(*parts), 256).alias("digest"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("files"))
+    placed = numbered(rows, keys, [*columns, "digest"], "at").select(*keys, "at", "digest")
+    level, done = null_safe_join(placed, sizes.withColumnRenamed("files", "nodes"), keys), None
+    while True:
+        runs = level.groupBy(*keys, "nodes", F.floor(F.col("at") / fanout).alias("run")).agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("held"))
+        hashed = runs.select(*keys, F.ceil(F.col("nodes") / fanout).alias("nodes"), F.col("run").alias("at"), F.sha2(F.array_join("held.digest", ""), 256).alias("digest"))
+        level = pin(hashed if done is None else done.unionByName(hashed))
+        done, level = level.filter("nodes = 1"), level.filter("nodes > 1")
+        if level.isEmpty():
+            return null_safe_join(done.select(*keys, F.col("digest").alias("fingerprint")), sizes, keys)
+
+
 def health_row(files: DataFrame, images: DataFrame, drift: DataFrame, as_of: Column, *,
                quality_threshold: float = 0.7, freshness_hours: float = 24.0) -> DataFrame:
     """One health row: quality, drift, anomalies, missing and duplicate shares, format consistency, age, alerts.

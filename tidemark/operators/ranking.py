@@ -337,3 +337,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     out = df.withColumn(rank or "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = out.filter(F.col(rank or "_rn") <= n)
     return out if rank else out.drop("_rn")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place in their key, from 0, in an ``order`` of any types.
+
+    One sort over range partitions; a place is counted from the sizes of the partitions' segments, a row for each
+    partition and key, so a key that fills many partitions is numbered by as many tasks.
+    """
+    columns = [*keys, *order]
+    ordered = pin(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumns({
+        "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    segments = ordered.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows")) \
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    return null_safe_join(ordered, segments, [*keys, "_part"]).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))

@@ -142,6 +142,17 @@ def dataset_checksum(spark: SparkSession, d: str) -> DataFrame:
     return pr.dataset_checksum(views.listing(spark, d), ["folder"])
 
 
+@query("dataset_fingerprint", with_views(FILE).replace("WITH ", "WITH RECURSIVE ", 1) + f""", r AS (SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY path, length) - 1 AS pos,
+    sha256(coalesce(strlen(path) || ':' || path, '-') || coalesce(strlen(length::VARCHAR) || ':' || length, '-')) AS digest, count(*) OVER (PARTITION BY folder) AS n FROM v_file),
+  t(folder, level, pos, digest, n) AS (SELECT folder, 0, pos, digest, n FROM r
+    UNION ALL SELECT folder, level + 1, pos // {pr.FINGERPRINT_FANOUT}, sha256(string_agg(digest, '' ORDER BY pos)), (n + {pr.FINGERPRINT_FANOUT - 1}) // {pr.FINGERPRINT_FANOUT}
+    FROM t WHERE n > 1 OR level = 0 GROUP BY folder, level, pos // {pr.FINGERPRINT_FANOUT}, n)
+  SELECT folder, count(*) AS files, (SELECT arg_max(digest, level) FROM t WHERE t.folder IS NOT DISTINCT FROM r.folder) AS fingerprint FROM r GROUP BY folder""")
+def dataset_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Order-true fingerprint of each folder's listing."""
+    return pr.ordered_checksum(views.listing(spark, d), ["folder"], ["path", "length"]).select("folder", "files", "fingerprint")
+
+
 def rules_sql(rules: list) -> str:
     return "v_rule AS (SELECT * FROM (VALUES " + ", ".join(
         f"('{m}', '{o}', {t}::DOUBLE, '{x}')" for m, o, t, x in rules) + ") AS r(metric, op, threshold, text))"
