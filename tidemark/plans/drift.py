@@ -10,13 +10,13 @@ from tidemark.operators import drift as dr
 from tidemark.operators import labels as lb
 from tidemark.operators import profiling as pr
 from tidemark.operators import raster as ra
-from tidemark.operators import rules
+from tidemark.operators import rules, sketches
 from tidemark.operators.joins import recommend
 from tidemark.plans import raster, views
 from tidemark.plans.profiling import FIRES, PROFILE, rules_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views_sql import FEAT, FILE, IMG, LAB, PIX, RGB, with_views
-from tidemark.sources.tables import table
+from tidemark.sources.tables import pin, table
 
 CURVE = """v_cnt AS (SELECT feature, value, count_if(dataset = 'baseline')::BIGINT AS n1,
   count_if(dataset = 'current')::BIGINT AS n2, count(*) AS n FROM v_feat GROUP BY 1, 2),
@@ -264,3 +264,31 @@ def feature_compare(spark: SparkSession, d: str) -> DataFrame:
 def feature_report(spark: SparkSession, d: str) -> DataFrame:
     out = dr.feature_report(_long(spark, d), "baseline", "current")
     return rounded(out.select("feature", "median1", "median2", "ks", F.round("mann_whitney_u", 1).alias("mann_whitney_u"), "similarity", "overall_similarity", "assessment"))
+
+
+@query("sketch_days", """SELECT strftime(date_trunc('day', l_shipdate), '%Y-%m-%d') AS day, f.feature, count(f.value) AS n, min(f.value) AS low, max(f.value) AS high
+  FROM lineitem, LATERAL (VALUES ('l_quantity', l_quantity), ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) AS f(feature, value)
+  GROUP BY 1, 2""")
+def sketch_days(spark: SparkSession, d: str) -> DataFrame:
+    """The exact part of the table of daily sketches."""
+    return _daily(spark, d).select("day", "feature", "n", "low", "high")
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """Quantile and distinct sketches of every feature and ship day."""
+    rows = table(spark, d, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.col("l_partkey").alias("item"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in views.FEATURES])))
+    return sketches.daily_sketches(rows, F.col("at"), ["feature"], "value", "item")
+
+
+@query("sketch_drift")
+def sketch_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of the days from the cut on against the days before, from the stored sketches alone (the rows are read once, to build them).
+
+    Within the stated bounds of ``ks_stat`` and ``wasserstein``; sketches draw, so no SQL gives the same digits.
+    """
+    daily = pin(_daily(spark, d))
+    sides = [sketches.merged(daily.filter(c), ["feature"]) for c in (F.col("day") < views.DRIFT_CUT, F.col("day") >= views.DRIFT_CUT)]
+    users = [sketches.quantiles(s, ["feature"], {f"median{i}": 0.5}).select("feature", f"median{i}", F.col("distinct").alias(f"distinct{i}")) for i, s in enumerate(sides, 1)]
+    return sketches.sketch_distances(*sides, ["feature"]).join(users[0], "feature").join(users[1], "feature")

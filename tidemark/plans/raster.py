@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import rounded
+from tidemark.operators import peaks, tiles
 from tidemark.operators import raster as ra
 from tidemark.plans import views
 from tidemark.plans.registry import query
@@ -261,6 +262,42 @@ def rast_peaks(spark: SparkSession, d: str) -> DataFrame:
     return ra.wave_characteristics(views.rasters(spark, d)).select("vec_id", "wave_count")
 
 
+OPENED = gauss_sql() + """,
+v_s8 AS (SELECT vec_id, y, x, floor(greatest(0, least(1, v)) * 255) AS v FROM v_sm),
+v_cross AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS c(dy, dx)),
+v_er AS (SELECT a.vec_id, a.y, a.x, min(b.v) AS v FROM v_s8 a, v_cross JOIN v_s8 b ON b.vec_id = a.vec_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
+v_op AS (SELECT a.vec_id, a.y, a.x, max(b.v) AS v FROM v_er a, v_cross JOIN v_er b ON b.vec_id = a.vec_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
+v_top AS (SELECT s.vec_id, s.y, s.x FROM v_s8 s JOIN v_op o USING (vec_id, y, x) WHERE s.v > o.v),
+v_reach AS (SELECT vec_id, y, x, y * 8 + x AS first FROM v_top
+  UNION SELECT t.vec_id, t.y, t.x, r.first FROM v_reach r JOIN v_top t ON t.vec_id = r.vec_id AND abs(t.y - r.y) <= 1 AND abs(t.x - r.x) <= 1),
+v_root AS (SELECT vec_id, y, x, min(first) AS root FROM v_reach GROUP BY 1, 2, 3),
+v_reg AS (SELECT vec_id, root, count(*) AS area, avg(y) AS py, avg(x) AS px FROM v_root GROUP BY 1, 2 HAVING count(*) > 2)"""
+
+
+@query("wave_peaks", with_views(PIX, OPENED).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY root) AS peak,
+  area, round(py, 6) AS y, round(px, 6) AS x FROM v_reg""")
+def wave_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Centre and area of every wave peak, numbered by first pixel; element and least area fit maps of 8x8 pixels."""
+    found = peaks.wave_peaks(views.rasters(spark, d), element=3, least_area=2)
+    rows = found.select("vec_id", F.posexplode("peaks").alias("at", "p"))
+    return rounded(rows.select("vec_id", (F.col("at") + 1).cast("bigint").alias("peak"), "p.area", "p.y", "p.x"))
+
+
+@query("tile_measures", with_views(PIX, LEV, neighbours("v_nb", "v_l", 1, 8), LAPLACE, SOBEL, NOISE) + """,
+  g AS (SELECT vec_id, avg(v) AS brightness, stddev_pop(v) AS brightness_std FROM v_l GROUP BY 1),
+  l AS (SELECT vec_id, sum(l * l) / 64 - (sum(l) / 64) * (sum(l) / 64) AS laplacian_variance FROM v_lap GROUP BY 1),
+  s AS (SELECT vec_id, avg(m) AS edge_mean, max(m) AS edge_max FROM v_sob GROUP BY 1),
+  n AS (SELECT vec_id, least(1, stddev_pop(r) / 255) AS noise_level FROM v_hp GROUP BY 1)
+  SELECT vec_id, 4 AS tiles, round(brightness, 6) AS brightness, round(brightness_std, 6) AS brightness_std, round(laplacian_variance, 6) AS laplacian_variance,
+    round(edge_mean, 6) AS edge_mean, round(edge_max, 6) AS edge_max, round(noise_level, 6) AS noise_level
+  FROM g JOIN l USING (vec_id) JOIN s USING (vec_id) JOIN n USING (vec_id)""")
+def tile_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of whole maps from tiles of 5x5 pixels and their halos."""
+    byte = F.transform("px", lambda v: F.lpad(F.hex(F.floor(v * 255).cast("bigint")), 2, "0"))
+    images = views.rasters(spark, d).withColumn("data", F.unhex(F.array_join(byte, "")))
+    return rounded(tiles.tiled_measures(images, "vec_id", side=5).drop("laplacian_noise"))
+
+
 @query("augment_variants", with_views(PIX, """v_fog AS (SELECT vec_id, y, x, v AS o, 'fog' AS variant,
     greatest(0, least(1, v * (1 - m) + 0.9::DOUBLE * m)) AS v FROM (SELECT *, 0.3::DOUBLE + (0.3::DOUBLE * 0.3::DOUBLE - 0.3::DOUBLE) * y / 7 AS m FROM v_pix)),
 v_gl AS (SELECT vec_id, y, x, v AS o, 'glare' AS variant, greatest(0, least(1, v + exp(-3 * sqrt(((x - 4) * (x - 4) + (y - 2) * (y - 2))::DOUBLE)
