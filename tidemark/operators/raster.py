@@ -391,6 +391,21 @@ def feature_vector(df: DataFrame) -> DataFrame:
     return kn.apply_kernel(df, _feature_kernel, ", ".join(f"{c} double" for c in FEATURES), arrays=("r", "g", "b"))
 
 
+REPORT_MEASURES = [*FEATURES, "dynamic_range", "entropy", "colour_balance", "water_coverage"]
+
+
+def report_measures(df: DataFrame) -> DataFrame:
+    """What a dataset report needs of each image, in one pass over its colour planes: the eleven features, the dynamic range and entropy
+    of the grey levels, the colour balance and the share of water-coloured pixels."""
+    def kernel(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        level, colour = _grey(r, g, b), _colour_kernel(r, g, b)
+        p = kn.counts(level, LEVELS) / (level.shape[1] * level.shape[2])
+        return _feature_kernel(r, g, b) | {
+            "dynamic_range": kn.spread(level) / 255.0, "entropy": -(p * np.log2(p + 1e-10)).sum(axis=1),
+            "colour_balance": colour["colour_balance"], "water_coverage": colour["water_coverage"]}
+    return kn.apply_kernel(df, kernel, ", ".join(f"{c} double" for c in REPORT_MEASURES), arrays=("r", "g", "b"))
+
+
 def image_features(images: DataFrame) -> DataFrame:
     """The same features straight from decoded image bytes (``h, w, channels, data``, as ``scan_images`` gives them).
 

@@ -10,7 +10,7 @@ from tidemark.operators import drift as dr
 from tidemark.operators import labels as lb
 from tidemark.operators import profiling as pr
 from tidemark.operators import raster as ra
-from tidemark.operators import rules, sketches
+from tidemark.operators import report, rules, sketches
 from tidemark.operators.joins import recommend
 from tidemark.plans import raster, views
 from tidemark.plans.profiling import FIRES, PROFILE, rules_sql
@@ -292,3 +292,64 @@ def sketch_drift(spark: SparkSession, d: str) -> DataFrame:
     sides = [sketches.merged(daily.filter(c), ["feature"]) for c in (F.col("day") < views.DRIFT_CUT, F.col("day") >= views.DRIFT_CUT)]
     users = [sketches.quantiles(s, ["feature"], {f"median{i}": 0.5}).select("feature", f"median{i}", F.col("distinct").alias(f"distinct{i}")) for i, s in enumerate(sides, 1)]
     return sketches.sketch_distances(*sides, ["feature"]).join(users[0], "feature").join(users[1], "feature")
+
+
+REPORT = RGB + ",\n" + raster.FEATURE_SQL + ",\n" + raster.HSV + """,
+v_water AS (SELECT vec_id, count_if(h BETWEEN 90 AND 130 AND s >= 50 AND vv >= 50) / count(*)::DOUBLE AS water FROM v_hsv GROUP BY 1),
+v_bal AS (SELECT vec_id, 1 - stddev_pop(t.m) / avg(t.m) AS balance FROM (SELECT vec_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM v_rgb GROUP BY 1),
+  LATERAL (VALUES (r), (g), (b)) AS t(m) GROUP BY 1),
+v_ent AS (SELECT vec_id, -sum(p * log2(p + 0.0000000001::DOUBLE)) AS entropy FROM (SELECT vec_id, v, count(*) / 64::DOUBLE AS p FROM v_gr GROUP BY 1, 2) GROUP BY 1),
+v_dyn AS (SELECT vec_id, (max(v) - min(v)) / 255 AS dyn FROM v_gr GROUP BY 1),
+v_set AS (SELECT vec_id, CASE WHEN label < 4 THEN 'baseline' WHEN label < 8 THEN 'current' ELSE 'synthetic' END AS dataset FROM embeddings),
+v_img AS (SELECT f.vec_id, 8 AS width, 8 AS height, brightness, contrast / 255 AS contrast, sharpness, water AS ocean_coverage, false AS is_corrupted,
+  entropy, dyn, balance FROM v_fv f JOIN v_water USING (vec_id) JOIN v_bal USING (vec_id) JOIN v_ent USING (vec_id) JOIN v_dyn USING (vec_id)
+  JOIN v_set USING (vec_id) WHERE dataset = 'current')"""
+
+
+def report_ks(first: str, second: str, name: str) -> str:
+    """CTE: KS of every feature between two of the three sets."""
+    return f"""{name} AS (SELECT feature, max(abs(c1 / t1::DOUBLE - c2 / t2::DOUBLE)) AS ks FROM (SELECT feature, sum(n1) OVER w AS c1, sum(n2) OVER w AS c2,
+  sum(n1) OVER f AS t1, sum(n2) OVER f AS t2 FROM (SELECT feature, value, count_if(dataset = '{first}') AS n1, count_if(dataset = '{second}') AS n2
+  FROM v_rf GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)) GROUP BY feature)"""
+
+
+REPORT_FEATURES = f"""v_e AS (SELECT vec_id, {raster.FEATURE_COLUMNS} FROM v_fv), v_rf AS (SELECT dataset, f.feature, f.value FROM v_e JOIN v_set USING (vec_id),
+  LATERAL (VALUES {', '.join(f"('{c}', {c})" for c in ra.FEATURES)}) AS f(feature, value))"""
+
+
+@query("dataset_report", with_views(REPORT, PROFILE, FILE, REPORT_FEATURES, report_ks("baseline", "current", "v_all"), report_ks("current", "synthetic", "v_match"),
+       "v_named AS (SELECT * FROM v_all WHERE feature IN (" + ", ".join(f"'{c}'" for c in dr.DRIFT_FEATURES) + "))",
+       rules_sql(rules.QUALITY + rules.HEALTH + rules.DRIFT)) + """,
+  d AS (SELECT avg(ks) AS drift, avg(ks) > 0.1::DOUBLE AS detected, coalesce(list(feature ORDER BY feature) FILTER (WHERE ks > 0.1::DOUBLE), []) AS affected FROM v_named),
+  f AS (SELECT count(*) AS files, 100 * count_if(NOT valid) / count(*)::DOUBLE AS missing, 100 * (count(*) - count(DISTINCT content_hash)) / count(*)::DOUBLE AS dup,
+    1 / count(DISTINCT ext)::DOUBLE AS formats, (epoch(TIMESTAMP '2025-01-01') - epoch(max(modified))) / 3600 AS age FROM v_file),
+  a AS (SELECT list_concat(list_filter([CASE WHEN quality_score < 0.7::DOUBLE THEN 'quality below threshold' END, CASE WHEN detected THEN 'data drift detected' END], lambda x: x IS NOT NULL),
+    list_concat(CASE WHEN detected THEN list_transform(affected, lambda x: 'affected feature: ' || x) ELSE [] END,
+      list_filter([CASE WHEN age > 24 THEN 'data is stale' END], lambda x: x IS NOT NULL))) AS alerts FROM q, d, f),
+  m AS (SELECT 'critical_issues' AS metric, count(CASE WHEN severity = 'critical' THEN 1 END)::DOUBLE AS value FROM i
+    UNION ALL SELECT 'high_issues', count(CASE WHEN severity = 'high' THEN 1 END) FROM i
+    UNION ALL SELECT 'low_resolution_or_blur', count(CASE WHEN issue IN ('low_resolution', 'blur') THEN 1 END) FROM i
+    UNION ALL SELECT 'no_ocean_content', count(CASE WHEN issue = 'no_ocean_content' THEN 1 END) FROM i
+    UNION ALL SELECT 'corruption', count(CASE WHEN issue = 'corruption' THEN 1 END) FROM i UNION ALL SELECT 'issues', count(*) FROM i
+    UNION ALL SELECT 'quality_score', quality_score FROM q UNION ALL SELECT 'freshness_hours', age FROM f UNION ALL SELECT 'duplicate_percentage', dup FROM f
+    UNION ALL SELECT 'total_samples', n FROM p UNION ALL SELECT 'alerts', len(alerts) FROM a
+    UNION ALL SELECT 'drift_detected', CASE WHEN detected THEN 1 ELSE 0 END FROM d UNION ALL SELECT feature, ks FROM v_named, d WHERE detected),
+  t AS (SELECT string_agg(text, '; ' ORDER BY text) AS recommendations FROM (SELECT DISTINCT text FROM m JOIN v_rule USING (metric) WHERE """ + FIRES + """)),
+  s AS (SELECT count(*) AS images, count_if(is_corrupted)::BIGINT AS corrupted, avg(width) AS mean_width, avg(height) AS mean_height, avg(brightness) AS mean_brightness,
+    avg(contrast) AS mean_contrast, avg(dyn) AS mean_dynamic_range, avg(entropy) AS mean_entropy, avg(sharpness) AS mean_sharpness, avg(balance) AS mean_colour_balance,
+    avg(ocean_coverage) AS mean_coverage FROM v_img),
+  k AS (SELECT avg(ks) AS ks FROM v_match)
+  SELECT images, corrupted, """ + ", ".join(f"round({c}, 6) AS {c}" for c in (
+      "mean_width", "mean_height", "mean_brightness", "mean_contrast", "mean_dynamic_range", "mean_entropy", "mean_sharpness", "mean_colour_balance", "mean_coverage"))
+    + """, files, round(quality_score, 6) AS quality_score, round(drift, 6) AS drift_score, anomaly_count, round(missing, 6) AS missing_percentage,
+    round(dup, 6) AS duplicate_percentage, round(formats, 6) AS format_consistency, round(age, 6) AS freshness_hours, array_to_string(alerts, '; ') AS alerts,
+    round(ks, 6) AS match_ks, CASE WHEN ks IS NOT NULL THEN round(greatest(0, 1 - ks), 6) END AS match_score,
+    (SELECT coalesce(string_agg(severity || ': ' || issue || ' (' || affected || ')', '; ' ORDER BY severity || ': ' || issue || ' (' || affected || ')'), '') FROM i) AS issues, recommendations
+  FROM s, q, d, f, a, k, t""")
+def dataset_report(spark: SparkSession, d: str) -> DataFrame:
+    """Report on the images of labels 4-7, with 0-3 as baseline and 8-9 as synthetic set."""
+    label = F.col("label")
+    sets = table(spark, d, "embeddings").select("vec_id", F.when(label < 4, report.BASELINE).when(label < 8, report.CURRENT).otherwise(report.SYNTHETIC).alias("dataset"))
+    images = views.rgb_images(spark, d).join(sets, "vec_id").withColumnRenamed("vec_id", "image_id")
+    row = report.dataset_report(images, views.files(spark, d), F.lit("2025-01-01").cast("timestamp_ntz"))
+    return rounded(row.withColumns({c: F.array_join(c, "; ") for c in ("alerts", "issues", "recommendations")}))
