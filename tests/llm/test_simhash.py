@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash as S
 from tidemark.llm.components import components
@@ -92,3 +93,40 @@ def test_keep_one_keeps_smallest_id(spark, tmp_path):
     docs = spark.read.parquet(path)
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5]
+
+
+def test_members_of_very_long_lists_are_dealt_out_with_the_same_result(spark):
+    draw = np.random.default_rng(5)
+    near = np.unique(np.uint64(0xABCD << 40) ^ draw.integers(0, 1 << 12, 900).astype(np.uint64))
+    far = draw.integers(0, 1 << 63, 400).astype(np.uint64)
+    values = np.unique(np.r_[near, far])
+    prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp bigint").repartition(5)
+    root = S._roots(S._pairs(values), len(values))
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, set()).add(int(values[i].view(np.int64)))
+    want = sorted(map(sorted, (g for g in groups.values() if len(g) > 1)))
+    for batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        for pairwise, in_task in ((1024, 1 << 14), (16, 1 << 14), (16, 40), (2, 2)):
+            links = S.linked(prints, pairwise, in_task).collect()
+            found = {}
+            for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect():
+                found.setdefault(r.root, set()).add(r.node)
+            assert sorted(map(sorted, found.values())) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_a_hub_is_dealt_over_tasks(spark):
+    from tidemark.llm import components as C
+    edges = spark.range(1, 20_001).selectExpr("0 AS u", "id AS v")
+    sizes = [r["count"] for r in C._with_least(edges).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000
+    assert {(r.root, r.n) for r in components(edges).groupBy("root").agg(F.count("*").alias("n")).collect()} == {(0, 20_001)}
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    dealt = [r["count"] for r in C._with_least(edges).groupBy(F.spark_partition_id()).count().collect()]
+    for name, value in zip(("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"), before):
+        spark.conf.set(name, value)
+    assert len(dealt) == 8 and max(dealt) < 20_000 * 0.3

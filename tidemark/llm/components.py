@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import pin
 
 
+#: Parts that a hub's rows are dealt into, by their other end.
+PARTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): each edge with the smallest v of its u. A hub's edges lie in ``PARTS`` parts; only the parts' minima meet."""
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int").alias("part"))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))  # at most PARTS numbers a node
+    return dealt.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    near = _with_least(down)
+    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(near.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two comparable columns u and v; loops and repeated edges do no harm. Each round is
     written to the checkpoint folder, so a lost executor costs one round. No step gathers a component:
-    minima combine before the shuffle, and a hub's rows join its one minimum.
+    minima combine before the shuffle, and a hub's rows meet its minimum in ``PARTS`` parts.
     """
     current, before = pin(edges.filter("u != v").distinct()), None
     while True:

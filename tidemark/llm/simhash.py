@@ -11,7 +11,9 @@ and the others verified by their differing bits. Equal fingerprints are collapse
 
 A long list is searched through midpoints instead of pairs: two values differ in at most three bits if and only
 if some value differs from one in at most one bit and from the other in at most two. That takes a fixed number of
-values per member and gives the same links' components.
+values per member and gives the same links' components. Up to ``IN_TASK`` members that happens where the list is; the members of
+a longer one pass through that task without being held, and Spark deals out their midpoints. A midpoint has at most 2,081 members,
+since they differ from it in two bits at most, so no key is hot there.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; rows with the same
 doc_id are one document each and share a component only if their fingerprints are linked; a component without any
@@ -41,6 +43,8 @@ DISTANCE = 3
 BYTES = 8
 #: Lists up to this length are tallied pair by pair; longer ones go through midpoints, with the same result.
 PAIRWISE = 1024
+#: Lists longer than this are not held by one task.
+IN_TASK = 1 << 14
 
 
 def quadruples() -> list[tuple[int, ...]]:
@@ -114,80 +118,144 @@ def _pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[kept], b[kept]
 
 
+def _reached(values: np.ndarray, free: list[np.uint64]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(midpoint, beyond, member): what each value reaches by flipping up to one (beyond 0) or exactly two (1) of the free bits."""
+    flips = np.array([0, *free] + [x | y for i, x in enumerate(free) for y in free[i + 1:]], np.uint64)
+    beyond = (np.arange(len(flips)) > len(free)).astype(np.int8)
+    return (values ^ flips[:, None]).ravel(), np.repeat(beyond, len(values)), np.tile(np.arange(len(values)), len(flips))
+
+
+def _bits(mask: int) -> list[np.uint64]:
+    return [np.uint64(1 << k) for k in range(64) if mask >> k & 1]
+
+
 def _midpoints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the same components as ``_pairs``, in time and memory linear in the list's length."""
-    common = np.bitwise_and.reduce(values) | ~np.bitwise_or.reduce(values)
-    free = [np.uint64(1 << k) for k in range(64) if not int(common) >> k & 1]
-    one = [np.uint64(0)] + free
-    two = [x | y for i, x in enumerate(free) for y in free[i + 1:]]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    member = np.arange(len(values))
-    passes = max(1, len(values) * (len(one) + len(two)) >> 24)  # about 16 million midpoints at a time
-    for part in range(passes):
-        keys, far, owners = [], [], []
-        for flips, beyond in ((one, 0), (two, 1)):
-            for flip in flips:
-                key = values ^ flip
-                mine = slice(None) if passes == 1 else (key % np.uint64(passes)) == part
-                keys.append(key[mine])
-                owners.append(member[mine])
-                far.append(np.full(len(owners[-1]), beyond, np.uint8))
-        key, beyond, owner = np.concatenate(keys), np.concatenate(far), np.concatenate(owners)
-        order = np.lexsort((beyond, key))
-        key, beyond, owner = key[order], beyond[order], owner[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        hub, near = np.repeat(owner[first], size), np.repeat(beyond[first] == 0, size)
-        link = near & (hub != owner)
-        pairs = np.unique(hub[link] * len(values) + owner[link])
-        found.append((pairs // len(values), pairs % len(values)))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-
-def _links_of_lists(batches: Iterator[pa.RecordBatch], pairwise: int) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, bytes, fp), sorted, to links between fingerprints: a spanning star per linked set of a list."""
-    rest = None
+    common = int(np.bitwise_and.reduce(values) | ~np.bitwise_or.reduce(values))
+    key, beyond, owner = _reached(values, _bits(~common & (1 << 64) - 1))
+    order = np.lexsort((beyond, key))
+    return _stars((key[order],), beyond[order], owner[order])
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where the groups of equal keys of sorted rows begin."""
+    changed = np.zeros(len(keys[0]), bool)
+    changed[:1] = True
+    for key in keys:
+        changed[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(changed)
+
+
+def _stars(keys: tuple[np.ndarray, ...], beyond: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the members of each midpoint to its nearest one, if that is at most one bit away; rows sorted by keys and beyond."""
+    first = _starts(*keys)
+    size = np.diff(np.r_[first, len(owner)])
+    hub, near = np.repeat(owner[first], size), np.repeat(beyond[first] == 0, size)
+    link = near & (hub != owner)
+    pairs = np.unique(np.stack([hub[link], owner[link]]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _links_of_lists(batches: Iterator[pa.RecordBatch], pairwise: int, in_task: int) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, bytes, fp), sorted, to links (u, v) between fingerprints, a spanning star per linked set of a list; the members of
+    lists over ``in_task`` go on as (slot, u) as they come."""
+    rest, going_on = None, None
     for batch in batches:
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "bytes", "fp")]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
         slot, key, fp = now
-        first = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (key[1:] != key[:-1])]) if len(fp) else np.zeros(0, int)
+        if not len(fp):
+            continue
+        first = _starts(slot, key)
+        if going_on == (slot[0], key[0]):  # the rest of a list that goes on
+            end = first[1] if len(first) > 1 else len(fp)
+            yield _passed_on(slot[:end], fp[:end])
+            slot, key, fp, first = slot[end:], key[end:], fp[end:], first[1:] - end
         if not len(first):
+            rest = None
             continue
-        rest = [x[first[-1]:] for x in now]
-        yield _links(fp[:first[-1]], first[:-1], pairwise)
+        rest = [x[first[-1]:] for x in (slot, key, fp)]
+        yield from _links(slot, fp[:first[-1]], first[:-1], pairwise, in_task)
+        going_on = None
+        if len(rest[2]) > in_task:
+            yield _passed_on(rest[0], rest[2])
+            rest, going_on = None, (rest[0][0], rest[1][0])
     if rest is not None:
-        yield _links(rest[2], np.zeros(1, int), pairwise)
+        yield from _links(rest[0], rest[2], np.zeros(1, int), pairwise, in_task)
+
+
+def _passed_on(slot: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(fp), pa.nulls(len(fp), pa.int64())], names=["slot", "u", "v"])
 
 
-def _links(fp: np.ndarray, first: np.ndarray, pairwise: int) -> pa.RecordBatch:
+def _links(slot: np.ndarray, fp: np.ndarray, first: np.ndarray, pairwise: int, in_task: int) -> Iterator[pa.RecordBatch]:
     u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.diff(np.r_[first, len(fp)])
     for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+        if n > in_task:
+            yield _passed_on(slot[at:at + n], fp[at:at + n])
+            continue
         values = fp[at:at + n].view(np.uint64)
         root = _roots(_pairs(values) if n <= pairwise else _midpoints(values), n)
         moved = np.flatnonzero(root != np.arange(n))
         u.append(fp[at:at + n][moved])
         v.append(fp[at:at + n][root[moved]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+    u, v = np.concatenate(u), np.concatenate(v)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int32()), pa.array(u), pa.array(v)], names=["slot", "u", "v"])
+
+
+def _reached_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, u) to their midpoints within the list, a bounded number of members at a time."""
+    free = [_bits(~mask & (1 << 64) - 1) for mask in MASKS]
+    for batch in batches:
+        slots, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "u"))
+        for slot in np.unique(slots):
+            mine = values[slots == slot].view(np.uint64)
+            for part in (mine[i:i + 512] for i in range(0, len(mine), 512)):
+                key, beyond, owner = _reached(part, free[slot])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(key), slot, np.int32)), pa.array(key.view(np.int64)), pa.array(beyond), pa.array(part[owner].view(np.int64))],
+                    names=["slot", "midpoint", "beyond", "fp"])
+
+
+def _links_of_midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (slot, midpoint, beyond, fp) to links; of a midpoint that spans batches only its first row is kept."""
+    held = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "midpoint", "beyond", "fp")]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        slot, midpoint, beyond, fp = now
+        last = _starts(slot, midpoint)[-1]
+        held = [x[last:last + 1] for x in now]
+        u, v = _stars((slot, midpoint), beyond, fp)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def linked(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+def linked(prints: DataFrame, pairwise: int = PAIRWISE, in_task: int = IN_TASK) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) at ``DISTANCE`` or fewer bits; components are complete."""
     listed = prints.select("fp", F.inline(F.array(*[
         F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes"))
         for i, m in enumerate(MASKS)])))
     lists = listed.repartition("slot", "bytes").sortWithinPartitions("slot", "bytes")
-    return lists.mapInArrow(lambda batches: _links_of_lists(batches, pairwise), "u bigint, v bigint")
+    found = pin(lists.mapInArrow(lambda batches: _links_of_lists(batches, pairwise, in_task), "slot int, u bigint, v bigint"))
+    links, members = found.filter("v IS NOT NULL").select("u", "v"), found.filter("v IS NULL").select("slot", "u")
+    if members.isEmpty():
+        return links
+    reached = members.repartition("slot", "u").mapInArrow(_reached_rows, "slot int, midpoint bigint, beyond tinyint, fp bigint")
+    met = reached.repartition("slot", "midpoint").sortWithinPartitions("slot", "midpoint", "beyond", "fp")
+    return links.union(met.mapInArrow(_links_of_midpoints, "u bigint, v bigint"))
 
 
-def near_duplicates(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+def near_duplicates(docs: DataFrame, pairwise: int = PAIRWISE, in_task: int = IN_TASK) -> DataFrame:
     """Per document: uid, doc_id, fingerprint, component_id, and ``keeper``, the uid of its component's first document."""
     prints = pin(with_fingerprints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid"))
     classes = prints.groupBy("fp").agg(first.alias("first"))
-    roots = components(linked(classes.select("fp"), pairwise)).withColumnsRenamed({"node": "fp"})
+    roots = components(linked(classes.select("fp"), pairwise, in_task)).withColumnsRenamed({"node": "fp"})
     rooted = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     of_class = rooted.join(best, "root").select("fp", "best.doc_id", "best.uid")
