@@ -97,8 +97,8 @@ def test_keep_one_keeps_smallest_id(spark, tmp_path):
 
 def test_members_of_very_long_lists_are_dealt_out_with_the_same_result(spark):
     draw = np.random.default_rng(5)
-    near = np.unique(np.uint64(0xABCD << 40) ^ draw.integers(0, 1 << 12, 900).astype(np.uint64))
-    far = draw.integers(0, 1 << 63, 400).astype(np.uint64)
+    near = np.unique(np.uint64(0xABCD << 40) ^ draw.integers(0, 1 << 10, 150).astype(np.uint64))
+    far = draw.integers(0, 1 << 63, 60).astype(np.uint64)
     values = np.unique(np.r_[near, far])
     prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp bigint").repartition(5)
     root = S._roots(S._pairs(values), len(values))
@@ -106,9 +106,9 @@ def test_members_of_very_long_lists_are_dealt_out_with_the_same_result(spark):
     for i, r in enumerate(root):
         groups.setdefault(r, set()).add(int(values[i].view(np.int64)))
     want = sorted(map(sorted, (g for g in groups.values() if len(g) > 1)))
-    for batch in ("7", "10000"):
+    for batch, bounds in (("97", ((16, 40), (2, 2))), ("10000", ((16, 1 << 14), (16, 40)))):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        for pairwise, in_task in ((1024, 1 << 14), (16, 1 << 14), (16, 40), (2, 2)):
+        for pairwise, in_task in bounds:
             links = S.linked(prints, pairwise, in_task).collect()
             found = {}
             for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect():
