@@ -63,3 +63,21 @@ def test_reused_results(spark):
                 holder, last = i, t
             want[i] = None if holder == i else holder
     assert got == want
+
+
+def test_levels_of_a_dense_chain_shrink(spark, monkeypatch):
+    """Rows that share a successor run together, so later levels read ever fewer rows, not all of them in each round."""
+    draw = random.Random(6)
+    rows = [("hot", float(t)) for t in sorted(draw.sample(range(200_000), 4_000))]
+    sizes, pin = [], chains.pin
+
+    def counted(df):
+        out = pin(df)
+        if "next" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(chains, "pin", counted)
+    got = sorted(r["at"] for r in chains.chosen(spark.createDataFrame(rows, "k string, at double"), ["k"], "at", 1_000.0).collect())
+    assert got == walk([t for _, t in rows], 1_000.0)
+    assert sum(sizes) < 6 * len(rows)

@@ -2,8 +2,10 @@
 
 Alerts with a cool-down and results that are reused for a while depend on the last row that was *chosen*, not on the last row. Each row
 has one successor, the first row at least the gap later, so the chosen rows are those that successors reach from a first row.
-They are found by pointer doubling: each round marks what the chosen rows point to and lets every pointer jump over its successor's,
-so a chain of n rows takes log n joins, and no key is ever gathered in one place.
+They are found by pointer doubling on ever fewer rows: two steps of a chain become one, and only the first rows and those that two steps reach
+are needed for it. Rows that share a successor run together, so the next level has about half as many rows, and all levels of a dense
+chain cost a few joins of the first one. On the way back every level adds the rows that one step of it reaches. No key is
+ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -35,16 +37,21 @@ def successors(rows: DataFrame, keys: Sequence[str], at: str, gap: float) -> Dat
 def chosen(rows: DataFrame, keys: Sequence[str], at: str, gap: float) -> DataFrame:
     """(keys, at) of the chosen rows: the first of a key, then always the first at least ``gap`` after the last chosen one."""
     found = pin(successors(rows, keys, at, gap))
-    marked = found.filter("head").select(KEY, "at")
-    jumps = found.filter("next is not null").select(KEY, "at", "next")
-    while True:
-        reached = marked.join(jumps, [KEY, "at"]).select(KEY, F.col("next").alias("at")).distinct()
-        new = pin(reached.join(marked, [KEY, "at"], "left_anti"))
-        if new.isEmpty():
-            return marked.select(F.col(f"{KEY}.*"), F.col("at").alias(at))
-        marked = pin(marked.union(new))
-        onward = jumps.select(KEY, F.col("at").alias("next"), F.col("next").alias("after"))
-        jumps = pin(jumps.join(onward, [KEY, "next"]).select(KEY, "at", F.col("after").alias("next")))
+    heads = found.filter("head").select(KEY, "at")
+    # a head is chosen anyway, so no chain is followed into one
+    steps = found.filter("next is not null").select(KEY, "at", "next", "head")
+    steps = pin(steps.join(heads.select(KEY, F.col("at").alias("next")), [KEY, "next"], "left_anti").select(KEY, "at", "next", "head"))
+    levels = []
+    while not steps.isEmpty():
+        levels.append(steps)
+        onward = steps.select(KEY, F.col("at").alias("next"), F.col("next").alias("after"))
+        pairs = pin(steps.join(onward, [KEY, "next"]).select(KEY, "at", F.col("after").alias("next"), "head"))
+        met = pairs.select(KEY, F.col("next").alias("at")).distinct()
+        steps = pin(pairs.filter("head").union(pairs.filter("not head").join(met, [KEY, "at"], "left_semi")))
+    marked = heads
+    for steps in reversed(levels):
+        marked = pin(marked.union(marked.join(steps, [KEY, "at"]).select(KEY, F.col("next").alias("at"))).distinct())
+    return marked.select(F.col(f"{KEY}.*"), F.col("at").alias(at))
 
 
 def keep_chosen(rows: DataFrame, keys: Sequence[str], at: str, gap: float) -> DataFrame:
