@@ -59,3 +59,30 @@ def test_scores_do_not_depend_on_the_partitioning(spark):
     assert I.with_scores(rows.limit(0), {"a": ["height"]}).count() == 0
     missing = rows.withColumn("height", F.lit(None).cast("double"))
     assert I.with_scores(missing, {"a": ["height"]}).filter("a_score is null or isnan(a_score)").count() == 0
+
+
+def test_rows_go_down_filled_trees_as_they_walk():
+    """Filled trees give the walk's scores bit by bit, also for values without order, on cuts, and beyond all of them."""
+    rows = np.random.default_rng(5).normal(size=(700, 3))
+    grown = I.grow(rows, trees=15, sample=128)
+    features, numbers, lengths = grown.filled[1:]
+    assert features.shape == numbers.shape == lengths.shape and lengths.shape[1] <= 256
+    asked = np.r_[rows[:60], [[np.nan, 0.0, 0.0], [np.inf, -np.inf, np.nan], [0.0, np.nan, np.inf]], np.repeat(grown.cut[grown.feature >= 0][:40, None], 3, axis=1)]
+    plain = []
+    for row in asked:
+        total = 0.0
+        for node in grown.roots:
+            while grown.feature[node] >= 0:
+                node = grown.left[node] + int(row[grown.feature[node]] > grown.cut[node])
+            total += grown.length[node]
+        plain.append(total / len(grown.roots))
+    assert grown.depths(asked).tolist() == plain
+
+
+def test_only_the_named_columns_pass_through(spark):
+    rows = frame(spark, 600)
+    groups = {"a": ["height", "conf"]}
+    whole = I.anomalies(rows, groups)
+    some = I.anomalies(rows, groups, keep=["id"])
+    assert some.columns == ["id", "a_anomaly", "overall_anomaly", "is_anomalous"]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(some.columns).collect()))

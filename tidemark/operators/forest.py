@@ -1,7 +1,8 @@
 """Isolation forests: rows that random cuts set apart early are anomalies.
 
 A forest is fitted on a bounded sample (``TREES`` trees of ``SAMPLE`` rows each, drawn by a hash of the row and so the same for any
-partitioning) and kept as flat arrays, one entry a node. Every row is scored in Arrow batches by walking all trees at once.
+partitioning) and kept as flat arrays, one entry a node. Every row is scored in Arrow batches: trees are filled up to one depth, so that
+the children of a node follow from its place and all rows go down a tree in step.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from tidemark.sources.tables import pin
 
 TREES, SAMPLE = 100, 256
 SEED = 42
-#: Rows walked through the trees at once.
-_ROWS = 4_096
+#: Rows that go down a tree at once.
+_ROWS = 16_384
 
 
 def unsuccessful(n: float) -> float:
@@ -41,14 +43,50 @@ class Forest:
     length: np.ndarray
     sample: int
 
+    @cached_property
+    def filled(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted cuts of each feature; features and numbers of cuts (trees, places) of all trees at one depth, and path lengths at its bottom.
+
+        Place k has its children at 2 k and 2 k + 1, from 1 on. Below a leaf stand cuts that no value is above, so its rows keep left.
+        """
+        inner = self.feature >= 0
+        cuts = [np.unique(self.cut[self.feature == f]) for f in range(self.feature.max(initial=-1) + 1)]
+        number = np.full(len(self.feature), np.iinfo(np.int64).max >> 1)
+        for f, known in enumerate(cuts):
+            number[self.feature == f] = np.searchsorted(known, self.cut[self.feature == f])
+        node = self.roots[:, None]
+        features, numbers = [np.zeros_like(node)], [np.zeros_like(node)]
+        while inner[node].any():
+            features.append(np.maximum(self.feature[node], 0))
+            numbers.append(number[node])
+            left = np.where(inner[node], self.left[node], node)
+            node = np.stack([left, left + inner[node]], axis=2).reshape(len(node), -1)
+        return cuts, np.concatenate(features, axis=1), np.concatenate(numbers, axis=1), self.length[node]
+
     def depths(self, rows: np.ndarray) -> np.ndarray:
         """Mean path length of each row over the trees."""
-        at = np.repeat(self.roots[:, None], len(rows), axis=1)
-        each = np.arange(len(rows))[None, :]
-        while (open_ := self.feature[at] >= 0).any():
-            goes = rows[each, np.maximum(self.feature[at], 0)] > self.cut[at]
-            at = np.where(open_, self.left[at] + goes, at)
-        return self.length[at].mean(axis=0)
+        n, total = len(rows), np.zeros(len(rows))
+        cuts, *trees = self.filled
+        # cuts below each value; a value that is no number is above none
+        values = np.concatenate([np.zeros(n, np.int64), *[np.where(np.isnan(v), 0, np.searchsorted(c, v)) for c, v in zip(cuts, rows.T)]])[n if cuts else 0:]
+        each, place, cell, value, cut = np.arange(n), *np.empty((4, n), np.int64)
+        length = np.empty(n)
+        for features, numbers, lengths in zip(*trees):
+            first = features * n  # where the values of each place's feature begin
+            place[:] = 1
+            for _ in range(len(lengths).bit_length() - 1):
+                first.take(place, out=cell, mode="clip")
+                np.add(cell, each, out=cell)
+                values.take(cell, out=value, mode="clip")
+                numbers.take(place, out=cut, mode="clip")
+                np.subtract(cut, value, out=cut)
+                np.right_shift(cut, 63, out=cut)  # -1 where the value is above the cut
+                np.add(place, place, out=place)
+                np.subtract(place, cut, out=place)
+            np.subtract(place, len(lengths), out=place)
+            lengths.take(place, out=length, mode="clip")
+            total += length
+        return total / len(self.roots)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """Anomaly score in 0 to 1; about 0.5 where nothing stands out."""
@@ -110,14 +148,19 @@ def drawn(df: DataFrame, columns: Sequence[str], most: int, seed: int = SEED) ->
     return found.to_numpy(float).reshape(-1, len(columns))
 
 
-def with_scores(df: DataFrame, groups: dict[str, Sequence[str]], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``df`` with ``<group>_score`` for each group of columns, each by a forest of its own; nulls count as 0."""
+def with_scores(df: DataFrame, groups: dict[str, Sequence[str]], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED,
+                keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with ``<group>_score`` for each group of columns, each by a forest of its own; nulls count as 0.
+
+    Only the columns ``keep`` of ``df`` pass through Python, if they are named.
+    """
     columns = list(dict.fromkeys(c for group in groups.values() for c in group))
     rows = drawn(df, columns, trees * sample, seed)
     places = {name: [columns.index(c) for c in group] for name, group in groups.items()}
     forests = {name: grow(rows[:, at], trees, sample, seed) for name, at in places.items()}
     sent = df.sparkSession.sparkContext.broadcast(forests)
-    schema = StructType([*df.schema.fields, *[StructField(f"{name}_score", DoubleType()) for name in groups]])
+    kept = df if keep is None else df.select(*keep)
+    schema = StructType([*kept.schema.fields, *[StructField(f"{name}_score", DoubleType()) for name in groups]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,17 +170,17 @@ def with_scores(df: DataFrame, groups: dict[str, Sequence[str]], trees: int = TR
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], *scores], schema.names)
 
     inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_in{k}") for k, c in enumerate(columns)]
-    return df.select("*", *inputs).mapInArrow(run, schema)
+    return df.select(*kept.columns, *inputs).mapInArrow(run, schema)
 
 
 def anomalies(df: DataFrame, groups: dict[str, Sequence[str]], contamination: float = 0.1, rules: dict[str, Column] | None = None,
-              trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """``df`` with ``<group>_anomaly`` (how far a row's score is above the share ``contamination`` of all rows, else 0), their mean
+              trees: int = TREES, sample: int = SAMPLE, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with ``<group>_anomaly`` (how far a row's score is above the share ``contamination`` of all rows, else 0), their mean
     ``overall_anomaly``, and ``is_anomalous`` above 0.5.
 
     ``rules`` may name further scores that lift the mean, as ``predictions.anomaly_rules`` gives them.
     """
-    scored = pin(with_scores(df, groups, trees, sample))
+    scored = pin(with_scores(df, groups, trees, sample, keep=keep))
     long = scored.select(F.inline(F.array(*[F.struct(F.lit(g).alias("name"), F.col(f"{g}_score").alias("score")) for g in groups])))
     cuts = {r["name"]: r["cut"] for r in exact_percentiles(long, ["name"], "score", {"cut": 1 - contamination}, bounded_keys=True).collect()}
     each = {f"{g}_anomaly": F.greatest(F.lit(0.0), F.col(f"{g}_score") - cuts.get(g, 0.0)) for g in groups}

@@ -195,6 +195,7 @@ def anomaly_robust(spark: SparkSession, d: str) -> DataFrame:
 @query("anomaly_forest")
 def anomaly_forest(spark: SparkSession, d: str) -> DataFrame:
     """Isolation forests of the four groups: anomaly of every row in each, lifted by the fixed rules."""
-    rules = {"anomaly_score": pd.anomaly_rules(F.col("h_pred"), F.col("conf_h"), F.col("conf_d"), F.col("conf_b"))["anomaly_score"]}
-    return forest.anomalies(grouped(spark, d), GROUPS, rules=rules).select(
+    judged = ["h_pred", "conf_h", "conf_d", "conf_b"]
+    rules = {"anomaly_score": pd.anomaly_rules(*map(F.col, judged))["anomaly_score"]}
+    return forest.anomalies(grouped(spark, d), GROUPS, rules=rules, keep=["sample_id", "model", *judged]).select(
         "sample_id", "model", *[f"{g}_anomaly" for g in GROUPS], "overall_anomaly", "is_anomalous")
