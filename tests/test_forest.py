@@ -86,3 +86,14 @@ def test_only_the_named_columns_pass_through(spark):
     some = I.anomalies(rows, groups, keep=["id"])
     assert some.columns == ["id", "a_anomaly", "overall_anomaly", "is_anomalous"]
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(some.columns).collect()))
+
+
+@pytest.mark.parametrize("width, sample", [(1, 256), (2, 64), (3, 256), (4, 5), (2, 1024)])
+def test_tables_and_walk_give_the_same_depths(monkeypatch, width, sample):
+    rows = np.round(np.random.default_rng(width).normal(size=(1200, width)), 1)
+    asked = np.r_[rows[:300], np.full((1, width), np.nan), np.full((1, width), np.inf)]
+    with_tables = I.grow(rows, trees=6, sample=sample)
+    assert (with_tables.tables is None) == (sample > 256)
+    monkeypatch.setattr(I, "_CELLS", 0)
+    walked = I.grow(rows, trees=6, sample=sample)
+    assert walked.tables is None and with_tables.depths(asked).tolist() == walked.depths(asked).tolist()

@@ -2,7 +2,8 @@
 
 A forest is fitted on a bounded sample (``TREES`` trees of ``SAMPLE`` rows each, drawn by a hash of the row and so the same for any
 partitioning) and kept as flat arrays, one entry a node. Every row is scored in Arrow batches: trees are filled up to one depth, so that
-the children of a node follow from its place and all rows go down a tree in step.
+the children of a node follow from its place and all rows go down a tree in step, or, in trees of usual depth, over four levels at a time by
+tables of the cells between their cuts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ TREES, SAMPLE = 100, 256
 SEED = 42
 #: Rows that go down a tree at once.
 _ROWS = 16_384
+#: Levels of a tree that one table spans, and the most cells of all tables of a forest.
+_SPAN, _CELLS = 4, 1 << 22
+_NEVER = np.iinfo(np.int32).max
 
 
 def unsuccessful(n: float) -> float:
@@ -63,12 +67,61 @@ class Forest:
             node = np.stack([left, left + inner[node]], axis=2).reshape(len(node), -1)
         return cuts, np.concatenate(features, axis=1), np.concatenate(numbers, axis=1), self.length[node]
 
+    @cached_property
+    def tables(self) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None:
+        """For each tree: what to look up for the upper and the lower half of its levels; None if it has too many levels or cells.
+
+        The first tables lead from the number of a feature's cuts below a value to that of the tree's own cuts, ``near`` from there to a
+        share of the cell, ``jump`` from the cell to the subtree's part of ``far``, which gives shares of the cell in it, and lengths follow.
+        """
+        cuts, *trees = self.filled
+        depth = trees[2].shape[1].bit_length() - 1
+        upper = min(_SPAN, depth)
+        if not cuts or depth > 2 * _SPAN:
+            return None
+        out, cells = [], 0
+        for feature, number, length in zip(*trees):
+            own = [np.unique(number[1:][(feature[1:] == f) & (number[1:] < _NEVER)]) for f in range(len(cuts))]
+            starts = np.cumsum([0, *(len(k) + 1 for k in own)])
+            ranks = [start + np.searchsorted(k, np.arange(len(c) + 1)) for start, k, c in zip(starts, own, cuts)]
+            blocks = [_block(feature, number, own, 1, upper)]
+            blocks += [_block(feature, number, own, place, depth - upper) for place in range(1 << upper, 2 << upper)]
+            cells += sum(len(at) for _, at in blocks)
+            if cells > _CELLS:
+                return None
+            (near, at), rest = blocks[0], blocks[1:]
+            before = np.cumsum([0, *(len(at) for _, at in rest)])
+            far = np.stack([steps for steps, _ in rest])
+            far[:, :starts[1]] += before[:-1, None]
+            out.append((ranks, near, (at - (1 << upper)) * far.shape[1], far.ravel(), length[np.concatenate([at for _, at in rest]) - len(length)]))
+        return out
+
     def depths(self, rows: np.ndarray) -> np.ndarray:
         """Mean path length of each row over the trees."""
-        n, total = len(rows), np.zeros(len(rows))
-        cuts, *trees = self.filled
+        n, cuts = len(rows), self.filled[0]
         # cuts below each value; a value that is no number is above none
-        values = np.concatenate([np.zeros(n, np.int64), *[np.where(np.isnan(v), 0, np.searchsorted(c, v)) for c, v in zip(cuts, rows.T)]])[n if cuts else 0:]
+        below = [np.where(np.isnan(v), 0, np.searchsorted(c, v)) for c, v in zip(cuts, rows.T)] or [np.zeros(n, np.int64)]
+        return (self._walked(np.concatenate(below), n) if self.tables is None else self._looked_up(below, n)) / len(self.roots)
+
+    def _looked_up(self, below: list[np.ndarray], n: int) -> np.ndarray:
+        total, length = np.zeros(n), np.empty(n)
+        own, (at, cell, share) = np.empty((len(below), n), np.int64), np.empty((3, n), np.int64)
+        for ranks, near, jump, far, lengths in self.tables:
+            for k, (rank, number) in enumerate(zip(ranks, below)):
+                rank.take(number, out=own[k], mode="clip")
+            near.take(own[0], out=cell, mode="clip")
+            for mine in own[1:]:
+                np.add(cell, near.take(mine, out=share, mode="clip"), out=cell)
+            jump.take(cell, out=at, mode="clip")
+            far.take(np.add(at, own[0], out=share), out=cell, mode="clip")
+            for mine in own[1:]:
+                np.add(mine, at, out=mine)
+                np.add(cell, far.take(mine, out=share, mode="clip"), out=cell)
+            total += lengths.take(cell, out=length, mode="clip")
+        return total
+
+    def _walked(self, values: np.ndarray, n: int) -> np.ndarray:
+        trees, total = self.filled[1:], np.zeros(n)
         each, place, cell, value, cut = np.arange(n), *np.empty((4, n), np.int64)
         length = np.empty(n)
         for features, numbers, lengths in zip(*trees):
@@ -86,7 +139,7 @@ class Forest:
             np.subtract(place, len(lengths), out=place)
             lengths.take(place, out=length, mode="clip")
             total += length
-        return total / len(self.roots)
+        return total
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """Anomaly score in 0 to 1; about 0.5 where nothing stands out."""
@@ -95,6 +148,25 @@ class Forest:
         return 2.0 ** (-np.concatenate(parts) / scale) if parts else np.zeros(0)
 
 
+def _block(feature: np.ndarray, number: np.ndarray, own: list[np.ndarray], root: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``levels`` below a place of a filled tree: the share of a cell's number for each of the tree's ``own`` cuts below a value,
+    one feature after the other, and the place that each cell leads to."""
+    places = np.concatenate([np.zeros(0, np.int64), *[(root << k) + np.arange(1 << k) for k in range(levels)]])
+    places = places[number[places] < _NEVER]
+    mine = [np.unique(number[places[feature[places] == f]]) for f in range(len(own))]
+    shape = [len(cuts) + 1 for cuts in mine]
+    digits = np.indices(shape).reshape(len(own), -1)
+    turn = np.full(len(number), _NEVER)
+    for f, cuts in enumerate(mine):
+        turn[places[feature[places] == f]] = np.searchsorted(cuts, number[places[feature[places] == f]])
+    at, each = np.full(digits.shape[1], root), np.arange(digits.shape[1])
+    for _ in range(levels):
+        at = 2 * at + (digits[feature[at], each] > turn[at])
+    strides = [math.prod(shape[f + 1:]) for f in range(len(own))]
+    shares = [np.r_[0, np.searchsorted(cuts, every, "right")] * stride for cuts, every, stride in zip(mine, own, strides)]
+    return np.concatenate(shares), at
+
+
 def grow(rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
     """A forest of ``rows``, given in a random order; each tree gets its own ``sample`` of them, as far as they last."""
     draw = np.random.default_rng(seed)
