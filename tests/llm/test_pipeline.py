@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import struct
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from tidemark.llm import language, secrets
+from tidemark.llm import components, decontamination, language, secrets, simhash
 from tidemark.llm.catalogue import QUERIES, SQL
 from tests.llm import test_decontamination, test_simhash
 from tests.llm.frames import empty
@@ -57,6 +58,48 @@ def test_stages_bear_an_empty_table(spark, tmp_path):
             assert out.columns == docs.columns
 
 
+def chained(df):
+    """Python operators of an executed plan that feed another one without an exchange between them: two workers a task."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above, found = [], []
+    for line in plan.splitlines():
+        mark = re.match(r"[ :]*(?:[+:]- )?(?:\*\(\d+\) )?", line).end()
+        depth = len(re.match(r"[ :]*", line)[0])
+        above = [(d, name) for d, name in above if d < depth]
+        name = line[mark:].split(" ")[0]
+        python = re.search("InArrow|InPandas|EvalPython", name)
+        for _, over in reversed(above):
+            if "Exchange" in over or "QueryStage" in over:
+                break
+            if python and re.search("InArrow|InPandas|EvalPython", over):
+                found.append(f"{over} over {name}")
+        above.append((depth, name))
+    return found
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_no_stage_runs_two_python_workers_a_task(spark, monkeypatch, tmp_path, threshold):
+    """Else an executor keeps twice as many workers, each with the models and words of every step."""
+    pinned = []
+    for module in (components, language, secrets, simhash):
+        monkeypatch.setattr(module, "pin", lambda df, pin=module.pin: (pin(df), pinned.append(df))[0])
+    monkeypatch.setattr(decontamination, "_bit_filter", lambda s, keys, made=decontamination._bit_filter: (made(s, keys), pinned.append(keys))[0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        docs, data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01"
+        for name, stage in corpus_pipeline.STAGES:
+            pinned.clear()
+            out = stage(spark, docs, data)
+            assert out.collect() is not None
+            assert [chained(df) for df in [*pinned, out] if chained(df)] == [], name
+            if name != "sentencepiece":
+                out.write.parquet(str(tmp_path / name))
+                docs = spark.read.parquet(str(tmp_path / name))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_runs_twice_alike(spark, name):
     first = sorted(map(str, QUERIES[name](spark, DATA).collect()))

@@ -156,8 +156,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
     met = (_with_fingerprints(rows, lengths, bits).select("uid", F.col("id").alias("doc_id"), "n_words", F.inline_outer("found"))
            .withColumn("join_key", F.coalesce("key", F.xxhash64("uid")))
            .join(marks, (F.col("join_key") == F.col("item_key")) & (F.col("length") == F.col("item_length")), "left"))
-    spans = met.mapInArrow(_extend, "uid bigint, doc_id bigint, n_words bigint, items array<bigint>, "
-                                    "span struct<start:bigint,stop:bigint>")
+    # The few rows are dealt anew: with a broadcast join, both functions would else run at once, in two Python workers a task.
+    spans = met.repartition("uid").mapInArrow(_extend, "uid bigint, doc_id bigint, n_words bigint, items array<bigint>, "
+                                                       "span struct<start:bigint,stop:bigint>")
     grouped = (spans.groupBy("uid")
                .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                     F.array_sort(F.collect_set("span")).alias("spans"),
